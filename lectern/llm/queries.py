@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import packing, simhash, substring, tokens
+from lectern.llm import fingerprints, packing, secrets, simhash, substring, tokens, warc
 from lectern.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -29,7 +33,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op5_best_fit_packing, op6_simhash_near_dedup, op7_substring_dedup)
-}
-ORACLES: dict[str, str] = {}
+    f.__name__: f
+    for f in (op1_warc, op3_token_counts, op5_best_fit_packing, op6_simhash_near_dedup, op7_substring_dedup, op9_secret_scans, op10_document_fingerprints)
+}
+ORACLES: dict[str, str] = {"op1_warc": warc.ROUND_TRIP_SQL, "op9_secret_scans": secrets.report_sql()}
