@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import fingerprints, packing, secrets, simhash, substring, tokens, warc
+from lectern.llm import fingerprints, html_text, packing, secrets, simhash, substring, tokens, toxicity, warc
 from lectern.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +17,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -33,6 +38,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -43,6 +52,6 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op3_token_counts, op5_best_fit_packing, op6_simhash_near_dedup, op7_substring_dedup, op9_secret_scans, op10_document_fingerprints)
+    for f in (op1_warc, op2_toxicity, op3_token_counts, op5_best_fit_packing, op6_simhash_near_dedup, op7_substring_dedup, op8_html_extraction, op9_secret_scans, op10_document_fingerprints)
 }
 ORACLES: dict[str, str] = {"op1_warc": warc.ROUND_TRIP_SQL, "op9_secret_scans": secrets.report_sql()}
