@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import fingerprints, html_text, packing, secrets, simhash, substring, tokens, toxicity, warc
+from lectern.llm import decontam, fingerprints, html_text, packing, secrets, simhash, substring, tokens, toxicity, warc
 from lectern.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -52,6 +56,6 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_toxicity, op3_token_counts, op5_best_fit_packing, op6_simhash_near_dedup, op7_substring_dedup, op8_html_extraction, op9_secret_scans, op10_document_fingerprints)
+    for f in (op1_warc, op2_toxicity, op3_token_counts, op4_benchmark_decontamination, op5_best_fit_packing, op6_simhash_near_dedup, op7_substring_dedup, op8_html_extraction, op9_secret_scans, op10_document_fingerprints)
 }
 ORACLES: dict[str, str] = {"op1_warc": warc.ROUND_TRIP_SQL, "op9_secret_scans": secrets.report_sql()}
