@@ -1,4 +1,4 @@
-"""Every registered query by name, with its SQL."""
+"""Every registered query by name, with its SQL. The plan modules add theirs when they are imported."""
 
 from __future__ import annotations
 
@@ -6,9 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    return QUERIES["search_text"](spark, sf_dir)
+
+
+from lectern.plans import checks, lexical, parsing, search  # noqa: E402, F401
