@@ -4,7 +4,8 @@ Every window of ``window`` words is named by the least hash among the shorter wo
 equal windows have equal names wherever they stand and neighbouring windows mostly share theirs. Each
 partition sketches the names of its documents; the merged sketches never count a window less often
 than the corpus has it. A second pass takes only windows whose name is estimated to be in two documents or
-more, and groups those exactly, by 128-bit digests of their words. A sketch that is too small for the
+more, and groups those exactly, by 128-bit digests of their words: runs of windows with one name as a
+whole, and window by window where runs of one name differ. A sketch that is too small for the
 corpus lets more windows through to the exact grouping; it never loses one.
 """
 
@@ -142,41 +143,66 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, cells: int | None =
         maybe = np.ones(len(w.name), bool)
         for row, c in enumerate(_cells(w.name, cells)):
             maybe &= (table[row * (cells // 8) + (c >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (c & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-        at = w.at[maybe]
-        buf = memoryview(b"\n".join(w.lines))
-        digests = b"".join([xxhash.xxh3_128_digest(buf[a:b]) for a, b in zip(w.starts[at].tolist(), w.ends[at + window - 1].tolist(), strict=True)])
+        at, name = w.at[maybe], w.name[maybe]
         doc = w.doc[at]
-        begin, end = np.searchsorted(doc, np.arange(len(w.lines))), np.searchsorted(doc, np.arange(len(w.lines)), "right")
-        starts = (at - w.word0[doc]).astype("<i4")
-        n_words = [x.count(b" ") + 1 if x else 0 for x in w.lines]
-        some = (end > begin).tolist()
+        begins = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]))[: len(at)])
+        count = np.diff(np.append(begins, len(at)))
+        at, name, doc = at[begins], name[begins], doc[begins]
+        buf = memoryview(b"\n".join(w.lines))
+        digests = [xxhash.xxh3_128_digest(buf[a:b]) for a, b in zip(w.starts[at].tolist(), w.ends[at + count + window - 2].tolist(), strict=True)]
+        cut = np.searchsorted(doc, np.arange(len(w.lines) + 1))
+        some = (np.diff(cut) > 0).tolist()
+        runs = pa.StructArray.from_arrays([pa.array(name.view(np.int64)), pa.array(digests, pa.binary()), pa.array((at - w.word0[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["name", "digest", "at", "n"])
         yield pa.RecordBatch.from_arrays(
             [
-                batch["doc_id"], batch["row"], pa.array(n_words, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in w.lines]),
+                batch["doc_id"], batch["row"], pa.array([x.count(b" ") + 1 if x else 0 for x in w.lines], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in w.lines]),
                 pa.array([x.decode() if s or keep_text else None for x, s in zip(w.lines, some, strict=True)], pa.string()),
-                pa.array([[digests[16 * i : 16 * i + 16] for i in range(a, b)] if s else None for a, b, s in zip(begin, end, some, strict=True)], pa.list_(pa.binary())),
-                pa.array([starts[a:b] if s else None for a, b, s in zip(begin, end, some, strict=True)], pa.list_(pa.int32())),
+                pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), runs),
             ],
-            names=["doc_id", "row", "n_words", "sha256", "line", "digests", "starts"],
+            names=["doc_id", "row", "n_words", "sha256", "line", "runs"],
         )
 
     judged = common.saved(
-        common.map_batches(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), judge, f"doc_id {kind}, row bigint, n_words bigint, sha256 string, line string, digests array<binary>, starts array<int>"),
+        common.map_batches(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), judge, f"doc_id {kind}, row bigint, n_words bigint, sha256 string, line string, runs array<struct<name:bigint,digest:binary,at:int,n:int>>"),
         f"{where}/judged",
     )
-    windows = judged.filter("doc_id is not null").select("doc_id", "row", F.explode(F.arrays_zip("digests", "starts")).alias("w")).select("doc_id", "row", F.col("w.digests").alias("digest"), F.col("w.starts").alias("at"))
-    earliest = windows.groupBy("digest").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).filter("earliest < latest").select("digest", "earliest")
-    # A window's first word, and how often the next windows follow: enough to mark its words.
-    covered = windows.join(earliest, "digest").filter("doc_id > earliest").groupBy("row").agg(F.collect_set("at").alias("covered"))
+    # Inside a repeated passage, the windows of one name make the same run in every document: runs are grouped whole.
+    runs = judged.filter("doc_id is not null").select("doc_id", "row", F.explode("runs").alias("r")).select("doc_id", "row", "r.*")
+    first = runs.groupBy("name", "digest").agg(F.min(F.struct("doc_id", "row", "at", "n")).alias("f"))
+    first = common.saved(first.select("name", "digest", "f.*"), f"{where}/first")
+    whole = runs.join(first.select("name", "digest", F.col("doc_id").alias("earliest")), ["name", "digest"]).filter("doc_id > earliest").select("row", "at", "n")
+    # Only a name with different runs, as at the edges of a passage, needs its windows one by one, and of each run the earliest.
+    mixed = first.groupBy("name").agg(F.count("*").alias("kinds"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("kinds > 1 and least < most").select("name")
+    parts = first.join(mixed, "name").groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("parts"))
+
+    def windows(batch: pa.RecordBatch):
+        doc, row, digest, at = [], [], [], []
+        for i, (line, parts) in enumerate(zip(batch["line"].to_pylist(), batch["parts"].to_pylist(), strict=True)):
+            raw = line.encode()
+            buf, gaps = memoryview(raw), np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+            starts, ends = np.append(0, gaps + 1), np.append(gaps, len(raw))
+            places = sorted({p["at"] + k for p in parts for k in range(p["n"])})
+            digest += [xxhash.xxh3_128_digest(buf[a:b]) for a, b in zip(starts[places].tolist(), ends[np.asarray(places) + window - 1].tolist(), strict=True)]
+            at += places
+            doc += [i] * len(places)
+        take = pa.array(doc, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].take(take), batch["row"].take(take), pa.array(digest, pa.binary()), pa.array(at, pa.int32())], names=["doc_id", "row", "digest", "at"])
+
+    lines = judged.filter(F.size("runs") > 0).select("doc_id", "row", "n_words", "sha256", "line")
+    single = common.map_batches(lines.select("doc_id", "row", "line").join(parts, "row").select("doc_id", "row", "line", "parts"), windows, f"doc_id {kind}, row bigint, digest binary, at int")
+    single = common.saved(single, f"{where}/windows")
+    earliest = single.groupBy("digest").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).filter("earliest < latest").select("digest", "earliest")
+    alone = single.join(earliest, "digest").filter("doc_id > earliest").select("row", "at", F.lit(1).alias("n"))
+    covered = whole.unionByName(alone).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("covered"))
 
     def strip(batch: pa.RecordBatch):
         n_removed, sha, kept_lines = [], [], []
         for line, starts in zip(batch["line"].to_pylist(), batch["covered"].to_pylist(), strict=True):
             words = line.split(" ") if line else []
             change = np.zeros(len(words) + 1, np.int64)
-            at = np.asarray(starts, np.int64)
+            at, n = (np.asarray([x[k] for x in starts], np.int64) for k in ("at", "n"))
             np.add.at(change, at, 1)
-            np.add.at(change, at + window, -1)
+            np.add.at(change, at + n + window - 1, -1)
             gone = np.cumsum(change)[:-1] > 0
             kept = " ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
             n_removed.append(int(gone.sum()))
@@ -187,7 +213,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, cells: int | None =
         yield pa.RecordBatch.from_arrays([*columns, pa.array(kept_lines)] if keep_text else columns, names=[*names, "kept_text"] if keep_text else names)
 
     text = ", kept_text string" if keep_text else ""
-    marked = judged.filter("digests is not null").select("doc_id", "row", "n_words", "sha256", "line").join(covered, "row", "left")
+    marked = lines.join(covered, "row", "left")
     stripped = common.map_batches(marked.filter("covered is not null").select("doc_id", "n_words", "line", "covered"), strip, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string{text}")
     columns = ["doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"), *([F.col("line").alias("kept_text")] if keep_text else [])]
-    return stripped.unionByName(marked.filter("covered is null").select(columns)).unionByName(judged.filter("digests is null").select(columns))
+    return stripped.unionByName(marked.filter("covered is null").select(columns)).unionByName(judged.filter(F.size("runs") == 0).select(columns))
