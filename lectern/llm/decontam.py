@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,6 +157,18 @@ def align(pattern: bytes, text: bytes, most: int) -> tuple[int, int, int] | None
     return (int(begin[end]), end, int(row[end])) if row[end] <= most else None
 
 
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list:
+    """A broadcast index of each block of the benchmark; a block's text is about block_bytes."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).filter("item_id is not null and text is not null")
+    n = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
+    out = []
+    for b in range(n):
+        own = sorted((r["item_id"], normal(r["text"])) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect())
+        out.append(spark.sparkContext.broadcast(Index([i for i, _ in own], [t for _, t in own])))
+    return out
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, edits, fragments, of_fragments, start, end: each document and benchmark item of which it holds a fragment.
 
@@ -167,14 +180,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     common.small_batches(spark)
     rows = common.id_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     schema = f"doc_id {kind}, item_id bigint, edits int, fragments int, of_fragments int, start int, end int"
 
-    def searched(block: DataFrame) -> DataFrame:
-        own = sorted((r["item_id"], normal(r["text"])) for r in block.collect())
-        index = spark.sparkContext.broadcast(Index([i for i, _ in own], [t for _, t in own]))
-
+    def searched(index) -> DataFrame:
         def run(batch: pa.RecordBatch):
             ix, found = index.value, {}
             for t, f, a, z, e in ix.search([normal(t) for t in common.texts(batch)]):
@@ -188,9 +196,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
         return common.map_batches(rows, run, schema)
 
-    n = 1 + size // block_bytes
-    blocks = [items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b) for b in range(n)]
-    out = searched(blocks[0])
-    for block in blocks[1:]:
-        out = out.unionByName(searched(block))
-    return out
+    first, *rest = [searched(index) for index in _indexes(benchmark, item_col, item_text_col, block_bytes)]
+    for more in rest:
+        first = first.unionByName(more)
+    return first
+
+
+def with_items(docs: DataFrame, benchmark: DataFrame, *, out: str = "leaked_items", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with the sorted ids of the benchmark items of which each text holds a fragment; all rows and columns stay, and nothing is shuffled."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+
+    def holder(index):
+        @F.pandas_udf("array<bigint>")
+        def held(text: pd.Series) -> pd.Series:
+            ix, items = index.value, [set() for _ in text]
+            for t, f, *_ in ix.search([normal(x or "") for x in text]):
+                items[t].add(ix.of[f])
+            return pd.Series([sorted(x) for x in items])
+
+        return held(F.col(text_col))
+
+    found = [holder(index) for index in _indexes(benchmark, item_col, item_text_col, block_bytes)]
+    return docs.withColumn(out, F.array_sort(F.concat(*found)))

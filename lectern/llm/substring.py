@@ -58,7 +58,7 @@ class Words:
         place = (np.arange(len(buf), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), np.diff(np.append(self.starts, len(buf))))) % len(_MIX)
         value = (buf + np.uint64(1)) * _MIX[place]
         value[cut] = 0
-        h = _stir(np.add.reduceat(value, self.starts))
+        h = _stir(np.add.reduceat(np.append(value, np.uint64(0)), self.starts))  # an empty last line starts after the end
         power = np.cumprod(np.full(n, _STEP, np.uint64))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power)])
         least = _stir((total[run:] - total[:-run]) * np.cumprod(np.full(n - run + 1, _BACK, np.uint64)))

@@ -1,0 +1,439 @@
+"""Each corpus operator against a brute-force version, and on nulls, empty texts, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lectern.llm import common, decontam, fingerprints, html_text, packing, secrets, simhash, substring, tokens, toxicity, warc
+from lectern.llm.components import components
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+EDGE = [(None, None, 1), (7, "", 2), (8, " \n\t ", 3), (9, "one", 4), (9, "one", 4), (10, "a\x0bb  c d", 5), (11, "é漢字 <|endoftext|> x's", 6)]
+EDGE_SCHEMA = "doc_id long, text string, row int"  # a column that operators use inside
+
+
+def some_texts(seed, n=60):
+    rng = random.Random(seed)
+    words = ["the", "tion", "onea", "ther", "es", "Über", "naïve", "x1", "and,", "end.\n"] + [f"w{i}" for i in range(60)]
+    out = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 150))) for _ in range(n)]
+    passage = " ".join(rng.choice(words) for _ in range(70))
+    for i in range(0, n, 6):
+        out[i] = out[i] + " " + passage + "  " + out[(i * 7) % n][:50]
+    out[5] = out[4]
+    out[9] = out[8] + " x"
+    return out
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+
+
+# Token counts and packing
+
+
+def test_tokens_match_the_library(spark):
+    texts = some_texts(1) + [t for _, t, _ in EDGE if t] + ["  two  spaces ", "a\r\n b", "x" * 5000, "שלום world"]
+    texts.append(" ".join(texts) * 3)
+    lib = Tokenizer.from_file(PATH)
+    expected = {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    for chunk, overlap in ((32768, 256), (150, 12)):
+        got = {r.doc_id: r for r in tokens.count_tokens(frame(spark, texts), PATH, chunk=chunk, overlap=overlap).collect()}
+        assert {i: r.n_tokens for i, r in got.items()} == expected
+        assert all(got[i].n_bytes == len(t.encode()) and got[i].over_limit == (expected[i] > 1024) for i, t in enumerate(texts))
+
+
+def test_spliced_ids_are_the_library_s(spark):
+    e = tokens.Encoder(PATH)
+    text = " ".join(some_texts(2))
+    for chunk, overlap in ((100, 3), (333, 10)):
+        assert e.encode_spliced(text, chunk, overlap).tolist() == e.encode(text).tolist()
+    assert e.encode_spliced("y" * 3000, 100, 3).tolist() == e.encode("y" * 3000).tolist()  # no stable place: widened to the end
+
+
+def test_tokens_edges(spark):
+    got = tokens.count_tokens(spark.createDataFrame(EDGE, EDGE_SCHEMA), PATH).collect()
+    assert len(got) == len(EDGE) and {r.n_tokens for r in got if r.n_bytes == 0} == {0}
+    assert tokens.count_tokens(spark.createDataFrame([], EDGE_SCHEMA), PATH).count() == 0
+
+
+def test_packing(spark):
+    texts = some_texts(3) + [" ".join(some_texts(4)), ""]
+    lib = Tokenizer.from_file(PATH)
+    ids = {i: lib.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    got = packing.pack(frame(spark, texts), PATH).collect()
+    seen = {}
+    for r in got:
+        own = np.asarray(ids[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert zlib.crc32(own.tobytes()) == r.ids_crc32 and len(own) == r.length
+        assert r.length == 1024 or r.piece == 0
+        seen.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+    for i, x in ids.items():
+        pieces = sorted(seen[i])
+        assert [p for p, _, _ in pieces] == list(range(len(pieces))) and sum(n for _, _, n in pieces) == len(x)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 1024
+    assert len(bins) <= 1.1 * sum(map(len, ids.values())) / 1024 + 1
+
+
+def test_best_two_fit_takes_two_for_one():
+    bins, offsets = packing.best_two_fit(np.asarray([600, 380, 210, 205]), 1024)
+    assert sorted(np.bincount(bins, [600, 380, 210, 205])) == [380, 1015]
+    assert packing.best_two_fit(np.zeros(0, np.int64), 1024)[0].tolist() == []
+
+
+def test_packing_edges(spark):
+    got = packing.pack(spark.createDataFrame(EDGE, EDGE_SCHEMA), PATH)
+    assert got.count() == len(EDGE) and got.agg(F.sum("length")).first()[0] < 1024 and got.select("sequence_id").distinct().count() == 1
+    assert packing.pack(spark.createDataFrame([], EDGE_SCHEMA), PATH).count() == 0
+
+
+# SimHash
+
+
+def slow_fingerprint(text):
+    words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def slow_components(values, radius):
+    up = list(range(len(values)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(values)):
+        for j in range(i):
+            if (values[i] ^ values[j]).bit_count() <= radius:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(values))]
+
+
+def test_near_duplicates(spark):
+    texts = some_texts(5) + ["", " ", "One two", "one TWO"]
+    got = {r.doc_id: r for r in simhash.near_duplicates(frame(spark, texts)).collect()}
+    fps = [slow_fingerprint(t) for t in texts]
+    assert [int(got[i].fingerprint, 16) for i in range(len(texts))] == fps
+    assert [got[i].component_id for i in range(len(texts))] == slow_components(fps, 4)
+
+
+def test_links_of_chains_and_crowds(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    values = set(base)
+    for b in base:
+        x = b
+        for _ in range(120):
+            x = (x if rng.random() < 0.5 else b) ^ sum(1 << k for k in set(rng.choices(range(64), k=rng.randint(1, 4))))
+            values.add(x)
+    values = sorted(values, key=lambda v: v - (1 << 64) if v >> 63 else v)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    links = simhash.link(spark.createDataFrame([(v,) for v in signed], "fp long"), common.scratch(spark))
+    roots = {r.node: r.root for r in components(links, common.scratch(spark)).collect()}
+    expected = slow_components(values, 4)
+    assert [roots.get(v, v) for v in signed] == [signed[k] for k in expected]
+
+
+def test_simhash_edges(spark):
+    got = simhash.near_duplicates(spark.createDataFrame(EDGE, EDGE_SCHEMA)).collect()
+    assert len(got) == len(EDGE)
+    assert {r.component_id for r in got if r.fingerprint == "0" * 16} == {7}
+    assert simhash.near_duplicates(spark.createDataFrame([], EDGE_SCHEMA)).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    n = 60
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, n)] + [(100, 102), (102, 101), (5, 5)], "a long, b long")
+    got = {r.node: r.root for r in components(links, common.scratch(spark)).collect()}
+    assert got == {i: 1 for i in range(1, n + 1)} | {100: 100, 101: 100, 102: 100}
+
+
+# Substrings
+
+
+def slow_removal(rows, window):
+    first, out = {}, []
+    for i, t in sorted(rows):
+        words = WORDS.findall(t)
+        gone = [False] * len(words)
+        for k in range(len(words) - window + 1):
+            if first.setdefault(tuple(words[k : k + window]), i) < i:
+                gone[k : k + window] = [True] * window
+        out.append((i, len(words), sum(gone), hashlib.sha256(" ".join(w for w, g in zip(words, gone) if not g).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("window", "cells"), [(50, None), (50, 64), (7, None), (8, 64)])
+def test_repeats(spark, window, cells):
+    """With 64 cells nearly every window passes the sketch; the result is the same."""
+    texts = some_texts(7) + ["again " * 200, "again " * 120, ""]
+    got = substring.remove_repeats(frame(spark, texts), window=window, cells=cells and cells * substring.BLOCKS).collect()
+    assert sorted(map(tuple, got)) == slow_removal(list(enumerate(texts)), window)
+
+
+def test_repeats_edges(spark):
+    rows = [*EDGE, (12, "v " * 60, 1), (None, "v " * 60, 1), (13, "v " * 60, 1), (13, "v " * 60, 1)]
+    got = sorted(((r.doc_id or -1, r.n_words, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, EDGE_SCHEMA)).collect()))
+    assert len(got) == len(rows) and (13, 60, 60) in got and (12, 60, 0) in got and (-1, 60, 0) in got
+    assert substring.remove_repeats(spark.createDataFrame([], EDGE_SCHEMA)).count() == 0
+    kept = substring.remove_repeats(spark.createDataFrame([(1, "a  b\n" * 30)], "doc_id long, text string"), keep_text=True).first()
+    assert kept.kept_text == " ".join(["a", "b"] * 30)
+
+
+# Benchmark
+
+
+def test_leaks(spark):
+    rng = random.Random(8)
+    letters = "abcdefghij klmnop qrstu"
+    items = ["".join(rng.choice(letters) for _ in range(rng.randint(150, 300))) for _ in range(20)]
+    docs = [t * 3 for t in some_texts(9, 40)]
+    planted = set()
+    for i, item in enumerate(items):
+        x = list(item)
+        for _ in range(len(x) // 25 if i % 2 else 0):
+            p = rng.randrange(len(x))
+            rng.choice([lambda: x.__setitem__(p, "z"), lambda: x.pop(p), lambda: x.insert(p, "y")])()
+        docs[2 * i] = docs[2 * i][:300] + "\n" + "".join(x).upper().replace(" ", "  ") + "! " + docs[2 * i][300:]
+        planted.add((2 * i, i))
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(None, items[0]), (99, None), (98, "short")], "item_id long, text string")
+    for size in (decontam.BLOCK_BYTES, 1000):
+        got = decontam.leaks(frame(spark, docs), bench, block_bytes=size).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == planted
+        assert all(r.edits == 0 for r in got if r.item_id % 2 == 0)
+    held = decontam.with_items(frame(spark, docs), bench)
+    assert {(r.doc_id, i) for r in held.collect() for i in r.leaked_items} == planted
+
+
+def slow_align(p, t):
+    best = (len(p), 0, 0)
+    row = [(0, j) for j in range(len(t) + 1)]
+    for i, c in enumerate(p):
+        new = [(i + 1, 0)]
+        for j, d in enumerate(t):
+            new.append(min((row[j][0] + (c != d), row[j][1]), (row[j + 1][0] + 1, row[j + 1][1]), (new[j][0] + 1, new[j][1])))
+        row = new
+    return min(row)[0]
+
+
+def test_alignment():
+    rng = random.Random(10)
+    for _ in range(150):
+        p, t = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14))), bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 25)))
+        edits = slow_align(p, t)
+        found = decontam.align(p, t, len(p))
+        assert found is not None and found[2] == edits
+        assert decontam.align(p, t, edits - 1) is None if edits else True
+
+
+def test_leaks_edges(spark):
+    bench = spark.createDataFrame([(1, "a long enough item of the benchmark, with some words")], "item_id long, text string")
+    assert decontam.leaks(spark.createDataFrame(EDGE, EDGE_SCHEMA), bench).count() == 0
+    assert decontam.leaks(spark.createDataFrame([], EDGE_SCHEMA), bench).count() == 0
+    assert decontam.leaks(spark.createDataFrame(EDGE, EDGE_SCHEMA), bench.limit(0)).count() == 0
+    assert decontam.with_items(spark.createDataFrame(EDGE, EDGE_SCHEMA), bench.limit(0)).count() == len(EDGE)
+
+
+# Toxicity
+
+
+def test_toxicity(spark):
+    rng = random.Random(11)
+    plain = [f"{a}{b}{c}" for a in ("th", "on", "er", "in") for b in ("an", "ed", "es", "ou") for c in ("", "re", "st", "ly")]
+    bad = ["idiot", "moron", "loser"]
+    rows = []
+    for i in range(600):
+        words = [rng.choice(plain) for _ in range(rng.randint(5, 60))]
+        toxic = i % 5 == 0
+        for _ in range(2 if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((i, " ".join(words) + ".", int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = docs.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int"))
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got)
+    held = [(got[i].predicted, t) for i, _, t in rows if got[i].held_out]
+    assert np.mean([p == t for p, t in held]) > 0.98
+    assert all(s > 0.7 for s in model.score(["you are an i.d.i.o.t today", "what a l o s e r he is", "id1ot", "m-o_ron!"]))
+    assert min(model.score(["such idioots", "a lozser"])) > 3 * model.score([""])[0]
+    assert all(s < 0.3 for s in model.score(["", "thanre onedly", "then onest inoured"]))
+    edge = toxicity.score(spark.createDataFrame(EDGE, EDGE_SCHEMA), model).collect()
+    assert len(edge) == len(EDGE) and all(0 <= r.score <= 1 for r in edge) and [r.held_out for r in edge if r.doc_id is None] == [False]
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert toxicity.with_score(docs, model).columns == [*docs.columns, "toxicity"]
+
+
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert [r.predicted for r in toxicity.score(docs, model).collect()] == [0]
+
+
+# Fingerprints
+
+
+def test_fingerprints(spark):
+    texts = some_texts(12) + ["", "a", "same. text here.", "same. text here."]
+    got = {r.doc_id: r for r in fingerprints.compare_with_next(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        following, half = texts[(i + 1) % len(texts)], len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        sets = [set(fingerprints.paragraph_digests(x).tolist()) for x in (t, edited, following)]
+        for value, other in ((got[i].near_edited, sets[1]), (got[i].near_next, sets[2])):
+            union = sets[0] | other
+            assert value == pytest.approx(len(sets[0] & other) / len(union) if union else 1.0)
+        assert got[i].fingerprint == fingerprints.fingerprint([fingerprints.paragraph_digests(t)])[0]
+    assert got[len(texts) - 1].fingerprint == got[len(texts) - 2].fingerprint
+
+
+def test_peeling():
+    rng = np.random.default_rng(13)
+    for n, common_n in ((0, 5), (3, 50), (40, 0), (300, 10)):
+        a, b, c = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, n // 2, common_n))
+        more, less = fingerprints.differences([np.concatenate([a, c])], [np.concatenate([b, c])])
+        assert (more[0], less[0]) == (n, n // 2)
+    ours, theirs = np.asarray([1, 2, 3], np.uint64), np.asarray([3, 4], np.uint64)
+    s = fingerprints.Sketches([ours], np.asarray([48]))
+    s.subtract(fingerprints.Sketches([theirs], np.asarray([48])))
+    _, digest, sign, whole = s.peel()
+    assert whole.all() and sorted(zip(digest.tolist(), sign.tolist())) == [(1, 1), (2, 1), (4, -1)]
+
+
+def test_fingerprints_edges(spark):
+    assert fingerprints.compare_with_next(spark.createDataFrame(EDGE, EDGE_SCHEMA)).count() == len(EDGE)
+    assert fingerprints.compare_with_next(spark.createDataFrame([], EDGE_SCHEMA)).count() == 0
+    one = fingerprints.compare_with_next(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first()
+    assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+
+
+# WARC
+
+
+def test_warc(spark):
+    big, other = "é" * 150_000, "<p>x</p>" * 200
+    rows = [(1, "u1", big), (2, None, None), (3, "u 3\n", big), (4, "u", "short"), (5, "u", "short"), (6, "u", other), (7, "u", other), (8, "u", other), (None, "u", "n"), (8, "u", other)]
+    got = sorted(map(tuple, warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()), key=repr)
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    last = {big: 3, other: 8}
+    expected = [(i, len((t or "").encode()), sha(t or ""), "revisit" if i and i < last.get(t, 0) else "response", last[t] if i and i < last.get(t, 0) else None) for i, _, t in rows]
+    assert got == sorted(expected, key=repr)
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_warc_chunks(spark):
+    pages = spark.createDataFrame([(1, "u", "ab" * 100_000)], "page_id long, url string, html string")
+    manifest = warc.write(warc.chunks(pages, chunk_bytes=1000), common.scratch(spark))
+    rows = sorted(warc.read(spark, manifest).collect(), key=lambda r: r.chunk)
+    data = b"".join(bytes(r.data) for r in rows)
+    assert data == b"ab" * 100_000 and len(rows) > 2 and max(len(r.data) for r in rows) <= warc.CHUNK_BYTES
+    so_far = b""
+    for r in rows:
+        so_far += bytes(r.data)
+        assert r.digest_so_far == hashlib.sha1(so_far).hexdigest() and r.bytes_so_far == len(so_far) and r.last == (len(so_far) == len(data))
+
+
+# HTML
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies. Accept all of them.</p></div>
+<article><h1>Head&nbsp;line</h1><p>First &amp; long   paragraph of the
+text, with <b>bold</b> words and <a href="x">a link</a>.<p>Second paragraph, unclosed.<div class="ad">Buy this now, it is cheap.</div><ul><li>An item of the article's list.</li></ul></article>
+<aside><p>Related reading for you, dear visitor.</p></aside><section id="comments"><p>Nice article, I liked it much.</p></section><form><label>Name</label><input></form><footer>&copy; us</footer></body></html>"""
+
+
+def test_html():
+    assert html_text.main_text(PAGE).split("\n") == ["Head line", "First & long paragraph of the text, with bold words and a link.", "Second paragraph, unclosed.", "An item of the article's list."]
+    soup = PAGE.replace("<article>", '<div id="content">').replace("</article>", "</div>")
+    assert "Second paragraph, unclosed." in html_text.main_text(soup) and "cookies" not in html_text.main_text(soup)
+    for odd in ("", "<", "<p", "a < b", "<!-- x", "<script>", '<a title="x', "<p>" * 3000 + "deep", "&#xZZ; &bogus; &#0;"):
+        assert isinstance(html_text.main_text(odd), str)
+
+
+def test_minimum_cut():
+    rng = random.Random(14)
+    for _ in range(60):
+        n = rng.randint(1, 7)
+        gain = [rng.randint(-20, 20) for _ in range(n)]
+        edges = [(a, b, rng.randint(1, 15)) for a in range(n) for b in range(a) if rng.random() < 0.5]
+
+        def cost(labels):
+            return sum(-g if not x and g < 0 and False else (g if not x and g > 0 else (-g if x and g < 0 else 0)) for g, x in zip(gain, labels)) + sum(c for a, b, c in edges if labels[a] != labels[b])
+
+        least = min(cost([m >> i & 1 for i in range(n)]) for m in range(1 << n))
+        assert cost(html_text.min_cut(gain, edges)) == least
+
+
+def test_html_edges(spark):
+    rows = [(None, None, None, 1), (1, "u", "", 2), (2, "u", PAGE, 3), (2, "u", PAGE, 3)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got) and sum(r.n_chars > 0 for r in got) == 2
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# Secrets
+
+
+def slow_base(text):
+    found = []
+    for rank, (kind, pattern, group, least) in enumerate((("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32))):
+        for m in re.finditer(pattern, text, re.I if rank == 0 else 0):
+            if len(m[group]) >= least:
+                found.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+    return [x for _, _, x in sorted(found)]
+
+
+def entropy(window):
+    n = len(window)
+    return -sum(c / n * np.log2(c / n) for c in map(window.count, set(window)))
+
+
+def test_secrets(spark):
+    rng = random.Random(15)
+    bits = ["token", "=", ": ", "PassWord", '"', "abc", "AKIA", "ABCDEFGH1234", "é漢", "api_key", "secret:", "0a1b2c3d" * 4, "0a1b2c3d", " ", "\n", "x=y", "Zq8", "deadbeef" * 5]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(200)] + ["token=secret:abcdefgh"]
+    got = {r.doc_id: r for r in secrets.report(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base = slow_base(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [x for x in got[i].spans.split(",") if x and not x.startswith("entropy")] == base
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x.startswith(k) for x in base) for k in ("assign", "access", "hex"))
+
+
+def test_secret_entropy(spark):
+    runs = ["Zq8Rt5Yw2Lm9Kp4Xv7Bn3Jh6", "aaaaaaaaaaaaaaaaaaaa1111", "abcdefghij0123456789abcd", "4f9A0c7E2d8B1a6C5e3f90", "a1a1a1a1a1a1a1a1a1a1a1a1", "ZqRtYwLmKpXvBnJhGfDsAzQx", "123e4567-e89b-12d3-a456-426614174000"]
+    row = spark.createDataFrame([(r,) for r in runs], "t string").select("t", secrets.best_entropy(F.col("t")).alias("h")).collect()
+    for r in row:
+        assert r.h == pytest.approx(max(entropy(r.t[i : i + secrets.WINDOW]) for i in range(len(r.t) - secrets.WINDOW + 1)), abs=1e-9)
+    got = [r.spans for r in secrets.report(spark.createDataFrame([(i, f"see {r} there") for i, r in enumerate(runs)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["entropy-base64:4:28", "", "", "entropy-hex:4:26", "", "", ""]
+
+
+def test_secret_edges(spark):
+    assert secrets.report(spark.createDataFrame(EDGE, EDGE_SCHEMA)).count() == len(EDGE)
+    assert secrets.report(spark.createDataFrame([], EDGE_SCHEMA)).count() == 0
+    rows = spark.createDataFrame([(1, "é password = abcdefgh1 and deadbeef" + "0a" * 16 + "!"), (2, None), (3, "clean")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(rows).collect()} == {1: "é [SECRET] and [SECRET]!", 2: None, 3: "clean"}
