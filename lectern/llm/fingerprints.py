@@ -164,10 +164,10 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    where = common.scratch(spark)
     rows = common.id_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    ranges = rows.repartitionByRange(common.shuffle_parts(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("range"), "doc_id", "text")
+    # Ranges are found on a sample of ids alone. Both uses below read the same shuffled texts.
+    ranges = rows.repartitionByRange(common.shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("range"), "doc_id", "text")
 
     names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -175,33 +175,38 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def compared(pairs: list[tuple]) -> list[pa.Array]:
         return [pa.array(c, t) for c, t in zip(zip(*pairs, strict=True) if pairs else [()] * 6, types, strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = first = None  # the row whose next hasn't come yet
-        heads = ["range", "doc_id", *names, "edge", "first_text", "last_text"]
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every row of a range but the last, with the row after it."""
+        held = None
         for batch in batches:
             ids, texts = batch["doc_id"], common.texts(batch)
             if not texts:
                 continue
-            first = texts[0] if held is None else first
             if held is not None:
                 ids, texts = pa.concat_arrays([held[0], ids]), [held[1], *texts]
             n = len(texts) - 1
-            held = ids.slice(n), texts[n], batch["range"].slice(0, 1)
+            held = ids.slice(n), texts[n]
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([held[2][0].as_py()] * n, pa.int32()), ids.slice(0, n), *compared(compare(texts[:n], texts[1:])), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names=heads)
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([held[2], held[0], *(pa.nulls(1, t) for t in types), pa.array([True]), pa.array([first]), pa.array([held[1]])], names=heads)
-
-    schema = f"range int, doc_id {kind}, {_OUT}, edge boolean, first_text string, last_text string"
-    done = common.saved(ranges.mapInArrow(run, schema), f"{where}/ranges")
-    edges = done.filter("edge").select("range", "doc_id", "first_text", "last_text")
-    # One row a range: which range follows is found on the numbers alone, then the first texts are joined.
-    order = edges.select("range").withColumn("after", F.lead("range").over(Window.orderBy("range"))).withColumn("after", F.coalesce("after", F.min("range").over(Window.partitionBy())))
-    heads = edges.select(F.col("range").alias("after"), F.col("first_text").alias("following"))
-    joined = edges.join(order, "range").join(heads, "after").select("doc_id", "last_text", "following")
+                yield pa.RecordBatch.from_arrays([ids.slice(0, n), *compared(compare(texts[:n], texts[1:]))], names=["doc_id", *names])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first text and the last row of a range."""
+        first = last = None
+        for batch in batches:
+            if len(batch):
+                first = batch["text"].slice(0, 1) if first is None else first
+                last = batch.slice(len(batch) - 1)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([last["range"], last["doc_id"], first, last["text"]], names=["range", "doc_id", "first_text", "last_text"])
+
+    # One row for each of the ranges, of which there are as many as shuffle partitions.
+    edges = ranges.mapInArrow(ends, f"range int, doc_id {kind}, first_text string, last_text string")
+    w = Window.orderBy("range")
+    following = F.coalesce(F.lead("first_text").over(w), F.first("first_text").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    edges = edges.select("doc_id", "last_text", following.alias("following"))
 
     def finish(batch: pa.RecordBatch):
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *compared(compare(batch["last_text"].to_pylist(), batch["following"].to_pylist()))], names=["doc_id", *names])
 
-    last = common.map_batches(joined, finish, f"doc_id {kind}, {_OUT}")
-    return done.filter("edge is null").select(last.columns).unionByName(last)
+    schema = f"doc_id {kind}, {_OUT}"
+    return ranges.mapInArrow(inner, schema).unionByName(common.map_batches(edges, finish, schema))
