@@ -38,8 +38,8 @@ def chunks(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", p
     rows = pages.select(F.col(id_col).alias("record"), F.col(url_col).alias("url"), data.alias("data")).withColumns({"payload_bytes": F.octet_length("data").cast("long"), "payload_digest": F.sha1("data")})
     light = rows.filter(F.col("payload_bytes") >= least).select("record", "payload_digest")
     firsts = light.groupBy("payload_digest").agg(F.max("record").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("payload_digest", "first")
-    again = light.join(firsts, "payload_digest").filter("record < first").select("record", F.col("first").alias("refers_to")).distinct()
-    named = rows.join(again, "record", "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    again = light.join(firsts, "payload_digest").filter("record < first").select("record", "payload_digest", F.col("first").alias("refers_to")).distinct()
+    named = rows.join(again, ["record", "payload_digest"], "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
     last = F.when(F.col("refers_to").isNull(), F.greatest(F.ceil(F.col("payload_bytes") / chunk_bytes).cast("int") - 1, F.lit(0))).otherwise(0)
     named = named.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
     piece = F.when(F.col("refers_to").isNull(), F.substring(F.col("data"), F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))).otherwise(F.lit(b""))
