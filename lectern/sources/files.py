@@ -49,10 +49,3 @@ def upsert_texts(corpus: DataFrame, incoming: DataFrame, key: str = "text_id") -
 
 def remove_texts(corpus: DataFrame, ids: DataFrame, key: str = "text_id") -> DataFrame:
     return new_texts(corpus, ids, key)
-
-
-def stream_new_files(spark: SparkSession, folder: str, sink: str, checkpoint: str):
-    """Import each cited file once: a stream that takes what is there and ends."""
-    rows = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(folder)
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
