@@ -28,7 +28,7 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
 _FURNITURE = {"nav", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "search"}
 _ARTICLE = {"article", "main"}
 #: Words in class, id and role that tell of either.
-_BAD = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|banners?|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|foot\w*|side-?bars?|widgets?|comments?|disqus|replies|respond|cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscri\w*|sign-?up|login|social|share\w*|sharing|related|recommend\w*|pager|pagination|toolbar|copyright|legal|skip|search|tags?|masthead|topbar|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
+_BAD = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|banners?|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|foot\w*|side-?bars?|widgets?|comment\w*|disqus|repl(?:y|ies)|responses?|respond|reactions?|discussion|cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscri\w*|sign-?up|login|social|share\w*|sharing|related|recommend\w*|pager|pagination|toolbar|copyright|legal|skip|search|tags?|masthead|topbar|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main\w*|body|story|post(?:-?(?:content|body|text))?|entry(?:-?\w+)?|text|page-?content)(?:$|[\s_-])", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|page-?header|site-?header|banner)(?:$|[\s_-])", re.I)
 _ATTR = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -156,7 +156,7 @@ def costs(b: Block, page_told: bool) -> tuple[int, int]:
     elif b.mark == 1:
         good += 60
     elif page_told:
-        bad += 60  # outside the article of a page that marks one
+        bad += 150  # outside the article of a page that marks one
     if re.match(r"(?:©|\(c\)|copyright\b|all rights reserved)", b.text, re.I):
         bad += 80
     return good, bad
