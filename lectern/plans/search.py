@@ -192,7 +192,7 @@ def first_row_per_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_CITED + f"""SELECT sentence_id, citation, CAST((row_number() OVER (ORDER BY division_id, first_line, sentence_id) - 1) // 10 + 1 AS BIGINT) AS page, count(*) OVER () AS total_results, CAST(ceil(count(*) OVER () / 10.0) AS BIGINT) AS total_pages FROM cited WHERE contains(lower(content), '{WORD}')""")
 def paginate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = V.sentences(spark, sf_dir).filter(search.contains_text(F.col("content"), WORD)).select("sentence_id", "division_id", "content")
-    rows = _cited(spark, sf_dir, found).withColumn("bucket", F.floor(F.col("division_id") / (V.WIDTH * 1000)))
+    rows = _cited(spark, sf_dir, found).withColumn("bucket", F.floor(F.col("division_id") / (V.DIVISIONS * 1000)))
     return context.paginate(rows, ["division_id", "first_line", "sentence_id"], buckets="bucket").select("sentence_id", "citation", "page", "total_results", "total_pages")
 
 

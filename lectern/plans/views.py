@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from lectern.functions.text import collapse
 from lectern.operators import sentences as S
 
-WIDTH = 100_000
+#: Room for the lines of a text, the divisions of a text, and the sentences of a division.
+LINES, DIVISIONS, SENTENCES = 1_000_000, 100_000, 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select(F.col("doc_id").alias("text_id"), F.posexplode(F.split("text", "\n")).alias("p", "content"))
     rows = rows.select("text_id", (F.col("p") + 1).alias("n"), collapse(F.col("content")).alias("content")).filter("content <> ''")
     return rows.select(
-        (F.col("text_id") * WIDTH + F.col("n")).alias("line_id"), "text_id", (F.col("text_id") * WIDTH + F.floor((F.col("n") - 1) / 10) + 1).alias("division_id"),
+        (F.col("text_id") * LINES + F.col("n")).alias("line_id"), "text_id", (F.col("text_id") * DIVISIONS + F.floor((F.col("n") - 1) / 10) + 1).alias("division_id"),
         (F.floor((F.col("n") - 1) / 50) + 1).cast("int").alias("volume"), (F.floor((F.col("n") - 1) / 10) + 1).cast("int").alias("chapter"), ((F.col("n") - 1) % 10 + 1).cast("int").alias("line_number"), "n", "content",
     )
 
@@ -46,7 +47,7 @@ def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sentence_id, division_id, k, content, starts, ends (offsets in the division's text)."""
-    return S.build_sentences(lines(spark, sf_dir).withColumn("is_title", F.lit(False))).withColumn("sentence_id", F.col("division_id") * 1000 + F.col("k"))
+    return S.build_sentences(lines(spark, sf_dir).withColumn("is_title", F.lit(False))).withColumn("sentence_id", F.col("division_id") * SENTENCES + F.col("k"))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "authors": """authors AS (SELECT DISTINCT CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS author_id, 'Author ' || source AS author_name, printf('%04d', CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT)) AS author_code, source FROM documents)""",
     "texts": """texts AS (SELECT doc_id AS text_id, CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS author_id, lang || '-' || doc_id AS title, printf('%03d', doc_id) AS work_number, lang, source FROM documents)""",
-    "lines": f"""lines AS (SELECT text_id * {WIDTH} + n AS line_id, text_id, text_id * {WIDTH} + (n - 1) // 10 + 1 AS division_id, CAST((n - 1) // 50 + 1 AS INTEGER) AS volume, CAST((n - 1) // 10 + 1 AS INTEGER) AS chapter, CAST((n - 1) % 10 + 1 AS INTEGER) AS line_number, n, content
+    "lines": f"""lines AS (SELECT text_id * {LINES} + n AS line_id, text_id, text_id * {DIVISIONS} + (n - 1) // 10 + 1 AS division_id, CAST((n - 1) // 50 + 1 AS INTEGER) AS volume, CAST((n - 1) // 10 + 1 AS INTEGER) AS chapter, CAST((n - 1) % 10 + 1 AS INTEGER) AS line_number, n, content
   FROM (SELECT text_id, n, trim(regexp_replace(part, '\\s+', ' ', 'g')) AS content FROM (SELECT doc_id AS text_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)) WHERE content <> '')""",
     "divisions": "divisions AS (SELECT DISTINCT division_id, text_id, volume, chapter FROM lines)",
     "pieces": """pieces AS (SELECT *, CASE WHEN before IS NULL OR ends_hyphen THEN '' WHEN regexp_matches(before, '[^\\s][.·]$') THEN ' ' WHEN regexp_matches(content, '^[.,;:·]') THEN '' ELSE ' ' END || CASE WHEN content LIKE '%-' AND after IS NOT NULL THEN left(content, -1) ELSE content END AS piece
@@ -79,7 +80,7 @@ SQL = {
     "sentences": """joined AS (SELECT division_id, any_value(text_id) AS text_id, string_agg(piece, '' ORDER BY line_number) AS t FROM pieces GROUP BY division_id),
 cut AS (SELECT division_id, text_id, list_filter(string_split(regexp_replace(t, '([^\\s][.·])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM joined),
 parts AS (SELECT division_id, text_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM cut),
-sentences AS (SELECT division_id * 1000 + k AS sentence_id, division_id, text_id, k, CASE WHEN regexp_matches(part, '[.·]$') THEN part ELSE part || '.' END AS content,
+sentences AS (SELECT division_id * 100000 + k AS sentence_id, division_id, text_id, k, CASE WHEN regexp_matches(part, '[.·]$') THEN part ELSE part || '.' END AS content,
   CAST(coalesce(sum(length(part) + 1) OVER (PARTITION BY division_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS starts, CAST(coalesce(sum(length(part) + 1) OVER (PARTITION BY division_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(part) AS BIGINT) AS ends FROM parts)""",
     "links": """spans AS (SELECT *, CAST(sum(length(piece)) OVER w AS BIGINT) AS e, CAST(sum(length(piece)) OVER w AS BIGINT) - length(piece) + CASE WHEN piece LIKE ' %' THEN 1 ELSE 0 END AS s FROM pieces WINDOW w AS (PARTITION BY division_id ORDER BY line_number)),
 links AS (SELECT sentence_id, line_id, l.division_id, l.line_number FROM spans l JOIN sentences x ON l.division_id = x.division_id AND l.s < x.ends AND x.starts < l.e)""",
