@@ -25,7 +25,7 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 #: Below so many fingerprints of one subtree, the rest is compared at once.
-LEAF = 64
+LEAF = 16
 #: A shard with more fingerprints is searched by several tasks, each with the whole tree and a share of the queries.
 SHARD_QUERIES = 2048
 
@@ -111,9 +111,9 @@ def forest(fps: np.ndarray, queries: np.ndarray, radius: int) -> list[tuple[int,
 
 
 def blocks(n: int, radius: int) -> tuple[int, int]:
-    """(k, r + k): as many agreeing blocks as leave the shards of n fingerprints small, at 16 bits or more a key."""
+    """(k, r + k): so many agreeing blocks that a shard of n fingerprints has about 64 or fewer."""
     for k in range(1, 6):
-        if (64 // (radius + k)) * k >= np.log2(max(n, 2)) - 1:
+        if (64 // (radius + k)) * k >= np.log2(max(n, 2)) - 6:
             return k, radius + k
     return 5, radius + 5
 
@@ -138,25 +138,30 @@ def link(fps: DataFrame, where: str, *, radius: int = RADIUS) -> DataFrame:
         found = forest(u, mine, radius)
         return pd.DataFrame({"a": v[[a for a, _ in found]], "b": v[[b for _, b in found]]} if found else {"a": [], "b": []}).astype("int64")
 
-    small = sharded.filter("shares = 1 and count <= 64").groupBy("table", F.pmod(F.xxhash64("part"), F.lit(4 * common.shuffle_parts(fps.sparkSession))).alias("bin"))
-
-    def search_small(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Many shards of a few fingerprints at once: shard by shard, the fingerprints one place apart, then two, and so on."""
+    def search_bin(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Many shards at once: a tree for each of more than a leaf; leaves are compared one place apart, then two, and so on."""
         pdf = pdf.sort_values(["part", "fp"])
         part, v = pdf["part"].to_numpy(), pdf["fp"].to_numpy()
-        a, b, step = [], [], 1
-        while step < len(v):
-            same = part[step:] == part[:-step]
-            if not same.any():
-                break
-            near = same & (_distance(v[step:].view(np.uint64), v[:-step].view(np.uint64)) <= radius)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        sizes = np.diff(np.append(starts, len(part)))
+        for at, n in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
+            own = v[at : at + n]
+            if found := forest(own.view(np.uint64), np.arange(n), radius):
+                x, y = np.asarray(found).T
+                a.append(own[x])
+                b.append(own[y])
+        small = np.repeat(sizes <= LEAF, sizes)
+        part, v = part[small], v[small]
+        for step in range(1, LEAF):
+            near = (part[step:] == part[:-step]) & (_distance(v[step:].view(np.uint64), v[:-step].view(np.uint64)) <= radius)
             a.append(v[step:][near])
             b.append(v[:-step][near])
-            step += 1
-        return pd.DataFrame({"a": np.concatenate([*a, np.empty(0, np.int64)]), "b": np.concatenate([*b, np.empty(0, np.int64)])})
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    few = small.applyInPandas(search_small, "a bigint, b bigint")
-    many = sharded.filter("not (shares = 1 and count <= 64)").groupBy("table", "part", "share").applyInPandas(search, "a bigint, b bigint")
+    bins = F.pmod(F.xxhash64("part"), F.lit(4 * common.shuffle_parts(fps.sparkSession))).alias("bin")
+    few = sharded.filter("shares = 1").groupBy("table", bins).applyInPandas(search_bin, "a bigint, b bigint")
+    many = sharded.filter("shares > 1").groupBy("table", "part", "share").applyInPandas(search, "a bigint, b bigint")
     return common.saved(few.unionByName(many).distinct(), f"{where}/near")
 
 
