@@ -6,13 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch, so that a Python worker never holds many long texts at once.
 BATCH_ROWS = 4096
 BATCH_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +60,16 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, name: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about most bytes of text, one row at least each, for work that needs many bytes a byte of text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column as Python strings, null as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]

@@ -86,7 +86,7 @@ def sketch(docs: DataFrame, *, window: int, cells: int) -> bytes:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [[], []]
-        for batch in batches:
+        for batch in (x for b in batches for x in common.slices(b)):
             w = Words(common.texts(batch), window)
             changes = np.append(True, (w.name[1:] != w.name[:-1]) | (w.doc[w.at[1:]] != w.doc[w.at[:-1]]))[: len(w.name)]
             name, doc = w.name[changes], w.doc[w.at[changes]]
@@ -137,7 +137,11 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, cells: int | None =
         cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << int(np.ceil(np.log2(CELLS_PER_ROW * max(rows.count(), 1))))))
     bits = spark.sparkContext.broadcast(sketch(rows.filter("doc_id is not null").select("text"), window=window, cells=cells))
 
-    def judge(batch: pa.RecordBatch):
+    def judge(whole: pa.RecordBatch):
+        for batch in common.slices(whole):
+            yield judged_slice(batch)
+
+    def judged_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(common.texts(batch), window)
         table = np.frombuffer(bits.value, np.uint8)
         maybe = np.ones(len(w.name), bool)
@@ -153,7 +157,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, cells: int | None =
         cut = np.searchsorted(doc, np.arange(len(w.lines) + 1))
         some = (np.diff(cut) > 0).tolist()
         runs = pa.StructArray.from_arrays([pa.array(name.view(np.int64)), pa.array(digests, pa.binary()), pa.array((at - w.word0[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["name", "digest", "at", "n"])
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [
                 batch["doc_id"], batch["row"], pa.array([x.count(b" ") + 1 if x else 0 for x in w.lines], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in w.lines]),
                 pa.array([x.decode() if s or keep_text else None for x, s in zip(w.lines, some, strict=True)], pa.string()),
