@@ -76,9 +76,18 @@ class Index:
         self.seen[(self.codes >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-        """(text number, fragment number, start, end, edits) of each verified place."""
-        if not self.fragments:
-            return []
+        """(text number, fragment number, start, end, edits) of each verified place; some MB of text are held at once."""
+        out, at = [], 0
+        while at < len(texts) and self.fragments:
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= common.SLICE_BYTES):
+                size += len(texts[end])
+                end += 1
+            out += [(at + t, *rest) for t, *rest in self._search(texts[at:end])]
+            at = end
+        return out
+
+    def _search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         buf = np.frombuffer(b"\n".join(texts), np.uint8)
         code = _grams(buf)
         at = np.flatnonzero(self.seen[code >> np.uint64(64 - _SLOTS)])
