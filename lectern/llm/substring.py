@@ -172,12 +172,14 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, cells: int | None =
     )
     # Inside a repeated passage, the windows of one name make the same run in every document: runs are grouped whole.
     runs = judged.filter("doc_id is not null").select("doc_id", "row", F.explode("runs").alias("r")).select("doc_id", "row", "r.*")
-    first = runs.groupBy("name", "digest").agg(F.min(F.struct("doc_id", "row", "at", "n")).alias("f"))
-    first = common.saved(first.select("name", "digest", "f.*"), f"{where}/first")
-    whole = runs.join(first.select("name", "digest", F.col("doc_id").alias("earliest")), ["name", "digest"]).filter("doc_id > earliest").select("row", "at", "n")
-    # Only a name with different runs, as at the edges of a passage, needs its windows one by one, and of each run the earliest.
-    mixed = first.groupBy("name").agg(F.count("*").alias("kinds"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("kinds > 1 and least < most").select("name")
-    parts = first.join(mixed, "name").groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("parts"))
+    first = common.saved(runs.groupBy("name", "digest").agg(F.min("doc_id").alias("doc_id")), f"{where}/first")
+    # Only a name with different runs, as at the edges of a passage, needs its windows one by one, and of each run every place in its earliest document.
+    mixed = first.groupBy("name").agg(F.count("*").alias("kinds"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("kinds > 1 and least < most").select("name", F.lit(True).alias("mixed"))
+    known = first.select("name", "digest", F.col("doc_id").alias("earliest")).join(mixed, "name", "left")
+    places = runs.join(known, ["name", "digest"]).filter("doc_id > earliest or mixed and doc_id = earliest").select("row", "at", "n", F.expr("doc_id > earliest").alias("later"))
+    places = common.saved(places, f"{where}/places")
+    whole = places.filter("later").select("row", "at", "n")
+    parts = places.filter("not later").groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("parts"))
 
     def windows(batch: pa.RecordBatch):
         doc, row, digest, at = [], [], [], []

@@ -193,6 +193,18 @@ def test_repeats(spark, window, cells):
     assert sorted(map(tuple, got)) == slow_removal(list(enumerate(texts)), window)
 
 
+def test_repeats_within_a_document(spark):
+    """A passage that a document, or several rows of one id, holds more than once goes at every place."""
+    rng = random.Random(16)
+    p = " ".join(f"p{k}" for k in range(8))
+    rows = [(3, f"x {p} y"), (5, f"a {p} b a {p} b"), (13, f"y {p} z"), (15, f"c {p} d"), (15, f"c {p} d")]
+    for k in range(20, 80, 3):
+        p = " ".join(f"q{k}x{rng.randint(0, 2)}" for _ in range(rng.randint(5, 12)))
+        rows += [(k + i, " ".join(f"{rng.choice('abc')} {p} {rng.choice('abc')}" for _ in range(rng.randint(1, 3)))) for i in range(3)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window=5).collect()
+    assert sorted(map(tuple, got)) == sorted(slow_removal(rows, 5))
+
+
 def test_repeats_edges(spark):
     rows = [*EDGE, (12, "v " * 60, 1), (None, "v " * 60, 1), (13, "v " * 60, 1), (13, "v " * 60, 1)]
     got = sorted(((r.doc_id or -1, r.n_words, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, EDGE_SCHEMA)).collect()))
