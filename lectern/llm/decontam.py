@@ -1,6 +1,6 @@
 """Benchmark decontamination by q-gram counts in diagonal bands and banded alignment.
 
-Benchmark items are cut into overlapping fragments. A place where a text holds a fragment with at most e
+Benchmark items are cut into overlapping fragments, long ones and, more densely, short ones. A place where a text holds a fragment with at most e
 edits shares at least m + 1 - q - q * e of its m + 1 - q runs of q bytes, all on diagonals no further than e apart. So
 shared runs are counted in overlapping bands of diagonals, only bands that reach that number are kept,
 and each is verified by an alignment inside the band. Case, punctuation and white space don't count.
@@ -8,6 +8,7 @@ and each is verified by an alignment inside the band. Case, punctuation and whit
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +21,14 @@ from lectern.llm import common
 
 Q = 10
 FRAGMENT, STRIDE = 120, 60
+#: Shorter fragments between them: a verbatim piece of an item holds one wherever it starts if it has PIECE + PIECE_STRIDE - 1 bytes.
+PIECE, PIECE_STRIDE = 80, 8
 #: Edits that a fragment may have, as a share of its length.
 EDITS = 1 / 12
 #: Benchmark text that is indexed and broadcast at once; a larger benchmark is searched block by block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
+#: Bytes of normal text that are searched at once: a byte of an item is in some twelve fragments.
+SEARCH_BYTES = 1 << 20
 
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SLOTS = 20
@@ -56,12 +61,16 @@ class Index:
     def __post_init__(self):
         self.of, self.fragments, self.start = [], [], []
         for item, text in zip(self.items, self.texts, strict=True):
-            last = max(0, len(text) - FRAGMENT)
-            for at in sorted({*range(0, last + 1, STRIDE), last}):
-                if len(text[at : at + FRAGMENT]) >= 2 * Q:
+            cuts = set()
+            for size, stride in ((FRAGMENT, STRIDE), (PIECE, PIECE_STRIDE)):
+                last = max(0, len(text) - size)
+                cuts |= {(at, min(at + size, len(text))) for at in (*range(0, last + 1, stride), last)}
+            for at, end in sorted(cuts):
+                if end - at >= 2 * Q:
                     self.of.append(item)
-                    self.fragments.append(text[at : at + FRAGMENT])
+                    self.fragments.append(text[at:end])
                     self.start.append(at)
+        self.parts = Counter(self.of)
         self.edits = np.asarray([int(len(f) * EDITS) for f in self.fragments], np.int64)
         self.need = np.asarray([max(1, len(f) + 1 - Q - Q * int(len(f) * EDITS)) for f in self.fragments], np.int64)
         self.width = int(self.edits.max(initial=0)) + 1
@@ -80,7 +89,7 @@ class Index:
         out, at = [], 0
         while at < len(texts) and self.fragments:
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= common.SLICE_BYTES):
+            while end < len(texts) and (end == at or size + len(texts[end]) <= SEARCH_BYTES):
                 size += len(texts[end])
                 end += 1
             out += [(at + t, *rest) for t, *rest in self._search(texts[at:end])]
@@ -198,9 +207,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
                 old = found.get((t, ix.of[f]))
                 found[t, ix.of[f]] = (min(e, old[0]), old[1] + 1, min(a, old[2]), max(z, old[3])) if old else (e, 1, a, z)
             keys = sorted(found)
-            parts = {i: ix.of.count(i) for i in {i for _, i in keys}}
             cols = [pa.array([found[k][c] for k in keys], pa.int32()) for c in range(4)]
-            of = pa.array([parts[i] for _, i in keys], pa.int32())
+            of = pa.array([ix.parts[i] for _, i in keys], pa.int32())
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array([t for t, _ in keys], pa.int32())), pa.array([i for _, i in keys], pa.int64()), cols[0], cols[1], of, cols[2], cols[3]], names=["doc_id", "item_id", "edits", "fragments", "of_fragments", "start", "end"])
 
         return common.map_batches(rows, run, schema)

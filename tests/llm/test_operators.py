@@ -239,6 +239,19 @@ def test_leaks(spark):
     assert {(r.doc_id, i) for r in held.collect() for i in r.leaked_items} == planted
 
 
+def test_leaks_of_pieces(spark):
+    """Every verbatim piece of the least length is found, wherever in its item it starts."""
+    rng = random.Random(17)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))
+    least = decontam.PIECE + decontam.PIECE_STRIDE - 1
+    pieces = [item[at : at + least] for at in range(len(item) - least + 1)]
+    docs = frame(spark, [f"{t} {p} {t}" for t, p in zip(some_texts(18, len(pieces)), pieces)])
+    bench = spark.createDataFrame([(1, item), (2, item[::-1])], "item_id long, text string")
+    got = decontam.leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, 1) for i in range(len(pieces))}
+    assert all(r.edits == 0 and 1 <= r.fragments <= r.of_fragments for r in got)
+
+
 def slow_align(p, t):
     best = (len(p), 0, 0)
     row = [(0, j) for j in range(len(t) + 1)]
