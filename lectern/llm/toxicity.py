@@ -148,8 +148,8 @@ class Model:
         a, b = self.scale
         return 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        """A score for each whole text."""
+    def score(self, texts: list[str], *, sentences: bool = True) -> np.ndarray:
+        """A score for each whole text; of its single words alone without sentences."""
         bags = [words_of(t) for t in texts]
         words = list(set().union(*bags))
         keep, like = self.kernel(words, LEAST) if words else (np.zeros(0, np.int64), None)
@@ -157,11 +157,27 @@ class Model:
         decided = self.decide(like) if words else None
         nothing = float(self.decide(np.zeros((1, len(self.kernel.landmarks))))[0])
         out = np.full(len(texts), nothing)
-        for i, bag in enumerate(bags):
+        owner, features = [], []
+
+        def take() -> None:
+            if owner:
+                np.maximum.at(out, owner, self.decide(np.asarray(features)))
+            owner.clear()
+            features.clear()
+
+        for i, (text, bag) in enumerate(zip(texts, bags, strict=True)):
             rows = [near[w] for w in bag & near.keys()]
             if rows:
                 # A sentence is as bad as its worst word at least, and a document as its worst sentence.
                 out[i] = max(nothing, decided[rows].max())
+            if sentences and len(rows) > 1:
+                for own in {frozenset(words_of(s) & near.keys()) for s in _SENTENCE.split(text)}:
+                    if len(own) > 1:
+                        owner.append(i)
+                        features.append(like[[near[w] for w in own]].max(0))
+                if len(owner) >= 4096:
+                    take()
+        take()
         return self.probability(out)
 
 
@@ -255,11 +271,12 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     group = np.asarray([int(t) for t in ys[: len(ys) - len(bent)]] + [2] * len(bent))
     weights, bias = _svm(x, np.asarray(ys), group) if any(ys) else (np.zeros(x.shape[1]), -1.0)
     model = Model(kernel, root, weights, bias, (1.0, 0.0))
-    p = np.concatenate([model.score(texts[i : i + 1000]) for i in range(0, len(texts), 1000)] + [np.zeros(0)])
+    # Whole texts and their single words alone set the scale in equal parts.
+    p = np.concatenate([model.score(texts[i : i + 1000], sentences=k) for k in (True, False) for i in range(0, len(texts), 1000)] + [np.zeros(0)])
     f = np.concatenate([np.log(p / (1 - p)), model.decide(np.asarray(rows[len(rows) - len(bent) :])) if bent else np.zeros(0)])
     a, b = 1.0, 0.0
-    target = np.where(np.append(y, [True] * len(bent)), (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    share = np.append(np.ones(len(y)), np.full(len(bent), BENT_SHARE))
+    target = np.where(np.concatenate([y, y, [True] * len(bent)]).astype(bool), (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    share = np.append(np.full(2 * len(y), 0.5), np.full(len(bent), BENT_SHARE))
     for _ in range(200):  # logistic scale of the decision values
         p = 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
         g, h = share * (p - target), share * (p * (1 - p) + 1e-6)

@@ -311,6 +311,13 @@ def test_toxicity(spark):
     assert toxicity.with_score(docs, model).columns == [*docs.columns, "toxicity"]
 
 
+def test_toxicity_of_sentences():
+    """Two words that neither alone makes a text toxic do so in one sentence, not in two."""
+    model = toxicity.Model(toxicity.Kernel(["idiot", "moron", "thing"], 2), np.eye(3), np.asarray([1.0, 1.0, 0.0]), -1.5, (4.0, 0.0))
+    together, apart, one = model.score(["such an idiot and moron here", "such an idiot. And moron here", "such an idiot here"])
+    assert together > 0.8 and apart < 0.2 and one == apart
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
