@@ -99,7 +99,7 @@ def abbreviate_author(name: Column) -> Column:
     words = F.split(strip(name), r"\s+")
     last = F.element_at(words, -1)
     tail = F.when((F.size(words) > 1) & (F.length(last) <= 4), F.concat(F.lit(" "), last)).otherwise(F.lit(""))
-    return F.concat(F.substring(name, 1, 3), F.lit("."), tail)
+    return F.concat(F.substring(F.get(words, F.lit(0)), 1, 3), F.lit("."), tail)
 
 
 #: Words that give no initial.
@@ -107,10 +107,19 @@ SMALL_WORDS = ("de", "in", "et", "ad", "the", "a", "an")
 
 
 def abbreviate_work(name: Column) -> Column:
-    """Initials of the words that aren't small, in capitals, else the first three letters; and a stop."""
+    """Initials of the words that aren't small, in capitals; of small words alone the first three letters; and a stop."""
     words = F.filter(F.split(strip(name), r"\s+"), lambda w: (w != "") & ~F.lower(w).isin(*SMALL_WORDS))
     initials = F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 1))), "")
-    return F.concat(F.when(F.size(words) > 1, initials).otherwise(F.initcap(F.substring(strip(name), 1, 3))), F.lit("."))
+    return F.concat(F.when(F.size(words) > 0, initials).otherwise(F.initcap(F.substring(F.split_part(strip(name), F.lit(" "), F.lit(1)), 1, 3))), F.lit("."))
+
+
+def abbreviate_citation(author: Column, work: Column, numbers: Column, **levels: Column) -> Column:
+    """"Aut. W.v.c.a-b": author and work abbreviated, then the levels that aren't null or empty, and the lines."""
+    order = ("fragment", "volume", "book", "chapter", "page", "section")
+    parts = [F.concat(F.lit("."), F.nullif(levels[n].cast("string"), F.lit(""))) for n in order if n in levels]
+    first, last = F.array_min(numbers), F.array_max(numbers)
+    line = F.when(F.size(numbers) > 1, F.concat(F.lit("."), first, F.lit("-"), last)).when(F.size(numbers) == 1, F.concat(F.lit("."), first))
+    return strip(F.concat_ws("", F.coalesce(abbreviate_author(author), F.lit("")), F.lit(" "), F.coalesce(abbreviate_work(work), F.lit("")), *parts, line))
 
 
 def format_levels(numbers: Column, **levels: Column) -> Column:
