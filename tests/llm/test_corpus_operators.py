@@ -1,6 +1,8 @@
 """Each corpus operator against a brute-force version, and on nulls, empty texts, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import html
+import os
 import random
 import re
 import zlib
@@ -405,6 +407,69 @@ def test_html():
         assert isinstance(html_text.main_text(odd), str)
 
 
+TEXT = "<p>A paragraph of the text, long enough to be taken for one.</p><p>And.</p><p>Another paragraph, which goes on for a while, and ends.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="home with-sidebar"><article>{TEXT}</article></body>',
+        f'<html class="js no-cookies"><body><div class="layout has-sidebar"><main>{TEXT}</main><div class="sidebar"><p>Buy our things, they are very cheap now.</p></div></div></body></html>',
+        f'<body><form id="aspnet"><div>{TEXT}</div></form><div class="footer">Foot</div></body>',
+        f"<body><script src=/js/>var leak = 1;</script><article>{TEXT}</article></body>",
+        f"<body><script src=/js/ /><article>{TEXT}</article></body>",
+        f'<body><div id="content">{TEXT}</div><section id="comments"><article class="comment"><p>Nice article, I liked it much, thank you for all of it.</p></article></section></body>',
+        f'<nav><ul><li><a href="a">One</a><li><a href="b">Two, and a longer one of several words</a><li>Three</ul></nav><div>{TEXT}</div>',
+    ],
+)
+def test_html_layouts(page):
+    assert html_text.main_text(page) == "A paragraph of the text, long enough to be taken for one.\nAnd.\nAnother paragraph, which goes on for a while, and ends."
+
+
+def test_html_math():
+    assert html_text.main_text("<p>It holds that <math><mi>x</mi><mo>=</mo><mn>1</mn></math> in this case, as we know.</p>") == "It holds that x=1 in this case, as we know."
+
+
+def cut_cost(labels, gain, edges):
+    return sum(max(g, 0) if not x else max(-g, 0) for g, x in zip(gain, labels)) + sum(c for a, b, c in edges if labels[a] != labels[b])
+
+
+def test_html_labels_are_the_cheapest():
+    """Of all labellings of small pages the cut's costs least, and on many it isn't the one by single blocks."""
+    rng = random.Random(19)
+    bits = ["<p>Of.</p>", "<p>A longer text, with a comma, and words of all kinds in it.</p>", '<p><a href="x">Read more</a></p>', "<li>Item</li>", "<h2>Head</h2>", '<div class="ad"><p>Buy it now, for it is cheap.</p></div>', "<div>", "</div>", "<ul>", "</ul>", "<p>Two words</p>", "<article>", "</article>", "<footer>End.</footer>"]
+    changed = 0
+    for _ in range(300):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(3, 14)))
+        blocks, gain, edges = html_text.graph(page)
+        if len(blocks) > 10:
+            continue
+        found = html_text.min_cut(gain, edges)
+        assert cut_cost(found, gain, edges) == min(cut_cost([m >> i & 1 for i in range(len(gain))], gain, edges) for m in range(1 << len(gain)))
+        assert html_text.main_text(page) == "\n".join(b.text for b, x in zip(blocks, found) if x)
+        changed += any(x != (g > 0) for x, g in zip(found, gain))
+    assert changed > 20
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
+def test_html_of_the_given_pages(spark):
+    """Whole pages against the paragraphs of their article, found by plain splitting; the cut matters on some."""
+    differ = 0
+    pages = common.table(spark, "/root/testdata/sf0.01", "pages").select("html").collect()
+    for r in pages:
+        article = r.html.split("<article>")[1].split("</article>")[0]
+        parts = [re.sub(r"\s+", " ", html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", x)))).strip() for x in re.split("</?(?:p|h1)>", article)]
+        assert html_text.main_text(r.html) == "\n".join(x for x in parts if x)
+        _, gain, edges = html_text.graph(r.html)
+        differ += any(x != (g > 0) for x, g in zip(html_text.min_cut(gain, edges), gain))
+    assert differ > 10
+
+
+def test_html_of_a_very_long_page():
+    page = "<nav><a href=x>Menu</a></nav><article>" + TEXT * 2000 + "</article>"
+    assert html_text.main_text(page).count("\n") == 5999
+
+
 def test_minimum_cut():
     rng = random.Random(14)
     for _ in range(60):
@@ -412,11 +477,8 @@ def test_minimum_cut():
         gain = [rng.randint(-20, 20) for _ in range(n)]
         edges = [(a, b, rng.randint(1, 15)) for a in range(n) for b in range(a) if rng.random() < 0.5]
 
-        def cost(labels):
-            return sum(-g if not x and g < 0 and False else (g if not x and g > 0 else (-g if x and g < 0 else 0)) for g, x in zip(gain, labels)) + sum(c for a, b, c in edges if labels[a] != labels[b])
-
-        least = min(cost([m >> i & 1 for i in range(n)]) for m in range(1 << n))
-        assert cost(html_text.min_cut(gain, edges)) == least
+        least = min(cut_cost([m >> i & 1 for i in range(n)], gain, edges) for m in range(1 << n))
+        assert cut_cost(html_text.min_cut(gain, edges), gain, edges) == least
 
 
 def test_html_edges(spark):
