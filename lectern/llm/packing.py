@@ -22,19 +22,21 @@ from lectern.llm import common
 from lectern.llm.tokens import encoder
 
 SHARD_PIECES = 200_000
+#: Longer texts are encoded in overlapping chunks of so many code points.
+CHUNK_CHARS = 1 << 20
 
 
 def token_pieces(docs: DataFrame, path: str, *, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row, piece, start, length and ids_crc32: each document's ids and end_id, cut into pieces of size where longer.
 
     The first piece of a cut document takes the remainder. Null and empty texts have end_id alone.
-    Rows of one id are kept apart by ``row``. Further columns are left aside.
+    Rows of one id are kept apart by ``row``. Further columns are left aside. Very long texts are encoded in chunks.
     """
     common.small_batches(docs.sparkSession)
 
     def cut(batch: pa.RecordBatch):
         out = defaultdict(list)
-        for i, ids in enumerate(encoder(path).encode_many(common.texts(batch))):
+        for i, ids in enumerate(encoder(path).ids(common.texts(batch), CHUNK_CHARS)):
             ids = np.append(ids, np.uint32(end_id)).astype("<u4")
             at, n = 0, len(ids) % size or size
             while at < len(ids):

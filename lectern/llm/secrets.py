@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import common
+
 #: Kind, pattern, and the least length of the part that counts. Groups 1 and 2 are the whole match and that part.
 KINDS = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 8),
@@ -76,23 +78,25 @@ def best_entropy(run: Column, window: int = WINDOW) -> Column:
 def scan(docs: DataFrame, *, text_col: str = "text", out: str = "secrets") -> DataFrame:
     """docs with the array column ``out`` of (start, rank, end, kind), sorted; rank is below 3 for fixed kinds.
 
-    Null and empty texts have none; no row is moved or dropped, and all columns stay.
+    Null and empty texts have none; no row is moved or dropped, and all columns stay, but for one named ``out``. Texts of any
+    length are scanned whole, in one row.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    base, runs = common.free_name(docs, "__base"), common.free_name(docs, "__runs")
 
     def ranked(r: int, k: str):
         return lambda m: F.struct(m["start"].alias("start"), F.lit(r).alias("rank"), m["end"].alias("end"), F.lit(k).alias("kind"))
 
     parts = [F.transform(_matches(text, pattern, least), ranked(rank, kind)) for rank, (kind, pattern, least) in enumerate(KINDS)]
-    docs = docs.withColumn("__base", F.concat(*parts)).withColumn("__runs", _matches(text, CANDIDATE, WINDOW))
+    docs = docs.withColumn(base, F.concat(*parts)).withColumn(runs, _matches(text, CANDIDATE, WINDOW))
     allowed = lambda s: F.coalesce(*[F.when(s.rlike(p), True) for p in ALLOW], F.lit(False))
-    fresh = F.filter(F.col("__runs"), lambda m: ~allowed(m["part"]) & ~F.exists(F.col("__base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    docs = docs.withColumn("__runs", F.transform(fresh, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["part"].alias("part"), best_entropy(m["part"]).alias("h"))))
+    fresh = F.filter(F.col(runs), lambda m: ~allowed(m["part"]) & ~F.exists(F.col(base), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    docs = docs.withColumn(runs, F.transform(fresh, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["part"].alias("part"), best_entropy(m["part"]).alias("h"))))
     none = F.lit(len(KINDS) + len(CLASSES))
     rank = lambda m: F.coalesce(*[F.when(m["part"].rlike(p), F.when(m["h"] >= limit, F.lit(len(KINDS) + i)).otherwise(none)) for i, (_, p, limit) in enumerate(CLASSES)], none)
     kinds = F.array(*[F.lit(k) for k, _, _ in CLASSES], F.lit("none"))
-    added = F.transform(F.col("__runs"), lambda m: F.struct(m["start"].alias("start"), rank(m).alias("rank"), m["end"].alias("end"), F.get(kinds, rank(m) - len(KINDS)).alias("kind")))
-    return docs.withColumn(out, F.array_sort(F.concat(F.col("__base"), F.filter(added, lambda s: s["rank"] < none)))).drop("__base", "__runs")
+    added = F.transform(F.col(runs), lambda m: F.struct(m["start"].alias("start"), rank(m).alias("rank"), m["end"].alias("end"), F.get(kinds, rank(m) - len(KINDS)).alias("kind")))
+    return docs.withColumn(out, F.array_sort(F.concat(F.col(base), F.filter(added, lambda s: s["rank"] < none)))).drop(base, runs)
 
 
 def _joined(spans: Column) -> Column:
@@ -112,15 +116,18 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of :func:`scan` in the text replaced by the mark; overlapping spans become one. Other texts stay as they are."""
-    text = F.col(text_col)
+    """docs with every span of :func:`scan` in the text replaced by the mark; overlapping spans become one.
+
+    Other texts stay as they are, null and empty ones too; all rows, repeated ones too, and all columns stay.
+    """
+    text, spans = F.col(text_col), common.free_name(docs, "__spans")
 
     def step(acc: Column, s: Column) -> Column:
         cut = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], cut).otherwise(acc["out"]).alias("out"))
 
-    folded = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return scan(docs, text_col=text_col, out="__spans").withColumn(text_col, F.when(F.size("__spans") > 0, folded).otherwise(text)).drop("__spans")
+    folded = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return scan(docs, text_col=text_col, out=spans).withColumn(text_col, F.when(F.size(spans) > 0, folded).otherwise(text)).drop(spans)
 
 
 def _sql_matches(name: str, pattern: str) -> str:

@@ -13,6 +13,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -46,13 +47,23 @@ def chunks(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", p
     return named.select("record", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "chunk", piece.alias("data"))
 
 
+def _urn(record, digest: str) -> str:
+    return f"urn:page:{'' if record is None else 'id-' + quote(str(record), safe='')}:{digest}"
+
+
+def _page(urn: str | None) -> str | None:
+    """The id in a record's name; null for a record without."""
+    found = urn.split(":")[2] if urn else ""
+    return unquote(found.removeprefix("id-")) if found else None
+
+
 def _head(record, url, kind, refers_to, size: int, digest: str) -> bytes:
-    """The WARC header of a record and its HTTP header, up to the payload."""
+    """The WARC header of a record and its HTTP header, up to the payload. A record is named by its id and its payload's digest."""
     http = _HTTP.format(size).encode()
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{record}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_urn(record, digest)}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response"]
     lines += [f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{digest}"]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{_urn(refers_to, digest)}>"]
     lines.append(f"Content-Length: {len(http) + (size if kind == 'response' else 0)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
@@ -124,13 +135,13 @@ class _Members:
             yield part
 
 
-def read(spark: SparkSession, manifest: DataFrame, *, data: bool = True) -> DataFrame:
+def read(spark: SparkSession, manifest: DataFrame, *, data: bool = True, id_type: str = "bigint") -> DataFrame:
     """The chunk table of the archives of a manifest: record, url, record_type, refers_to, payload_bytes, stated_digest, chunk, bytes_so_far, digest_so_far, last and data.
 
-    payload_bytes is the HTTP length, which a revisit states too. Without data only the last row of each record comes, without its bytes.
+    payload_bytes is the HTTP length, which a revisit states too. A payload whose digest isn't the stated one is an error. Without data only the last row of each record comes, without its bytes.
     """
     names = ["record", "url", "record_type", "refers_to", "payload_bytes", "stated_digest", "chunk", "bytes_so_far", "digest_so_far", "last", "data"]
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
+    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
     flush_rows = 2048 if not data else (common.BATCH_BYTES // CHUNK_BYTES)
 
     def records(path: str) -> Iterator[tuple]:
@@ -139,7 +150,7 @@ def read(spark: SparkSession, manifest: DataFrame, *, data: bool = True) -> Data
             src = _Members(raw)
             while (head := src.head()) is not None:
                 http, size = src.head(), int(head["content-length"])
-                name = lambda k, h=head: int(h[k].rsplit(":", 1)[1].rstrip(">")) if k in h and not h[k].endswith("None>") else None
+                name = lambda k, h=head: _page(h.get(k))
                 length = int(http["content-length"])
                 sha, so_far, chunk = hashlib.sha1(), 0, 0
                 fixed = (name("warc-record-id"), head["warc-target-uri"], head["warc-type"], name("warc-refers-to"), length, head["warc-payload-digest"].removeprefix("sha1:"))
@@ -151,6 +162,8 @@ def read(spark: SparkSession, manifest: DataFrame, *, data: bool = True) -> Data
                 for part in src.body(left):
                     sha.update(part)
                     so_far += len(part)
+                    if so_far == left and sha.hexdigest() != fixed[5]:
+                        raise ValueError(f"the payload of {fixed[0]} isn't the one that its digest states")
                     if data or so_far == left:
                         yield (*fixed, chunk, so_far, sha.hexdigest(), so_far == left, part if data else None)
                     chunk += 1
@@ -167,25 +180,25 @@ def read(spark: SparkSession, manifest: DataFrame, *, data: bool = True) -> Data
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    schema = "record bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, stated_digest string, chunk int, bytes_so_far bigint, digest_so_far string, last boolean, data binary"
+    schema = "record string, url string, record_type string, refers_to string, payload_bytes bigint, stated_digest string, chunk int, bytes_so_far bigint, digest_so_far string, last boolean, data binary"
     files = manifest.count()
     # One archive a task: dealt by number, so that no task gets several large ones by chance.
     numbered = manifest.select("path").repartitionByRange(max(files, 1), "path")
-    return numbered.mapInArrow(run, schema)
+    return numbered.mapInArrow(run, schema).withColumns({c: F.col(c).cast(id_type) for c in ("record", "refers_to")})
 
 
 def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write every page as a WARC record and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A null payload is empty. Rows of one page_id are records of their own; among them equal payloads are
-    all responses. A null id stays null. An empty table writes no archive and gives no rows. The digest of a response is that
+    all responses. Ids may be of any type that a string casts back to; a null id stays null. An empty table writes no archive and gives no rows. The digest of a response is that
     of the bytes read; a revisit has no payload, so its digest and length are those that it states.
     """
     spark = pages.sparkSession
     common.small_batches(spark)
     folder = common.scratch(spark)
     manifest = write(chunks(pages, id_col=id_col, url_col=url_col, payload_col=payload_col), folder)
-    last = read(spark, manifest, data=False).filter("last")
+    last = read(spark, manifest, data=False, id_type=pages.schema[id_col].dataType.simpleString()).filter("last")
     digest = F.when(F.col("record_type") == "response", F.col("digest_so_far")).otherwise(F.col("stated_digest"))
     size = F.when(F.col("record_type") == "response", F.col("bytes_so_far")).otherwise(F.col("payload_bytes"))
     return last.select(F.col("record").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")

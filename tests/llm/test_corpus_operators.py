@@ -61,6 +61,17 @@ def test_spliced_ids_are_the_library_s(spark):
     assert e.encode_spliced("y" * 3000, 100, 3).tolist() == e.encode("y" * 3000).tolist()  # no stable place: widened to the end
 
 
+def test_units_are_told_apart_by_their_bytes(spark):
+    """Long words that differ in the order of their parts only."""
+    a, b, c = ("".join(random.Random(k).choice("abcdefgh") for _ in range(4096)) for k in (1, 2, 3))
+    texts = [f"x {a}{b}{c} y", f"x {a}{c}{b} y", f"x {a}{b}{c} z", "1 12 it's  \n\t x 12"]
+    e = tokens.Encoder(PATH)
+    assert e.fast is not None
+    assert [x.tolist() for x in e.encode_many(texts)] == [e.encode(t).tolist() for t in texts]
+    packed = packing.token_pieces(frame(spark, texts), PATH, size=1 << 30).collect()
+    assert {r.doc_id: r.ids_crc32 for r in packed} == {i: zlib.crc32(np.append(e.encode(t), np.uint32(2)).astype("<u4").tobytes()) for i, t in enumerate(texts)}
+
+
 def test_tokens_edges(spark):
     got = tokens.count_tokens(spark.createDataFrame(EDGE, EDGE_SCHEMA), PATH).collect()
     assert len(got) == len(EDGE) and {r.n_tokens for r in got if r.n_bytes == 0} == {0}
@@ -340,21 +351,45 @@ def test_fingerprints(spark):
         for value, other in ((got[i].near_edited, sets[1]), (got[i].near_next, sets[2])):
             union = sets[0] | other
             assert value == pytest.approx(len(sets[0] & other) / len(union) if union else 1.0)
-        assert got[i].fingerprint == fingerprints.fingerprint([fingerprints.paragraph_digests(t)])[0]
+        own = fingerprints.sketched([fingerprints.paragraph_digests(t)])
+        assert got[i].fingerprint == fingerprints.to_text(own)[0] and fingerprints.from_text([got[i].fingerprint]).sizes() == [len(sets[0])]
+        # What the columns say can be had from the returned strings alone.
+        assert got[i].near_edited == fingerprints.compare_fingerprints([got[i].fingerprint], [got[i].edited_fingerprint])[0]
+        assert got[i].near_next == fingerprints.compare_fingerprints([got[i].fingerprint], [got[(i + 1) % len(texts)].fingerprint])[0]
     assert got[len(texts) - 1].fingerprint == got[len(texts) - 2].fingerprint
 
 
 def test_peeling():
     rng = np.random.default_rng(13)
-    for n, common_n in ((0, 5), (3, 50), (40, 0), (300, 10)):
+    for n, common_n in ((0, 5), (3, 50), (40, 0), (300, 10), (5000, 3)):
         a, b, c = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, n // 2, common_n))
-        more, less = fingerprints.differences([np.concatenate([a, c])], [np.concatenate([b, c])])
-        assert (more[0], less[0]) == (n, n // 2)
+        ours, theirs = fingerprints.sketched([np.concatenate([a, c]), c]), fingerprints.sketched([np.concatenate([b, c]), np.concatenate([a, b, c])])
+        more, less = fingerprints.differences(ours, theirs)
+        assert (more.tolist(), less.tolist()) == ([n, 0], [n // 2, n + n // 2])
     ours, theirs = np.asarray([1, 2, 3], np.uint64), np.asarray([3, 4], np.uint64)
-    s = fingerprints.Sketches([ours], np.asarray([48]))
-    s.subtract(fingerprints.Sketches([theirs], np.asarray([48])))
+    s = fingerprints.Sketches.of([ours], [16])
+    s.subtract(fingerprints.Sketches.of([theirs], [16]))
     _, digest, sign, whole = s.peel()
     assert whole.all() and sorted(zip(digest.tolist(), sign.tolist())) == [(1, 1), (2, 1), (4, -1)]
+    large = fingerprints.Sketches.of([ours, theirs], [64, 16])
+    folded = large.take(np.asarray([0]), np.asarray([16]))
+    assert np.array_equal(folded.digest, fingerprints.Sketches.of([ours], [16]).digest) and large.sizes().tolist() == [3, 2]
+
+
+def test_fingerprints_of_a_very_long_text(spark):
+    """More paragraphs than a two-byte count holds."""
+    long = "\n".join(f"line {i}" for i in range(120_000))
+    got = {r.doc_id: r for r in fingerprints.compare_with_next(spark.createDataFrame([(1, long), (2, long + "\nmore"), (3, "x")], "doc_id long, text string"), parts=2).collect()}
+    assert got[1].near_next == pytest.approx(120_000 / 120_001) and got[2].near_next == 0
+
+
+def test_fingerprints_in_many_ranges(spark):
+    rows = [(f"k{i:03d}", f"text {i}. And more.") for i in range(40)] + [("k007", "again"), (None, "none")]
+    frame_ = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r.doc_id, r.edited_sha256) for parts in (1, 3, 17) for r in fingerprints.compare_with_next(frame_, parts=parts).collect()}
+    order = sorted(rows, key=lambda r: (r[0] or "", r[1]))
+    edited = {(i, hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(order)}
+    assert got == edited
 
 
 def test_fingerprints_edges(spark):
@@ -378,6 +413,16 @@ def test_warc(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_ids_and_digests(spark, tmp_path):
+    """Ids that aren't numbers come back; a payload that was changed in its archive is an error."""
+    rows = [("a/b c:1", "u", "x" * 2000), ("z>é", "u", "x" * 2000), (None, "u", "")]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {"a/b c:1": ("revisit", "z>é"), "z>é": ("response", None), None: ("response", None)}
+    forged = warc.chunks(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string")).withColumn("data", F.lit(b"abd"))
+    with pytest.raises(Exception, match="digest"):
+        warc.read(spark, warc.write(forged, common.scratch(spark))).collect()
+
+
 def test_warc_chunks(spark):
     pages = spark.createDataFrame([(1, "u", "ab" * 100_000)], "page_id long, url string, html string")
     manifest = warc.write(warc.chunks(pages, chunk_bytes=1000), common.scratch(spark))
@@ -505,6 +550,14 @@ def entropy(window):
     return -sum(c / n * np.log2(c / n) for c in map(window.count, set(window)))
 
 
+def test_scratch_needs_a_shared_folder(monkeypatch):
+    class Session:
+        conf, sparkContext = {}, type("C", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch(type("S", (), {"conf": type("D", (), {"get": staticmethod(lambda k, d=None: d)}), "sparkContext": Session.sparkContext}))
+
+
 def test_secrets(spark):
     rng = random.Random(15)
     bits = ["token", "=", ": ", "PassWord", '"', "abc", "AKIA", "ABCDEFGH1234", "é漢", "api_key", "secret:", "0a1b2c3d" * 4, "0a1b2c3d", " ", "\n", "x=y", "Zq8", "deadbeef" * 5]
@@ -529,5 +582,9 @@ def test_secret_entropy(spark):
 def test_secret_edges(spark):
     assert secrets.report(spark.createDataFrame(EDGE, EDGE_SCHEMA)).count() == len(EDGE)
     assert secrets.report(spark.createDataFrame([], EDGE_SCHEMA)).count() == 0
+    named = spark.createDataFrame([(1, "password = abcdefgh1", 2, 3, 4)], "doc_id long, text string, __base int, __RUNS int, __spans int")
+    assert secrets.redact(named).first().asDict() == {"doc_id": 1, "text": "[SECRET]", "__base": 2, "__RUNS": 3, "__spans": 4}
+    long = secrets.report(spark.createDataFrame([(1, "word " * 400_000 + "secret=abcdefgh9")], "doc_id long, text string")).first()
+    assert long.spans == "assign:2000000:2000016"
     rows = spark.createDataFrame([(1, "é password = abcdefgh1 and deadbeef" + "0a" * 16 + "!"), (2, None), (3, "clean")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.redact(rows).collect()} == {1: "é [SECRET] and [SECRET]!", 2: None, 3: "clean"}
