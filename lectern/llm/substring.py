@@ -2,9 +2,9 @@
 
 Every window of ``window`` words is named by the least hash among the shorter word runs inside it, so
 equal windows have equal names wherever they stand and neighbouring windows mostly share theirs. Each
-partition sketches the names of its documents; the merged sketches never count a window less often
-than the corpus has it. A second pass takes only windows whose name is estimated to be in two documents or
-more, and groups those exactly, by 128-bit digests of their words: runs of windows with one name as a
+partition counts the names of its documents in a count-min sketch; the sketches are merged by adding their counters, and the
+estimate of a name, the least of its counters, is never less than the number of documents that have it. A second pass takes only
+windows whose name is estimated to be in two documents or more, and groups those exactly, by 128-bit digests of their words: runs of windows with one name as a
 whole, and window by window where runs of one name differ. A sketch that is too small for the
 corpus lets more windows through to the exact grouping; it never loses one.
 """
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from lectern.llm import common
 
 WINDOW = 50
-#: Bits of each of the two sketch rows: 256 for a document, within these bounds (128 MB a row at most).
+#: Counters of each of the two sketch rows: 256 for a document, within these bounds. Only whether a counter reaches two is kept after the merge: 128 MB a row at most.
 CELLS_PER_ROW, LEAST_CELLS, MOST_CELLS = 256, 1 << 20, 1 << 30
 BLOCKS = 64
+#: A key with more rows than this, and with more than a thousandth of all, is joined by broadcast; there are a thousand such keys at most.
+HOT_ROWS, HOT_SHARE = 20_000, 1000
 
 _RNG = np.random.default_rng(11)
 _MIX = _RNG.integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
@@ -77,10 +79,10 @@ def _cells(name: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, *, window: int, cells: int) -> bytes:
-    """For each of two rows, one bit a cell: whether two documents or more may have a window of that cell.
+    """For each of two rows, one bit a counter: whether it is two or more.
 
-    Partitions give the cells that they count once and those that they count more often, block by
-    block; a block is merged by one task. What comes to the driver is cells / 4 bytes, whatever the input.
+    Partitions give the counters that they have, block by block; the counters of a block are added up by one task.
+    What comes to the driver is cells / 4 bytes, whatever the input.
     """
     block = cells // BLOCKS
 
@@ -98,35 +100,39 @@ def sketch(docs: DataFrame, *, window: int, cells: int) -> bytes:
         for row in range(2):
             c, n = np.unique(np.concatenate([*found[row], np.zeros(0, np.uint32)]), return_counts=True)
             at = np.searchsorted(c, np.arange(BLOCKS + 1, dtype=np.int64) * block)
-            once, more = [], []
-            for b in range(BLOCKS):
-                own, often = c[at[b] : at[b + 1]] - np.uint32(b * block), n[at[b] : at[b + 1]] > 1
-                once.append(own[~often].tobytes())
-                more.append(own[often].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([row] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["row", "block", "once", "more"])
+            own = [(c[at[b] : at[b + 1]] - np.uint32(b * block), np.minimum(n[at[b] : at[b + 1]], 255).astype(np.uint8)) for b in range(BLOCKS)]
+            yield pa.RecordBatch.from_arrays([pa.array([row] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), *(pa.array([x[i].tobytes() for x in own], pa.binary()) for i in range(2))], names=["row", "block", "at", "n"])
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, twice = np.zeros(block, bool), np.zeros(block, bool)
+        counters = np.zeros(block, np.uint16)  # full ones stay full
         for batch in batches:
-            for once, more in zip(batch["once"].to_pylist(), batch["more"].to_pylist(), strict=True):
-                c = np.frombuffer(once, np.uint32)
-                twice[c] |= seen[c]
-                seen[c] = True
-                c = np.frombuffer(more, np.uint32)
-                seen[c] = twice[c] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["row", "block", "bits"])
-
-    merged = docs.mapInArrow(part, "row int, block int, once binary, more binary").groupBy("row", "block").applyInArrow(merge, "row int, block int, bits binary")
+            for at, n in zip(batch["at"].to_pylist(), batch["n"].to_pylist(), strict=True):
+                c = np.frombuffer(at, np.uint32)
+                counters[c] = np.minimum(counters[c] + np.frombuffer(n, np.uint8).astype(np.uint16), 255)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([np.packbits(counters > 1).tobytes()], pa.binary())], names=["row", "block", "bits"])
+
+    merged = docs.mapInArrow(part, "row int, block int, at binary, n binary").groupBy("row", "block").applyInArrow(merge, "row int, block int, bits binary")
     bits = {(r["row"], r["block"]): bytes(r["bits"]) for r in merged.collect()}
     return b"".join(bits.get((row, b), bytes(block // 8)) for row in range(2) for b in range(BLOCKS))
 
 
+def _join_split(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with small (keys, n rows each, further columns), whose hot keys are broadcast, so that no task reads all rows of one."""
+    limit = max(HOT_ROWS, (small.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot = small.filter(F.col("n") > limit)
+    if hot.isEmpty():
+        return rows.join(small.drop("n"), keys, how)
+    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(small.filter(F.col("n") <= limit).drop("n"), keys, how)
+    return rows.join(F.broadcast(hot.drop("n")), keys).unionByName(rest)
+
+
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, cells: int | None = None, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with keep_text the kept words joined by spaces.
 
     A word goes if a window over it also starts in a document of a smaller id. Null and empty texts have
     no words; rows with a null id keep all words and take none from others; rows of equal ids take
-    nothing from each other; further columns are left aside; an empty table gives no rows.
+    nothing from each other; further columns are left aside; an empty table gives no rows. A very long text is worked on
+    whole, in one task.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -171,12 +177,14 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, cells: int | None =
         f"{where}/judged",
     )
     # Inside a repeated passage, the windows of one name make the same run in every document: runs are grouped whole.
-    runs = judged.filter("doc_id is not null").select("doc_id", "row", F.explode("runs").alias("r")).select("doc_id", "row", "r.*")
-    first = common.saved(runs.groupBy("name", "digest").agg(F.min("doc_id").alias("doc_id")), f"{where}/first")
+    runs = judged.filter("doc_id is not null").select("doc_id", "row", F.explode("runs").alias("r")).select("doc_id", "row", "r.name", "r.digest", "r.at", F.col("r.n").alias("r_n"))
+    first = common.saved(runs.groupBy("name", "digest").agg(F.min("doc_id").alias("earliest"), F.count("*").alias("n")), f"{where}/first")
     # Only a name with different runs, as at the edges of a passage, needs its windows one by one, and of each run every place in its earliest document.
-    mixed = first.groupBy("name").agg(F.count("*").alias("kinds"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("kinds > 1 and least < most").select("name", F.lit(True).alias("mixed"))
-    known = first.select("name", "digest", F.col("doc_id").alias("earliest")).join(mixed, "name", "left")
-    places = runs.join(known, ["name", "digest"]).filter("doc_id > earliest or mixed and doc_id = earliest").select("row", "at", "n", F.expr("doc_id > earliest").alias("later"))
+    mixed = first.groupBy("name").agg(F.count("*").alias("n"), F.min("earliest").alias("least"), F.max("earliest").alias("most")).filter("n > 1 and least < most").select("name", "n", F.lit(True).alias("mixed"))
+    known = _join_split(first.withColumnRenamed("n", "runs"), common.saved(mixed, f"{where}/mixed"), ["name"], "left").withColumnRenamed("runs", "n")
+    # A run that one document alone has, and that isn't mixed, decides nothing.
+    known = common.saved(known.filter("n > 1 or mixed"), f"{where}/known")
+    places = _join_split(runs, known, ["name", "digest"]).filter("doc_id > earliest or mixed and doc_id = earliest").select("row", "at", F.col("r_n").alias("n"), F.expr("doc_id > earliest").alias("later"))
     places = common.saved(places, f"{where}/places")
     whole = places.filter("later").select("row", "at", "n")
     parts = places.filter("not later").groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("parts"))
@@ -197,8 +205,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, cells: int | None =
     lines = judged.filter(F.size("runs") > 0).select("doc_id", "row", "n_words", "sha256", "line")
     single = common.map_batches(lines.select("doc_id", "row", "line").join(parts, "row").select("doc_id", "row", "line", "parts"), windows, f"doc_id {kind}, row bigint, digest binary, at int")
     single = common.saved(single, f"{where}/windows")
-    earliest = single.groupBy("digest").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).filter("earliest < latest").select("digest", "earliest")
-    alone = single.join(earliest, "digest").filter("doc_id > earliest").select("row", "at", F.lit(1).alias("n"))
+    earliest = single.groupBy("digest").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count("*").alias("n")).filter("earliest < latest").select("digest", "n", "earliest")
+    alone = _join_split(single, common.saved(earliest, f"{where}/earliest"), ["digest"]).filter("doc_id > earliest").select("row", "at", F.lit(1).alias("n"))
     covered = whole.unionByName(alone).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("covered"))
 
     def strip(batch: pa.RecordBatch):

@@ -218,6 +218,32 @@ def test_repeats_within_a_document(spark):
     assert sorted(map(tuple, got)) == sorted(slow_removal(rows, 5))
 
 
+def test_repeats_of_one_hot_passage(spark, monkeypatch):
+    """A passage in a third of all rows, with keys that count as hot from a few rows on, and a very long text."""
+    monkeypatch.setattr(substring, "HOT_ROWS", 5)
+    monkeypatch.setattr(substring, "HOT_SHARE", 50)
+    rng = random.Random(20)
+    p = " ".join(f"p{k}" for k in range(30))
+    rows = [(k, f"{rng.choice('abcd')} {rng.choice('abcd')} " + (f"{p} " if k % 3 == 0 else "") + " ".join(rng.choice("uvwxyz") for _ in range(9))) for k in range(150)]
+    rows.append((200, " ".join(str(k) for k in range(30_000)) + " " + p))
+    rows.append((201, " ".join(str(k) for k in range(30_000)) + " " + p))
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), window=8).collect()
+    assert sorted(map(tuple, got)) == slow_removal(rows, 8)
+
+
+def test_sketch_never_counts_less(spark):
+    texts = some_texts(21)
+    cells = 1 << 12
+    bits = substring.sketch(frame(spark, texts).select("text"), window=7, cells=cells)
+    table = [np.unpackbits(np.frombuffer(bits[r * cells // 8 : (r + 1) * cells // 8], np.uint8)) for r in range(2)]
+    names = [set(substring.Words([t], 7).name.tolist()) for t in texts]
+    counters = [np.zeros(cells, np.int64), np.zeros(cells, np.int64)]
+    for own in names:
+        for row, c in enumerate(substring._cells(np.asarray(sorted(own), np.uint64), cells)):
+            np.add.at(counters[row], c.astype(np.int64), 1)
+    assert all(np.array_equal(t, c > 1) for t, c in zip(table, counters))
+
+
 def test_repeats_edges(spark):
     rows = [*EDGE, (12, "v " * 60, 1), (None, "v " * 60, 1), (13, "v " * 60, 1), (13, "v " * 60, 1)]
     got = sorted(((r.doc_id or -1, r.n_words, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, EDGE_SCHEMA)).collect()))
