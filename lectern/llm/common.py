@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 4096
 BATCH_BYTES = 16 << 20
 SLICE_BYTES = 4 << 20
+#: A key with more rows than this, and with more than a thousandth of all, is joined by broadcast; there are a thousand such keys at most.
+HOT_ROWS, HOT_SHARE = 20_000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +88,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_split(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with small (keys, the number n of their rows, further columns), without n. Hot keys are broadcast, so that no task reads all rows of one.
+
+    small is a saved table; its n are summed up first.
+    """
+    limit = max(HOT_ROWS, (small.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot = small.filter(F.col("n") > limit)
+    if hot.isEmpty():
+        return rows.join(small.drop("n"), keys, how)
+    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(small.filter(F.col("n") <= limit).drop("n"), keys, how)
+    return rows.join(F.broadcast(hot.drop("n")), keys).unionByName(rest)
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text (null: empty), so that further columns of any name can't clash."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

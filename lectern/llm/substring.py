@@ -26,8 +26,6 @@ WINDOW = 50
 #: Counters of each of the two sketch rows: 256 for a document, within these bounds. Only whether a counter reaches two is kept after the merge: 128 MB a row at most.
 CELLS_PER_ROW, LEAST_CELLS, MOST_CELLS = 256, 1 << 20, 1 << 30
 BLOCKS = 64
-#: A key with more rows than this, and with more than a thousandth of all, is joined by broadcast; there are a thousand such keys at most.
-HOT_ROWS, HOT_SHARE = 20_000, 1000
 
 _RNG = np.random.default_rng(11)
 _MIX = _RNG.integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
@@ -116,16 +114,6 @@ def sketch(docs: DataFrame, *, window: int, cells: int) -> bytes:
     return b"".join(bits.get((row, b), bytes(block // 8)) for row in range(2) for b in range(BLOCKS))
 
 
-def _join_split(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """rows joined with small (keys, n rows each, further columns), whose hot keys are broadcast, so that no task reads all rows of one."""
-    limit = max(HOT_ROWS, (small.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
-    hot = small.filter(F.col("n") > limit)
-    if hot.isEmpty():
-        return rows.join(small.drop("n"), keys, how)
-    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(small.filter(F.col("n") <= limit).drop("n"), keys, how)
-    return rows.join(F.broadcast(hot.drop("n")), keys).unionByName(rest)
-
-
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, cells: int | None = None, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with keep_text the kept words joined by spaces.
 
@@ -181,10 +169,10 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, cells: int | None =
     first = common.saved(runs.groupBy("name", "digest").agg(F.min("doc_id").alias("earliest"), F.count("*").alias("n")), f"{where}/first")
     # Only a name with different runs, as at the edges of a passage, needs its windows one by one, and of each run every place in its earliest document.
     mixed = first.groupBy("name").agg(F.count("*").alias("n"), F.min("earliest").alias("least"), F.max("earliest").alias("most")).filter("n > 1 and least < most").select("name", "n", F.lit(True).alias("mixed"))
-    known = _join_split(first.withColumnRenamed("n", "runs"), common.saved(mixed, f"{where}/mixed"), ["name"], "left").withColumnRenamed("runs", "n")
+    known = common.join_split(first.withColumnRenamed("n", "runs"), common.saved(mixed, f"{where}/mixed"), ["name"], "left").withColumnRenamed("runs", "n")
     # A run that one document alone has, and that isn't mixed, decides nothing.
     known = common.saved(known.filter("n > 1 or mixed"), f"{where}/known")
-    places = _join_split(runs, known, ["name", "digest"]).filter("doc_id > earliest or mixed and doc_id = earliest").select("row", "at", F.col("r_n").alias("n"), F.expr("doc_id > earliest").alias("later"))
+    places = common.join_split(runs, known, ["name", "digest"]).filter("doc_id > earliest or mixed and doc_id = earliest").select("row", "at", F.col("r_n").alias("n"), F.expr("doc_id > earliest").alias("later"))
     places = common.saved(places, f"{where}/places")
     whole = places.filter("later").select("row", "at", "n")
     parts = places.filter("not later").groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("parts"))
@@ -206,7 +194,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, cells: int | None =
     single = common.map_batches(lines.select("doc_id", "row", "line").join(parts, "row").select("doc_id", "row", "line", "parts"), windows, f"doc_id {kind}, row bigint, digest binary, at int")
     single = common.saved(single, f"{where}/windows")
     earliest = single.groupBy("digest").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count("*").alias("n")).filter("earliest < latest").select("digest", "n", "earliest")
-    alone = _join_split(single, common.saved(earliest, f"{where}/earliest"), ["digest"]).filter("doc_id > earliest").select("row", "at", F.lit(1).alias("n"))
+    alone = common.join_split(single, common.saved(earliest, f"{where}/earliest"), ["digest"]).filter("doc_id > earliest").select("row", "at", F.lit(1).alias("n"))
     covered = whole.unionByName(alone).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("covered"))
 
     def strip(batch: pa.RecordBatch):

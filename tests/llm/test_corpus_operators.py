@@ -152,21 +152,117 @@ def test_near_duplicates(spark):
     assert [got[i].component_id for i in range(len(texts))] == slow_components(fps, 4)
 
 
-def test_links_of_chains_and_crowds(spark):
-    rng = random.Random(6)
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def crowds(seed, n=120):
+    rng = random.Random(seed)
     base = [rng.getrandbits(64) for _ in range(6)]
     values = set(base)
     for b in base:
         x = b
-        for _ in range(120):
+        for _ in range(n):
             x = (x if rng.random() < 0.5 else b) ^ sum(1 << k for k in set(rng.choices(range(64), k=rng.randint(1, 4))))
             values.add(x)
-    values = sorted(values, key=lambda v: v - (1 << 64) if v >> 63 else v)
-    signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    links = simhash.link(spark.createDataFrame([(v,) for v in signed], "fp long"), common.scratch(spark))
+    return sorted(values, key=signed)
+
+
+@pytest.mark.parametrize(("large", "share"), [(4096, 2048), (40, 2048), (40, 10)])
+def test_links_of_chains_and_crowds(spark, monkeypatch, large, share):
+    """Also where shards count as large from a few fingerprints on, and are split by further blocks or searched in shares."""
+    monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "SHARD_QUERIES", share)
+    values = crowds(6)
+    links = simhash.link(spark.createDataFrame([(signed(v),) for v in values], "fp long"), common.scratch(spark))
     roots = {r.node: r.root for r in components(links, common.scratch(spark)).collect()}
     expected = slow_components(values, 4)
-    assert [roots.get(v, v) for v in signed] == [signed[k] for k in expected]
+    assert [roots.get(signed(v), signed(v)) for v in values] == [signed(values[k]) for k in expected]
+
+
+def test_forest_of_trees():
+    """Every pair within the radius in one shard, none across shards, found by following edges; a node's child at a distance is at that distance."""
+    values = crowds(22, 60)
+    fps = np.asarray(values + values[:100], np.uint64)[:, None]
+    shard = np.repeat([3, 7], [len(values), 100])
+    forest = simhash.Forest(fps, shard)
+    assert len(forest.child) == len(fps) - 2
+    parent, d = forest.key // 65, forest.key % 65
+    assert all(int(fps[a, 0] ^ fps[b, 0]).bit_count() == k for a, b, k in zip(parent.tolist(), forest.child.tolist(), d.tolist()))
+    for radius in (0, 2, 4):
+        found = sorted((a, b) for q, n, _ in forest.search(np.arange(len(fps)), radius) for a, b in zip(q.tolist(), n.tolist()))
+        assert found == sorted((i, j) for i in range(len(fps)) for j in range(i) if shard[i] == shard[j] and int(fps[i, 0] ^ fps[j, 0]).bit_count() <= radius)
+    visited = forest.visits
+    list(forest.search(np.arange(len(fps)), 2))
+    assert forest.visits - visited < len(values) ** 2 / 2  # fewer than all pairs
+
+
+def test_spanning_links():
+    rng = np.random.default_rng(23)
+    for _ in range(20):
+        n = 200
+        a, b = rng.integers(0, n, (2, 150))
+        d = rng.integers(0, 9, 150)
+        keep = simhash.spanning(n, a, b, d)
+        own = {frozenset(x) for x in zip(a[keep].tolist(), b[keep].tolist())}
+        assert len(own) == len(keep)
+        up = list(range(n))
+
+        def root(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for x, y in zip(a[keep].tolist(), b[keep].tolist()):
+            assert root(x) != root(y)  # no cycle
+            up[root(x)] = root(y)
+        assert all(root(x) == root(y) for x, y in zip(a.tolist(), b.tolist()))
+
+
+def shingle_sets(texts, words=5):
+    out = []
+    for t in texts:
+        w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        out.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    return out
+
+
+def test_similar_texts(spark):
+    """Against all pairs: what is alike to 0.85 or more is linked, what is alike to 0.65 or less isn't."""
+    rng = random.Random(24)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(60):
+        w = [rng.choice(words) for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(w))
+        for _ in range(rng.randint(0, 3)):
+            x = list(w)
+            for _ in range(rng.randint(1, max(1, len(w) // 40))):
+                x[rng.randrange(len(x))] = "new"
+            texts.append(" ".join(x))
+    texts += ["", " ", "one two", "One TWO"]
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(frame(spark, texts)).collect()}
+    sets = shingle_sets(texts)
+    sure, may = list(range(len(texts))), list(range(len(texts)))
+
+    def root(up, i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            union = sets[i] | sets[j]
+            alike = len(sets[i] & sets[j]) / len(union) if union else 1.0
+            for up, least in ((sure, 0.85), (may, 0.65)):
+                if alike >= least:
+                    a, b = root(up, i), root(up, j)
+                    up[max(a, b)] = min(a, b)
+    assert all(got[i] == got[root(sure, i)] for i in range(len(texts)))
+    assert all(root(may, i) == root(may, got[i]) for i in range(len(texts)))
+    assert sum(root(sure, i) != i for i in range(len(texts))) > 20
+    assert simhash.similar_texts(frame(spark, ["x"]).limit(0)).count() == 0
+    assert simhash.similar_texts(spark.createDataFrame(EDGE, EDGE_SCHEMA)).count() == len(EDGE)
 
 
 def test_simhash_edges(spark):
@@ -220,8 +316,8 @@ def test_repeats_within_a_document(spark):
 
 def test_repeats_of_one_hot_passage(spark, monkeypatch):
     """A passage in a third of all rows, with keys that count as hot from a few rows on, and a very long text."""
-    monkeypatch.setattr(substring, "HOT_ROWS", 5)
-    monkeypatch.setattr(substring, "HOT_SHARE", 50)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_SHARE", 50)
     rng = random.Random(20)
     p = " ".join(f"p{k}" for k in range(30))
     rows = [(k, f"{rng.choice('abcd')} {rng.choice('abcd')} " + (f"{p} " if k % 3 == 0 else "") + " ".join(rng.choice("uvwxyz") for _ in range(9))) for k in range(150)]
