@@ -44,6 +44,8 @@ SIMILAR_WORDS, SIMILARITY, MEETING = 5, 0.8, 0.97
 #: Words of a wide fingerprint, and the most bits of it that may differ for each word of 64.
 WIDTH, WIDE_RADIUS = 4, 12
 SIMILAR_SHARD = 32
+#: So many ids at most are broadcast, to find the texts that are checked.
+FEW_IDS = 200_000
 
 
 def _shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -166,18 +168,33 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray, label: np.ndar
             label[:] = up
 
 
-def _links(fps: np.ndarray, shard: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places that join all that the links within the radius join; not more than FAN pairs and one share a place."""
-    forest, label = Forest(fps, shard), np.arange(len(fps))
-    held, size = [], 0
-    for q, at, d in forest.search(queries, radius):
-        held.append((q, at, d))
-        size += len(q)
+def _pairs(forest: Forest, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links within the radius that join all that such links join, without a cycle, and how they part the places into components."""
+    label, kept, held, size = np.arange(len(forest.fps)), [], [], 0
+
+    def take() -> None:
+        if held:
+            a, b, d = (np.concatenate(x) for x in zip(*held, strict=True))
+            one = spanning(len(label), a, b, d, label)
+            kept.append((a[one], b[one]))
+            held.clear()
+
+    for found in forest.search(queries, radius):
+        held.append(found)
+        size += len(found[0])
         if size > FRONTIER:
-            spanning(len(fps), *(np.concatenate(x) for x in zip(*held, strict=True)), label)
-            held, size = [], 0
-    if held:
-        spanning(len(fps), *(np.concatenate(x) for x in zip(*held, strict=True)), label)
+            take()
+            size = 0
+    take()
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(a for a, _ in kept)]), np.concatenate([none, *(b for _, b in kept)]), label
+
+
+def _links(fps: np.ndarray, shard: np.ndarray, queries: np.ndarray, radius: int, real: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that join all that the links within the radius join: real links, or such that at most FAN of them share a place."""
+    a, b, label = _pairs(Forest(fps, shard), queries, radius)
+    if real:
+        return a, b
     # A component as a flat tree with few branches a node, so that no later join has a hot key.
     order = np.argsort(label, kind="stable")
     of = label[order]
@@ -213,21 +230,21 @@ def _dealt(fps: DataFrame, words: list[str], masks: list[dict[str, int]]) -> Dat
     return fps.select(*words, keys.alias("key")).select(*words, "key.table", "key.part")
 
 
-def _searched(dealt: DataFrame, words: list[str], radius: int, bins: int) -> DataFrame:
+def _searched(dealt: DataFrame, words: list[str], radius: int, bins: int, real: bool = False) -> DataFrame:
     """Links of all shards but large ones: bins of shards, a forest for each."""
     out = [f"{x}_{w}" for x in "ab" for w in words]
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["part", *words])
         fps = pdf[words].to_numpy()
-        a, b = _links(fps.view(np.uint64), pdf["part"].to_numpy(), np.arange(len(fps)), radius)
+        a, b = _links(fps.view(np.uint64), pdf["part"].to_numpy(), np.arange(len(fps)), radius, real)
         return pd.DataFrame(np.hstack([fps[a], fps[b]]), columns=out)
 
     bin_ = F.pmod(F.xxhash64("part"), F.lit(bins)).alias("bin")
     return dealt.groupBy("table", bin_).applyInPandas(search, ", ".join(f"{c} bigint" for c in out))
 
 
-def _in_shares(dealt: DataFrame, words: list[str], radius: int) -> DataFrame:
+def _in_shares(dealt: DataFrame, words: list[str], radius: int, real: bool = False) -> DataFrame:
     """Links of large shards (with their count): each share of the queries has the whole tree."""
     out = [f"{x}_{w}" for x in "ab" for w in words]
     shares = F.ceil(F.col("count") / SHARD_QUERIES).cast("int")
@@ -237,7 +254,7 @@ def _in_shares(dealt: DataFrame, words: list[str], radius: int) -> DataFrame:
         pdf = pdf.sort_values(words)
         fps = pdf[words].to_numpy()
         mine = np.arange(int(key[2]), len(fps), int(pdf["shares"].iloc[0]))
-        a, b = _links(fps.view(np.uint64), np.zeros(len(fps), np.int64), mine, radius)
+        a, b = _links(fps.view(np.uint64), np.zeros(len(fps), np.int64), mine, radius, real)
         return pd.DataFrame(np.hstack([fps[a], fps[b]]), columns=out)
 
     return rows.groupBy("table", "part", "share").applyInPandas(search, ", ".join(f"{c} bigint" for c in out))
@@ -313,11 +330,34 @@ def tables(n: int, similarity: float = SIMILARITY, meeting: float = MEETING) ->
     return max(1, math.ceil(math.log(1 - meeting) / math.log(1 - (1 - differ) ** bits))), bits
 
 
-def similar_texts(docs: DataFrame, *, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS * WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _verified(links: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) of fingerprints whose texts share enough of their distinct shingles. Only texts of linked fingerprints are read, one of each."""
+    wanted = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "least"), "fp")
+    ids = wanted.select("least").distinct()
+    if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        ids = F.broadcast(ids)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch):
+        texts = common.texts(batch)
+        fps = np.asarray([wide_fingerprint(t, words) for t in texts], np.int64).reshape(-1, WIDTH)
+        shingles = [np.unique(_shingle_hashes(t, words)).view(np.int64) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WIDTH)), pa.array(shingles, pa.list_(pa.int64()))], names=["doc_id", *columns, "shingles"])
+
+    columns = [f"w{i}" for i in range(WIDTH)]
+    read = common.map_batches(rows.join(ids, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi"), run, f"doc_id {kind}, {', '.join(f'{c} bigint' for c in columns)}, shingles array<bigint>")
+    shown = read.select(F.xxhash64(*columns).alias("fp"), "shingles").groupBy("fp").agg(F.first("shingles").alias("s"))
+    pairs = links.join(shown.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(shown.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def similar_texts(docs: DataFrame, *, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, meeting: float = MEETING, radius: int = WIDE_RADIUS * WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id of every row: the smallest id among texts that are alike by their word shingles.
 
-    Texts are linked where their wide fingerprints differ in at most radius bits and meet in a table of random bits; the number of
-    tables follows from the number of fingerprints and the recall MEETING. Null, empty and wordless texts are alike; texts of fewer words
+    Texts are compared where their wide fingerprints differ in at most radius bits and meet in a table of random bits; the number of
+    tables follows from the number of fingerprints and the recall ``meeting``. Of these pairs, as many as join all others, the nearest
+    ones first, are checked by their shingles and linked if their similarity is enough. Null, empty and wordless texts are alike; texts of fewer words
     than a shingle are one; rows of equal ids or texts are kept one by one; a null id has its text's component, and no
     other row is named after it. Very long texts are hashed whole. Empty tables give no rows. A large group of near copies is compared pair by pair, in shares.
     """
@@ -335,7 +375,7 @@ def similar_texts(docs: DataFrame, *, words: int = SIMILAR_WORDS, similarity: fl
     rows = common.saved(common.map_batches(rows, run, f"doc_id {kind}, {', '.join(f'{c} bigint' for c in columns)}").withColumn("fp", F.xxhash64(*columns)), f"{where}/fps")
     nodes = common.saved(rows.groupBy("fp", *columns).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), f"{where}/nodes")
     n = nodes.count()
-    many, bits = tables(n, similarity)
+    many, bits = tables(n, similarity, meeting)
     rng = np.random.default_rng(5)
     masks = []
     for _ in range(many):
@@ -347,9 +387,10 @@ def similar_texts(docs: DataFrame, *, words: int = SIMILAR_WORDS, similarity: fl
     hot, some = _hot(dealt)
     bins = 1 + n // BIN
     if some:
-        found = _searched(dealt.join(hot, ["table", "part"], "left_anti"), columns, radius, bins).unionByName(_in_shares(dealt.join(hot, ["table", "part"]), columns, radius))
+        found = _searched(dealt.join(hot, ["table", "part"], "left_anti"), columns, radius, bins, True).unionByName(_in_shares(dealt.join(hot, ["table", "part"]), columns, radius, True))
     else:
-        found = _searched(dealt, columns, radius, bins)
+        found = _searched(dealt, columns, radius, bins, True)
     links = common.saved(found.select(*[F.xxhash64(*[f"{x}_{c}" for c in columns]).alias(x) for x in "ab"]).distinct(), f"{where}/near")
+    links = _verified(links, nodes, common.id_text(docs, id_col, text_col), words, similarity)
     named = _named(nodes.select("fp", "least", "n"), components(links, where), where)
     return common.join_split(rows.select("doc_id", "fp"), named, ["fp"]).select("doc_id", "component_id")
