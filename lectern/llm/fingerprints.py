@@ -12,16 +12,15 @@ ends and then by words, so that an edit changes the digests near it only.
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import common
@@ -31,8 +30,8 @@ LEAST_THIRD = 16
 #: Doublings after which a sketch that doesn't peel is an error: its digests would need the same three cells among millions.
 MOST_TRIES = 12
 UNIT_CHARS, UNIT_WORDS = 240, 12
-#: Documents whose sketches are made together.
-PEELED = 256
+#: Documents, and code points of them and their followers, whose sketches are made together.
+PEELED, PEELED_CHARS = 256, 1 << 20
 
 _CELL = np.dtype([("count", "<i4"), ("digest", "<u8"), ("check", "<u4")])
 
@@ -211,14 +210,19 @@ def compare_fingerprints(ours: list[str], theirs: list[str]) -> list[float]:
 def compare(texts: list[str], following: list[str]) -> list[tuple]:
     """n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each pair."""
     out = []
-    for at in range(0, len(texts), PEELED):
-        ours, after = texts[at : at + PEELED], following[at : at + PEELED]
+    size = np.cumsum([len(t) + len(f) for t, f in zip(texts, following, strict=True)])
+    at = end = 0
+    while end < len(texts):
+        at, end = end, min(end + PEELED, max(end + 1, int(np.searchsorted(size, (size[end - 1] if end else 0) + PEELED_CHARS, "right"))))
+        ours, after = texts[at:end], following[at:end]
         edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(ours, after, strict=True)]
-        own, changed = [paragraph_digests(t) for t in ours], [paragraph_digests(t) for t in edited]
-        # A text's next is mostly the text after it in the list.
-        after_digests = [own[i + 1] if i + 1 < len(ours) and ours[i + 1] is t else paragraph_digests(t) for i, t in enumerate(after)]
+        # A text's next is mostly the text after it in the list; each is sketched once.
+        known = {id(t): t for t in [*ours, *after]}
+        number = {k: i for i, k in enumerate(known)}
+        s = sketched([paragraph_digests(t) for t in known.values()])
+        first, second = (np.asarray([number[id(t)] for t in own], np.int64) for own in (ours, after))
+        a, b, c = s.take(first, s.third[first]), sketched([paragraph_digests(t) for t in edited]), s.take(second, s.third[second])
         shas = [hashlib.sha256(t.encode()).hexdigest() for t in edited]
-        a, b, c = sketched(own), sketched(changed), sketched(after_digests)
         out += zip(map(len, ours), shas, to_text(a), to_text(b), likeness(a, b), likeness(a, c), strict=True)
     return out
 
@@ -233,6 +237,15 @@ def _bounds(rows: DataFrame, parts: int) -> list:
     return sorted(r["least"] for r in least)[1:]
 
 
+def _range_of(doc_id: Column, bounds: list, kind: str) -> Column:
+    """How many bounds are up to the id, -1 for null: first among every so many of them, then among those between."""
+    step = max(1, math.isqrt(len(bounds)))
+    lists = [F.array(*[F.lit(b).cast(kind) for b in own]) if own else F.array().cast(f"array<{kind}>") for own in (bounds[step - 1 :: step], bounds)]
+    upto = lambda c: F.size(F.filter(c, lambda b: b <= doc_id))
+    coarse = upto(lists[0]) * step
+    return F.when(doc_id.isNull(), -1).otherwise(coarse + upto(F.slice(lists[1], coarse + 1, F.lit(step))))
+
+
 def compare_with_next(docs: DataFrame, *, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint, that of its edited text, and its likeness to that and to the next document.
 
@@ -248,11 +261,7 @@ def compare_with_next(docs: DataFrame, *, parts: int | None = None, id_col: str
     parts = parts or common.shuffle_parts(spark)
     bounds = _bounds(rows, parts)
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: -1 if pd.isna(x) else bisect.bisect_right(bounds, x)).astype("int32")
-
-    ranged = rows.select(range_of("doc_id").alias("range"), "doc_id", "text")
+    ranged = rows.select(_range_of(F.col("doc_id"), bounds, kind).alias("range"), "doc_id", "text")
     dealt = ranged.repartitionByRange(parts, "range").sortWithinPartitions("range", "doc_id", "text")
 
     names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -264,9 +273,7 @@ def compare_with_next(docs: DataFrame, *, parts: int | None = None, id_col: str
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every row that isn't the last of its range, with the row after it."""
         held = None
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (x for b in batches for x in common.slices(b)):
             ids, ranges, texts = batch["doc_id"], batch["range"].to_pylist(), common.texts(batch)
             if held is not None:
                 ids, ranges, texts = pa.concat_arrays([held[0], ids]), [held[1], *ranges], [held[2], *texts]
@@ -285,7 +292,8 @@ def compare_with_next(docs: DataFrame, *, parts: int | None = None, id_col: str
     edges = edges.join(order, "range").join(following, "next").select("last.doc_id", F.col("last.text").alias("text"), "following")
 
     def finish(batch: pa.RecordBatch):
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *compared(compare(common.texts(batch), common.texts(batch, "following")))], names=["doc_id", *names])
+        for part in common.slices(batch):
+            yield pa.RecordBatch.from_arrays([part["doc_id"], *compared(compare(common.texts(part), common.texts(part, "following")))], names=["doc_id", *names])
 
     schema = f"doc_id {kind}, {_OUT}"
     return dealt.mapInArrow(inner, schema).unionByName(common.map_batches(edges, finish, schema))
