@@ -47,13 +47,13 @@ def paragraph_digests(text: str) -> np.ndarray:
             units.append(unit)
     digest = xxhash.xxh3_64_intdigest
     if len(set(units)) == len(units):
-        return np.asarray([digest(u) for u in units], np.uint64)
+        return np.unique(np.asarray([digest(u) for u in units], np.uint64))
     seen: Counter = Counter()
     out = []
     for u in units:
-        out.append(digest(u, seen[u]))
+        out.append(digest(f"{u}\n{seen[u]}") if seen[u] else digest(u))
         seen[u] += 1
-    return np.asarray(out, np.uint64)
+    return np.unique(np.asarray(out, np.uint64))
 
 
 def _check(d: np.ndarray) -> np.ndarray:

@@ -352,7 +352,7 @@ def test_repeats_edges(spark):
 # Benchmark
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     rng = random.Random(8)
     letters = "abcdefghij klmnop qrstu"
     items = ["".join(rng.choice(letters) for _ in range(rng.randint(150, 300))) for _ in range(20)]
@@ -365,8 +365,9 @@ def test_leaks(spark):
             rng.choice([lambda: x.__setitem__(p, "z"), lambda: x.pop(p), lambda: x.insert(p, "y")])()
         docs[2 * i] = docs[2 * i][:300] + "\n" + "".join(x).upper().replace(" ", "  ") + "! " + docs[2 * i][300:]
         planted.add((2 * i, i))
-    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(None, items[0]), (99, None), (98, "short")], "item_id long, text string")
-    for size in (decontam.BLOCK_BYTES, 1000):
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(None, items[0]), (99, None), (98, "!?")], "item_id long, text string")
+    for size, postings in ((decontam.BLOCK_BYTES, decontam.POSTINGS), (1000, 50)):
+        monkeypatch.setattr(decontam, "POSTINGS", postings)
         got = decontam.leaks(frame(spark, docs), bench, block_bytes=size).collect()
         assert {(r.doc_id, r.item_id) for r in got} == planted
         assert all(r.edits == 0 for r in got if r.item_id % 2 == 0)
@@ -387,15 +388,18 @@ def test_leaks_of_pieces(spark):
     assert all(r.edits == 0 and 1 <= r.fragments <= r.of_fragments for r in got)
 
 
-def slow_align(p, t):
-    best = (len(p), 0, 0)
-    row = [(0, j) for j in range(len(t) + 1)]
+def slow_align(p, t, low=-99, high=99, whole=False):
+    """Edits of the best place of p in t, or of p and the whole of t, by paths on the diagonals from low to high."""
+    far = 1 << 20
+    on = lambda i, j: low <= j - i <= high
+    row = [(j if whole else 0) if on(0, j) else far for j in range(len(t) + 1)]
     for i, c in enumerate(p):
-        new = [(i + 1, 0)]
-        for j, d in enumerate(t):
-            new.append(min((row[j][0] + (c != d), row[j][1]), (row[j + 1][0] + 1, row[j + 1][1]), (new[j][0] + 1, new[j][1])))
+        new = []
+        for j in range(len(t) + 1):
+            best = min(row[j] + 1, row[j - 1] + (c != t[j - 1]) if j else far, new[j - 1] + 1 if j else far)
+            new.append(best if on(i + 1, j) else far)
         row = new
-    return min(row)[0]
+    return row[-1] if whole else min(row)
 
 
 def test_alignment():
@@ -403,9 +407,58 @@ def test_alignment():
     for _ in range(150):
         p, t = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14))), bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 25)))
         edits = slow_align(p, t)
-        found = decontam.align(p, t, len(p))
-        assert found is not None and found[2] == edits
-        assert decontam.align(p, t, edits - 1) is None if edits else True
+        found = decontam.align(p, t, len(p), -len(p), len(t))
+        assert found is not None and found[2] == edits and slow_align(p, t[found[0] : found[1]], whole=True) == edits
+        assert decontam.align(p, t, edits - 1, -len(p), len(t)) is None if edits else True
+        low = rng.randint(-4, 20)
+        high = low + rng.randint(0, 6)
+        inside = slow_align(p, t, low=low, high=high)
+        found = decontam.align(p, t, len(p), low, high)
+        assert (found[2] if found else None) == (inside if inside <= len(p) else None)
+
+
+def test_leaks_of_short_items(spark):
+    """Items of 1 to 19 bytes, as they are, at whole words."""
+    rng = random.Random(25)
+    words = ["a", "is", "7", "what", "times", "eight", "x", "Was"]
+    items = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(60)})
+    items = [i for i in items if 0 < len(i) < 20][:30]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(80)] + ["whatis 7", "", "What,  IS 7!"]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(frame(spark, texts), spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(items)], "item_id string, text string"), block_bytes=200).collect()}
+    plain = lambda t: f" {' '.join(re.findall(r'[a-z0-9]+', t.lower()))} "
+    assert got == {(d, f"i{k}") for d, t in enumerate(texts) for k, i in enumerate(items) if plain(i) in plain(t)}
+
+
+def test_leaks_in_a_very_long_text(spark):
+    """Wherever it stands, also over the end of a segment."""
+    rng = random.Random(26)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200))
+    filler = "word " * (decontam.SEARCH_BYTES // 5 + 100)
+    texts = [filler[:at] + f" {item} " + filler for at in (0, decontam.SEARCH_BYTES - 300, decontam.SEARCH_BYTES - 90, decontam.SEARCH_BYTES, decontam.SEARCH_BYTES + 50)]
+    ix = decontam.Index(["1"], [item.encode()])
+    for t in texts:
+        found = ix.search([decontam.normal(t)])
+        assert {f for _, _, f, *_ in found} == set(range(len(ix.fragments)))
+        assert all(decontam.normal(t)[a:z] == ix.fragments[f] for _, _, f, a, z, _ in found)
+
+
+def test_no_leak_is_lost_by_the_bands():
+    """Texts with edited fragments against an alignment of all of the text."""
+    rng = random.Random(27)
+    letters = "abcdefgh "
+    for _ in range(40):
+        item = decontam.normal("".join(rng.choice(letters) for _ in range(rng.randint(25, 130))))
+        ix = decontam.Index(["1"], [item])
+        for _ in range(4):
+            x = list(item.decode())
+            for _ in range(rng.randint(0, len(item) // 10)):
+                p = rng.randrange(len(x))
+                rng.choice([lambda: x.__setitem__(p, "z"), lambda: x.pop(p), lambda: x.insert(p, "y")])()
+            text = decontam.normal("".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) + "".join(x) + "".join(rng.choice(letters) for _ in range(60)))
+            found = {f: e for _, _, f, _, _, e in ix.search([text])}
+            for f, (fragment, most) in enumerate(zip(ix.fragments, ix.edits.tolist())):
+                edits = slow_align(fragment, text, high=999)
+                assert found.get(f) == (edits if edits <= most else None)
 
 
 def test_leaks_edges(spark):
@@ -447,10 +500,44 @@ def test_toxicity(spark):
 
 
 def test_toxicity_of_sentences():
-    """Two words that neither alone makes a text toxic do so in one sentence, not in two."""
-    model = toxicity.Model(toxicity.Kernel(["idiot", "moron", "thing"], 2), np.eye(3), np.asarray([1.0, 1.0, 0.0]), -1.5, (4.0, 0.0))
-    together, apart, one = model.score(["such an idiot and moron here", "such an idiot. And moron here", "such an idiot here"])
-    assert together > 0.8 and apart < 0.2 and one == apart
+    """Two words that neither alone makes a text toxic do so in one sentence, not in two; and a third takes it back."""
+    model = toxicity.Model(toxicity.Kernel(["idiot", "moron", "friend"], 3), np.eye(3), np.asarray([1.0, 1.0, -1.0]), -1.5, (4.0, 0.0))
+    together, apart, one, kind = model.score(["such an idiot and moron here", "such an idiot. And moron here", "such an idiot here", "such an idiot and moron, my friend"])
+    assert together > 0.8 and apart < 0.2 and one == apart and kind < 0.2
+
+
+def test_toxic_words_in_any_form():
+    model = toxicity.Model(toxicity.Kernel(["idiot", "loser", "thing"], 2), np.eye(3), np.asarray([1.0, 1.0, 0.0]), -0.5, (10.0, 0.0))
+    texts = ["an idiot", "well...idiot", "an idiot—really", "you are,idiot", "clown/loser", "stop it:idiot now", "夢" * 70 + "idiot", "a" * 60 + "idiot", "夢" * 5000 + "loser" + "夢" * 30, "i. d. i. o. t", "you l o s e r", "x " * 100_000 + "idiot"]
+    assert all(s > 0.7 for s in model.score(texts))
+    assert all(s < 0.3 for s in model.score(["", "a thing", "夢" * 500, "w" * 90, "... --- !!!"]))
+
+
+def test_kernel_of_gapped_runs():
+    """Likeness against a plain sum over all runs of three characters and their gaps."""
+
+    def weights(word):
+        w, out = f" {word} ", {}
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
+                    out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + toxicity.GAP ** (k - i - 2)
+        return out
+
+    def alike(a, b):
+        x, y = weights(a), weights(b)
+        return sum(x[u] * y.get(u, 0) for u in x) / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    rng = random.Random(28)
+    words = ["".join(rng.choice("abcé夢") for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    kernel = toxicity.Kernel(words[:9], 5)
+    keep, like = kernel(words)
+    assert keep.tolist() == list(range(60))
+    for i, w in enumerate(words):
+        assert like[i].tolist() == pytest.approx([alike(w, m) for m in words[:9]], abs=1e-5)
+    # The prefilter for a least likeness loses no word.
+    keep, _ = kernel(words, 0.5)
+    assert set(keep.tolist()) == {i for i in range(60) if like[i, :5].max() >= 0.5}
 
 
 def test_toxicity_without_labels(spark):
@@ -498,6 +585,14 @@ def test_peeling():
     assert np.array_equal(folded.digest, fingerprints.Sketches.of([ours], [16]).digest) and large.sizes().tolist() == [3, 2]
 
 
+def test_digests_of_repeated_short_lines():
+    """Each copy of a line counts by itself, however short the lines are."""
+    text = "\n".join(c for k in range(60) for c in "abcdefghijklmnopqrstuvwxyz!,")
+    d = fingerprints.paragraph_digests(text)
+    assert len(d) == len(set(d.tolist())) == 60 * 28
+    assert fingerprints.sketched([d]).sizes() == [60 * 28]
+
+
 def test_fingerprints_of_a_very_long_text(spark):
     """More paragraphs than a two-byte count holds."""
     long = "\n".join(f"line {i}" for i in range(120_000))
