@@ -27,10 +27,13 @@ from lectern.llm import common
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 TELLING, PLAIN = 64, 16
 GAP, SPAN = 0.6, 5
-POWER = 4
+#: Likenesses count by two powers: one that lets bent words come near, and one that knows a word from those around it.
+POWER, FINE = 4, 16
 #: Words below this likeness to every telling landmark can't change a score.
 LEAST = 0.55
 THRESHOLD = 0.7
+#: Longer runs of letters are no words; their parts of these lengths are.
+LONGEST, RUNS = 32, range(4, 10)
 #: What an insult with an inserted character counts for, beside a document, when scores are calibrated.
 BENT_SHARE = 0.1
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -41,26 +44,51 @@ _SIGNS = re.compile(r"[\W_]+")
 _EDGE = "\"'()[]{}<>.,;:!?|…«»“”"
 
 
+def variants(part: str) -> set[str]:
+    """The words that a lower-case run without white space may stand for.
+
+    Itself without signs at its ends; where it has signs or digits, its pieces between them, itself with signs left out, and all with
+    digits read as letters. Of one longer than any word, as in scripts without spaces, all runs of a word's length.
+    """
+    part = part.strip(_EDGE)
+    if part.isalpha() and len(part) <= LONGEST:
+        return {part}
+    out = set()
+    for p in {part, part.translate(_LEET)}:
+        out.update(_SIGNS.split(p))
+        out.add(_SIGNS.sub("", p))
+    return _of_word_length(out)
+
+
+def _of_word_length(words: set[str]) -> set[str]:
+    out = {w for w in words if 0 < len(w) <= LONGEST}
+    return out.union(*({w[i : i + n] for n in RUNS for i in range(len(w) - n + 1)} for w in words if len(w) > LONGEST))
+
+
+def spelled(text: str) -> set[str]:
+    """Words of which the letters stand one by one; a word of one letter may stand before."""
+    found = {re.sub(r"[\s._*-]", "", m) for m in _SPELLED.findall(text)}
+    return _of_word_length(found | {w[1:] for w in found})
+
+
+def _alone(parts: list[str]) -> bool:
+    """Whether enough letters stand alone for a word that is spelled out."""
+    return sum(map((1).__eq__, map(len, parts))) > 3
+
+
 def words_of(text: str) -> set[str]:
-    """Distinct lower-case words without punctuation at their ends; also with signs left out, digits read as letters, and letters that stand one by one joined."""
+    """Distinct lower-case words of a text, and what they may stand for."""
     text = text.lower()
     parts = text.split()
-    out = {w.strip(_EDGE) for w in set(parts)}
-    if sum(map((1).__eq__, map(len, parts))) > 3:
-        spelled = {re.sub(r"[\s._*-]", "", m) for m in _SPELLED.findall(text)}
-        out |= spelled | {w[1:] for w in spelled}  # a word of one letter may stand before
-    for w in [w for w in out if not w.isalpha()]:
-        out.add(_SIGNS.sub("", w))
-        out.add(_SIGNS.sub("", w.translate(_LEET)))
-    out.discard("")
-    return out
+    out = set().union(*map(variants, set(parts)))
+    return out | spelled(text) if _alone(parts) else out
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word number, code and weight of every gapped run of three characters, ends marked by a blank."""
-    text = "".join(f" {w[:64]} " for w in words)
+    text = "".join(f" {w} " for w in words)
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    of = np.repeat(np.arange(len(words)), [min(len(w), 64) + 2 for w in words])
+    of = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
     owner, code, weight = [], [], []
     for a, b in _PAIRS:
         n = len(c) - b
@@ -96,7 +124,7 @@ class Kernel:
         """Words that share enough runs with telling landmarks for a likeness of least."""
         found = []
         for at in range(0, len(words), 8192):
-            part = [w[:64] for w in words[at : at + 8192]]
+            part = words[at : at + 8192]
             c = np.frombuffer(f" {'  '.join(part)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
             lens = np.fromiter(map(len, part), np.int64, len(part)) + 2
             of = np.repeat(np.arange(len(part)), lens)
@@ -142,19 +170,24 @@ class Model:
 
     def decide(self, features: np.ndarray) -> np.ndarray:
         """Decision values of sentences described by their best likenesses."""
-        return (features.astype(np.float64) ** POWER) @ self.root @ self.weights + self.bias
+        return _described(features, self.root) @ self.weights + self.bias
 
     def probability(self, f: np.ndarray) -> np.ndarray:
         a, b = self.scale
         return 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
 
-    def score(self, texts: list[str], *, sentences: bool = True) -> np.ndarray:
-        """A score for each whole text; of its single words alone without sentences."""
-        bags = [words_of(t) for t in texts]
-        words = list(set().union(*bags))
-        keep, like = self.kernel(words, LEAST) if words else (np.zeros(0, np.int64), None)
-        near = {words[i]: k for k, i in enumerate(keep.tolist())}
-        decided = self.decide(like) if words else None
+    def score(self, texts: list[str]) -> np.ndarray:
+        """A score for each whole text: that of its worst sentence."""
+        texts = [t.lower() for t in texts]
+        parts = [t.split() for t in texts]
+        bags = [set(p) for p in parts]
+        # Each distinct run of the batch is read once.
+        stands = {p: variants(p) for p in set().union(*bags)}
+        apart = [spelled(t) if _alone(p) else set() for t, p in zip(texts, parts, strict=True)]
+        words = list(set().union(*stands.values(), *apart))
+        keep, like = self.kernel(words, LEAST) if words else (np.zeros(0, np.int64), np.zeros((0, len(self.kernel.landmarks)), np.float32))
+        row = {words[i]: k for k, i in enumerate(keep.tolist())}
+        near = {p: rows for p, own in stands.items() if (rows := [row[w] for w in own if w in row])}
         nothing = float(self.decide(np.zeros((1, len(self.kernel.landmarks))))[0])
         out = np.full(len(texts), nothing)
         owner, features = [], []
@@ -166,21 +199,26 @@ class Model:
             features.clear()
 
         for i, (text, bag) in enumerate(zip(texts, bags, strict=True)):
-            rows = [near[w] for w in bag & near.keys()]
-            if rows:
-                # A sentence is as bad as its worst word at least, and a document as its worst sentence.
-                out[i] = max(nothing, decided[rows].max())
-            if sentences and len(rows) > 1:
-                for own in {frozenset(words_of(s) & near.keys()) for s in _SENTENCE.split(text)}:
-                    if len(own) > 1:
-                        owner.append(i)
-                        features.append(like[[near[w] for w in own]].max(0))
-                if len(owner) >= 4096:
-                    take()
+            hits = bag & near.keys()
+            sentences = {frozenset(hits)} if len(hits) == 1 else {frozenset(near.keys() & set(s.split())) for s in _SENTENCE.split(text)} if hits else set()
+            # Signs at the ends of a sentence may have gone with its split; runs that are in no sentence as they stand count by themselves.
+            seen = frozenset().union(*sentences)
+            groups = [[k for p in own for k in near[p]] for own in sentences if own] + [near[p] for p in hits - seen] + [[row[w]] for w in apart[i] if w in row]
+            for own in groups:
+                owner.append(i)
+                features.append(like[own].max(0))
+            if len(owner) >= 4096:
+                take()
         take()
         return self.probability(out)
 
 
+def _described(likeness: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """What the machine sees of sentences: Nyström features of the coarse power, and the fine one."""
+    x = likeness.astype(np.float64)
+    return np.hstack([(x**POWER) @ root, x**FINE])
+
+
 def _svm(x: np.ndarray, y: np.ndarray, group: np.ndarray, rounds: int = 2000, c: float = 4.0) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss and groups of equal weight, by accelerated gradient steps."""
     s = np.where(y, 1.0, -1.0)
@@ -215,13 +253,14 @@ def _first_of_copies(bags: list[set[str]]) -> list[int]:
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
-    """Train on labelled texts; deterministic. Near copies of one text are one example."""
+    """Train on labelled texts; deterministic. Near copies of one text are one example. Of words that tell as much, the first by the alphabet is a landmark."""
     bags = [words_of(t) for t in texts]
     kept = _first_of_copies(bags)
     texts, bags, y = [texts[i] for i in kept], [bags[i] for i in kept], np.asarray([labels[i] for i in kept], bool)
-    toxic, clean = Counter(), Counter()
+    toxic, clean, entire = Counter(), Counter(), Counter()
     for bag, label in zip(bags, y, strict=True):
         (toxic if label else clean).update(set().union(*map(_with_stems, bag)))
+        entire.update(bag if label else ())
     n1, n0 = max(1, int(y.sum())), max(1, int((~y).sum()))
     # Words of a passage that is copied around always come after the same word; they count as often as they come after different ones.
     before: dict[str, set[str]] = {w: set() for w, k in toxic.items() if k >= 4}
@@ -263,20 +302,20 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             if hits and (not label or any(telling.get(x, 0) > 1.5 for w in bag for x in _with_stems(w))):
                 rows.append(like[hits].max(0))
                 ys.append(bool(label))
-    # What an insult looks like with a sign too many or one that is doubled: examples of their own.
-    bent = [w[:k] + c + w[k:] for w in chosen if w in toxic and len(w) >= 4 for k in range(1, len(w)) for c in ("x", w[k - 1])]
+    # A telling word by itself, and what it looks like with a sign too many or one that is doubled: examples of their own. Stems alone are none.
+    full = [w for w in chosen if w in toxic and len(w) >= 4 and 2 * entire[w] >= toxic[w]]
+    bent = [*full, *(w[:k] + c + w[k:] for w in full for k in range(1, len(w)) for c in ("x", w[k - 1]))]
     rows += list(kernel(bent)[1]) if bent else []
     ys += [True] * len(bent)
-    x = (np.asarray(rows, np.float64) ** POWER) @ root
+    x = _described(np.asarray(rows), root)
     group = np.asarray([int(t) for t in ys[: len(ys) - len(bent)]] + [2] * len(bent))
     weights, bias = _svm(x, np.asarray(ys), group) if any(ys) else (np.zeros(x.shape[1]), -1.0)
     model = Model(kernel, root, weights, bias, (1.0, 0.0))
-    # Whole texts and their single words alone set the scale in equal parts.
-    p = np.concatenate([model.score(texts[i : i + 1000], sentences=k) for k in (True, False) for i in range(0, len(texts), 1000)] + [np.zeros(0)])
+    p = np.concatenate([model.score(texts[i : i + 1000]) for i in range(0, len(texts), 1000)] + [np.zeros(0)])
     f = np.concatenate([np.log(p / (1 - p)), model.decide(np.asarray(rows[len(rows) - len(bent) :])) if bent else np.zeros(0)])
     a, b = 1.0, 0.0
-    target = np.where(np.concatenate([y, y, [True] * len(bent)]).astype(bool), (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    share = np.append(np.full(2 * len(y), 0.5), np.full(len(bent), BENT_SHARE))
+    target = np.where(np.concatenate([y, [True] * len(bent)]).astype(bool), (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    share = np.append(np.ones(len(y)), np.full(len(bent), BENT_SHARE))
     for _ in range(200):  # logistic scale of the decision values
         p = 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
         g, h = share * (p - target), share * (p * (1 - p) + 1e-6)
@@ -325,7 +364,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, id_col
     """doc_id, held_out, score and predicted of every row; the score comes from the whole text alone.
 
     Null and empty texts score as texts without any telling word; null ids aren't held out; repeated rows
-    are scored one by one; further columns are left aside; an empty table gives no rows.
+    are scored one by one; further columns are left aside; an empty table gives no rows. A very long text is read whole, in one task.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -340,7 +379,10 @@ def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, id_col
 
 
 def with_score(docs: DataFrame, model: Model, *, out: str = "toxicity", text_col: str = "text") -> DataFrame:
-    """docs with the score of each whole text in a further column; all rows and columns stay, and nothing is shuffled."""
+    """docs with the score of each whole text in a further column; nothing is shuffled.
+
+    All rows, repeated ones too, and all columns stay, but for one named ``out``; null and empty texts score as texts without any telling word.
+    """
     spark = docs.sparkSession
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)

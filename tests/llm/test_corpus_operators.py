@@ -501,13 +501,13 @@ def test_toxicity(spark):
 
 def test_toxicity_of_sentences():
     """Two words that neither alone makes a text toxic do so in one sentence, not in two; and a third takes it back."""
-    model = toxicity.Model(toxicity.Kernel(["idiot", "moron", "friend"], 3), np.eye(3), np.asarray([1.0, 1.0, -1.0]), -1.5, (4.0, 0.0))
+    model = toxicity.Model(toxicity.Kernel(["idiot", "moron", "friend"], 3), np.eye(3), np.asarray([1.0, 1.0, -1.0, 0, 0, 0]), -1.5, (4.0, 0.0))
     together, apart, one, kind = model.score(["such an idiot and moron here", "such an idiot. And moron here", "such an idiot here", "such an idiot and moron, my friend"])
     assert together > 0.8 and apart < 0.2 and one == apart and kind < 0.2
 
 
 def test_toxic_words_in_any_form():
-    model = toxicity.Model(toxicity.Kernel(["idiot", "loser", "thing"], 2), np.eye(3), np.asarray([1.0, 1.0, 0.0]), -0.5, (10.0, 0.0))
+    model = toxicity.Model(toxicity.Kernel(["idiot", "loser", "thing"], 2), np.eye(3), np.asarray([1.0, 1.0, 0.0, 0, 0, 0]), -0.5, (10.0, 0.0))
     texts = ["an idiot", "well...idiot", "an idiot—really", "you are,idiot", "clown/loser", "stop it:idiot now", "夢" * 70 + "idiot", "a" * 60 + "idiot", "夢" * 5000 + "loser" + "夢" * 30, "i. d. i. o. t", "you l o s e r", "x " * 100_000 + "idiot"]
     assert all(s > 0.7 for s in model.score(texts))
     assert all(s < 0.3 for s in model.score(["", "a thing", "夢" * 500, "w" * 90, "... --- !!!"]))
