@@ -28,14 +28,14 @@ SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 TELLING, PLAIN = 64, 16
 GAP, SPAN = 0.6, 5
 #: Likenesses count by two powers: one that lets bent words come near, and one that knows a word from those around it.
-POWER, FINE = 4, 16
+POWER, FINE = 3, 16
 #: Words below this likeness to every telling landmark can't change a score.
 LEAST = 0.55
 THRESHOLD = 0.7
 #: Longer runs of letters are no words; their parts of these lengths are.
 LONGEST, RUNS = 32, range(4, 10)
 #: What an insult with an inserted character counts for, beside a document, when scores are calibrated.
-BENT_SHARE = 0.1
+BENT_SHARE = 0.2
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _SPELLED = re.compile(r"(?:(?<=\s)|^)((?:\w[\s._*-]){3,}\w)(?=\W|$)")
@@ -219,17 +219,27 @@ def _described(likeness: np.ndarray, root: np.ndarray) -> np.ndarray:
     return np.hstack([(x**POWER) @ root, x**FINE])
 
 
-def _svm(x: np.ndarray, y: np.ndarray, group: np.ndarray, rounds: int = 2000, c: float = 4.0) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss and groups of equal weight, by accelerated gradient steps."""
+def _svm(x: np.ndarray, y: np.ndarray, group: np.ndarray, rounds: int = 100, c: float = 4.0) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss and groups of equal weight, by Newton steps: least squares over the examples inside the margin."""
     s = np.where(y, 1.0, -1.0)
     weight = (np.asarray([0.5, 0.25, 0.25]) / np.maximum(1, np.bincount(group, minlength=3)))[group]
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    step = 1 / (1 / c / len(x) + 2 * np.linalg.norm(x1 * np.sqrt(weight)[:, None], 2) ** 2)
-    w = v = np.zeros(x1.shape[1])
-    for k in range(rounds):
-        loss = np.maximum(0, 1 - s * (x1 @ v))
-        new = v - step * (v / c / len(x) - 2 * x1.T @ (weight * s * loss))
-        v, w = new + k / (k + 3) * (new - w), new
+    small = 1 / c / len(x)
+
+    def loss(w: np.ndarray) -> float:
+        return small / 2 * float(w @ w) + float(weight @ np.maximum(0, 1 - s * (x1 @ w)) ** 2)
+
+    w, at = np.zeros(x1.shape[1]), np.inf
+    for _ in range(rounds):
+        inside = s * (x1 @ w) < 1
+        own = x1[inside] * (2 * weight[inside, None])
+        best = np.linalg.solve(own.T @ x1[inside] + small * np.eye(len(w)), own.T @ s[inside])
+        step = 1.0
+        while (now := loss(w + step * (best - w))) > at and step > 1e-4:
+            step /= 2
+        if not now < at - 1e-12:
+            break
+        w, at = w + step * (best - w), now
     return w[:-1], float(w[-1])
 
 
