@@ -2,7 +2,7 @@
 
 Each stage calls one corpus operator on all that its predecessor kept and acts on what it finds. Between
 stages the documents are written to the shared folder and read again, so a lost executor costs one stage's
-tasks at most.
+tasks at most. Extra columns of any name pass all stages but the last; empty tables pass as they are.
 """
 
 from __future__ import annotations
@@ -16,30 +16,48 @@ from lectern.llm.queries import TOKENIZER
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject. The model learns from the labels that aren't held out."""
-    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, out="__score").filter(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+    """Documents that the toxicity model doesn't reject; null and empty texts stay, and so do repeated rows.
+
+    The model learns from the labels that aren't held out.
+    """
+    model, score = toxicity.train(docs, common.table(spark, sf_dir, "labels")), common.free_name(docs, "score")
+    return toxicity.with_score(docs, model, out=score).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints, the one with the smallest doc_id; a null doc_id stays."""
-    again = simhash.near_duplicates(docs).filter("doc_id > component_id").select("doc_id")
-    return docs.join(again, "doc_id", "left_anti").select(docs.columns)
+    """Of documents that are alike by their word shingles, the one with the smallest doc_id; of rows alike in all columns, one.
+
+    Rows are told apart by all their columns, so rows that share an id and aren't alike all stay. A null doc_id comes last; null and
+    empty texts are alike, so one of them stays.
+    """
+    key = [common.free_name(docs, f"row{i}") for i in range(2)]
+    own = [F.col(c) for c in docs.columns]
+    keyed = docs.withColumns({key[0]: F.xxhash64(*own), key[1]: F.xxhash64(F.lit(1), *own)})
+    named = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *[F.col(k).alias(f"k{i}") for i, k in enumerate(key)])
+    found = simhash.similar_texts(keyed.select(named.alias("id"), "text"), id_col="id")
+    light = found.select(F.col("doc_id.k0").alias(key[0]), F.col("doc_id.k1").alias(key[1]), (F.col("doc_id") > F.col("component_id")).alias("gone"))
+    light = common.saved(light.groupBy(*key).agg(F.max("gone").alias("gone"), F.count("*").alias("n")).filter("gone or n > 1"), f"{common.scratch(spark)}/copies")
+    kept = keyed.join(light.filter("gone").select(key), key, "left_anti")
+    again = light.filter("not gone").select(key)
+    if not again.isEmpty():
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(key))
+    return kept.select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return decontam.with_items(docs, common.table(spark, sf_dir, "benchmark"), out="__items").filter(F.size("__items") == 0).drop("__items")
+    """Documents without a passage of the benchmark; null and empty texts stay, and so do repeated rows."""
+    items = common.free_name(docs, "items")
+    return decontam.with_items(docs, common.table(spark, sf_dir, "benchmark"), out=items).filter(F.size(items) == 0).drop(items)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret span replaced by a mark; n_chars follows the text."""
+    """All documents, with every secret span replaced by a mark; n_chars follows the text, and is null where it or the text was."""
     hidden = secrets.redact(docs)
-    return hidden.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(docs.columns)
+    return hidden.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of every document, with its sequence and place."""
+    """One row per piece of every document, with its sequence and place; a null or empty text is one token."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
