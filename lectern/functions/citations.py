@@ -12,9 +12,11 @@ LEVELS = ("epistle", "fragment", "volume", "book", "chapter", "section", "page",
 #: Parts of a level name and the column they mean, in this order.
 LEVEL_PARTS = (("vol", "volume"), ("pag", "page"), ("sec", "section"), ("cha", "chapter"), ("pla", "chapter"), ("lin", "line"), ("fra", "fragment"), ("boo", "book"))
 DEFAULT_LEVELS = ("Chapter", "Line")
-#: Dotted forms, the first that matches at the start wins: pattern and the levels of its groups.
+#: Dotted forms that texts have, pattern and the levels of its groups. The first that matches at the start wins, so longer ones come first.
 DOTTED = (
     (r"^\[(\w+)\]\s*\[(\w+)\]\s*\[(\w*)\]\s*\[(\w*)\]", ("Author", "Work", "Division", "Subdivision")),
+    (r"^(\d+)\.(\d+)\.(\d+)\.(\d+)", ("Book", "Chapter", "Section", "Line")),
+    (r"^(\d+)\.(\d+)\.t(\d+)", ("Volume", "Page", "Title")),
     (r"^(\d+)\.(\d+)\.(\d+)", ("Volume", "Chapter", "Line")),
     (r"^\.?t\.?(\d+)", ("Title",)),
     (r"^\.(\d+)\.t\.?(\d+)", ("Chapter", "Title")),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,19 +37,27 @@ def line_continuity(lines: DataFrame, by: str = "division_id", number: str = "li
     return lines.withColumn("expected", F.lag(number, 1, 0).over(w) + 1).filter(F.col("expected") != F.col(number))
 
 
-def paginate(rows: DataFrame, order: list[str], size: int = 10, buckets: str | None = None) -> DataFrame:
-    """page, total_results and total_pages in the given order.
+def global_number(rows: DataFrame, order: list[str], where: str, buckets: Column) -> DataFrame:
+    """rows with place (from 1) and total, in the given order, which the buckets follow.
 
-    Rows are numbered without one task that sorts them all: within buckets of the leading order column, whose
-    counts alone are summed up in order.
+    Rows are written to the shared folder once. They are numbered within their bucket; the counts of buckets are numbered
+    the same way within groups of a thousand, so one task sums a thousandth of a thousandth of the rows' buckets only.
     """
-    bucket = order[0] if buckets is None else buckets
-    counts = rows.groupBy(bucket).agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = before.withColumn("__total", F.sum("__n").over(Window.partitionBy()))
-    place = F.row_number().over(Window.partitionBy(bucket).orderBy(*order)) + F.col("__before")
-    out = rows.join(total, bucket).withColumn("place", place)
-    return out.withColumns({"page": F.floor((F.col("place") - 1) / size) + 1, "total_results": F.col("__total"), "total_pages": F.ceil(F.col("__total") / size)}).drop("__n", "__before", "__total", "place")
+    rows.withColumn("__bucket", buckets).write.mode("overwrite").parquet(where)
+    rows = rows.sparkSession.read.parquet(where)
+    counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n")).withColumn("__group", F.floor(F.col("__bucket") / 1000))
+    groups = counts.groupBy("__group").agg(F.sum("__n").alias("__m"))
+    upto = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.withColumns({"__first": upto("__m", Window.orderBy("__group")), "total": F.sum("__m").over(Window.partitionBy())})
+    counts = counts.withColumn("__own", upto("__n", Window.partitionBy("__group").orderBy("__bucket"))).join(groups, "__group").select("__bucket", (F.col("__first") + F.col("__own")).alias("__before"), "total")
+    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) + F.col("__before")
+    return rows.join(counts, "__bucket").withColumn("place", place).drop("__bucket", "__before")
+
+
+def paginate(rows: DataFrame, order: list[str], where: str, size: int = 10, buckets: Column | None = None) -> DataFrame:
+    """page, total_results and total_pages in the given order; pages beyond the end have no rows."""
+    out = global_number(rows, order, where, F.col(order[0]) if buckets is None else buckets)
+    return out.withColumns({"page": F.floor((F.col("place") - 1) / size) + 1, "total_results": F.col("total"), "total_pages": F.ceil(F.col("total") / size)}).drop("total", "place")
 
 
 def latest(versions: DataFrame, key: str, version: str) -> DataFrame:
@@ -72,3 +84,13 @@ def inherit(rows: DataFrame, by: str, order: str, column: str) -> DataFrame:
 def batches(rows: DataFrame, by: str, order: str, size: int) -> Column:
     """Number of the batch of each row inside its group."""
     return F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size)
+
+
+def scratch(spark) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only a session in one process may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"

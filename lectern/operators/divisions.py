@@ -21,9 +21,9 @@ def split_sections(rows: DataFrame, by: str, order: str, text: str, is_header: C
 
 
 def build_divisions(lines: DataFrame) -> DataFrame:
-    """One row a division: the last title, and the count of the lines that aren't titles."""
-    body = ~F.col("is_title")
-    return lines.groupBy("division_id").agg(F.bool_or("is_title").alias("has_title"), F.max_by(F.when(F.col("is_title"), F.col("content")), F.when(F.col("is_title"), F.col("n"))).alias("title_text"), F.count_if(body).alias("n_lines"), F.min(F.when(body, F.col("n"))).alias("first_n"))
+    """One row a division: the last title with its number (title_number of the line), and the count of the lines that aren't titles."""
+    body, last = ~F.col("is_title"), F.max(F.when(F.col("is_title"), F.struct("n", "content", "title_number")))
+    return lines.groupBy("division_id").agg(F.bool_or("is_title").alias("has_title"), last["content"].alias("title_text"), last["title_number"].alias("title_number"), F.count_if(body).alias("n_lines"), F.min(F.when(body, F.col("n"))).alias("first_n"))
 
 
 def division_citation(levels: Column, values: dict[str, Column]) -> Column:

@@ -20,28 +20,22 @@ def lemma_totals(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("lemma").agg(F.count("*").alias("n_sentences"), F.min("sentence_id").alias("primary_sentence"), F.count_distinct("division_id").alias("n_divisions"))
 
 
-def lemma_entries(pairs: DataFrame, content: DataFrame, *, part: int = 1000) -> DataFrame:
-    """Entries in parts of at most ``part`` sentences: lemma, part, map from sentence_id to its text.
+def lemma_entries(contexts: DataFrame, *, slice_size: int = 1_000_000_000_000) -> DataFrame:
+    """Entries in parts: lemma, part, n, primary (the part's first sentence), map from sentence_id to (text, prev, next, tokens), and the citations in order.
 
-    A function word is in most sentences; its entry comes in several rows by number, so no row or task
-    holds all of them.
+    A function word is in most sentences; a part is the sentences of one slice of ids, so no row or task holds all of a lemma's, and
+    parts need no count of those before. contexts: sentence_id, citation, text, prev, next, tokens (with lemmas).
     """
-    from pyspark.sql import Window
+    lemmas = F.explode(F.array_distinct(F.transform("tokens", lambda t: t["lemma"])))
+    rows = contexts.select("*", F.floor(F.col("sentence_id") / slice_size).alias("part"), lemmas.alias("lemma"))
+    entry = F.struct("sentence_id", F.struct("text", "prev", "next", "tokens").alias("context"))
+    listed = rows.groupBy("lemma", "part").agg(F.array_sort(F.collect_list(F.struct("sentence_id", "citation", "text"))).alias("c"), F.map_from_entries(F.collect_list(entry)).alias("contexts"))
+    return listed.select("lemma", "part", F.size("c").cast("long").alias("n"), F.get("c", F.lit(0))["sentence_id"].alias("primary"), F.transform("c", lambda x: F.struct(x["citation"].alias("citation"), x["text"].alias("text"))).alias("citations"), "contexts")
 
-    # Numbered in slices of the sentences first, then slices are summed, so that no window holds a whole lemma.
-    sliced = pairs.withColumn("slice", F.floor(F.col("sentence_id") / 10_000_000))
-    sizes = sliced.groupBy("lemma", "slice").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("lemma").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.withColumn("before", before).drop("n")
-    place = F.row_number().over(Window.partitionBy("lemma", "slice").orderBy("sentence_id")) - 1 + F.col("before")
-    numbered = sliced.join(offsets, ["lemma", "slice"]).withColumn("part", F.floor(place / part))
-    full = numbered.select("lemma", "part", "sentence_id").join(content.select("sentence_id", "content"), "sentence_id")
-    return full.groupBy("lemma", "part").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sentence_id", "content")))).alias("contexts"))
 
-
-def prompt(contexts: Column) -> Column:
-    """id: sentence, line by line."""
-    return F.array_join(F.transform(F.map_entries(contexts), lambda e: F.concat(e["key"].cast("string"), F.lit(": "), e["value"])), "\n")
+def prompt(citations: Column) -> Column:
+    """citation: sentence, line by line."""
+    return F.array_join(F.transform(citations, lambda e: F.concat(e["citation"], F.lit(": "), e["text"])), "\n")
 
 
 def parse_response(c: Column) -> Column:
@@ -50,6 +44,13 @@ def parse_response(c: Column) -> Column:
     return F.from_json(F.nullif(body, F.lit("")), "map<string,string>")
 
 
+def coerced(parsed: Column, texts: tuple[str, ...] = REQUIRED[:4], lists: tuple[str, ...] = REQUIRED[4:]) -> Column:
+    """The required fields of a parsed response: texts as strings, lists as arrays of strings, a single value as an array of one."""
+    value = lambda k: F.try_element_at(parsed, F.lit(k))
+    as_list = lambda k: F.when(value(k).rlike(r"^\s*\["), F.from_json(value(k), "array<string>")).when(value(k).isNotNull(), F.array(value(k)))
+    return F.struct(*[value(k).alias(k) for k in texts], *[as_list(k).alias(k) for k in lists])
+
+
 def missing_keys(parsed: Column, required: tuple[str, ...] = REQUIRED) -> Column:
     """Required keys that a parsed response lacks; all for one that didn't parse."""
     return F.filter(F.array(*map(F.lit, required)), lambda k: F.coalesce(~F.map_contains_key(parsed, k), F.lit(True)))

@@ -79,10 +79,39 @@ def tokens_in_line(tokens: Column, line: Column) -> Column:
     none = F.array().cast("array<struct<i:int,start:int,end:int>>")
 
     def step(acc: Column, t: Column) -> Column:
-        at = F.locate_from(t["text"], line, acc["at"]) if hasattr(F, "locate_from") else F.call_function("locate", t["text"], line, acc["at"])
+        at = F.call_function("locate", t["text"], line, acc["at"])
         end = at - 1 + F.length(t["text"])
         hit = F.array(F.struct(acc["i"].alias("i"), (at - 1).alias("start"), end.alias("end")))
         return F.struct(F.when(at > 0, end + 1).otherwise(acc["at"]).alias("at"), (acc["i"] + 1).alias("i"), F.when(at > 0, F.concat(acc["hits"], hit)).otherwise(acc["hits"]).alias("hits"))
 
     start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("i"), none.alias("hits"))
     return F.aggregate(tokens, start, step, lambda acc: acc["hits"])
+
+
+TOKEN = "array<struct<text:string,lemma:string,pos:string,category:string>>"
+
+
+def annotate(rows: DataFrame, annotator, *, text: str = "content", out: str = "tokens", schema: str = TOKEN) -> DataFrame:
+    """rows with the tokens that a batch annotator finds: a picklable function from a list of texts to a list of tokens (dicts) for each.
+
+    It is called once a batch (spark.sql.execution.arrow.maxRecordsPerBatch rows), in each task; a null text has no tokens.
+    """
+
+    @F.pandas_udf(schema)
+    def found(texts: pd.Series) -> pd.Series:
+        given = [t for t in texts if t is not None]
+        done = iter(annotator(given)) if given else iter(())
+        return pd.Series([[] if t is None else list(next(done)) for t in texts])
+
+    return rows.withColumn(out, found(F.col(text)))
+
+
+def token_places(tokens: Column, line: Column) -> Column:
+    """(n_hits, position_start, position_end) of a sentence's tokens in one of its lines; null where none is found.
+
+    position_start is where the first token found stands first in the line, position_end where the last one found ends last.
+    """
+    hits = tokens_in_line(tokens, line)
+    first, last = F.get(tokens, F.get(hits, F.lit(0))["i"])["text"], F.get(tokens, F.try_element_at(hits, F.lit(-1))["i"])["text"]
+    end = F.length(line) - F.call_function("locate", F.reverse(last), F.reverse(line)) + 1
+    return F.when(F.size(hits) > 0, F.struct(F.size(hits).alias("n_hits"), (F.call_function("locate", first, line) - 1).alias("position_start"), end.alias("position_end")))

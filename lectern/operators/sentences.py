@@ -43,6 +43,36 @@ def sentence_line_links(lines: DataFrame, sentences: DataFrame) -> DataFrame:
     return spans.join(x, (F.col("division_id") == F.col("d")) & (F.col("s") < F.col("ends")) & (F.col("starts") < F.col("e"))).select("sentence_id", "line_id", "division_id", "line_number")
 
 
+def cited_sentences(lines: DataFrame, keep: tuple[str, ...] = (), *, append_period: bool = True) -> DataFrame:
+    """The sentences of :func:`build_sentences` with line_ids and line_numbers of the lines that each touches, in one grouping by division.
+
+    keep: columns that are the same for all lines of a division. A division's lines are few, so their places travel as an array.
+    """
+    pieces = F.array_sort(F.collect_list(F.struct("line_number", "line_id", "piece")))
+    joined = joined_lines(lines).groupBy("division_id").agg(pieces.alias("p"), *[F.any_value(c).alias(c) for c in keep])
+    none = F.array().cast("array<struct<s:int,e:int,id:bigint,number:int>>")
+
+    def lay(acc, x):
+        e = acc["at"] + F.length(x["piece"])
+        one = F.struct((acc["at"] + F.when(x["piece"].startswith(" "), 1).otherwise(0)).alias("s"), e.alias("e"), x["line_id"].cast("long").alias("id"), x["line_number"].cast("int").alias("number"))
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    spans = F.aggregate("p", F.struct(F.lit(0).alias("at"), none.alias("out")), lay, lambda acc: acc["out"])
+    parts = F.filter(F.split(F.array_join(F.transform("p", lambda x: x["piece"]), ""), r"(?<=[^\s][.·])\s+"), lambda x: x != "")
+
+    def place(acc, x):
+        e = acc["at"] + F.length(x)
+        return F.struct((e + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("starts"), e.alias("ends"), x.alias("part")))).alias("out"))
+
+    placed = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<starts:int,ends:int,part:string>>").alias("out")), place, lambda acc: acc["out"])
+    rows = joined.select("division_id", *keep, spans.alias("spans"), F.posexplode(placed).alias("i", "x"))
+    part = F.col("x.part")
+    content = F.when(part.rlike(r"[.·]$") | ~F.lit(append_period), part).otherwise(F.concat(part, F.lit(".")))
+    touched = F.filter("spans", lambda y: (y["s"] < F.col("x.ends")) & (F.col("x.starts") < y["e"]))
+    rows = rows.select("division_id", *keep, (F.col("i") + 1).alias("k"), content.alias("content"), F.col("x.starts").cast("long").alias("starts"), F.col("x.ends").cast("long").alias("ends"), touched.alias("t"))
+    return rows.withColumns({"line_ids": F.transform("t", lambda y: y["id"]), "line_numbers": F.array_sort(F.array_distinct(F.transform("t", lambda y: y["number"])))}).drop("t")
+
+
 def sentences_per_line(links: DataFrame) -> DataFrame:
     """Each line's sentences, in order."""
     return links.groupBy("line_id").agg(F.array_sort(F.collect_list("sentence_id")).alias("sentence_ids"))

@@ -17,12 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(with_tables("tokens") + "SELECT count(*) AS n_sentences, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS with_tokens, sum(CASE WHEN c > 0 THEN 1 ELSE 0 END) AS with_categories FROM (SELECT x.sentence_id, count(t) AS n, count(CASE WHEN category <> '' THEN 1 END) AS c FROM sentences x LEFT JOIN tokens USING (sentence_id) GROUP BY x.sentence_id)")
-def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = V.tokens(spark, sf_dir)
-    return t.agg(F.count("*").alias("n_sentences"), F.sum(F.when(F.size("tokens") > 0, 1).otherwise(0)).alias("with_tokens"), F.sum(F.when(F.exists("tokens", lambda x: x["category"] != ""), 1).otherwise(0)).alias("with_categories"))
-
-
 @query("SELECT source, count(*) AS n_texts, count(l.doc_id) AS processed, round(100.0 * count(l.doc_id) / count(*), 6) AS percent FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY source")
 def processing_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents count as processed; the share is of the texts."""
@@ -53,17 +47,6 @@ def duplicate_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.duplicates(V.documents(spark, sf_dir), "source")
 
 
-@query(with_tables("divisions") + "SELECT division_id, (row_number() OVER (PARTITION BY text_id ORDER BY division_id) - 1) // 3 AS batch FROM divisions")
-def batch_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.divisions(spark, sf_dir).select("division_id", context.batches(None, "text_id", "division_id", 3).alias("batch"))
-
-
-@query(with_tables("tokens") + "SELECT count(*) AS n_tokens, round(avg(length(t)), 9) AS mean_chars FROM tokens")
-def token_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.tokens(spark, sf_dir).select(F.explode("tokens.text").alias("t"))
-    return rows.agg(F.count("*").alias("n_tokens"), F.round(F.avg(F.length("t")), 9).alias("mean_chars"))
-
-
 _WARN = """SELECT doc_id, 'content' AS stage, CASE WHEN NOT regexp_matches(text, '\\S') THEN 'empty_content' WHEN length(text) > 500000 THEN 'content_length' END AS type FROM documents
 UNION ALL SELECT doc_id, 'content', 'limited_character_diversity' FROM documents WHERE regexp_matches(text, '\\S') AND CAST(regexp_matches(text, '\\p{L}') AS INT) + CAST(regexp_matches(text, '\\p{Nd}') AS INT) + CAST(regexp_matches(text, '\\s') AS INT) + CAST(regexp_matches(text, '[^\\x00-\\x7F]') AS INT) < 2"""
 
@@ -73,84 +56,16 @@ def validate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.documents(spark, sf_dir).select("doc_id", F.explode(verify.content_warnings(F.col("text"))).alias("type"))
 
 
-@query("SELECT doc_id, round(100.0 * length(regexp_replace(text, '[^A-Za-zÀ-ɏ]', '', 'g')) / length(text), 6) AS latin, round(100.0 * length(regexp_replace(text, '[^Ͱ-Ͽἀ-῿]', '', 'g')) / length(text), 6) AS greek FROM documents WHERE length(text) > 0")
-def validate_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.documents(spark, sf_dir).filter(F.length("text") > 0)
-    return rows.select("doc_id", *[F.round(verify.script_share(F.col("text"), s), 6).alias(s) for s in ("latin", "greek")])
-
-
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
-def text_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.orphans(V.documents(spark, sf_dir).select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", "doc_id")
-
-
 @query("SELECT event_id, user_id FROM events WHERE user_id IS NULL OR user_id NOT IN (SELECT c_custkey FROM customer)")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.orphans(table(spark, sf_dir, "events").select("event_id", "user_id"), table(spark, sf_dir, "customer"), "user_id", "c_custkey").select("event_id", "user_id")
 
 
-@query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_name = '' OR p_name IS NULL THEN 'p_name' END, CASE WHEN p_brand = '' OR p_brand IS NULL THEN 'p_brand' END], lambda x: x IS NOT NULL), ',') AS missing FROM part")
-def incomplete_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(verify.missing_fields("p_name", "p_brand"), ",").alias("missing"))
-
-
-@query(f"SELECT stage, type, count(*) AS n FROM (SELECT stage, type FROM ({_WARN}) WHERE type IS NOT NULL UNION ALL SELECT 'relations', 'no_label' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) GROUP BY stage, type")
-def issue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All verifications as one table, counted."""
-    content = validate_content(spark, sf_dir).select(F.lit("content").alias("stage"), "type")
-    relations = text_completeness(spark, sf_dir).select(F.lit("relations").alias("stage"), F.lit("no_label").alias("type"))
-    return content.unionByName(relations).groupBy("stage", "type").agg(F.count("*").alias("n"))
-
-
-@query(f"SELECT stage, type, doc_id FROM (SELECT stage, type, doc_id FROM ({_WARN}) WHERE type IS NOT NULL UNION ALL SELECT 'relations', 'no_label', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))")
-def all_verifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = validate_content(spark, sf_dir).select(F.lit("content").alias("stage"), "type", "doc_id")
-    return content.unionByName(text_completeness(spark, sf_dir).select(F.lit("relations").alias("stage"), F.lit("no_label").alias("type"), "doc_id"))
-
-
-@query("SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es')")
-def missing_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources without a Spanish text stand for works without a structure."""
-    docs = V.documents(spark, sf_dir).select("source", "lang")
-    return docs.select("source").distinct().join(docs.filter("lang = 'es'").select("source").distinct(), "source", "left_anti")
-
-
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'Section,Line' WHEN lang = 'de' THEN 'Book,Chapter,Line' ELSE 'Chapter,Line' END AS levels FROM documents")
-def resolve_work_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structures of two languages; the others take the default."""
-    known = V.documents(spark, sf_dir).select("lang").distinct().filter("lang in ('en', 'de')")
-    known = known.withColumn("levels", F.when(F.col("lang") == "en", F.array(F.lit("Section"), F.lit("Line"))).otherwise(F.array(F.lit("Book"), F.lit("Chapter"), F.lit("Line"))))
-    rows = V.documents(spark, sf_dir).select("doc_id", "lang").join(known, "lang", "left")
-    return rows.select("doc_id", F.array_join(F.coalesce("levels", F.array(*map(F.lit, C.DEFAULT_LEVELS))), ",").alias("levels"))
-
-
 @query("SELECT event_id, CASE WHEN event_type IN ('line', 'page', 'book') THEN event_type WHEN contains(event_type, 'vol') THEN 'volume' WHEN contains(event_type, 'pag') THEN 'page' WHEN contains(event_type, 'sec') THEN 'section' WHEN contains(event_type, 'cha') THEN 'chapter' WHEN contains(event_type, 'pla') THEN 'chapter' WHEN contains(event_type, 'lin') THEN 'line' WHEN contains(event_type, 'fra') THEN 'fragment' WHEN contains(event_type, 'boo') THEN 'book' ELSE 'book' END AS field FROM events")
 def map_level_to_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", C.level_column(F.col("event_type"), F.array(F.lit("Book"), F.lit("Line"))).alias("field"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_brand, p_name FROM part), m AS (SELECT a.p_brand, a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS d FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name <> b.p_name AND length(b.p_name) BETWEEN 0.8 * length(a.p_name) AND 1.2 * length(a.p_name))
-SELECT p_brand, a, min(b) FILTER (WHERE d <= 3) AS b FROM m WHERE d <= 3 GROUP BY p_brand, a""")
-def match_work_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near names of one brand: a bounded edit distance within the block, names of like length only."""
-    names = table(spark, sf_dir, "part").select("p_brand", "p_name").distinct()
-    a, b = names.select("p_brand", F.col("p_name").alias("a")), names.select("p_brand", F.col("p_name").alias("b"))
-    near = a.join(b, "p_brand").filter((F.col("a") != F.col("b")) & F.length("b").between(0.8 * F.length("a"), 1.2 * F.length("a")))
-    return near.filter(F.levenshtein("a", "b", 3) >= 0).groupBy("p_brand", "a").agg(F.min("b").alias("b"))
-
-
-@query("SELECT DISTINCT CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS author_id, 'Author ' || source AS author_name FROM documents")
-def get_or_create_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.authors(spark, sf_dir).select("author_id", "author_name")
-
-
-@query("SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'Unknown Author' ELSE 'Author ' || source END AS author_name FROM documents")
-def backfill_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = V.authors(spark, sf_dir).filter("author_id > 2 or author_id < 1").select("source", "author_name")
-    rows = V.documents(spark, sf_dir).select("doc_id", "source").join(names, "source", "left")
-    return rows.select("doc_id", F.coalesce("author_name", F.lit("Unknown Author")).alias("author_name"))
-
-
 @query("SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def import_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.new_texts(V.documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels"), "doc_id")

@@ -60,11 +60,6 @@ def clean_special_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.groupBy("division_id").agg(D.ordered_text("line_number", "raw", "").alias("t")).select("division_id", T.clean_special_content(F.col("t")).alias("content"))
 
 
-@query(with_tables("lines") + "SELECT division_id, bool_or(line_number = 1) AS has_title, max_by(content, n) FILTER (WHERE line_number = 1) AS title_text, count_if(line_number <> 1) AS n_lines, min(n) FILTER (WHERE line_number <> 1) AS first_n FROM lines GROUP BY division_id")
-def build_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.build_divisions(V.lines(spark, sf_dir).withColumn("is_title", F.col("line_number") == 1))
-
-
 @query(with_tables("divisions") + "SELECT division_id, 'Volume=' || volume || ',Chapter=' || chapter AS citation FROM divisions")
 def division_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = F.array(F.lit("Volume"), F.lit("Book"), F.lit("Chapter"))
@@ -97,7 +92,7 @@ def citation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citation_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("line_numbers")
     line = F.when(F.size(n) > 1, F.concat(F.array_min(n), F.lit("-"), F.array_max(n))).otherwise(F.array_min(n).cast("string"))
-    rows = _cited(spark, sf_dir, V.sentences(spark, sf_dir).select("sentence_id", "division_id", "content"))
+    rows = _cited(spark, sf_dir)
     source = F.struct(F.coalesce("author_name", F.lit("Unknown")).alias("author"), F.coalesce("title", F.lit("Unknown")).alias("work"))
     return rows.select("sentence_id", F.struct(source.alias("source"), line.alias("line")).alias("c")).select("sentence_id", "c.source.author", "c.source.work", "c.line")
 
@@ -125,12 +120,6 @@ def search_lines_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.lines(spark, sf_dir).filter(hit).select("text_id", "content").distinct()
 
 
-@query("SELECT doc_id, CAST(doc_id AS VARCHAR) AS author, '013' AS work FROM documents")
-def file_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    author, work = files.file_ids(F.concat(F.lit("/a/TLG"), "doc_id", F.lit("_name-013.txt")))
-    return V.documents(spark, sf_dir).select("doc_id", author.alias("author"), work.alias("work"))
-
-
 @query("SELECT doc_id, text FROM documents")
 def decode_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every other document as Latin-1 bytes; both come back as they were."""

@@ -20,29 +20,6 @@ def lexical_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.lemma_totals(lexicon.lemma_sentences(V.tokens(spark, sf_dir)))
 
 
-@query(with_tables("tokens") + """, p AS (SELECT lemma, sentence_id, (row_number() OVER (PARTITION BY lemma ORDER BY sentence_id) - 1) // 1000 AS part FROM (SELECT DISTINCT lemma, sentence_id FROM tokens))
-SELECT lemma, part, count(*) AS n, md5(string_agg(sentence_id || ': ' || content, chr(10) ORDER BY sentence_id)) AS prompt_md5 FROM p JOIN sentences USING (sentence_id) GROUP BY lemma, part""")
-def lexical_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt of every lemma, as a digest: its citations with their sentences, in parts."""
-    rows = V.tokens(spark, sf_dir)
-    entries = lexicon.lemma_entries(lexicon.lemma_sentences(rows), rows)
-    return entries.select("lemma", "part", F.size("contexts").cast("long").alias("n"), F.md5(lexicon.prompt(F.col("contexts")).cast("binary")).alias("prompt_md5"))
-
-
-@query(with_tables("tokens") + """SELECT lemma, min(sentence_id) AS first_sentence, max(sentence_id) AS last_sentence FROM tokens GROUP BY lemma""")
-def lexical_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and last key of each lemma's contexts."""
-    pairs = lexicon.lemma_sentences(V.tokens(spark, sf_dir))
-    return pairs.groupBy("lemma").agg(F.min("sentence_id").alias("first_sentence"), F.max("sentence_id").alias("last_sentence"))
-
-
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'k,translation' ELSE 'translation' END AS missing FROM events")
-def parse_lexical_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = lexicon.parse_response(F.concat(F.lit("Here it is: "), "props", F.lit(" done.")))
-    rows = table(spark, sf_dir, "events").select("event_id", parsed.alias("m"))
-    return rows.select("event_id", F.try_element_at("m", F.lit("k")).alias("k"), F.array_join(lexicon.missing_keys(F.col("m"), ("k", "translation")), ",").alias("missing"))
-
-
 @query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
 def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.latest(table(spark, sf_dir, "conversations"), "conv_id", "turn")
@@ -83,26 +60,11 @@ def linked_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(first, pairs.primary_sentence == first.sentence_id).select("lemma", "primary_sentence", "line_id", "division_id")
 
 
-@query("SELECT d.doc_id, d.source, count(l.doc_id) AS n, coalesce(string_agg(l.quality || ':' || l.toxic, ',' ORDER BY l.quality, l.toxic), '') AS analyses FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.doc_id, d.source")
-def lemma_with_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents stand for lemmas and labels for their analyses."""
-    own = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("quality", "toxic"))), lambda x: F.concat(x["quality"], F.lit(":"), x["toxic"])), ",").alias("analyses"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(own, "doc_id", "left")
-    return rows.select("doc_id", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("analyses", F.lit("")).alias("analyses"))
-
-
 @query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '87'")
 def analyses_citing_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter(F.get_json_object("props", "$.k") == "87").select("event_id")
 
 
-@query("SELECT d.doc_id, d.lang, c.conv_id, c.role FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN conversations c ON c.conv_id = d.doc_id")
-def lemma_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
-    conv = table(spark, sf_dir, "conversations").select("conv_id", "role")
-    return docs.join(conv, docs.doc_id == conv.conv_id).select("doc_id", "lang", "conv_id", "role")
-
-
 @query(with_tables("tokens") + "SELECT DISTINCT lemma FROM tokens WHERE list_contains(string_split(category, ', '), 'Rare')")
 def lexical_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     rare = F.array_distinct(F.transform(F.filter("tokens", lambda t: F.array_contains(F.split(t["category"], ", "), "Rare")), lambda t: t["lemma"]))

@@ -38,12 +38,6 @@ def inherit_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.inherit(rows, "text_id", "n", "chapter").select("line_id", "chapter")
 
 
-@query(with_tables("lines") + "SELECT line_id, 1 AS form, 'Volume ' || volume || ', Chapter ' || chapter || ', Line ' || line_number || ': ' AS label, content AS rest FROM lines")
-def match_citation_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.lines(spark, sf_dir).select("line_id", C.dotted(F.concat_ws(".", "volume", "chapter", F.concat("line_number", F.lit(" "), "content"))).alias("d"))
-    return rows.select("line_id", "d.form", "d.label", "d.rest")
-
-
 @query(with_tables("lines") + "SELECT line_id, CASE WHEN n % 5 = 0 THEN CAST(n AS VARCHAR) WHEN n % 5 = 1 THEN '1' END AS title_number FROM lines")
 def parse_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(F.col("n") % 5 == 0, F.concat(F.lit("-Z/1/t/"), "n")).when(F.col("n") % 5 == 1, F.lit("-Z//t")).otherwise(F.concat(F.lit("-Z/1/"), "n"))
@@ -72,11 +66,6 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.documents(spark, sf_dir).select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
-@query("SELECT doc_id, text AS stripped FROM documents")
-def strip_ref_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.documents(spark, sf_dir).select("doc_id", T.strip_ref_tags(F.concat(F.lit("<tlg_ref>a\nb</tlg_ref>"), "text", F.lit("<tlg_ref>c</tlg_ref>"))).alias("stripped"))
-
-
 @query(with_tables("lines") + "SELECT line_id, n AS number FROM lines")
 def clean_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.lines(spark, sf_dir).select("line_id", T.leading_number(F.concat("n", F.lit("a\t"), "content")).alias("number"))
@@ -107,12 +96,6 @@ def merge_hyphen_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.withColumn("content", F.regexp_replace("content", "-$", "e"))
 
 
-@query(with_tables("tokens") + "SELECT sentence_id, i, t, lemma, pos, category FROM tokens")
-def annotate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.tokens(spark, sf_dir).select("sentence_id", F.posexplode("tokens").alias("p", "x"))
-    return rows.select("sentence_id", (F.col("p") + 1).alias("i"), F.col("x.text").alias("t"), "x.lemma", "x.pos", "x.category")
-
-
 _ONE = "(SELECT sentence_id, unnest(string_split(category, ', ')) AS c FROM tokens)"
 
 
@@ -131,22 +114,6 @@ def pos_lemma_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.tokens(spark, sf_dir).select("sentence_id", F.array_join(search.pos_lemma_categories(F.col("tokens")), "|").alias("categories"))
 
 
-@query(with_tables("sentences") + "SELECT sentence_id, len(regexp_extract_all(content, '[\\p{L}]+')) AS n_hits, CAST(CASE WHEN len(regexp_extract_all(content, '[\\p{L}]+')) > 0 THEN length(regexp_extract(content, '^[^\\p{L}]*', 0)) END AS INTEGER) AS starts_at, CAST(CASE WHEN len(regexp_extract_all(content, '[\\p{L}]+')) > 0 THEN length(content) - length(regexp_extract(content, '[^\\p{L}]*$', 0)) END AS INTEGER) AS ends_at FROM sentences")
-def map_tokens_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each sentence's tokens found in its own text, left to right."""
-    rows = V.tokens(spark, sf_dir).select("sentence_id", search.tokens_in_line(F.col("tokens"), F.col("content")).alias("h"))
-    return rows.select("sentence_id", F.size("h").cast("long").alias("n_hits"), F.get("h", F.lit(0))["start"].alias("starts_at"), F.try_element_at("h", F.lit(-1))["end"].alias("ends_at"))
-
-
-@query(with_tables("lines") + "SELECT line_id, 'chapter' AS above, CAST(chapter AS VARCHAR) AS division_key FROM lines")
-def division_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The level just above the line, and its value."""
-    names = levels()
-    above = F.element_at(names, F.array_position(names, "Line").cast("int") - 1)
-    found = C.citation_levels(F.concat(F.lit("-Z/"), "volume", F.lit("/"), "chapter", F.lit("/"), "line_number", F.lit("\t")), names)
-    return V.lines(spark, sf_dir).select("line_id", F.lower(above).alias("above"), F.coalesce(F.try_element_at(found, above), F.lit("1")).alias("division_key"))
-
-
 @query(with_tables("lines") + "SELECT line_id, CAST(sum(CASE WHEN p IS NULL OR p <> chapter THEN 1 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY n) AS BIGINT) AS division FROM (SELECT *, lag(chapter) OVER (PARTITION BY text_id ORDER BY n) AS p FROM lines)")
 def divisions_by_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -154,10 +121,3 @@ def divisions_by_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("text_id").orderBy("n")
     rows = V.lines(spark, sf_dir).withColumn("p", F.lag("chapter").over(w))
     return rows.select("line_id", F.sum(F.when(F.col("p").eqNullSafe(F.col("chapter")), 0).otherwise(1)).over(w).alias("division"))
-
-
-@query(with_tables("lines") + "SELECT line_id, row_number() OVER (PARTITION BY division_id ORDER BY n) AS number FROM lines")
-def number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return V.lines(spark, sf_dir).select("line_id", F.row_number().over(Window.partitionBy("division_id").orderBy("n")).alias("number"))

@@ -27,4 +27,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["search_text"](spark, sf_dir)
 
 
-from lectern.plans import checks, forms, lexical, parsing, search  # noqa: E402, F401
+from lectern.plans import checks, corpus, forms, lexical, parsing, search  # noqa: E402, F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import citations as C
@@ -14,11 +14,11 @@ from lectern.plans.views import with_tables
 WORD = "ther"
 
 
-def _cited(spark: SparkSession, sf_dir: str, matches: DataFrame) -> DataFrame:
-    """Sentences with their numbers of lines, names and citation; dimensions join last."""
-    numbers = sentences.sentence_line_numbers(V.links(spark, sf_dir)).drop("division_id")
-    rows = matches.join(numbers, "sentence_id").join(V.divisions(spark, sf_dir), "division_id")
-    rows = rows.join(V.texts(spark, sf_dir).select("text_id", "author_id", "title", "work_number"), "text_id").join(V.authors(spark, sf_dir), "author_id", "left")
+def _cited(spark: SparkSession, sf_dir: str, matches: Column | None = None) -> DataFrame:
+    """Sentences (that match) with their numbers of lines, names and citation; names join last."""
+    rows = V.cited_sentences(spark, sf_dir)
+    rows = rows if matches is None else rows.filter(matches)
+    rows = rows.join(V.text_names(spark, sf_dir).select("text_id", "author_id", "author_name", "title", "work_number"), "text_id")
     place = C.format_levels(F.col("line_numbers"), volume=F.col("volume"), chapter=F.col("chapter"))
     return rows.withColumn("citation", F.concat_ws(", ", "author_name", "title", place))
 
@@ -35,14 +35,14 @@ cited AS (SELECT x.sentence_id, x.division_id, x.content, n.line_numbers, n.firs
 @query(_CITED + f"""SELECT sentence_id, content, citation, lag(content) OVER w AS prev_sentence, lead(content) OVER w AS next_sentence FROM cited WHERE contains(lower(content), '{WORD}') WINDOW w AS (PARTITION BY division_id ORDER BY first_line, sentence_id)""")
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: matching sentences, with neighbouring matches and formatted citations."""
-    found = V.sentences(spark, sf_dir).filter(search.contains_text(F.col("content"), WORD)).select("sentence_id", "division_id", "content")
-    return context.sentence_context(_cited(spark, sf_dir, found)).select("sentence_id", "content", "citation", "prev_sentence", "next_sentence")
+    found = _cited(spark, sf_dir, search.contains_text(F.col("content"), WORD))
+    return context.sentence_context(found).select("sentence_id", "content", "citation", "prev_sentence", "next_sentence")
 
 
 @query(_CITED + f"""SELECT sentence_id, prev_sentence, next_sentence FROM (SELECT sentence_id, content, lag(content) OVER w AS prev_sentence, lead(content) OVER w AS next_sentence FROM cited WINDOW w AS (PARTITION BY division_id ORDER BY first_line, sentence_id)) WHERE contains(lower(content), '{WORD}')""")
 def sentence_context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True neighbours in the text: the window comes before the filter."""
-    rows = context.sentence_context(_cited(spark, sf_dir, V.sentences(spark, sf_dir).select("sentence_id", "division_id", "content")))
+    rows = context.sentence_context(_cited(spark, sf_dir))
     return rows.filter(search.contains_text(F.col("content"), WORD)).select("sentence_id", "prev_sentence", "next_sentence")
 
 
@@ -51,11 +51,6 @@ def search_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.tokens(spark, sf_dir).filter(search.has_lemma(F.col("tokens"), "the")).select("sentence_id")
 
 
-@query(with_tables("tokens") + "SELECT DISTINCT sentence_id FROM tokens WHERE list_contains(string_split(category, ', '), 'Rare')")
-def search_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.tokens(spark, sf_dir).filter(F.array_contains(search.split_categories(F.col("tokens")), "Rare")).select("sentence_id")
-
-
 @query(with_tables("texts", "divisions") + "SELECT division_id, volume, chapter FROM divisions JOIN texts USING (text_id) WHERE author_id = 8 AND work_number = '008'")
 def search_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = V.texts(spark, sf_dir).filter("author_id = 8 and work_number = '008'").select("text_id")
@@ -113,18 +108,10 @@ def chapter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CITED + "SELECT sentence_id, citation, array_to_string(line_numbers, ',') AS line_numbers, author_id, text_id FROM cited")
 def citation_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cited(spark, sf_dir, V.sentences(spark, sf_dir).select("sentence_id", "division_id", "content"))
+    rows = _cited(spark, sf_dir)
     return rows.select("sentence_id", "citation", F.array_join(F.col("line_numbers").cast("array<string>"), ",").alias("line_numbers"), "author_id", "text_id")
 
 
-@query(with_tables("authors", "texts", "divisions") + "SELECT text_id, any_value(title) AS title, any_value(author_name) AS author_name, string_agg(CAST(volume AS VARCHAR) || '.' || chapter, ' ' ORDER BY chapter) AS divisions FROM texts JOIN authors USING (author_id) JOIN divisions USING (text_id) GROUP BY text_id")
-def text_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text with its ordered divisions; the tree is grouped from light rows, and names join after."""
-    tree = V.divisions(spark, sf_dir).groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("chapter", "volume"))).alias("d"))
-    shown = F.array_join(F.transform("d", lambda x: F.concat(x["volume"], F.lit("."), x["chapter"])), " ")
-    return tree.join(V.texts(spark, sf_dir), "text_id").join(V.authors(spark, sf_dir), "author_id").select("text_id", "title", "author_name", shown.alias("divisions"))
-
-
 @query(with_tables("lines") + "SELECT a.line_id AS centre_id, b.line_id FROM lines a JOIN lines b ON a.division_id = b.division_id AND b.line_number BETWEEN a.line_number - 2 AND a.line_number + 2 WHERE a.line_number = 5")
 def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = V.lines(spark, sf_dir)
@@ -191,9 +178,8 @@ def first_row_per_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CITED + f"""SELECT sentence_id, citation, CAST((row_number() OVER (ORDER BY division_id, first_line, sentence_id) - 1) // 10 + 1 AS BIGINT) AS page, count(*) OVER () AS total_results, CAST(ceil(count(*) OVER () / 10.0) AS BIGINT) AS total_pages FROM cited WHERE contains(lower(content), '{WORD}')""")
 def paginate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = V.sentences(spark, sf_dir).filter(search.contains_text(F.col("content"), WORD)).select("sentence_id", "division_id", "content")
-    rows = _cited(spark, sf_dir, found).withColumn("bucket", F.floor(F.col("division_id") / (V.DIVISIONS * 1000)))
-    return context.paginate(rows, ["division_id", "first_line", "sentence_id"], buckets="bucket").select("sentence_id", "citation", "page", "total_results", "total_pages")
+    rows = _cited(spark, sf_dir, search.contains_text(F.col("content"), WORD)).select("sentence_id", "division_id", "first_line", "citation")
+    return context.paginate(rows, ["division_id", "first_line", "sentence_id"], context.scratch(spark), buckets=F.floor(F.col("division_id") / (V.DIVISIONS * 1000))).select("sentence_id", "citation", "page", "total_results", "total_pages")
 
 
 @query(with_tables("lines") + "SELECT line_id, content FROM lines ORDER BY line_id LIMIT 25 OFFSET 50")
@@ -206,15 +192,9 @@ def distinct_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.texts(spark, sf_dir).select("author_id", "work_number").distinct()
 
 
-@query(with_tables("authors", "texts") + "SELECT text_id, left(author_name, 3) || '.' || CASE WHEN length(source) <= 4 THEN ' ' || source ELSE '' END AS author_abbr FROM (SELECT t.text_id, a.author_name, a.source FROM texts t JOIN authors a USING (author_id))")
-def format_citation_abbrev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.texts(spark, sf_dir).join(V.authors(spark, sf_dir), "author_id")
-    return rows.select("text_id", C.abbreviate_author(F.col("author_name")).alias("author_abbr"))
-
-
 @query(_CITED + "SELECT sentence_id, citation FROM cited")
 def format_citation_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cited(spark, sf_dir, V.sentences(spark, sf_dir).select("sentence_id", "division_id", "content")).select("sentence_id", "citation")
+    return _cited(spark, sf_dir).select("sentence_id", "citation")
 
 
 @query(_CITED + "SELECT sentence_id, division_id, row_number() OVER (PARTITION BY division_id ORDER BY first_line, sentence_id) AS place FROM cited")
@@ -225,12 +205,6 @@ def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbers.select("sentence_id", "division_id", F.row_number().over(Window.partitionBy("division_id").orderBy("first_line", "sentence_id")).alias("place"))
 
 
-@query(with_tables("tokens") + "SELECT DISTINCT sentence_id, t AS form FROM tokens WHERE lemma = 'the'")
-def lemma_word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = F.transform(F.filter("tokens", lambda t: t["lemma"] == "the"), lambda t: t["text"])
-    return V.tokens(spark, sf_dir).select("sentence_id", F.explode(F.array_distinct(forms)).alias("form"))
-
-
 @query(with_tables("links") + "SELECT line_id, string_agg(CAST(sentence_id AS VARCHAR), ',' ORDER BY sentence_id) AS sentence_ids FROM links GROUP BY line_id")
 def sentences_per_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sentences.sentences_per_line(V.links(spark, sf_dir))

@@ -45,14 +45,25 @@ def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("division_id", "text_id", "volume", "chapter").distinct()
 
 
+def cited_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sentence_id, division_id, k, content, starts, ends, line_ids, line_numbers, first_line, text_id, volume, chapter: one scan and one grouping."""
+    rows = S.cited_sentences(lines(spark, sf_dir).withColumn("is_title", F.lit(False)), ("text_id", "volume", "chapter"))
+    return rows.withColumn("sentence_id", F.col("division_id") * SENTENCES + F.col("k")).withColumn("first_line", F.array_min("line_numbers"))
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sentence_id, division_id, k, content, starts, ends (offsets in the division's text)."""
-    return S.build_sentences(lines(spark, sf_dir).withColumn("is_title", F.lit(False))).withColumn("sentence_id", F.col("division_id") * SENTENCES + F.col("k"))
+    return cited_sentences(spark, sf_dir).select("sentence_id", "division_id", "k", "content", "starts", "ends")
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).withColumn("is_title", F.lit(False))
-    return S.sentence_line_links(rows, sentences(spark, sf_dir))
+    pairs = F.explode("line_ids").alias("line_id")
+    return cited_sentences(spark, sf_dir).select("sentence_id", "division_id", pairs).withColumn("line_number", ((F.col("line_id") % LINES - 1) % 10 + 1).cast("int"))
+
+
+def text_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with the names of their authors, who are one a source."""
+    return texts(spark, sf_dir).withColumn("author_name", F.concat(F.lit("Author "), F.col("metadata")["source"]))
 
 
 def tokens_of(content: Column) -> Column:

@@ -9,13 +9,16 @@ from lectern.functions.text import strip
 
 TAGGED = "text_id string, text string, tokens array<struct<text:string,lemma:string,pos:string,tag:string,dep:string,morph:string,category:string>>"
 
+#: Fixed value: what is below a folder of this name isn't read.
+SKIP = "pipeline_reports"
+
 
 def decode_with_fallback(content: Column) -> Column:
     """UTF-8 where valid, else Latin-1."""
     return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def read_cited_lines(spark: SparkSession, folder: str, *, skip: str = "pipeline_reports") -> DataFrame:
+def read_cited_lines(spark: SparkSession, folder: str, *, skip: str = SKIP) -> DataFrame:
     """path, n (from 1) and line of every line that isn't blank, of all .txt files below the folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
     text = F.regexp_replace(F.regexp_replace(decode_with_fallback(F.col("content")), "\r\n?", "\n"), "^﻿", "")

