@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import citations as C
 from lectern.functions import text as T
 from lectern.operators import divisions as D
-from lectern.operators import search, sentences
+from lectern.operators import search
 from lectern.plans import views as V
 from lectern.plans.registry import query
 from lectern.plans.search import _CITED, _cited
