@@ -208,11 +208,15 @@ def annotate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sentence_id", (F.col("p") + 1).alias("i"), F.col("x.text").alias("t"), "x.lemma", "x.pos", "x.category")
 
 
-@query()
+@query(with_tables("links", "tokens").replace("WITH ", "WITH RECURSIVE ", 1) + """, walk AS (SELECT sentence_id, line_id, lines.content AS line, 0 AS i, 1 AS pos, 0 AS n, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS z FROM links JOIN lines USING (line_id)
+UNION ALL SELECT sentence_id, line_id, line, CAST(i + 1 AS INTEGER), CAST(CASE WHEN p > 0 THEN pos + p - 1 + length(t) ELSE pos END AS INTEGER), CAST(CASE WHEN p > 0 THEN n + 1 ELSE n END AS INTEGER), CASE WHEN p > 0 AND a IS NULL THEN t ELSE a END, CASE WHEN p > 0 THEN t ELSE z END
+  FROM (SELECT w.*, k.t, instr(substr(line, w.pos), k.t) AS p FROM walk w JOIN tokens k ON k.sentence_id = w.sentence_id AND k.i = w.i + 1))
+SELECT sentence_id, line_id, n AS n_hits, CAST(instr(line, a) - 1 AS INTEGER) AS position_start, CAST(length(line) - instr(reverse(line), reverse(z)) + 1 AS INTEGER) AS position_end
+FROM walk WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY sentence_id, line_id ORDER BY i DESC) = 1""")
 def map_tokens_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sentence's tokens found left to right in each of its lines, and where the first and the last of them stand.
 
-    The search goes on from the last hit, which SQL can't say but by recursion; tests compare it with plain Python.
+    The search goes on from the last hit, which SQL says by recursion.
     """
     rows = V.cited_sentences(spark, sf_dir).select("sentence_id", V.tokens_of(F.col("content")).alias("tokens"), F.explode("line_ids").alias("line_id"))
     rows = rows.join(V.lines(spark, sf_dir).select("line_id", F.col("content").alias("line")), "line_id")
