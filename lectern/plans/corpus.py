@@ -218,7 +218,7 @@ def map_tokens_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The search goes on from the last hit, which SQL says by recursion.
     """
-    rows = V.cited_sentences(spark, sf_dir).select("sentence_id", V.tokens_of(F.col("content")).alias("tokens"), F.explode("line_ids").alias("line_id"))
+    rows = V.cited_sentences(spark, sf_dir).select("sentence_id", "content", F.explode("line_ids").alias("line_id")).withColumn("tokens", V.tokens_of(F.col("content")))
     rows = rows.join(V.lines(spark, sf_dir).select("line_id", F.col("content").alias("line")), "line_id")
     return rows.select("sentence_id", "line_id", search.token_places(F.col("tokens"), F.col("line")).alias("p")).filter("p is not null").select("sentence_id", "line_id", "p.*")
 
