@@ -30,6 +30,8 @@ PIECE, PIECE_STRIDE = 80, 8
 EDITS, LEAST = 1 / 12, 2 * Q
 #: Benchmark text of one index, which a worker builds from the shared folder and keeps; a larger benchmark is searched block by block.
 BLOCK_BYTES = 1 << 19
+#: Indexes that a worker keeps.
+KEPT = 4
 #: Bytes of normal text that are searched at once, and pairs of a place and a fragment's run that are held at once.
 SEARCH_BYTES, POSTINGS = 1 << 20, 1 << 21
 
@@ -238,7 +240,7 @@ def align(pattern: bytes, text: bytes, most: int, low: int, high: int) -> tuple[
     return (int(origin[k]), int(column[k]), int(row[k])) if row[k] <= most else None
 
 
-@functools.lru_cache(1)
+@functools.lru_cache(KEPT)
 def _index(folder: str) -> Index:
     """The index of a block, built once in a worker from the shared folder."""
     fs, base = pafs.FileSystem.from_uri(folder)
@@ -292,6 +294,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 def with_items(docs: DataFrame, benchmark: DataFrame, *, out: str = "leaked_items", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the sorted ids of the benchmark items of which each text holds a fragment; nothing is shuffled.
 
+    A worker searches for a few blocks of the benchmark at once; where there are more, docs are written to the shared folder in between.
     All rows, repeated ones too, and all columns stay, but for one named ``out``; null and empty texts have an empty array. Items are found as by :func:`leaks`.
     """
     spark = docs.sparkSession
@@ -307,6 +310,12 @@ def with_items(docs: DataFrame, benchmark: DataFrame, *, out: str = "leaked_item
 
         return held(F.col(text_col))
 
-    found = F.array_distinct(F.concat(*[holder(folder) for folder in _blocks(benchmark, item_col, item_text_col, block_bytes)]))
-    kind = benchmark.schema[item_col].dataType.simpleString()
-    return docs.withColumn(out, F.array_sort(found.cast(f"array<{kind}>")))
+    folders, kind, columns = _blocks(benchmark, item_col, item_text_col, block_bytes), benchmark.schema[item_col].dataType.simpleString(), docs.columns
+    so_far = common.free_name(docs, "found")
+    docs = docs.withColumn(so_far, F.array().cast("array<string>"))
+    for i in range(0, len(folders), KEPT):
+        if i:
+            docs = common.saved(docs, f"{common.scratch(spark)}/searched")
+        docs = docs.withColumn(so_far, F.concat(so_far, *[holder(folder) for folder in folders[i : i + KEPT]]))
+    found = F.array_sort(F.array_distinct(F.col(so_far)).cast(f"array<{kind}>"))
+    return docs.withColumn(out, found).select(*[c for c in columns if c.lower() != out.lower()], out)

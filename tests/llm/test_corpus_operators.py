@@ -371,8 +371,9 @@ def test_leaks(spark, monkeypatch):
         got = decontam.leaks(frame(spark, docs), bench, block_bytes=size).collect()
         assert {(r.doc_id, r.item_id) for r in got} == planted
         assert all(r.edits == 0 for r in got if r.item_id % 2 == 0)
-    held = decontam.with_items(frame(spark, docs), bench)
-    assert {(r.doc_id, i) for r in held.collect() for i in r.leaked_items} == planted
+    for size in (decontam.BLOCK_BYTES, 500):
+        held = decontam.with_items(frame(spark, docs), bench, block_bytes=size)
+        assert {(r.doc_id, i) for r in held.collect() for i in r.leaked_items} == planted
 
 
 def test_leaks_of_pieces(spark):
