@@ -37,7 +37,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = simhash.similar_texts(keyed.select(named.alias("id"), "text"), id_col="id")
     light = found.select(F.col("doc_id.k0").alias(key[0]), F.col("doc_id.k1").alias(key[1]), (F.col("doc_id") > F.col("component_id")).alias("gone"))
     light = common.saved(light.groupBy(*key).agg(F.max("gone").alias("gone"), F.count("*").alias("n")).filter("gone or n > 1"), f"{common.scratch(spark)}/copies")
-    kept = keyed.join(light.filter("gone").select(key), key, "left_anti")
+    gone = light.filter("gone").select(key)
+    # So few keys are broadcast, some tens of MB, and no text moves; beyond, rows meet them by a shuffle.
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= FEW_KEYS else gone, key, "left_anti")
     again = light.filter("not gone").select(key)
     if not again.isEmpty():
         kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(key))
@@ -61,6 +63,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
+#: Keys of dropped rows that are broadcast at most.
+FEW_KEYS = 500_000
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("near_dedup", drop_near_copies),
