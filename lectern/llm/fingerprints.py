@@ -283,9 +283,11 @@ def compare_with_next(docs: DataFrame, *, parts: int | None = None, id_col: str
             if same:
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(same, pa.int32())), *compared(compare([texts[i] for i in same], [texts[i + 1] for i in same]))], names=["doc_id", *names])
 
-    # One row a range; a range's ends are minima and maxima, of which each task sends one.
+    # One row a range. Its ends are found by ids alone; texts are read only of rows with such an id.
     both = F.struct("doc_id", "text")
-    edges = common.saved(ranged.groupBy("range").agg(F.min(both)["text"].alias("first_text"), F.max(both).alias("last")), f"{common.scratch(spark)}/edges")
+    ids = ranged.groupBy("range").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    ends = ranged.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("end")), "left_semi")  # two ids a range at most
+    edges = common.saved(ends.groupBy("range").agg(F.min(both)["text"].alias("first_text"), F.max(both).alias("last")), f"{common.scratch(spark)}/edges")
     w = Window.orderBy("range")
     order = edges.select("range").select("range", F.coalesce(F.lead("range").over(w), F.first("range").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next"))
     following = edges.select(F.col("range").alias("next"), F.col("first_text").alias("following"))
