@@ -9,6 +9,7 @@ own likenesses (Nyström); a linear machine is trained on sentences. A document
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import re
 from collections import Counter
@@ -32,6 +33,8 @@ POWER, FINE = 3, 16
 #: Words below this likeness to every telling landmark can't change a score.
 LEAST = 0.55
 THRESHOLD = 0.7
+#: Code points of text that are scored at once.
+SCORED_CHARS = 1 << 21
 #: Longer runs of letters are no words; their parts of these lengths are.
 LONGEST, RUNS = 32, range(4, 10)
 #: What an insult with an inserted character counts for, beside a document, when scores are calibrated.
@@ -177,7 +180,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """A score for each whole text: that of its worst sentence."""
+        """A score for each whole text: that of its worst sentence. Some MB of text are worked on at once."""
+        if not texts:
+            return np.zeros(0)
+        upto = np.cumsum([len(t) for t in texts])
+        cuts = [0, *(np.flatnonzero(np.diff(upto // SCORED_CHARS)) + 1).tolist(), len(texts)]
+        return np.concatenate([self._scored(texts[a:b]) for a, b in itertools.pairwise(cuts)])
+
+    def _scored(self, texts: list[str]) -> np.ndarray:
         texts = [t.lower() for t in texts]
         parts = [t.split() for t in texts]
         bags = [set(p) for p in parts]
