@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontam, fingerprints, html_text, packing, secrets, simhash, substring, tokens, toxicity, warc
+from lectern.llm import decontam, fingerprints, html_text, packing, prefix_trie, secrets, simhash, substring, tokens, toxicity, warc
 from lectern.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -64,8 +64,13 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_toxicity, op3_token_counts, op4_benchmark_decontamination, op5_best_fit_packing, op6_simhash_near_dedup, op7_substring_dedup, op8_html_extraction, op9_secret_scans, op10_document_fingerprints)
+    for f in (op1_warc, op2_toxicity, op3_token_counts, op4_benchmark_decontamination, op5_best_fit_packing, op6_simhash_near_dedup, op7_substring_dedup, op8_html_extraction, op9_secret_scans, op10_document_fingerprints, op11_prefix_trie)
 }
-ORACLES: dict[str, str] = {"op1_warc": warc.ROUND_TRIP_SQL, "op9_secret_scans": secrets.report_sql()}
+ORACLES: dict[str, str] = {"op1_warc": warc.ROUND_TRIP_SQL, "op9_secret_scans": secrets.report_sql(), "op11_prefix_trie": prefix_trie.TRIE_SQL}
