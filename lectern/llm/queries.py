@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontam, fingerprints, html_text, packing, prefix_trie, secrets, simhash, substring, tokens, toxicity, warc, whitening
+from lectern.llm import decontam, fingerprints, html_text, minhash, packing, prefix_trie, secrets, simhash, substring, tokens, toxicity, warc, whitening
 from lectern.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,6 +69,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set size and component of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding on the first whitened components."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -76,6 +81,6 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_toxicity, op3_token_counts, op4_benchmark_decontamination, op5_best_fit_packing, op6_simhash_near_dedup, op7_substring_dedup, op8_html_extraction, op9_secret_scans, op10_document_fingerprints, op11_prefix_trie, op13_embedding_whitening)
+    for f in (op1_warc, op2_toxicity, op3_token_counts, op4_benchmark_decontamination, op5_best_fit_packing, op6_simhash_near_dedup, op7_substring_dedup, op8_html_extraction, op9_secret_scans, op10_document_fingerprints, op11_prefix_trie, op12_minhash_near_dedup, op13_embedding_whitening)
 }
 ORACLES: dict[str, str] = {"op1_warc": warc.ROUND_TRIP_SQL, "op9_secret_scans": secrets.report_sql(), "op11_prefix_trie": prefix_trie.TRIE_SQL}
