@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ranges import in_ranges, scan
+
 
 def sentence_context(rows: DataFrame, *, order: tuple[str, ...] = ("first_line", "sentence_id"), content: str = "content") -> DataFrame:
     """Previous and next content in the division; of the rows given, so filter before for neighbouring matches, after for true neighbours."""
@@ -75,10 +77,14 @@ def as_of(requests: DataFrame, versions: DataFrame, key: str, at: str, version:
     return both.filter("__kind = 1").select(key, F.col("__t").alias(at), F.col("__last.v").alias(version), F.col("__last.x").alias(value))
 
 
-def inherit(rows: DataFrame, by: str, order: str, column: str) -> DataFrame:
-    """Nulls of a column take the last value before them."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(column, F.last(column, ignorenulls=True).over(w))
+def inherit(rows: DataFrame, by: list[str], order: list[str], columns: list[str], where: str) -> DataFrame:
+    """Nulls of the columns take the last value before them in the group, which may be of any size: rows are scanned in ranges, written to the folder once.
+
+    What comes before a group's first value stays null. Rows of a null key are a group.
+    """
+    ranged = in_ranges(rows, [*by, *order], where)
+    carried = scan(ranged, by, order, {f"__last_{c}": ("last", F.col(c)) for c in columns})
+    return carried.select(*[F.col(f"__last_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
 def batches(rows: DataFrame, by: str, order: str, size: int) -> Column:

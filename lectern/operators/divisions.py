@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.ranges import RANGE, in_ranges, scan
+
 
 def ordered_text(order: str, text: str, gap: str) -> Column:
     """Aggregate: the texts of a group in order, joined."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), gap)
 
 
-def split_sections(rows: DataFrame, by: str, order: str, text: str, is_header: Column) -> DataFrame:
-    """by, section, header and body: each header opens a section; what comes before the first is section 0."""
-    w = Window.partitionBy(by).orderBy(order)
-    marked = rows.select(by, order, text, is_header.alias("__h")).withColumn("section", F.sum(F.col("__h").cast("int")).over(w))
-    body = ordered_text(order, "body_part", "\n")
-    parts = marked.withColumn("body_part", F.when(~F.col("__h"), F.col(text)))
-    return parts.groupBy(by, "section").agg(F.max(F.when(F.col("__h"), F.col(text))).alias("header"), body.alias("body"))
+def mark_sections(rows: DataFrame, by: list[str], order: str, text: str, is_header: Column, where: str) -> DataFrame:
+    """rows with section, header and is_header: each header opens a section, and what comes before the first is section 0, without a header.
+
+    A file of any number of lines is scanned in ranges, so its lines stay spread; nothing of a section is put together here.
+    """
+    ranged = in_ranges(rows.withColumn("is_header", F.coalesce(is_header, F.lit(False))), [*by, order], where)
+    head = F.when(F.col("is_header"), F.col(text))
+    return scan(ranged, by, [order], {"section": ("sum", F.col("is_header").cast("long")), "header": ("last", head)}).drop(RANGE)
+
+
+def split_sections(rows: DataFrame, by: str, order: str, text: str, is_header: Column, where: str) -> DataFrame:
+    """by, section, header and body: the sections of :func:`mark_sections`, each with its lines in one text."""
+    marked = mark_sections(rows.select(by, order, text, is_header.alias("__h")), [by], order, text, F.col("__h"), where)
+    parts = marked.withColumn("body_part", F.when(~F.col("is_header"), F.col(text)))
+    return parts.groupBy(by, "section").agg(F.max("header").alias("header"), ordered_text(order, "body_part", "\n").alias("body"))
+
+
+def by_change(rows: DataFrame, by: list[str], order: str, value: str, where: str, name: str = "division") -> DataFrame:
+    """rows with the number of their division: the first row of a group opens one, and so does each whose value isn't the one before; null is a value."""
+    ranged = in_ranges(rows, [*by, order], where)
+    seen = scan(ranged.withColumn("__value", F.struct(F.col(value).alias("v"))), by, [order], {"__before": ("previous", F.col("__value"))})
+    opens = F.when(F.col("__before").eqNullSafe(F.col("__value")), 0).otherwise(1).cast("long")
+    return scan(seen, by, [order], {name: ("sum", opens)}).drop(RANGE, "__value", "__before")
 
 
 def build_divisions(lines: DataFrame) -> DataFrame:

@@ -38,6 +38,13 @@ def read_cited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("text_id", "n", *[F.try_element_at("m", F.lit(k)).alias(k.lower()) for k in ("Volume", "Chapter", "Line")], "content")
 
 
+@query(with_tables("lines") + "SELECT text_id, CAST(row_number() OVER (PARTITION BY text_id ORDER BY n) + 2 AS INTEGER) AS n, volume || '.' || chapter || '.' || line_number AS place, content FROM lines")
+def read_long_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files read in splits, as files of any size are."""
+    rows = files.read_long_files(spark, _written(spark, sf_dir), f"{context.scratch(spark)}/lines").filter(~C.is_metadata(F.col("line")))
+    return rows.select(F.regexp_extract("path", r"text_id=(\d+)/", 1).cast("long").alias("text_id"), "n", F.array_join(C.citation_fields(F.col("line")), ".").alias("place"), C.citation_rest(F.col("line")).alias("content"))
+
+
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     fields = lambda t: F.struct(t["text"].alias("text"), t["lemma"].alias("lemma"), t["pos"].alias("pos"), none.alias("tag"), none.alias("dep"), none.alias("morph"), t["category"].alias("category"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import citations as C
 from lectern.functions import text as T
 from lectern.operators import divisions as D
-from lectern.operators import search
+from lectern.operators import context, search
 from lectern.plans import views as V
 from lectern.plans.registry import query
 from lectern.plans.search import _CITED, _cited
@@ -26,7 +26,15 @@ def metadata_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT text_id, CAST(section AS BIGINT) AS section, max(CASE WHEN h THEN content END) AS header, coalesce(string_agg(CASE WHEN NOT h THEN content END, chr(10) ORDER BY n), '') AS body FROM s GROUP BY text_id, section""")
 def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of a chapter stands for a header."""
-    return D.split_sections(V.lines(spark, sf_dir), "text_id", "n", "content", F.col("line_number") == 1)
+    return D.split_sections(V.lines(spark, sf_dir), "text_id", "n", "content", F.col("line_number") == 1, f"{context.scratch(spark)}/lines")
+
+
+@query(with_tables("lines") + """SELECT line_id, CAST(sum(CASE WHEN line_number = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS section, last_value(CASE WHEN line_number = 1 THEN content END IGNORE NULLS) OVER w AS header, line_number = 1 AS is_header
+FROM lines WINDOW w AS (PARTITION BY text_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their section and its header, for sections of any size."""
+    rows = V.lines(spark, sf_dir).select("line_id", "text_id", "n", "content", "line_number")
+    return D.mark_sections(rows, ["text_id"], "n", "content", F.col("line_number") == 1, f"{context.scratch(spark)}/lines").select("line_id", "section", "header", "is_header")
 
 
 @query(with_tables("authors", "lines") + "SELECT line_id, 'see Author src8, Volume ' || volume || ': Chapter ' || chapter || ': Line ' || line_number || ': and Unknown, Volume 1: ' || content AS content FROM lines")

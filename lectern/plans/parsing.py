@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import citations as C
 from lectern.functions import text as T
-from lectern.operators import context, search, sentences
+from lectern.operators import context, divisions, search, sentences
 from lectern.plans import views as V
 from lectern.plans.registry import query
 from lectern.plans.views import with_tables
@@ -35,7 +35,7 @@ def parse_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inherit_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     chapter = F.try_element_at(C.citation_levels(F.col("raw"), levels()), F.lit("Chapter")).cast("int")
     rows = cited(spark, sf_dir).select("line_id", "text_id", "n", chapter.alias("chapter"))
-    return context.inherit(rows, "text_id", "n", "chapter").select("line_id", "chapter")
+    return context.inherit(rows, ["text_id"], ["n"], ["chapter"], f"{context.scratch(spark)}/lines").select("line_id", "chapter")
 
 
 @query(with_tables("lines") + "SELECT line_id, CASE WHEN n % 5 = 0 THEN CAST(n AS VARCHAR) WHEN n % 5 = 1 THEN '1' END AS title_number FROM lines")
@@ -116,8 +116,5 @@ def pos_lemma_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tables("lines") + "SELECT line_id, CAST(sum(CASE WHEN p IS NULL OR p <> chapter THEN 1 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY n) AS BIGINT) AS division FROM (SELECT *, lag(chapter) OVER (PARTITION BY text_id ORDER BY n) AS p FROM lines)")
 def divisions_by_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("text_id").orderBy("n")
-    rows = V.lines(spark, sf_dir).withColumn("p", F.lag("chapter").over(w))
-    return rows.select("line_id", F.sum(F.when(F.col("p").eqNullSafe(F.col("chapter")), 0).otherwise(1)).over(w).alias("division"))
+    rows = V.lines(spark, sf_dir).select("line_id", "text_id", "n", "chapter")
+    return divisions.by_change(rows, ["text_id"], "n", "chapter", f"{context.scratch(spark)}/lines").select("line_id", "division")

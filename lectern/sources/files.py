@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
+from lectern.operators.ranges import in_ranges, number
 
 TAGGED = "text_id string, text string, tokens array<struct<text:string,lemma:string,pos:string,tag:string,dep:string,morph:string,category:string>>"
 
@@ -26,6 +27,18 @@ def read_cited_lines(spark: SparkSession, folder: str, *, skip: str = SKIP) -> D
     return rows.select("path", (F.col("p") + 1).alias("n"), strip(F.col("line")).alias("line")).filter("line <> ''")
 
 
+def read_long_files(spark: SparkSession, folder: str, where: str, *, skip: str = SKIP) -> DataFrame:
+    """What :func:`read_cited_lines` gives, for files of any size: Spark splits a file at line ends, and its lines are numbered in ranges, written to ``where`` once."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("raw"))
+    rows = in_ranges(lines.filter(~F.col("path").contains(skip)), ["path", "block", "row"], where)
+    latin = rows.groupBy("path").agg(F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("valid")).filter("not valid").select("path", F.lit(True).alias("latin"))
+    text = F.when(F.col("latin"), F.decode("raw", "ISO-8859-1")).otherwise(F.decode("raw", "UTF-8"))
+    rows = number(rows, ["path"], ["block", "row"], "n").join(latin, "path", "left").withColumn("line", text)
+    rows = rows.withColumn("line", F.when(F.col("n") == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")))
+    return rows.select("path", F.col("n").cast("int").alias("n"), strip(F.col("line")).alias("line")).filter("line <> ''")
+
+
 def file_ids(path: Column) -> tuple[Column, Column]:
     """Author and work number from a file's name."""
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.txt$", "")
