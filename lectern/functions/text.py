@@ -50,8 +50,9 @@ def rejoin_split_words(c: Column, tag: str = "tlg_ref") -> Column:
 
 
 def normalize_work_name(c: Column) -> Column:
-    c = F.regexp_replace(c, r"^\s*\d+\.\s*", "")
-    c = F.regexp_replace(c, r"\[[^\]]*\]|\([^)]*\)|[+$%]", "")
+    """Without a leading number, +$%, and what brackets and parentheses hold (a parenthesis may lack its end); lower case, single spaces."""
+    c = F.regexp_replace(strip(c), r"^\d+\.?\s*", "")
+    c = F.regexp_replace(c, r"[+$%]|\[[^\]]*\]|\([^)]*\)?", "")
     return F.lower(collapse(c))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +61,64 @@ def sentence_citations(links: DataFrame, lines: DataFrame, citation: str) -> Dat
     return listed.select("sentence_id", F.get("c", F.lit(0)).alias("first_citation"), F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))).alias("further"))
 
 
-def replace_refs(rows: DataFrame, key: str, text: str, names: DataFrame, tag: str = "tlg_ref") -> DataFrame:
-    """Tags with author/volume/chapter/line become "Author, Volume v: Chapter c: Line l: "; names (code, name) join by code."""
+_HEADER = r"(?U)\[(\w*)\]\s*\[(\w*)\]\s*\[(\w*)\]\s*\[(\w*)\]"
+#: Forms of the places in a tag; the first that the tag has counts.
+_PLACES = (r"(?U)Volume (\w+), Chapter (\w+), Line (\w+)", r"(?U)Chapter (\w+), Line (\w+)", r"(?U)Line (\w+)")
+
+
+def tag_places(payload: Column) -> Column:
+    """"Volume v: Chapter c: Line a, Lines b-d, Chapter e: …, Volume w: …" of all places in a tag; empty where there is none.
+
+    Volumes and chapters are in the order of their text, lines in that of their number (12a counts as 12), and a place that stands there twice counts once. A tag that names
+    volumes is read by volume, chapter and line, else by chapter and line, else by line.
+    """
+    read = F.array().cast("array<struct<v:string,c:string,n:int>>")
+    for depth, form in zip((1, 2, 3), reversed(_PLACES), strict=True):
+        groups = [F.regexp_extract_all(payload, F.lit(form), F.lit(k + 1)) for k in range(depth)]
+        part = lambda x, k, depth=depth: x[f"g{k + depth - 3}"] if k + depth >= 3 else F.lit(None).cast("string")
+        found = F.transform(F.arrays_zip(*[g.alias(f"g{k}") for k, g in enumerate(groups)]), lambda x: F.struct(part(x, 0).alias("v"), part(x, 1).alias("c"), F.regexp_extract(part(x, 2), r"^(\d+)", 1).try_cast("int").alias("n")))  # noqa: B023
+        read = F.when(payload.rlike(form), found).otherwise(read)
+    return _once(F.array_sort(F.array_distinct(F.filter(read, lambda x: x["n"].isNotNull()))), _runs)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is worked out once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(places: Column) -> Column:
+    """Sorted places (v, c, n) as text: a run begins where the place before isn't the line before in the same chapter, and a heading where it isn't in the same volume or chapter."""
+    before, after = lambda i: F.get(places, i - 1), lambda i: F.get(places, i + 1)
+    follows = lambda x, y: F.coalesce(x["v"].eqNullSafe(y["v"]) & x["c"].eqNullSafe(y["c"]) & (x["n"] + 1 == y["n"]), F.lit(False))
+    first = F.filter(places, lambda x, i: ~follows(before(i), x))
+    last = F.transform(F.filter(places, lambda x, i: ~follows(x, after(i))), lambda x: x["n"])
+    ends = _once(last, lambda z: F.transform(first, lambda x, i: F.struct(x["v"].alias("v"), x["c"].alias("c"), x["n"].alias("a"), F.get(z, i).alias("b"))))
+
+    def shown(runs: Column, x: Column, i: Column) -> Column:
+        y = F.get(runs, i - 1)
+        volume = (i > 0) & y["v"].eqNullSafe(x["v"])
+        chapter = volume & y["c"].eqNullSafe(x["c"])
+        line = F.when(x["a"] == x["b"], F.concat(F.lit("Line "), x["a"])).otherwise(F.concat(F.lit("Lines "), x["a"], F.lit("-"), x["b"]))
+        return F.concat(F.when(volume | x["v"].isNull(), "").otherwise(F.concat(F.lit("Volume "), x["v"], F.lit(": "))), F.when(chapter | x["c"].isNull(), "").otherwise(F.concat(F.lit("Chapter "), x["c"], F.lit(": "))), line)
+
+    return _once(ends, lambda runs: F.array_join(F.transform(runs, lambda x, i: shown(runs, x, i)), ", "))
+
+
+def replace_refs(rows: DataFrame, key: str, text: str, authors: DataFrame, works: DataFrame, tag: str = "tlg_ref") -> DataFrame:
+    """key and text, with every tag that has a header [author] [work] [division] [subdivision] replaced by "Author, Work (division, subdivision), places: ".
+
+    authors: author_id, author_name; works: author_id, work_id, work_name, one row a key; what they don't have is Unknown Author and Unknown Work. Tags of one text may cite
+    different authors. Of a tag without a header the payload stays. A text without tags stays as it is; a null text is empty.
+    """
     whole = rf"(?s)(.*?)(?:<{tag}>(.*?)</{tag}>|\z)"
     pieces = F.arrays_zip(F.regexp_extract_all(text, F.lit(whole), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(whole), F.lit(2)).alias("ref"))
-    parts = rows.select(key, F.posexplode(pieces).alias("p", "x")).select(key, "p", "x.gap", F.split("x.ref", "/").alias("f"))
-    parts = parts.withColumn("code", F.get("f", F.lit(0))).join(names.select("code", "name"), "code", "left")
-    level = lambda i, n: F.concat(F.lit(n), F.nullif(F.get("f", F.lit(i)), F.lit("")))
-    label = F.concat(F.concat_ws(", ", F.coalesce("name", F.lit("Unknown")), F.concat_ws(": ", level(1, "Volume "), level(2, "Chapter "), level(3, "Line "))), F.lit(": "))
-    parts = parts.withColumn("t", F.concat("gap", F.when(F.size("f") > 1, label).otherwise("")))
+    parts = rows.select(key, F.posexplode_outer(pieces).alias("p", "x")).select(key, "p", F.coalesce("x.gap", F.lit("")).alias("gap"), F.coalesce("x.ref", F.lit("")).alias("ref"))
+    field = lambda i: F.regexp_extract("ref", _HEADER, i)
+    parts = parts.withColumns({"cited": F.col("ref").rlike(_HEADER), "author_id": field(1), "work_id": field(2), "division": field(3), "subdivision": field(4)})
+    parts = parts.join(authors.select("author_id", "author_name"), "author_id", "left").join(works.select("author_id", "work_id", "work_name"), ["author_id", "work_id"], "left")
+    inside = F.when((F.col("division") != "") | (F.col("subdivision") != ""), F.concat(F.lit(" ("), "division", F.lit(", "), "subdivision", F.lit(")"))).otherwise("")
+    places = F.concat_ws("", F.lit(", "), tag_places(F.col("ref")))
+    label = F.concat(F.coalesce("author_name", F.lit("Unknown Author")), F.lit(", "), F.coalesce("work_name", F.lit("Unknown Work")), inside, places)
+    label = F.concat(F.regexp_replace(label, "^[, ]+|[, ]+$", ""), F.lit(": "))
+    parts = parts.withColumn("t", F.concat("gap", F.when(F.col("cited"), label).otherwise(F.col("ref"))))
     return parts.groupBy(key).agg(ordered_text("p", "t", "").alias(text))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lectern.functions import citations as C
 from lectern.functions import text as T
@@ -27,25 +32,102 @@ def resolve_structures(works: DataFrame, names: DataFrame, structures: DataFrame
     return rows.withColumns({"missed": missed, "levels": F.coalesce("levels", default)}).drop("__author", "__name")
 
 
-def match_names(asked: DataFrame, index: DataFrame, *, by: str, name: str, edits: int = EDITS, ratio: float = RATIO) -> DataFrame:
-    """by, name, match: of each distinct asked name the equal one of the index, else the one within so many edits whose length is nearest, then the first by name.
-
-    Names within e edits share one of e + 1 parts of the indexed name at a place shifted by at most e, so candidates meet by
-    equal parts, not in pairs.
+@F.pandas_udf(StructType([StructField("plain", StringType()), StructField("letters", StringType())]))
+def folded(name: pd.Series) -> pd.DataFrame:
+    """Names in decomposed lower case, and their letters: without signs and white space."""
+    plain = name.map(lambda t: unicodedata.normalize("NFKD", t.lower()), na_action="ignore")
+    letters = plain.map(lambda t: "".join(c for c in t if not (c.isspace() or unicodedata.category(c)[0] == "P")), na_action="ignore")
+    return pd.DataFrame({"plain": plain, "letters": letters})
+
+
+#: A sign of the asked name: it may stand for a space or for nothing.
+_GAP = -1
+
+
+def _elements(name: str) -> list[int]:
+    """The signs of an asked name that a part of an indexed one has to have: a gap for punctuation, unless a space is beside it, which it belongs to."""
+    out: list[int] = []
+    for c in name:
+        x = _GAP if unicodedata.category(c)[0] == "P" else 32 if c.isspace() else ord(c)
+        if x in (_GAP, 32) and out and out[-1] in (_GAP, 32):
+            out[-1] = max(out[-1], x)
+        else:
+            out.append(x)
+    return out
+
+
+def _padded(rows: list[list[int]], pad: int) -> np.ndarray:
+    out = np.full((len(rows), max(map(len, rows), default=0)), pad, np.int32)
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
+
+
+def nearest_part(asked: list[str], names: list[str]) -> np.ndarray:
+    """Of each pair, the fewest edits that make the asked name a part of the other: one row of the table of edits for all pairs at a time."""
+    q, m = _padded([_elements(a) for a in asked], -3), _padded([[ord(c) for c in n] for n in names], -2)
+    inside = np.arange(m.shape[1] + 1) <= np.asarray([[len(n)] for n in names])
+    step = np.arange(m.shape[1] + 1, dtype=np.int32)
+    row = np.zeros((len(q), m.shape[1] + 1), np.int32)
+    for k in range(q.shape[1]):
+        x = q[:, k : k + 1]
+        skip = np.where(x == _GAP, row, row + 1)
+        onto = row[:, :-1] + np.where(x == _GAP, np.where(m == 32, 0, 2), m != x)
+        new = np.concatenate([skip[:, :1], np.minimum(skip[:, 1:], onto)], axis=1)
+        new = np.minimum.accumulate(new - step, axis=1) + step  # a sign more in the name
+        row = np.where(x == -3, row, new)
+    return np.where(inside, row, np.iinfo(np.int32).max).min(1, initial=np.iinfo(np.int32).max)
+
+
+#: Cells of the tables of edits of one lot of pairs.
+_CELLS = 1 << 21
+
+
+@F.pandas_udf(IntegerType())
+def part_edits(asked: pd.Series, names: pd.Series) -> pd.Series:
+    """The edits of :func:`nearest_part`, for lots of pairs of about as long names."""
+    size = names.str.len().to_numpy()
+    order, out, at = np.argsort(size, kind="stable"), np.empty(len(size), np.int64), 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * (size[order[end]] + 1) <= _CELLS:
+            end += 1
+        lot = order[at:end]
+        out[lot] = nearest_part(asked.iloc[lot].tolist(), names.iloc[lot].tolist())
+        at = end
+    return pd.Series(out)
+
+
+def match_names(asked: DataFrame, index: DataFrame, *, by: str, name: str, order: str | None = None, edits: int = EDITS, ratio: float = RATIO) -> DataFrame:
+    """by, name, match: of each distinct asked name the equal one of the index; else, of those of which a part is the asked name but for so many edits and whose
+    length is within the ratio of its, the one nearest in length, then the first in the index (column order; else by name).
+
+    Punctuation of the asked name may stand for a space or nothing; case and the composition of letters don't count. Null and empty names match nothing.
+
+    Cut into edits + 1 pieces, an asked name has one unchanged piece in a name that it is near to, so candidates meet by equal
+    starts of pieces at possible places, of a length that is a power of two; names of fewer letters than pieces meet all of their author's of such a length.
     """
-    a = asked.select(by, T.normalize_work_name(F.col(name)).alias("q")).filter("q <> ''").distinct()
-    i = index.select(by, T.normalize_work_name(F.col(name)).alias("m")).filter("m <> ''").distinct()
-    exact = a.join(i.withColumn("q", F.col("m")), [by, "q"]).select(by, "q", "m")
+    own = lambda rows, short, *more: rows.select(by, T.normalize_work_name(F.col(name)).alias(short), *more).filter(F.col(short) != "")
+    a = own(asked, "q").distinct()
+    i = own(index, "m", F.col(order or name).alias("at")).groupBy(by, "m").agg(F.min("at").alias("at"))
+    exact = a.join(i.select(by, F.col("m").alias("q")), [by, "q"]).select(by, "q", F.col("q").alias("m"))
+    left = a.join(exact.select(by, "q"), [by, "q"], "left_anti").withColumn("f", folded("q")).select(by, "q", F.col("f.plain").alias("q_plain"), F.col("f.letters").alias("q_letters"))
+    i = i.withColumn("f", folded("m")).select(by, "m", "at", F.col("f.plain").alias("m_plain"), F.col("f.letters").alias("m_letters"))
     n = edits + 1
-    start = lambda size, k: F.floor(size * k / n).cast("int")
-    parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda k: F.struct(k.alias("k"), F.expr("length(m)").alias("size"), F.substring(F.col("m"), start(F.length("m"), k) + 1, start(F.length("m"), k + 1) - start(F.length("m"), k)).alias("part"))))
-    left = a.join(exact.select(by, "q"), [by, "q"], "left_anti")
-    sizes = F.sequence(F.greatest(F.length("q") - edits, F.lit(1)), F.length("q") + edits)
-    seeds = F.flatten(F.flatten(F.transform(sizes, lambda s: F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda k: F.transform(F.sequence(F.greatest(start(s, k) - edits, F.lit(0)), start(s, k) + edits), lambda p: F.struct(k.alias("k"), s.alias("size"), F.substring(F.col("q"), p + 1, start(s, k + 1) - start(s, k)).alias("part")))))))
-    asked_parts = left.select(by, "q", F.explode(F.array_distinct(seeds)).alias("p")).select(by, "q", "p.*")
-    pairs = asked_parts.join(i.select(by, "m", parts.alias("p")).select(by, "m", "p.*"), [by, "k", "size", "part"]).select(by, "q", "m").distinct()
-    off = F.abs(1 - F.length("m") / F.length("q"))
-    near = pairs.filter((off <= ratio) & (F.levenshtein("q", "m", edits) >= 0)).groupBy(by, "q").agg(F.min(F.struct(off.alias("off"), "m"))["m"].alias("m"))
+    piece = F.floor(F.length("q_letters") / n)
+    gram = F.when(piece >= 1, F.pow(F.lit(2), F.floor(F.log2(piece))).cast("int")).otherwise(0)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda k: F.floor(F.length("q_letters") * k / n).cast("int"))
+    left = left.withColumn("gram", gram)
+    seeds = F.when(F.col("gram") > 0, F.transform(starts, lambda s: F.struct(s.alias("q_at"), F.substring(F.col("q_letters"), s + 1, F.col("gram")).alias("part")))).otherwise(F.array(F.struct(F.lit(0).alias("q_at"), F.lit("").alias("part"))))
+    left = left.select("*", F.explode(seeds).alias("x")).select(*left.columns, "x.q_at", "x.part")
+    sizes = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.length("m_letters"), F.lit(1)))).cast("int")), lambda e: F.pow(F.lit(2), e).cast("int"))
+    grams = F.flatten(F.transform(sizes, lambda g: F.transform(F.sequence(F.lit(0), F.greatest(F.length("m_letters") - g, F.lit(0))), lambda p: F.struct(g.alias("gram"), p.alias("m_at"), F.substring(F.col("m_letters"), p + 1, g).alias("part")))))
+    grams = F.concat(grams, F.array(F.struct(F.lit(0).alias("gram"), F.lit(0).alias("m_at"), F.lit("").alias("part"))))
+    i = i.select("*", F.explode(grams).alias("x")).select(*i.columns, "x.gram", "x.m_at", "x.part")
+    size = F.length("m") / F.length("q")
+    fits = (F.col("gram") == 0) | ((F.col("m_at") >= F.col("q_at") - edits) & (F.length("m_letters") - F.col("m_at") >= F.length("q_letters") - F.col("q_at") - edits))
+    pairs = left.join(i, [by, "gram", "part"]).filter(fits & size.between(1 - ratio, 1 + ratio)).select(by, "q", "m", "at", "q_plain", "m_plain").distinct()
+    near = pairs.filter(part_edits("q_plain", "m_plain") <= edits).groupBy(by, "q").agg(F.min(F.struct(F.abs(1 - size).alias("off"), "at", "m"))["m"].alias("m"))
     return exact.unionByName(near).select(by, F.col("q").alias("name"), F.col("m").alias("match"))
 
 

@@ -126,15 +126,19 @@ def missing_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.resolve_structures(*_works(spark, sf_dir)).filter("missed is not null").select("author_id", "work_id", "missed").distinct()
 
 
-@query("""WITH a AS (SELECT DISTINCT p_brand, lower(CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN replace(p_name, 'e', 'i') ELSE 'x' || p_name || 'y' END) AS q FROM part),
-i AS (SELECT DISTINCT p_brand, lower(p_name) AS m FROM part WHERE p_partkey % 2 = 0),
-c AS (SELECT p_brand, q, m, q = m AS same, abs(1 - length(m) / length(q)) AS off FROM a JOIN i USING (p_brand) WHERE q = m OR (levenshtein(q, m) <= 3 AND abs(1 - length(m) / length(q)) <= 0.2))
-SELECT p_brand, q AS name, m AS match FROM c QUALIFY row_number() OVER (PARTITION BY p_brand, q ORDER BY same DESC, off, m) = 1""")
+_NAME = "p_name || ' of number ' || p_partkey % 90 || ' the ' || p_name"
+_ASKED = f"CASE p_partkey % 5 WHEN 0 THEN {_NAME} WHEN 1 THEN replace({_NAME}, 'e', 'i') WHEN 2 THEN trim(substr({_NAME}, 3, length({_NAME}) - 5)) WHEN 3 THEN replace({_NAME}, ' of ', '.of ') ELSE 'x' || {_NAME} || 'y' END"
+
+
+@query(f"""WITH a AS (SELECT DISTINCT p_brand, {_ASKED} AS q FROM part), i AS (SELECT p_brand, {_NAME} AS m, min(p_partkey) AS place FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL),
+v AS (SELECT p_brand, q, unnest([replace(q, '.', ' '), replace(q, '.', '')]) AS v FROM a),
+p AS (SELECT p_brand, q, v, m, place, length(m) / length(q) AS ratio FROM v JOIN i USING (p_brand) WHERE q = m OR length(m) / length(q) BETWEEN 0.8 AND 1.2),
+c AS (SELECT *, q = m AS same FROM p WHERE q = m OR list_min(list_transform(range(1, length(m) - length(v) + 5), lambda s: list_min(list_transform(range(greatest(length(v) - 3, 0), length(v) + 4), lambda n: levenshtein(v, substr(m, s, n)))))) <= 3)
+SELECT p_brand, q AS name, m AS match FROM c QUALIFY row_number() OVER (PARTITION BY p_brand, q ORDER BY same DESC, abs(1 - ratio), place) = 1""")
 def match_work_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names as they are, with another letter, and with signs at both ends, against every other name of their brand."""
-    part, k = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey") % 3
-    asked = part.select("p_brand", F.when(k == 0, F.col("p_name")).when(k == 1, F.replace("p_name", F.lit("e"), F.lit("i"))).otherwise(F.concat(F.lit("x"), "p_name", F.lit("y"))).alias("p_name"))
-    return W.match_names(asked, part.filter("p_partkey % 2 = 0"), by="p_brand", name="p_name")
+    """Names as they are, with other letters, cut at both ends (further off than three edits as a whole), with a sign for a space, and with signs at both ends, against every other name of their brand."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", "p_partkey", F.expr(_NAME).alias("p_name"))
+    return W.match_names(part.select("p_brand", F.expr(_ASKED.replace(_NAME, "p_name")).alias("p_name")), part.filter("p_partkey % 2 = 0"), by="p_brand", name="p_name", order="p_partkey")
 
 
 @query(with_tables("lines") + """SELECT line_id, CASE n % 4 WHEN 0 THEN 'chapter' WHEN 1 THEN 'chapter' WHEN 2 THEN 'page' ELSE 'epistle' END AS above, CASE n % 4 WHEN 0 THEN CAST(chapter AS VARCHAR) WHEN 2 THEN CAST(chapter AS VARCHAR) ELSE '1' END AS division_key FROM lines""")

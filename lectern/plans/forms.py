@@ -37,11 +37,30 @@ def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.mark_sections(rows, ["text_id"], "n", "content", F.col("line_number") == 1, f"{context.scratch(spark)}/lines").select("line_id", "section", "header", "is_header")
 
 
-@query(with_tables("authors", "lines") + "SELECT line_id, 'see Author src8, Volume ' || volume || ': Chapter ' || chapter || ': Line ' || line_number || ': and Unknown, Volume 1: ' || content AS content FROM lines")
+_BY = "CASE WHEN source IN ('src3', 'src5') THEN 'Unknown Author' ELSE 'Author ' || source END || ', ' || CASE WHEN lang = 'de' THEN 'Unknown Work' ELSE 'Work ' || lang || ' of ' || source END"
+
+
+@query(with_tables("lines") + f"""SELECT line_id, CASE n % 6
+  WHEN 0 THEN 'see ' || {_BY} || ', Volume ' || volume || ': Chapter ' || chapter || ': Lines ' || line_number || '-' || (line_number + 1) || ', Line ' || (line_number + 3) || ', Chapter ' || chapter || 'a: Line 1, Volume ' || volume || 'x: Chapter 1: Line 9: end'
+  WHEN 1 THEN {_BY} || ' (a, ), Chapter ' || chapter || ': Line ' || line_number || ', Chapter x: Lines 1-3: '
+  WHEN 2 THEN 'Unknown Author, Unknown Work (, b), Lines ' || line_number || '-' || (line_number + 2) || ': ' || line_number
+  WHEN 3 THEN 'nothing known of it'
+  WHEN 4 THEN {_BY} || ': and Author src8, Work en of src8 (c, d), Line 12: ' || chapter
+  ELSE 'no tag' END AS content FROM lines JOIN documents ON doc_id = text_id""")
 def replace_ref_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = V.authors(spark, sf_dir).filter("author_code = '0008'").select(F.col("author_code").alias("code"), F.col("author_name").alias("name"))
-    tagged = F.concat(F.lit("see <tlg_ref>0008/"), "volume", F.lit("/"), "chapter", F.lit("/"), "line_number", F.lit("</tlg_ref>and <tlg_ref>none/1</tlg_ref>"), "content")
-    return D.replace_refs(V.lines(spark, sf_dir).select("line_id", tagged.alias("content")), "line_id", "content", names)
+    """Tags by volume, by chapter and by line alone, in any order and with repetitions, with and without divisions; of known and unknown authors and works; without a header; two in one line, of two authors; and none."""
+    docs = V.documents(spark, sf_dir).select(F.col("doc_id").alias("text_id"), "source", "lang")
+    authors = docs.select(F.col("source").alias("author_id")).union(spark.createDataFrame([("src8",)], "author_id string")).distinct().filter("author_id not in ('src3', 'src5')")
+    works = docs.select(F.col("source").alias("author_id"), F.col("lang").alias("work_id")).union(spark.createDataFrame([("src8", "en")], "author_id string, work_id string")).distinct().filter("work_id <> 'de'")
+    tagged = """CASE n % 6
+      WHEN 0 THEN concat('see <tlg_ref>[', source, '] [', lang, '] [] []Volume ', volume, 'x, Chapter 1, Line 9, Volume ', volume, ', Chapter ', chapter, ', Line ', line_number + 1, ', Volume ', volume, ', Chapter ', chapter, ', Line ', line_number, ', Volume ', volume, ', Chapter ', chapter, 'a, Line 1, Volume ', volume, ', Chapter ', chapter, ', Line ', line_number + 3, '</tlg_ref>end')
+      WHEN 1 THEN concat('<tlg_ref>[', source, '] [', lang, '][a][]Chapter x, Line 3, Chapter ', chapter, ', Line ', line_number, ', Chapter x, Line 1, Chapter x, Line 2, Chapter x, Line 1</tlg_ref>')
+      WHEN 2 THEN concat('<tlg_ref>[none] [', lang, '] [] [b] Line ', line_number + 2, ' Line ', line_number, 'a Line ', line_number + 1, '</tlg_ref>', line_number)
+      WHEN 3 THEN 'nothing <tlg_ref>known</tlg_ref> of it'
+      WHEN 4 THEN concat('<tlg_ref>[', source, ']\n[', lang, '] [] []</tlg_ref>and <tlg_ref>[src8][en][c][d]Line 12</tlg_ref>', chapter)
+      ELSE 'no tag' END"""
+    rows = V.lines(spark, sf_dir).join(docs, "text_id").select("line_id", F.expr(tagged).alias("content"))
+    return D.replace_refs(rows, "line_id", "content", authors.withColumn("author_name", F.concat(F.lit("Author "), "author_id")), works.withColumn("work_name", F.concat(F.lit("Work "), "work_id", F.lit(" of "), "author_id")))
 
 
 @query(with_tables("lines") + "SELECT line_id, 'wordpart<tlg_ref>' || line_number || '</tlg_ref> ' || content AS content FROM lines")

@@ -1,5 +1,7 @@
 """Context, search, verification, lexicon and files on small tables."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from lectern.operators import context, lexicon, search, verify
@@ -105,12 +107,16 @@ def test_works(spark):
 
 
 def test_names_nearly_alike(spark):
-    """Against all pairs."""
+    """Against the edits of all parts of all names, with every reading of the signs."""
+    import itertools
     import random
+    import unicodedata
 
     rng = random.Random(3)
-    names = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 14))).strip() or "a" for _ in range(150)})
-    asked = names[::3] + ["", "abcabcabcabcab"]
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 5)))
+    index = [rng.choice([" ", "  "]).join(word() for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    asked = [rng.choice([" ", ".", ", ", ""]).join(x.split()) + rng.choice(["", "", "b", "acb", "?"]) for x in index[::3]]
+    asked += [x[rng.randint(0, 3) :] for x in index] + [unicodedata.normalize("NFD", x) for x in index[:20]] + ["", None, "...", "12 [x] (y", "7. ABC", "abcabcabcabcab"]
 
     def edits(a, b):
         row = list(range(len(b) + 1))
@@ -121,17 +127,44 @@ def test_names_nearly_alike(spark):
             row = new
         return row[-1]
 
-    norm = lambda t: " ".join(t.split())
-    index = sorted({norm(n) for n in names[1::2]})
+    def norm(t):
+        t = re.sub(r"[+$%]|\[[^\]]*\]|\([^)]*\)?", "", re.sub(r"^\d+\.?\s*", "", t.strip()))
+        return " ".join(t.lower().split())
+
+    fold = lambda t: unicodedata.normalize("NFKD", t)
+
+    def near(q, m):
+        """A sign beside a space is part of it; any other is a space or nothing."""
+        q = re.sub(r"[.,?]*\s[.,?\s]*", " ", fold(q))
+        q = re.sub(r"[.,?]+", "\0", q)
+        for chosen in itertools.product(" \0", repeat=q.count("\0")):
+            it = iter(chosen)
+            v = "".join(next(it) if c == "\0" else c for c in q).replace("\0", "")
+            if any(edits(v, fold(m)[s : s + n]) <= 3 for s in range(len(fold(m)) + 1) for n in range(max(0, len(v) - 3), len(v) + 4)):
+                return True
+        return False
+
+    own = [norm(x) for x in index]
     expected = {}
-    for q in {norm(a) for a in asked}:
-        near = [(abs(1 - len(m) / len(q)), m) for m in index if q and m and abs(1 - len(m) / len(q)) <= 0.2 and edits(q, m) <= 3]
-        if q in index:
+    for q in {norm(a) for a in asked if a}:
+        found = [(abs(1 - len(m) / len(q)), own.index(m), m) for m in set(own) if q and m and 0.8 <= len(m) / len(q) <= 1.2 and near(q, m)]
+        if q in own:
             expected[q] = q
-        elif near:
-            expected[q] = min(near)[1]
-    frame = lambda own: spark.createDataFrame([("k", n) for n in own], "by string, name string")
-    assert {r["name"]: r.match for r in W.match_names(frame(asked), frame(names[1::2]), by="by", name="name").collect()} == expected
+        elif found:
+            expected[q] = min(found)[2]
+    assert any(edits(q, m) > 3 for q, m in expected.items())
+    asked = spark.createDataFrame([("k", n) for n in asked], "by string, name string")
+    names = spark.createDataFrame([("k", n, at) for at, n in enumerate(index)], "by string, name string, at int")
+    assert {r["name"]: r.match for r in W.match_names(asked, names, by="by", name="name", order="at").collect()} == expected
+    assert W.match_names(asked, names.filter("false"), by="by", name="name").collect() == []
+
+
+def test_a_part_of_a_longer_name(spark):
+    """Whole names are six edits apart, and a part of one is the other."""
+    one = lambda n: spark.createDataFrame([("k", n)], "by string, name string")
+    for q, m in (("Galeni de usu partium corporis", "Claudii Galeni de usu partium corporis".replace("Claudii ", "Cl. ")), ("de articulis et ossibus membr", "de articulis et ossibus membrorum"), ("De usu.partium", "De Usu Partium")):
+        assert [r.match for r in W.match_names(one(q), one(m), by="by", name="name").collect()] == [m.lower()]
+    assert W.match_names(one("de articulis"), one("de articulis et ossibus"), by="by", name="name").collect() == []
 
 
 def test_annotator_and_places(spark):
@@ -145,3 +178,37 @@ def test_annotator_and_places(spark):
     tokens = search.annotate(rows, annotator).filter("id = 1")
     places = [tokens.select(search.token_places(F.col("tokens"), F.lit(line)).alias("p")).first()["p"] for line in ("xa bb", "bb", "zz", "a a bb")]
     assert places == [(2, 1, 5), (1, 0, 2), None, (2, 0, 6)]
+
+
+def test_reference_tags(spark):
+    """Many places in one tag against a plain version, and tags that are no citation."""
+    import random
+
+    from lectern.operators import divisions as D
+
+    def plain(places):
+        out = []
+        for v in sorted({p[0] for p in places}):
+            chapters = []
+            for c in sorted({p[1] for p in places if p[0] == v}):
+                runs = []
+                for n in sorted({p[2] for p in places if p[:2] == (v, c)}):
+                    if runs and runs[-1][1] == n - 1:
+                        runs[-1][1] = n
+                    else:
+                        runs.append([n, n])
+                chapters.append(f"Chapter {c}: " + ", ".join(f"Line {a}" if a == b else f"Lines {a}-{b}" for a, b in runs))
+            out.append(f"Volume {v}: " + ", ".join(chapters))
+        return ", ".join(out)
+
+    rng = random.Random(4)
+    cases = [[(rng.choice(["1", "2", "10", "a"]), rng.choice("12b"), rng.randrange(1, 12)) for _ in range(rng.randint(1, 60))] for _ in range(40)]
+    rows = [(i, "x <tlg_ref>[0057] [001] [] []" + ", ".join(f"Volume {v}, Chapter {c}, Line {n}" for v, c, n in p) + "</tlg_ref>y", f"x Galen, De usu, {plain(p)}: y") for i, p in enumerate(cases)]
+    rows += [
+        (100, "<tlg_ref>[0057][9][][]</tlg_ref>", "Galen, Unknown Work: "), (101, "<tlg_ref>1.2.3</tlg_ref> a <tlg_ref></tlg_ref>", "1.2.3 a "), (102, None, ""), (103, "", ""), (104, "<tlg_ref>open", "<tlg_ref>open"),
+        (105, "<tlg_ref>[0057] [001] [x] [y]Line z, Line 7\n</tlg_ref><tlg_ref>[1] [1] [] []Chapter 2, Line 3</tlg_ref>", "Galen, De usu (x, y), Line 7: Unknown Author, Unknown Work, Chapter 2: Line 3: "),
+    ]
+    authors = spark.createDataFrame([("0057", "Galen")], "author_id string, author_name string")
+    works = spark.createDataFrame([("0057", "001", "De usu")], "author_id string, work_id string, work_name string")
+    got = D.replace_refs(spark.createDataFrame([r[:2] for r in rows], "id int, t string"), "id", "t", authors, works)
+    assert {r.id: r.t for r in got.collect()} == {i: want for i, _, want in rows}
