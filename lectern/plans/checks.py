@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions import citations as C
 from lectern.operators import context, verify
+from lectern.operators import divisions as D
 from lectern.plans import views as V
 from lectern.plans.registry import query
 from lectern.plans.views import with_tables
-from lectern.sources import files
+from lectern.sources import files, store
+from lectern.streaming import imports
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,17 +73,54 @@ def import_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.new_texts(V.documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'de' THEN upper(source) ELSE source END AS source FROM documents")
+def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, str]:
+    """The lines of all texts in a store, its folder, and a folder for what updates put aside."""
+    where = context.scratch(spark)
+    lines = V.lines(spark, sf_dir).select("text_id", F.col("n").cast("long").alias("n"), "content")
+    store.create(lines, f"{where}/store", parts=32)
+    return lines, f"{where}/store", where
+
+
+@query(with_tables("lines") + """SELECT text_id, n, CASE WHEN text_id % 16 = 3 AND n % 2 = 0 THEN 'new ' || content ELSE content END AS content FROM lines WHERE text_id % 16 <> 3 OR n % 5 <> 4
+UNION ALL SELECT -text_id, n, content FROM lines WHERE text_id % 50 = 7""")
 def upsert_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = V.documents(spark, sf_dir).select("doc_id", "source", "lang")
-    new = docs.filter("lang = 'de'").select("doc_id", F.upper("source").alias("source"))
-    return files.upsert_texts(docs.select("doc_id", "source"), new, "doc_id")
+    """Texts come with changed and fewer lines, as they are stored, and new."""
+    lines, path, where = _kept(spark, sf_dir)
+    changed = lines.filter("text_id % 16 = 3 and n % 5 <> 4").withColumn("content", F.when(F.col("n") % 2 == 0, F.concat(F.lit("new "), "content")).otherwise(F.col("content")))
+    new = lines.filter("text_id % 50 = 7").withColumn("text_id", -F.col("text_id"))
+    store.upsert(spark, path, changed.unionByName(new).unionByName(lines.filter("text_id % 16 = 4")), f"{where}/update", parts=32)
+    return store.read(spark, path)
 
 
-@query("SELECT doc_id FROM documents WHERE lang <> 'de'")
+@query(with_tables("lines") + "SELECT text_id, n, content FROM lines WHERE text_id % 16 <> 3")
 def remove_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = V.documents(spark, sf_dir).select("doc_id", "lang")
-    return files.remove_texts(docs.select("doc_id"), docs.filter("lang = 'de'").select("doc_id"), "doc_id")
+    """Texts go, and ids that aren't there change nothing."""
+    lines, path, where = _kept(spark, sf_dir)
+    store.remove(spark, path, lines.filter("text_id % 16 = 3").select(F.explode(F.array("text_id", -F.col("text_id") - 1)).alias("text_id")), f"{where}/update", parts=32)
+    return store.read(spark, path)
+
+
+@query(with_tables("lines") + """, l AS (SELECT text_id, n, content, row_number() OVER (PARTITION BY text_id ORDER BY n) AS k FROM lines)
+SELECT CAST(text_id AS VARCHAR) AS text_id, CAST(k AS INTEGER) AS n, CASE WHEN text_id % 3 = 1 THEN 'first ' ELSE '' END || content AS line FROM l""")
+def stream_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two thirds of the texts are imported, then files of all texts are added, of which a third is there already and comes with other lines, and imported by the same stream."""
+    where = context.scratch(spark)
+    rows = V.lines(spark, sf_dir).groupBy("text_id").agg(D.ordered_text("n", "content", "\n").alias("t"))
+    first = F.concat(F.lit("first "), F.regexp_replace("t", "\n", "\nfirst "))
+
+    def put(texts: DataFrame, name: str) -> None:
+        texts.repartition("text_id").write.partitionBy("text_id").text(f"{where}/{name}")
+
+    def take() -> None:
+        query_ = imports.stream_new_texts(spark, f"{where}/files", f"{where}/store", f"{where}/checkpoint", f"{where}/aside", name=r"text_id=(\d+)/", parts=16)
+        query_.awaitTermination()
+
+    put(rows.filter("text_id % 3 = 1").select("text_id", first.alias("value")).unionByName(rows.filter("text_id % 3 = 0").select("text_id", F.col("t").alias("value"))), "files/a")
+    take()
+    put(rows.select("text_id", F.col("t").alias("value")), "files/b")
+    take()
+    take()
+    return store.read(spark, f"{where}/store").select("text_id", "n", "line")
 
 
 @query(with_tables("divisions") + "SELECT division_id, row_number() OVER (PARTITION BY text_id ORDER BY CAST(chapter AS VARCHAR)) AS place FROM divisions")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import citations as C
-from lectern.operators import context, search, sentences
+from lectern.operators import context, postings, search, sentences
 from lectern.plans import views as V
 from lectern.plans.registry import query
 from lectern.plans.views import with_tables
@@ -51,6 +53,15 @@ def search_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.tokens(spark, sf_dir).filter(search.has_lemma(F.col("tokens"), "the")).select("sentence_id")
 
 
+@query(with_tables("tokens") + "SELECT DISTINCT lemma, sentence_id FROM tokens WHERE lemma IN (SELECT lower(unnest(regexp_extract_all(text, '[\\p{L}]+'))) FROM benchmark)")
+def search_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the benchmark table at once, from stored postings."""
+    where, name = context.scratch(spark), f"postings_{uuid.uuid4().hex}"
+    postings.write(V.tokens(spark, sf_dir), name, f"{where}/postings", buckets=32)
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0)), F.lower)).alias("lemma"))
+    return postings.sentences(spark, name, asked)
+
+
 @query(with_tables("texts", "divisions") + "SELECT division_id, volume, chapter FROM divisions JOIN texts USING (text_id) WHERE author_id = 8 AND work_number = '008'")
 def search_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = V.texts(spark, sf_dir).filter("author_id = 8 and work_number = '008'").select("text_id")

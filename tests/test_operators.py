@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lectern.operators import context, lexicon, search, verify
 from lectern.operators import works as W
 from lectern.sources import files
-from lectern.streaming import imports
 
 TOKENS = "array<struct<text:string,lemma:string,pos:string,category:string>>"
 
@@ -83,9 +82,6 @@ def test_files(spark, tmp_path):
     tagged = spark.createDataFrame([("t1", "a b", None)], files.TAGGED)
     files.write_tagged_jsonl(tagged, str(tmp_path / "out"))
     assert files.read_tagged_jsonl(spark, str(tmp_path / "out")).select("text_id", "text").collect() == [("t1", "a b")]
-    q = imports.stream_new_files(spark, str(tmp_path), str(tmp_path / "sink"), str(tmp_path / "ck"))
-    q.awaitTermination(60)
-    assert sorted(r.text.count("café") for r in spark.read.parquet(str(tmp_path / "sink")).collect()) == [0, 1]
 
 
 def test_works(spark):
