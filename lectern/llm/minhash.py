@@ -5,9 +5,10 @@ are candidates. A candidate pair's signatures are compared batch by batch: with
 posterior, and a pair goes as soon as the chance of reaching the threshold is below the chosen miss probability. What survives is verified on the full sets.
 
 A bucket's pairs are not all made. First every bucket compares its members with the most central one (the one that shares
-most buckets), which joins a group of versions of one text at once, then with another one. Components are formed, and only buckets that still
-hold several components go on: there, members outside the largest component are compared with all others in blocks, and the best few, then
-more, then all survivors that lie in different components are verified. So no link that survives is lost to the order of the comparisons.
+most buckets), which joins a group of versions of one text at once. Components are formed, and only buckets that still
+hold several components go on: there, members of different components are compared inside the tasks, by their signatures and then by sets of shortened hashes,
+which lose no link. Of the links that stay, as many as join what is linked are verified on the full sets, and all of them, should one fail. So no link is
+lost to the order of the comparisons, and the number of pairs that leave a task doesn't grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ PERCENT = 85
 BANDS, ROWS = 26, 5
 #: Hashes of a signature, how many are compared at once, and the posterior chance of a link below which a pair goes.
 HASHES, BATCH, MISS = 256, 32, 1e-6
-#: A block's queries and targets in a bucket of several components, and how many of a query's best survivors are verified in each turn (the last: all).
-QUERIES, TARGETS, TURNS = 1024, 8192, (8, 64, None)
+#: Rows of a unit of buckets; a block's queries and targets in the buckets of a larger one.
+UNIT, QUERIES, TARGETS = 8192, 1024, 4096
+#: Rows of units that a task holds, about, and pairs that it compares at once.
+BIN, PAIRS = 10_000, 1 << 17
 #: Texts of so many bytes are hashed side by side.
 HASHED_BYTES = 256 << 10
 
@@ -116,7 +119,7 @@ def _signed_rows(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _shingle_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node and shingles of the wanted nodes (node, d1, d2, least): only texts with such an id are read, and told apart by their digests."""
+    """node, shingles and short (their lower 32 bits, sorted) of the wanted nodes (node, d1, d2, least): only texts with such an id are read, and told apart by their digests."""
     ids = wanted.select("least").distinct()
     if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
         ids = F.broadcast(ids)
@@ -125,20 +128,21 @@ def _shingle_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for part in common.slices(batch):
             sets = [_set(t, words) for t in common.texts(part)]
             d = [_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["d1", "d2", "shingles"])
+            short = [np.sort(s.astype("<u4")).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["d1", "d2", "shingles", "short"])
 
-    read = common.map_batches(rows.join(ids, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi"), run, "d1 bigint, d2 bigint, shingles array<bigint>")
+    read = common.map_batches(rows.join(ids, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi"), run, "d1 bigint, d2 bigint, shingles array<bigint>, short binary")
     # An id may stand in several rows, so a wanted set may come more than once.
-    return read.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return read.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("short").alias("short"))
 
 
-def _pass(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
-    """Equal hashes of each pair of rows; -1 for pairs that a posterior bound prunes."""
+def _pass(x: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
+    """Equal hashes of each pair of rows a and b of x; -1 for pairs that a posterior bound prunes."""
     out = np.full(len(a), -1, np.int64)
     alive, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
     for k, m in enumerate(least):
-        at = slice(k * BATCH, (k + 1) * BATCH)
-        equal = equal + (a[alive, at] == b[alive, at]).sum(1)
+        part = x[:, k * BATCH : (k + 1) * BATCH]
+        equal = equal + (part[a[alive]] == part[b[alive]]).sum(1)
         keep = equal >= m
         alive, equal = alive[keep], equal[keep]
     out[alive] = equal
@@ -156,7 +160,9 @@ def _survivors(pairs: DataFrame, sigs: DataFrame, where: str, least: list[int])
 
     def run(batch: pa.RecordBatch):
         if len(batch):
-            yield pa.RecordBatch.from_struct_array(pa.StructArray.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(_pass(_sigs(batch["x"].to_pylist()), _sigs(batch["y"].to_pylist()), least) >= 0)))
+            n = np.arange(len(batch))
+            keep = _pass(_sigs(batch["x"].to_pylist() + batch["y"].to_pylist()), n, n + len(n), least) >= 0
+            yield pa.RecordBatch.from_struct_array(pa.StructArray.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep)))
 
     return common.map_batches(both, run, "a bigint, b bigint")
 
@@ -178,36 +184,99 @@ def _verified(pairs: DataFrame, sets: DataFrame, where: str, percent: int) -> Da
     return common.map_batches(both.select("a", "b", "x", "y"), run, "a bigint, b bigint")
 
 
-def _in_blocks(members: DataFrame, buckets: DataFrame, sigs: DataFrame, least: list[int], best: int | None) -> DataFrame:
-    """The pairs (a, b) of members of one bucket and different components that no bound prunes; of each query's in a block only the best, if given.
-
-    members: key, node, comp of open buckets; buckets: key, n, main (its largest component) and others (how many are not in it).
+def _crossed(starts: np.ndarray, split: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of queries and targets that stand against each other, lot by lot: a block's queries are its rows up to split, its targets the others. A query's targets stay in one lot."""
+    counts = np.repeat(ends - split, split - starts)
+    queries = np.concatenate([np.arange(a, b) for a, b in zip(starts.tolist(), split.tolist(), strict=True)] or [np.zeros(0, np.int64)])
+    firsts, upto, at = np.repeat(split, split - starts), np.cumsum(counts), 0
+    while at < len(queries):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        n = counts[at:end]
+        before = np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(queries[at:end], n), np.repeat(firsts[at:end], n) + np.arange(n.sum()) - before
+        at = end
+
+
+def _alike(sets: list[np.ndarray], q: np.ndarray, t: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of short sets are similar enough. Short hashes may fall together, which adds to what sets share, so no pair is lost."""
+    keep = np.zeros(len(q), bool)
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(q)], strict=True):
+        own = sets[q[a]]
+        size = np.asarray([len(sets[i]) for i in t[a:b]])
+        flat = np.concatenate([sets[i] for i in t[a:b]])
+        shared = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, np.cumsum(size) - size)
+        keep[a:b] = 100 * shared >= percent * (len(own) + size - shared)
+    return keep
+
+
+def _in_blocks(members: DataFrame, buckets: DataFrame, known: DataFrame, where: str, least: list[int], percent: int, forest: bool) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components, by signatures and short sets: as many as join all that are linked, or all.
+
+    members: key, node, comp of open buckets; buckets: key, n, main (its largest component) and others (how many are not in it); known: node, sig and short. Buckets that share
+    nodes are one unit, so that a node is sent once a unit; of a unit with too many rows each bucket is on its own, in blocks of queries and targets.
     """
-    rows = common.join_split(members, buckets, ["key"]).join(sigs, "node")
+    rows = common.saved(common.join_split(members, buckets, ["key"]), f"{where}/rows")
+    least_key = rows.groupBy("node").agg(F.min("key").alias("low"))
+    units = rows.select("key", "node").join(least_key, "node").groupBy("key").agg(F.min("low").alias("unit"), F.count("*").alias("n"))
+    large = units.groupBy("unit").agg(F.sum("n").alias("rows")).filter(F.col("rows") > UNIT).select("unit", F.lit(True).alias("large"))
+    units = common.saved(units.join(large, "unit", "left").select("key", "n", "unit", F.coalesce("large", F.lit(False)).alias("large")), f"{where}/units")
+    rows = common.join_split(rows, units, ["key"])
+    small = rows.filter("not large").groupBy("unit", "node").agg(F.collect_list("key").alias("keys"), F.first("comp").alias("comp"))  # a node is in as many buckets as bands at most
+    small = small.select("unit", F.lit(0).alias("share"), F.lit(0).alias("block"), F.lit(None).cast("boolean").alias("told"), "node", "comp", "keys")
     shares, blocks = F.ceil(F.col("others") / QUERIES).cast("int"), F.ceil(F.col("size") / TARGETS).cast("int")
     own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     count = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ["key", "share", "block", "asks", "node", "comp", "sig"]
-    asks = rows.filter("comp <> main").withColumns({"share": own(shares, 1), "asks": F.lit(True)}).withColumn("block", count(blocks)).select(columns)
-    told = rows.withColumns({"block": own(blocks, 2), "asks": F.lit(False)}).withColumn("share", count(shares)).select(columns)
+    columns = [F.col("key").alias("unit"), "share", "block", "told", "node", "comp", F.array("key").alias("keys")]
+    hot = rows.filter("large")
+    asks = hot.filter("comp <> main").withColumns({"share": own(shares, 1), "told": F.lit(False)}).withColumn("block", count(blocks)).select(columns)
+    told = hot.withColumns({"block": own(blocks, 2), "told": F.lit(True)}).withColumn("share", count(shares)).select(columns)
+    sent = small.unionByName(asks).unionByName(told).join(known, "node")
+    bins = F.pmod(F.xxhash64("unit", "share", "block"), F.lit(1 + members.count() // BIN)).alias("bin")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, t = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(q) and len(t):
-            x, y = _sigs(q["sig"]), _sigs(t["sig"])
-            nodes, comps, head = t["node"].to_numpy(), t["comp"].to_numpy(), np.ascontiguousarray(y[:, :BATCH])
-            for node, comp, sig in zip(q["node"].to_numpy(), q["comp"].to_numpy(), x, strict=True):
-                near = np.flatnonzero(((head == sig[:BATCH]).sum(1) >= least[0]) & (comps != comp))
-                equal = _pass(np.broadcast_to(sig, (len(near), HASHES)), y[near], least)
-                near, equal = near[equal >= 0], equal[equal >= 0]
-                if best and len(near) > best:
-                    near = near[np.argsort(-equal, kind="stable")[:best]]
-                out_a.append(np.minimum(nodes[near], node))
-                out_b.append(np.maximum(nodes[near], node))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
-
-    return asks.unionByName(told).groupBy("key", "share", "block").applyInPandas(compare, "a bigint, b bigint").distinct()
+        pdf = pdf.sort_values(["unit", "share", "block", "node"], ignore_index=True)
+        x, sets = _sigs(pdf["sig"]), [np.frombuffer(b, "<u4") for b in pdf["short"]]
+        nodes, comps = pdf["node"].to_numpy(), pdf["comp"].to_numpy()
+        each = pd.DataFrame({"row": np.repeat(np.arange(len(pdf)), pdf["keys"].str.len()), "key": np.concatenate(pdf["keys"].to_list())})
+        each = each.join(pdf[["unit", "share", "block", "told"]], on="row")
+        hot = each["told"].notna()
+        # In a small unit a component's rows ask those of the components before it in the bucket; in a block some rows ask and others are told.
+        each["rank"] = np.where(hot, each["told"].fillna(False).astype(bool), comps[each["row"]])
+        each = each.sort_values(["unit", "share", "block", "key", "rank", "row"], ignore_index=True)
+        at, rank, row = each[["unit", "share", "block", "key"]].to_numpy(), each["rank"].to_numpy(), each["row"].to_numpy()
+        new = np.append(True, (at[1:] != at[:-1]).any(1))
+        turn = np.append(True, new[1:] | (rank[1:] != rank[:-1]))
+        ends = np.append(np.flatnonzero(new)[1:], len(each))[np.cumsum(new) - 1]
+        starts = np.flatnonzero(turn)
+        split, ends = np.append(starts[1:], len(each)), ends[starts]
+        some = split < ends
+        roots: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := roots.get(c, c)) != c:
+                roots[c] = c = roots.get(up, up)
+            return c
+
+        out, seen = [], np.zeros(0, np.int64)
+        for q, t in _crossed(starts[some], split[some], ends[some]):
+            q, t = row[q], row[t]
+            pair = np.unique(np.minimum(q, t) * len(pdf) + np.maximum(q, t))
+            q, t = pair // len(pdf), pair % len(pdf)
+            keep = comps[q] != comps[t]
+            keep[keep] = _pass(x, q[keep], t[keep], least) >= 0
+            keep[keep] = ~np.isin(pair[keep], seen)
+            seen = np.append(seen, pair[keep])
+            q, t = q[keep], t[keep]
+            keep = _alike(sets, q, t, percent)
+            for i, j in zip(q[keep].tolist(), t[keep].tolist(), strict=True):
+                a, b = root(comps[i]), root(comps[j])
+                if a != b or not forest:
+                    roots[max(a, b)] = min(a, b)
+                    out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return sent.groupBy(bins).applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,13 +301,14 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     members = common.saved(common.join_split(keyed, buckets.withColumn("size", F.col("n")), ["key"]), f"{where}/members")
     central = members.groupBy("node").agg(F.sum("size").alias("shared"))
     met = common.saved(nodes.join(central, "node").select("node", "d1", "d2", "least", "sig", "shared"), f"{where}/met")
-    sigs = met.select("node", "sig")
     sets = common.saved(_shingle_sets(texts, met, words), f"{where}/sets")
+    known = common.saved(met.select("node", "sig").join(sets.select("node", "short"), "node"), f"{where}/known")
+    sets = sets.select("node", "shingles")
     members = common.saved(members.select("key", "node").join(met.select("node", "shared"), "node"), f"{where}/shared")
     links, roots = None, None
 
-    for k, turn in enumerate(("central", "other", *TURNS)):
-        at = f"{where}/turn{k}"
+    for turn in ("central", "forest", "all"):
+        at = f"{where}/{turn}"
         comps = members.withColumn("comp", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         comps = common.saved(comps, f"{at}/comps")
         sizes = comps.groupBy("key", "comp").agg(F.count("*").alias("n"))
@@ -246,17 +316,19 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
         open_ = common.saved(open_.select("key", "n", F.col("n").alias("size"), "main", (F.col("n") - F.col("most")).alias("others")), f"{at}/open")
         if open_.isEmpty():
             break
-        if isinstance(turn, str):
-            order = F.struct("shared", "node") if turn == "central" else F.struct(F.xxhash64("node", F.lit(k)), "node")
-            pivots = comps.groupBy("key").agg(F.max_by(F.struct("node", "comp"), order).alias("p"))
-            pivots = common.saved(open_.select("key", "n").join(pivots, "key").select("key", "n", F.col("p.node").alias("a"), F.col("p.comp").alias("a_comp")), f"{at}/pivots")
-            pairs = common.join_split(comps, pivots, ["key"]).filter("comp <> a_comp").select("a", F.col("node").alias("b")).distinct()
-            pairs = _survivors(common.saved(pairs, f"{at}/pairs"), sigs, at, least)
+        if turn == "central":
+            pivots = comps.groupBy("key").agg(F.max(F.struct("shared", "node"))["node"].alias("a"))
+            pivots = common.saved(open_.select("key", "n").join(pivots, "key"), f"{at}/pivots")
+            pairs = common.join_split(comps, pivots, ["key"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+            pairs = _survivors(common.saved(pairs, f"{at}/pairs"), known.select("node", "sig"), at, least)
         else:
-            pairs = _in_blocks(comps.select("key", "node", "comp"), open_, sigs, least, turn)
-        found = common.saved(_verified(common.saved(pairs, f"{at}/survivors"), sets, at, percent), f"{at}/links")
+            pairs = _in_blocks(comps.select("key", "node", "comp"), open_, known, at, least, percent, turn == "forest")
+        pairs = common.saved(pairs, f"{at}/survivors")
+        found = common.saved(_verified(pairs, sets, at, percent), f"{at}/links")
         links = found if links is None else links.unionByName(found)
         roots = common.saved(components(links, f"{at}/joined"), f"{at}/roots")
+        if turn == "forest" and found.count() == pairs.count():
+            break
 
     named = nodes.select("node", "least", "n", "d1", "d2")
     group = common.saved(named.join(roots, "node", "left") if roots is not None else named.withColumn("root", F.lit(None).cast("long")), f"{where}/group")

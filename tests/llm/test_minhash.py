@@ -76,11 +76,13 @@ def test_against_all_pairs(spark, seed):
     assert result(spark, rows) == plain(rows)
 
 
-def test_in_blocks_without_a_centre(spark, monkeypatch):
-    """A chain whose ends are unlike, with blocks of a few rows and few survivors a turn."""
+@pytest.mark.parametrize("unit", [10_000, 5])
+def test_in_blocks_without_a_centre(spark, monkeypatch, unit):
+    """A chain whose ends are unlike, in one unit and in blocks of a few rows."""
+    monkeypatch.setattr(M, "UNIT", unit)
     monkeypatch.setattr(M, "QUERIES", 4)
     monkeypatch.setattr(M, "TARGETS", 8)
-    monkeypatch.setattr(M, "TURNS", (1, None))
+    monkeypatch.setattr(M, "BIN", 50)
     rng, chain = random.Random(5), [words(random.Random(4), 60)]
     for _ in range(60):
         nxt = list(chain[-1])
