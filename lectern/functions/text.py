@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ APOSTROPHE = "ʼ"
 NUMERALS = "κδʹμηοβϞστχ"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is worked out once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.ranges import in_ranges, scan
+from lectern.operators.ranges import RANGE, in_ranges, number, scan
 
 
 def sentence_context(rows: DataFrame, *, order: tuple[str, ...] = ("first_line", "sentence_id"), content: str = "content") -> DataFrame:
@@ -39,26 +39,19 @@ def line_continuity(lines: DataFrame, by: str = "division_id", number: str = "li
     return lines.withColumn("expected", F.lag(number, 1, 0).over(w) + 1).filter(F.col("expected") != F.col(number))
 
 
-def global_number(rows: DataFrame, order: list[str], where: str, buckets: Column) -> DataFrame:
-    """rows with place (from 1) and total, in the given order, which the buckets follow.
+def global_number(rows: DataFrame, order: list[str], where: str) -> DataFrame:
+    """rows with place (from 1) in the given order, of any columns, and total.
 
-    Rows are written to the shared folder once. They are numbered within their bucket; the counts of buckets are numbered
-    the same way within groups of a thousand, so one task sums a thousandth of a thousandth of the rows' buckets only.
+    Rows are written to the shared folder once, in ranges of the order with about equally many rows; the only thing that one task sees is the counts of
+    the ranges. Rows that are equal in the order stand together in any order, so let it end with a column that tells them apart.
     """
-    rows.withColumn("__bucket", buckets).write.mode("overwrite").parquet(where)
-    rows = rows.sparkSession.read.parquet(where)
-    counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n")).withColumn("__group", F.floor(F.col("__bucket") / 1000))
-    groups = counts.groupBy("__group").agg(F.sum("__n").alias("__m"))
-    upto = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = groups.withColumns({"__first": upto("__m", Window.orderBy("__group")), "total": F.sum("__m").over(Window.partitionBy())})
-    counts = counts.withColumn("__own", upto("__n", Window.partitionBy("__group").orderBy("__bucket"))).join(groups, "__group").select("__bucket", (F.col("__first") + F.col("__own")).alias("__before"), "total")
-    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) + F.col("__before")
-    return rows.join(counts, "__bucket").withColumn("place", place).drop("__bucket", "__before")
-
-
-def paginate(rows: DataFrame, order: list[str], where: str, size: int = 10, buckets: Column | None = None) -> DataFrame:
+    ranged = in_ranges(rows, order, where)
+    return number(ranged, [], order).withColumn("total", F.lit(ranged.count()).cast("long")).drop(RANGE)
+
+
+def paginate(rows: DataFrame, order: list[str], where: str, size: int = 10) -> DataFrame:
     """page, total_results and total_pages in the given order; pages beyond the end have no rows."""
-    out = global_number(rows, order, where, F.col(order[0]) if buckets is None else buckets)
+    out = global_number(rows, order, where)
     return out.withColumns({"page": F.floor((F.col("place") - 1) / size) + 1, "total_results": F.col("total"), "total_pages": F.ceil(F.col("total") / size)}).drop("total", "place")
 
 

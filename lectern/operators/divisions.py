@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import once
 from lectern.operators.ranges import RANGE, in_ranges, scan
 
 
@@ -78,12 +77,7 @@ def tag_places(payload: Column) -> Column:
         part = lambda x, k, depth=depth: x[f"g{k + depth - 3}"] if k + depth >= 3 else F.lit(None).cast("string")
         found = F.transform(F.arrays_zip(*[g.alias(f"g{k}") for k, g in enumerate(groups)]), lambda x: F.struct(part(x, 0).alias("v"), part(x, 1).alias("c"), F.regexp_extract(part(x, 2), r"^(\d+)", 1).try_cast("int").alias("n")))  # noqa: B023
         read = F.when(payload.rlike(form), found).otherwise(read)
-    return _once(F.array_sort(F.array_distinct(F.filter(read, lambda x: x["n"].isNotNull()))), _runs)
-
-
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where the value is worked out once, however often use names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return once(F.array_sort(F.array_distinct(F.filter(read, lambda x: x["n"].isNotNull()))), _runs)
 
 
 def _runs(places: Column) -> Column:
@@ -92,7 +86,7 @@ def _runs(places: Column) -> Column:
     follows = lambda x, y: F.coalesce(x["v"].eqNullSafe(y["v"]) & x["c"].eqNullSafe(y["c"]) & (x["n"] + 1 == y["n"]), F.lit(False))
     first = F.filter(places, lambda x, i: ~follows(before(i), x))
     last = F.transform(F.filter(places, lambda x, i: ~follows(x, after(i))), lambda x: x["n"])
-    ends = _once(last, lambda z: F.transform(first, lambda x, i: F.struct(x["v"].alias("v"), x["c"].alias("c"), x["n"].alias("a"), F.get(z, i).alias("b"))))
+    ends = once(last, lambda z: F.transform(first, lambda x, i: F.struct(x["v"].alias("v"), x["c"].alias("c"), x["n"].alias("a"), F.get(z, i).alias("b"))))
 
     def shown(runs: Column, x: Column, i: Column) -> Column:
         y = F.get(runs, i - 1)
@@ -101,7 +95,7 @@ def _runs(places: Column) -> Column:
         line = F.when(x["a"] == x["b"], F.concat(F.lit("Line "), x["a"])).otherwise(F.concat(F.lit("Lines "), x["a"], F.lit("-"), x["b"]))
         return F.concat(F.when(volume | x["v"].isNull(), "").otherwise(F.concat(F.lit("Volume "), x["v"], F.lit(": "))), F.when(chapter | x["c"].isNull(), "").otherwise(F.concat(F.lit("Chapter "), x["c"], F.lit(": "))), line)
 
-    return _once(ends, lambda runs: F.array_join(F.transform(runs, lambda x, i: shown(runs, x, i)), ", "))
+    return once(ends, lambda runs: F.array_join(F.transform(runs, lambda x, i: shown(runs, x, i)), ", "))
 
 
 def replace_refs(rows: DataFrame, key: str, text: str, authors: DataFrame, works: DataFrame, tag: str = "tlg_ref") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lectern.functions.text import once
+
 
 def contains_text(c: Column, query: str) -> Column:
     """Case-insensitive; % and _ of the query are literal."""
@@ -107,11 +109,22 @@ def annotate(rows: DataFrame, annotator, *, text: str = "content", out: str = "t
 
 
 def token_places(tokens: Column, line: Column) -> Column:
-    """(n_hits, position_start, position_end) of a sentence's tokens in one of its lines; null where none is found.
+    """(n_hits, position_start, position_end) of a sentence's tokens in one of its lines, found left to right, each from the end of the last hit; null where none is found.
 
-    position_start is where the first token found stands first in the line, position_end where the last one found ends last.
+    position_start is where the first token found stands first in the line, position_end where the last one found ends last. One fold carries the
+    number of hits and the first and last token found.
     """
-    hits = tokens_in_line(tokens, line)
-    first, last = F.get(tokens, F.get(hits, F.lit(0))["i"])["text"], F.get(tokens, F.try_element_at(hits, F.lit(-1))["i"])["text"]
-    end = F.length(line) - F.call_function("locate", F.reverse(last), F.reverse(line)) + 1
-    return F.when(F.size(hits) > 0, F.struct(F.size(hits).alias("n_hits"), (F.call_function("locate", first, line) - 1).alias("position_start"), end.alias("position_end")))
+
+    def step(acc: Column, t: Column) -> Column:
+        def moved(at: Column) -> Column:
+            hit = at > 0
+            return F.struct(F.when(hit, at + F.length(t["text"])).otherwise(acc["at"]).alias("at"), (acc["n"] + hit.cast("int")).alias("n"), F.coalesce(acc["first"], F.when(hit, t["text"])).alias("first"), F.when(hit, t["text"]).otherwise(acc["last"]).alias("last"))
+
+        return once(F.call_function("locate", t["text"], line, acc["at"]), moved)
+
+    def found(acc: Column) -> Column:
+        end = F.length(line) - F.call_function("locate", F.reverse(acc["last"]), F.reverse(line)) + 1
+        return F.when(acc["n"] > 0, F.struct(acc["n"].alias("n_hits"), (F.call_function("locate", acc["first"], line) - 1).alias("position_start"), end.alias("position_end")))
+
+    none = F.lit(None).cast("string")
+    return F.aggregate(tokens, F.struct(F.lit(1).alias("at"), F.lit(0).alias("n"), none.alias("first"), none.alias("last")), step, found)

@@ -22,39 +22,21 @@ def joined_lines(lines: DataFrame) -> DataFrame:
     return rows.withColumn("piece", F.concat(gap, own)).drop("__before", "__after")
 
 
-def build_sentences(lines: DataFrame, *, append_period: bool = True) -> DataFrame:
-    """division_id, k, content, starts, ends: sentences end after a stop or middle dot that follows a sign and precedes a space."""
-    joined = joined_lines(lines).groupBy("division_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "piece"))), lambda x: x["piece"]), "").alias("t"))
-    parts = F.filter(F.split("t", r"(?<=[^\s][.·])\s+"), lambda x: x != "")
-    rows = joined.select("division_id", F.posexplode(parts).alias("p", "part")).withColumn("k", F.col("p") + 1)
-    w = Window.partitionBy("division_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.coalesce(F.sum(F.length("part") + 1).over(w), F.lit(0))
-    rows = rows.withColumn("starts", starts).withColumn("ends", F.col("starts") + F.length("part"))
-    content = F.when(F.col("part").rlike(r"[.·]$") | ~F.lit(append_period), F.col("part")).otherwise(F.concat("part", F.lit(".")))
-    return rows.select("division_id", "k", content.alias("content"), "starts", "ends")
-
-
-def sentence_line_links(lines: DataFrame, sentences: DataFrame) -> DataFrame:
-    """sentence_id, line_id, division_id, line_number of every line that a sentence touches."""
-    w = Window.partitionBy("division_id").orderBy("line_number")
-    spans = joined_lines(lines).withColumn("e", F.sum(F.length("piece")).over(w))
-    spans = spans.select("division_id", "line_id", "line_number", (F.col("e") - F.length("piece") + F.when(F.col("piece").startswith(" "), 1).otherwise(0)).alias("s"), "e")
-    x = sentences.select("sentence_id", F.col("division_id").alias("d"), "starts", "ends")
-    return spans.join(x, (F.col("division_id") == F.col("d")) & (F.col("s") < F.col("ends")) & (F.col("starts") < F.col("e"))).select("sentence_id", "line_id", "division_id", "line_number")
-
-
-def cited_sentences(lines: DataFrame, keep: tuple[str, ...] = (), *, append_period: bool = True) -> DataFrame:
-    """The sentences of :func:`build_sentences` with line_ids and line_numbers of the lines that each touches, in one grouping by division.
+def cited_sentences(lines: DataFrame, keep: tuple[str, ...] = (), *, append_period: bool = True, with_lines: bool = False) -> DataFrame:
+    """division_id, k, content, starts, ends, line_ids and line_numbers: sentences end after a stop or middle dot that follows a sign and precedes a space, and have
+    the lines that each touches, in one grouping by division.
 
-    keep: columns that are the same for all lines of a division. A division's lines are few, so their places travel as an array.
+    keep: columns that are the same for all lines of a division. A division's lines are few, so their places travel as an array. With with_lines there is
+    also lines, the texts of the lines in the order of line_ids.
     """
-    pieces = F.array_sort(F.collect_list(F.struct("line_number", "line_id", "piece")))
+    text = ["content"] if with_lines else []
+    pieces = F.array_sort(F.collect_list(F.struct("line_number", "line_id", "piece", *text)))
     joined = joined_lines(lines).groupBy("division_id").agg(pieces.alias("p"), *[F.any_value(c).alias(c) for c in keep])
-    none = F.array().cast("array<struct<s:int,e:int,id:bigint,number:int>>")
+    none = F.array().cast(f"array<struct<s:int,e:int,id:bigint,number:int{',line:string' if with_lines else ''}>>")
 
     def lay(acc, x):
         e = acc["at"] + F.length(x["piece"])
-        one = F.struct((acc["at"] + F.when(x["piece"].startswith(" "), 1).otherwise(0)).alias("s"), e.alias("e"), x["line_id"].cast("long").alias("id"), x["line_number"].cast("int").alias("number"))
+        one = F.struct((acc["at"] + F.when(x["piece"].startswith(" "), 1).otherwise(0)).alias("s"), e.alias("e"), x["line_id"].cast("long").alias("id"), x["line_number"].cast("int").alias("number"), *[x[c].alias("line") for c in text])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     spans = F.aggregate("p", F.struct(F.lit(0).alias("at"), none.alias("out")), lay, lambda acc: acc["out"])
@@ -70,7 +52,7 @@ def cited_sentences(lines: DataFrame, keep: tuple[str, ...] = (), *, append_peri
     content = F.when(part.rlike(r"[.·]$") | ~F.lit(append_period), part).otherwise(F.concat(part, F.lit(".")))
     touched = F.filter("spans", lambda y: (y["s"] < F.col("x.ends")) & (F.col("x.starts") < y["e"]))
     rows = rows.select("division_id", *keep, (F.col("i") + 1).alias("k"), content.alias("content"), F.col("x.starts").cast("long").alias("starts"), F.col("x.ends").cast("long").alias("ends"), touched.alias("t"))
-    return rows.withColumns({"line_ids": F.transform("t", lambda y: y["id"]), "line_numbers": F.array_sort(F.array_distinct(F.transform("t", lambda y: y["number"])))}).drop("t")
+    return rows.withColumns({"line_ids": F.transform("t", lambda y: y["id"]), "line_numbers": F.array_sort(F.array_distinct(F.transform("t", lambda y: y["number"])))} | ({"lines": F.transform("t", lambda y: y["line"])} if with_lines else {})).drop("t")
 
 
 def sentences_per_line(links: DataFrame) -> DataFrame:

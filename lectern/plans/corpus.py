@@ -196,7 +196,7 @@ def backfill_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of three divisions of one text, numbered through all texts."""
     rows = V.divisions(spark, sf_dir).select("division_id", "text_id", context.batches(None, "text_id", "division_id", 3).alias("b"))
-    numbered = context.global_number(rows.select("text_id", "b").distinct(), ["text_id", "b"], context.scratch(spark), F.floor(F.col("text_id") / 1000))
+    numbered = context.global_number(rows.select("text_id", "b").distinct(), ["text_id", "b"], context.scratch(spark))
     return rows.join(numbered, ["text_id", "b"]).select("division_id", (F.col("place") - 1).alias("batch"))
 
 
@@ -229,9 +229,10 @@ def map_tokens_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The search goes on from the last hit, which SQL says by recursion.
     """
-    rows = V.cited_sentences(spark, sf_dir).select("sentence_id", "content", F.explode("line_ids").alias("line_id")).withColumn("tokens", V.tokens_of(F.col("content")))
-    rows = rows.join(V.lines(spark, sf_dir).select("line_id", F.col("content").alias("line")), "line_id")
-    return rows.select("sentence_id", "line_id", search.token_places(F.col("tokens"), F.col("line")).alias("p")).filter("p is not null").select("sentence_id", "line_id", "p.*")
+    rows = V.cited_sentences(spark, sf_dir, with_lines=True).withColumn("tokens", V.tokens_of(F.col("content")))
+    rows = rows.select("sentence_id", "tokens", F.explode(F.arrays_zip("line_ids", "lines")).alias("x"))
+    rows = rows.select("sentence_id", F.col("x.line_ids").alias("line_id"), search.token_places(F.col("tokens"), F.col("x.lines")).alias("p"))
+    return rows.filter("p is not null").select("sentence_id", "line_id", "p.*")
 
 
 @query(with_tables("links", "tokens") + """, rare AS (SELECT sentence_id FROM tokens WHERE list_contains(string_split(category, ', '), 'Rare') UNION SELECT sentence_id FROM links JOIN lines USING (line_id) WHERE regexp_matches(lines.content, '[\\p{L}]{12,}'))

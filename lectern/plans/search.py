@@ -190,7 +190,7 @@ def first_row_per_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_CITED + f"""SELECT sentence_id, citation, CAST((row_number() OVER (ORDER BY division_id, first_line, sentence_id) - 1) // 10 + 1 AS BIGINT) AS page, count(*) OVER () AS total_results, CAST(ceil(count(*) OVER () / 10.0) AS BIGINT) AS total_pages FROM cited WHERE contains(lower(content), '{WORD}')""")
 def paginate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _cited(spark, sf_dir, search.contains_text(F.col("content"), WORD)).select("sentence_id", "division_id", "first_line", "citation")
-    return context.paginate(rows, ["division_id", "first_line", "sentence_id"], context.scratch(spark), buckets=F.floor(F.col("division_id") / (V.DIVISIONS * 1000))).select("sentence_id", "citation", "page", "total_results", "total_pages")
+    return context.paginate(rows, ["division_id", "first_line", "sentence_id"], context.scratch(spark)).select("sentence_id", "citation", "page", "total_results", "total_pages")
 
 
 @query(with_tables("lines") + "SELECT line_id, content FROM lines ORDER BY line_id LIMIT 25 OFFSET 50")
@@ -208,12 +208,18 @@ def format_citation_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cited(spark, sf_dir).select("sentence_id", "citation")
 
 
-@query(_CITED + "SELECT sentence_id, division_id, row_number() OVER (PARTITION BY division_id ORDER BY first_line, sentence_id) AS place FROM cited")
+@query(_CITED + "SELECT sentence_id, division_id, row_number() OVER (ORDER BY division_id, first_line, sentence_id) AS place FROM cited")
 def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    """The place of every sentence in the order of all results."""
+    rows = V.cited_sentences(spark, sf_dir).select("sentence_id", "division_id", "first_line")
+    return context.global_number(rows, ["division_id", "first_line", "sentence_id"], context.scratch(spark)).select("sentence_id", "division_id", "place")
+
 
-    numbers = sentences.sentence_line_numbers(V.links(spark, sf_dir))
-    return numbers.select("sentence_id", "division_id", F.row_number().over(Window.partitionBy("division_id").orderBy("first_line", "sentence_id")).alias("place"))
+@query(_CITED + "SELECT sentence_id, row_number() OVER (ORDER BY content, citation, sentence_id) AS place, count(*) OVER () AS total FROM cited")
+def order_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every sentence in the order of their texts, where equal ones follow their citations."""
+    rows = _cited(spark, sf_dir).select("sentence_id", "content", "citation")
+    return context.global_number(rows, ["content", "citation", "sentence_id"], context.scratch(spark)).select("sentence_id", "place", "total")
 
 
 @query(with_tables("links") + "SELECT line_id, string_agg(CAST(sentence_id AS VARCHAR), ',' ORDER BY sentence_id) AS sentence_ids FROM links GROUP BY line_id")

@@ -45,9 +45,9 @@ def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("division_id", "text_id", "volume", "chapter").distinct()
 
 
-def cited_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cited_sentences(spark: SparkSession, sf_dir: str, *, with_lines: bool = False) -> DataFrame:
     """sentence_id, division_id, k, content, starts, ends, line_ids, line_numbers, first_line, text_id, volume, chapter: one scan and one grouping."""
-    rows = S.cited_sentences(lines(spark, sf_dir).withColumn("is_title", F.lit(False)), ("text_id", "volume", "chapter"))
+    rows = S.cited_sentences(lines(spark, sf_dir).withColumn("is_title", F.lit(False)), ("text_id", "volume", "chapter"), with_lines=with_lines)
     return rows.withColumn("sentence_id", F.col("division_id") * SENTENCES + F.col("k")).withColumn("first_line", F.array_min("line_numbers"))
 
 

@@ -15,7 +15,7 @@ def test_context_and_pages(spark):
     rows = spark.createDataFrame([(1, i, i, f"Test line {i}") for i in range(1, 26)], "division_id long, sentence_id long, first_line int, content string")
     c = {r.sentence_id: r for r in context.sentence_context(rows).collect()}
     assert c[1].prev_sentence is None and c[2].prev_sentence == "Test line 1" and c[25].next_sentence is None
-    pages = context.paginate(rows, ["division_id", "sentence_id"], context.scratch(spark), buckets=F.floor(F.col("sentence_id") / 7))
+    pages = context.paginate(rows, ["division_id", "sentence_id"], context.scratch(spark))
     sizes = {r.page: r["count"] for r in pages.groupBy("page").count().collect()}
     assert sizes == {1: 10, 2: 10, 3: 5}
     assert pages.select("total_results", "total_pages").distinct().collect() == [(25, 3)]

@@ -102,3 +102,13 @@ def test_long_files_are_read_in_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == [("a.txt", i, x) for i, x in enumerate(map(str.strip, lines), 1) if x] + [("b.txt", 1, "café"), ("b.txt", 2, "x"), ("b.txt", 4, "y")]
+
+
+def test_places_in_any_order(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", "ä", "", None, "a\x00", "Z"]), rng.choice([None, 1, 2])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, t string, n int").repartition(7)
+    got = {r.id: (r.place, r.total) for r in context.global_number(df, ["t", "n", "id"], f"{context.scratch(spark)}/r").collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, (r[1] or "").encode(), r[2] is not None, r[2] or 0, r[0]))
+    assert got == {r[0]: (k, 500) for k, r in enumerate(order, 1)}
+    assert context.global_number(df.filter("false"), ["t", "id"], f"{context.scratch(spark)}/r").collect() == []

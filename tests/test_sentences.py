@@ -12,9 +12,9 @@ SCHEMA = "division_id long, line_id long, line_number int, content string, is_ti
 def build(spark, divisions):
     rows = [(d, d * 100 + n, n, c, False) for d, lines in divisions.items() for n, c in enumerate(lines, 1)]
     lines = spark.createDataFrame(rows, SCHEMA)
-    got = S.build_sentences(lines).withColumn("sentence_id", F.col("division_id") * 1000 + F.col("k"))
-    links = S.sentence_line_links(lines, got)
-    return got, links
+    got = S.cited_sentences(lines, with_lines=True).withColumn("sentence_id", F.col("division_id") * 1000 + F.col("k"))
+    links = got.select("sentence_id", "division_id", F.explode(F.arrays_zip("line_ids", "lines")).alias("x")).select("sentence_id", "division_id", F.col("x.line_ids").alias("line_id"), F.col("x.lines").alias("line"))
+    return got, links.withColumn("line_number", F.col("line_id") % 100)
 
 
 def texts(got):
@@ -67,7 +67,28 @@ def test_random_divisions(spark):
     divisions = {d: [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "-"]) for _ in range(rng.randint(1, 6))] for d in range(1, 150)}
     got, links = build(spark, divisions)
     assert texts(got) == {d: machine(lines) for d, lines in divisions.items()}
-    touched = {r.line_id for r in links.collect()}
+    links = links.collect()
+    touched = {r.line_id for r in links}
+    assert all(r.line == divisions[r.division_id][r.line_number - 1] for r in links)
+    # The lines of a sentence, by the places of its signs in the joined text.
+    for d, lines in divisions.items():
+        text, ends = "", []
+        for i, line in enumerate(lines):
+            if i and lines[i - 1].endswith("-"):
+                text = text[:-1]
+                ends[-1] -= 1
+                text += line
+            elif i and (len(text) > 1 and text[-1] in ".·" and not text[-2].isspace() or line[0] not in ".,;:·"):
+                text += " " + line
+            else:
+                text += line
+            ends.append(len(text))
+        at, want = 0, []
+        for sentence in machine(lines):
+            size = len(sentence) if text[at : at + len(sentence)] == sentence else len(sentence) - 1
+            want.append([i + 1 for i, e in enumerate(ends) if (ends[i - 1] if i else 0) < at + size and at < e and text[max(at, ends[i - 1] if i else 0) : min(at + size, e)].strip()])
+            at += size + 1
+        assert [sorted(r.line_number for r in links if r.sentence_id == d * 1000 + k) for k in range(1, len(want) + 1)] == want
     assert touched == {d * 100 + n for d, lines in divisions.items() for n in range(1, len(lines) + 1)}
 
 
