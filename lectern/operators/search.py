@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lectern.functions.text import once
 
@@ -92,20 +95,92 @@ def tokens_in_line(tokens: Column, line: Column) -> Column:
 
 TOKEN = "array<struct<text:string,lemma:string,pos:string,category:string>>"
 
+#: What an annotator finds in a text: a list for each field of a token, and under ``spans`` (first token, token after the last, label, score).
+Annotation = dict[str, list]
+Annotator = Callable[[list[str]], list[Annotation]]
+#: Annotators that this worker has loaded, by their pickled factories.
+_LOADED: dict[bytes, Annotator] = {}
 
-def annotate(rows: DataFrame, annotator, *, text: str = "content", out: str = "tokens", schema: str = TOKEN) -> DataFrame:
-    """rows with the tokens that a batch annotator finds: a picklable function from a list of texts to a list of tokens (dicts) for each.
 
-    It is called once a batch (spark.sql.execution.arrow.maxRecordsPerBatch rows), in each task; a null text has no tokens.
+def _loaded(factory: bytes) -> Annotator:
+    if factory not in _LOADED:
+        _LOADED[factory] = cloudpickle.loads(factory)()
+    return _LOADED[factory]
+
+
+def _categories(found: Annotation, size: int, threshold: float) -> list[str]:
+    """The labels of the spans over each token whose score is enough, in the order of the spans."""
+    labels: list[list[str]] = [[] for _ in range(size)]
+    for start, end, label, score in found.get("spans", ()):
+        if score >= threshold:
+            for i in range(max(start, 0), min(end, size)):
+                labels[i].append(label)
+    return [", ".join(x) for x in labels]
+
+
+def _tried(annotator: Annotator, texts: list[str]) -> list[tuple[Annotation | None, str | None]]:
+    """What is found in each text; if the batch fails, each on its own, and the error of those that fail again."""
+    try:
+        found = annotator(texts)
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} results for {len(texts)} texts")
+        return [(x, None) for x in found]
+    except Exception as e:  # noqa: BLE001 an annotator may fail in any way
+        return _tried(annotator, texts[:1]) + [y for t in texts[1:] for y in _tried(annotator, [t])] if len(texts) > 1 else [(None, f"{type(e).__name__}: {e}")] * len(texts)
+
+
+def annotate(rows: DataFrame, factory: Callable[[], Annotator], *, text: str = "content", out: str = "tokens", schema: str = TOKEN, batch_size: int = 1000, category_threshold: float = 0.2) -> DataFrame:
+    """rows with the tokens that a batch annotator finds, and error: why a text has none, null where all went well.
+
+    factory: a picklable function that loads the annotator; each Python worker calls it once. Texts are handed on in batches of batch_size, whatever the size of Arrow's;
+    a batch that fails is tried text by text, so one bad text costs one row. A token's category is the labels of the spans over it with at least the
+    threshold's score. A null text has null tokens and no error. Rows with their tokens come as they are ready, so a task holds one batch.
     """
+    fields = [f.name for f in StructType.fromDDL(f"x {schema}")["x"].dataType.elementType.fields]
+    made = StructType([*rows.schema.fields, StructField(out, StructType.fromDDL(f"x {schema}")["x"].dataType), StructField("error", StringType())])
+    pickled, kind = cloudpickle.dumps(factory), pa.struct([(f, pa.string()) for f in fields])
 
-    @F.pandas_udf(schema)
-    def found(texts: pd.Series) -> pd.Series:
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        texts = table.column(text).to_pylist()
         given = [t for t in texts if t is not None]
-        done = iter(annotator(given)) if given else iter(())
-        return pd.Series([[] if t is None else list(next(done)) for t in texts])
-
-    return rows.withColumn(out, found(F.col(text)))
+        results = iter(_tried(_loaded(pickled), given) if given else ())
+        flat: dict[str, list] = {f: [] for f in fields}
+        offsets, errors = [0], []
+        missing = []
+        for t in texts:
+            found, error = next(results) if t is not None else (None, None)
+            size = len(found[fields[0]]) if found else 0
+            for f in fields if found else ():
+                flat[f] += found[f] if f in found else _categories(found, size, category_threshold) if f == "category" else [None] * size
+            missing.append(found is None)
+            errors.append(error)
+            offsets.append(offsets[-1] + size)
+        values = pa.StructArray.from_arrays([pa.array(flat[f], pa.string()) for f in fields], fields=list(kind))
+        tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(missing, pa.bool_()))
+        yield from table.append_column(out, tokens).append_column("error", pa.array(errors, pa.string())).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+        for batch in batches:
+            while len(batch):
+                part = batch.slice(0, batch_size - n)
+                batch, n = batch.slice(len(part)), n + len(part)
+                waiting.append(part)
+                if n == batch_size:
+                    yield from done(pa.Table.from_batches(waiting))
+                    waiting, n = [], 0
+        if waiting:
+            yield from done(pa.Table.from_batches(waiting))
+
+    return rows.mapInArrow(run, made)
+
+
+def annotated_and_rejected(rows: DataFrame, factory: Callable[[], Annotator], where: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Rows with tokens, and rows that the annotator failed on with the error. All are written to the folder once, so nothing is annotated twice."""
+    found = annotate(rows, factory, **options)
+    found.write.mode("overwrite").parquet(where)
+    found = rows.sparkSession.read.schema(found.schema).parquet(where)
+    return found.filter("error is null").drop("error"), found.filter("error is not null").drop(options.get("out", "tokens"))
 
 
 def token_places(tokens: Column, line: Column) -> Column:

@@ -203,12 +203,30 @@ def batch_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Tokens and lines
 
 
-def words(texts: list[str]) -> list[list[dict]]:
-    """The default annotator: runs of letters, lower case as lemma, NOUN for capitals, categories by length."""
-    found = regex.compile(r"\p{L}+")
-    capital = regex.compile(r"\p{Lu}")
-    kind = lambda n: "Long, Rare" if n >= 12 else "Long" if n >= 8 else "Short" if n <= 3 else ""
-    return [[{"text": w, "lemma": w.lower(), "pos": "NOUN" if capital.match(w) else "X", "category": kind(len(w))} for w in found.findall(t)] for t in texts]
+def words() -> search.Annotator:
+    """The default annotator: runs of letters, lower case as lemma, NOUN for capitals; spans by length, and one over all tokens whose score is too low."""
+    letters, capital = regex.compile(r"\p{L}+"), regex.compile(r"\p{Lu}")
+
+    def found(t: str) -> search.Annotation:
+        w = letters.findall(t)
+        spans = [(0, len(w), "Text", 0.1)]
+        for i, n in enumerate(map(len, w)):
+            spans += [(i, i + 1, "Long", 0.9)] * (n >= 8) + [(i, i + 1, "Rare", 0.2)] * (n >= 12) + [(i, i + 1, "Short", 1.0)] * (n <= 3)
+        return {"text": w, "lemma": [x.lower() for x in w], "pos": ["NOUN" if capital.match(x) else "X" for x in w], "spans": spans}
+
+    return lambda texts: [found(t) for t in texts]
+
+
+def strict_words() -> search.Annotator:
+    """The default annotator, which can't read a text with gg in it."""
+    own = words()
+
+    def found(texts: list[str]) -> list[search.Annotation]:
+        if any("gg" in t for t in texts):
+            raise ValueError("unreadable")
+        return own(texts)
+
+    return found
 
 
 @query(with_tables("tokens") + "SELECT sentence_id, i, t, lemma, pos, category FROM tokens")
@@ -219,6 +237,15 @@ def annotate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sentence_id", (F.col("p") + 1).alias("i"), F.col("x.text").alias("t"), "x.lemma", "x.pos", "x.category")
 
 
+@query(with_tables("tokens") + """SELECT sentence_id, CASE WHEN contains(any_value(content), 'gg') THEN 'ValueError: unreadable' ELSE '' END AS error, CASE WHEN contains(any_value(content), 'gg') THEN 0 ELSE count(t) END AS n_tokens
+FROM sentences LEFT JOIN tokens USING (sentence_id) GROUP BY sentence_id""")
+def annotate_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences through an annotator that fails on some, which cost themselves only."""
+    rows = V.sentences(spark, sf_dir).select("sentence_id", "content")
+    good, bad = search.annotated_and_rejected(rows, strict_words, f"{context.scratch(spark)}/annotated", batch_size=200)
+    return good.select("sentence_id", F.lit("").alias("error"), F.size("tokens").cast("long").alias("n_tokens")).unionByName(bad.select("sentence_id", "error", F.lit(0).cast("long").alias("n_tokens")))
+
+
 @query(with_tables("links", "tokens").replace("WITH ", "WITH RECURSIVE ", 1) + """, walk AS (SELECT sentence_id, line_id, lines.content AS line, 0 AS i, 1 AS pos, 0 AS n, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS z FROM links JOIN lines USING (line_id)
 UNION ALL SELECT sentence_id, line_id, line, CAST(i + 1 AS INTEGER), CAST(CASE WHEN p > 0 THEN pos + p - 1 + length(t) ELSE pos END AS INTEGER), CAST(CASE WHEN p > 0 THEN n + 1 ELSE n END AS INTEGER), CASE WHEN p > 0 AND a IS NULL THEN t ELSE a END, CASE WHEN p > 0 THEN t ELSE z END
   FROM (SELECT w.*, k.t, instr(substr(line, w.pos), k.t) AS p FROM walk w JOIN tokens k ON k.sentence_id = w.sentence_id AND k.i = w.i + 1))

@@ -163,16 +163,47 @@ def test_a_part_of_a_longer_name(spark):
     assert W.match_names(one("de articulis"), one("de articulis et ossibus"), by="by", name="name").collect() == []
 
 
-def test_annotator_and_places(spark):
-    rows = spark.createDataFrame([(1, "a bb a"), (2, None), (3, "")], "id int, content string")
-
-    def annotator(texts):
-        return [[{"text": w, "lemma": w.upper(), "pos": "X", "category": ""} for w in t.split()] for t in texts]
-
-    got = {r.id: [t.lemma for t in r.tokens] for r in search.annotate(rows, annotator).collect()}
-    assert got == {1: ["A", "BB", "A"], 2: [], 3: []}
-    tokens = search.annotate(rows, annotator).filter("id = 1")
-    places = [tokens.select(search.token_places(F.col("tokens"), F.lit(line)).alias("p")).first()["p"] for line in ("xa bb", "bb", "zz", "a a bb")]
+def test_annotator(spark, tmp_path):
+    """Each worker loads it once, batches don't follow Arrow's, spans below the threshold give nothing, and a bad text costs itself."""
+    log = str(tmp_path / "log")
+
+    def factory():
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"load {os.getpid()}\n")
+
+        def annotator(texts):
+            with open(log, "a") as f:
+                f.write(f"batch {len(texts)}\n")
+            if any("bad" in t for t in texts):
+                raise KeyError("bad")
+            return [{"text": t.split(), "lemma": t.upper().split(), "spans": [(0, 2, "A", 0.2), (1, 9, "B", 0.9), (0, 9, "C", 0.19)]} for t in texts]
+
+        return annotator
+
+    rows = [(i, f"a b c {i}") for i in range(100)] + [(200, None), (201, ""), (202, "bad one")]
+    df = spark.createDataFrame(rows, "id int, content string").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        good, bad = search.annotated_and_rejected(df, factory, str(tmp_path / "out"), batch_size=32)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = {r.id: r.tokens for r in good.collect()}
+    assert [(t.text, t.lemma, t.pos, t.category) for t in got[5]] == [("a", "A", None, "A"), ("b", "B", None, "A, B"), ("c", "C", None, "B"), ("5", "5", None, "B")]
+    assert len(got) == 102 and got[200] is None and got[201] == []
+    assert [tuple(r) for r in bad.collect()] == [(202, "bad one", "KeyError: 'bad'")]
+    said = open(log).read().split("\n")[:-1]
+    loads = [x for x in said if x.startswith("load")]
+    assert len(loads) == len(set(loads)) == 1
+    assert [x for x in said if x.startswith("batch")] == ["batch 32"] * 3 + ["batch 6"] + ["batch 1"] * 6
+    assert search.annotate(df.filter("false"), factory).collect() == []
+
+
+def test_token_places(spark):
+    rows = spark.createDataFrame([([("a",), ("bb",), ("a",)],)], "tokens array<struct<text:string>>")
+    places = [rows.select(search.token_places(F.col("tokens"), F.lit(line)).alias("p")).first()["p"] for line in ("xa bb", "bb", "zz", "a a bb")]
     assert places == [(2, 1, 5), (1, 0, 2), None, (2, 0, 6)]
 
 
