@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.ranges import RANGE, in_ranges, scan
+
 #: What a response must have.
 REQUIRED = ("lemma", "translation", "short_description", "long_description", "related_terms", "citations_used")
 
@@ -20,17 +22,26 @@ def lemma_totals(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("lemma").agg(F.count("*").alias("n_sentences"), F.min("sentence_id").alias("primary_sentence"), F.count_distinct("division_id").alias("n_divisions"))
 
 
-def lemma_entries(contexts: DataFrame, *, slice_size: int = 1_000_000_000_000) -> DataFrame:
-    """Entries in parts: lemma, part, n, primary (the part's first sentence), map from sentence_id to (text, prev, next, tokens), and the citations in order.
+#: Bytes of sentences in a part of the entries.
+PART_BYTES = 1 << 20
+
+
+def lemma_entries(contexts: DataFrame, where: str, *, part_bytes: int = PART_BYTES, context: tuple[str, ...] = ("text", "prev", "next", "tokens")) -> DataFrame:
+    """Entries in parts: lemma, part, n, primary (the part's first sentence), the citations in order, and contexts, a map from sentence_id to the context columns.
 
-    A function word is in most sentences; a part is the sentences of one slice of ids, so no row or task holds all of a lemma's, and
-    parts need no count of those before. contexts: sentence_id, citation, text, prev, next, tokens (with lemmas).
+    contexts: sentence_id, citation, text, tokens (with lemmas) and what else context names; with no context columns, as for prompts, there is no map and nothing else is moved.
+    A part is a run of sentences in the order of their ids with about part_bytes bytes of text, however long the texts are, so no row or task holds all of a
+    function word's sentences. Sentences are dealt out by part once; a sentence is repeated for its lemmas only inside the task that puts the part's entries together.
     """
-    lemmas = F.explode(F.array_distinct(F.transform("tokens", lambda t: t["lemma"])))
-    rows = contexts.select("*", F.floor(F.col("sentence_id") / slice_size).alias("part"), lemmas.alias("lemma"))
-    entry = F.struct("sentence_id", F.struct("text", "prev", "next", "tokens").alias("context"))
-    listed = rows.groupBy("lemma", "part").agg(F.array_sort(F.collect_list(F.struct("sentence_id", "citation", "text"))).alias("c"), F.map_from_entries(F.collect_list(entry)).alias("contexts"))
-    return listed.select("lemma", "part", F.size("c").cast("long").alias("n"), F.get("c", F.lit(0))["sentence_id"].alias("primary"), F.transform("c", lambda x: F.struct(x["citation"].alias("citation"), x["text"].alias("text"))).alias("citations"), "contexts")
+    lemmas = F.array_distinct(F.filter(F.transform("tokens", lambda t: t["lemma"]), lambda x: x.isNotNull()))
+    rows = contexts.select("sentence_id", "citation", "text", *[c for c in context if c != "text"], lemmas.alias("lemmas"))
+    rows = scan(in_ranges(rows, ["sentence_id"], where), [], ["sentence_id"], {"upto": ("sum", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))})
+    parts = F.floor(F.col("upto") / part_bytes).alias("part")
+    rows = rows.select("*", parts).drop(RANGE, "upto").repartition("part").select("*", F.explode("lemmas").alias("lemma")).drop("lemmas")
+    entry = F.struct("sentence_id", "citation", "text", *([F.struct(*context).alias("context")] if context else []))
+    listed = rows.groupBy("part", "lemma").agg(F.array_sort(F.collect_list(entry)).alias("c"))
+    found = [F.map_from_entries(F.transform("c", lambda x: F.struct(x["sentence_id"], x["context"]))).alias("contexts")] if context else []
+    return listed.select("lemma", "part", F.size("c").cast("long").alias("n"), F.get("c", F.lit(0))["sentence_id"].alias("primary"), F.transform("c", lambda x: F.struct(x["citation"].alias("citation"), x["text"].alias("text"))).alias("citations"), *found)
 
 
 def prompt(citations: Column) -> Column:

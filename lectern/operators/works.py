@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -151,11 +152,33 @@ def number_lines(lines: DataFrame, *, by: str = "division_id", order: str = "n",
     return lines.withColumn("number", F.when(F.col(cited).isNull(), place).otherwise(T.leading_number(F.col(cited)))).filter("number is not null")
 
 
-def create_dims(seen: DataFrame, authors: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The authors (author_code, author_name) and texts (author_code, work_code, title) of seen (author_code, work_code) that aren't there yet, with placeholder names."""
-    new = seen.select("author_code").distinct().join(authors.select("author_code"), "author_code", "left_anti")
-    works = seen.select("author_code", "work_code").distinct().join(texts.select("author_code", "work_code"), ["author_code", "work_code"], "left_anti")
-    return new.withColumn("author_name", F.concat(F.lit("Author "), "author_code")), works.withColumn("title", F.concat(F.lit("Work "), "work_code"))
+def key_of(*parts: Column | str) -> Column:
+    """A long made of the parts' text, the same in every run and on every machine: the first 60 bits of their MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def _checked(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """rows, where no two keys are equal and none is one of the known ones; else an error."""
+    taken = rows.select(key).unionByName(known.select(key).distinct()).groupBy(key).agg(F.count("*").alias("__n"))
+    once = F.when(F.col("__n") == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"two rows have the {key} "), F.col(key))).cast("long"))
+    return rows.join(taken, key).withColumn(key, once).drop("__n")
+
+
+def create_dims(seen: DataFrame, authors: DataFrame, texts: DataFrame, *, make: Callable[..., Column] = key_of) -> tuple[DataFrame, DataFrame]:
+    """The authors (author_id, author_code, author_name) and texts (text_id, author_id, author_code, work_code, title) of seen (author_code, work_code) that aren't
+    in authors (author_id, author_code) and texts (text_id, author_code, work_code) yet, with placeholder names.
+
+    Ids are made of the codes, so repeated runs give equal ids; two codes with one id, or an id that is taken, are an error. New texts of a known author get
+    that author's id. Rows without a code are left out.
+    """
+    codes = seen.filter("author_code is not null").select("author_code").distinct()
+    new = codes.join(authors.select("author_code"), "author_code", "left_anti").withColumn("author_id", make(F.lit("author"), "author_code"))
+    new = _checked(new, authors, "author_id").withColumn("author_name", F.concat(F.lit("Author "), "author_code"))
+    works = seen.filter("author_code is not null and work_code is not null").select("author_code", "work_code").distinct().join(texts.select("author_code", "work_code"), ["author_code", "work_code"], "left_anti")
+    works = _checked(works.withColumn("text_id", make(F.lit("text"), "author_code", "work_code")), texts, "text_id")
+    own = authors.select("author_code", "author_id").dropDuplicates(["author_code"]).unionByName(new.select("author_code", "author_id"))
+    works = works.join(own, "author_code").withColumn("title", F.concat(F.lit("Work "), "work_code"))
+    return new.select("author_id", "author_code", "author_name"), works.select("text_id", "author_id", "author_code", "work_code", "title")
 
 
 def backfill_names(rows: DataFrame, names: DataFrame, keys: list[str], column: str, unknown: str) -> DataFrame:

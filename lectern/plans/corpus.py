@@ -167,13 +167,19 @@ def number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.number_lines(V.lines(spark, sf_dir).withColumn("cited", cited)).select("line_id", "number")
 
 
-@query("""SELECT 'author' AS kind, source AS code, 'Author ' || source AS name FROM (SELECT DISTINCT source FROM documents WHERE source NOT IN ('src1', 'src2'))
-UNION ALL SELECT 'text', source || '.' || lang, 'Work ' || lang FROM (SELECT DISTINCT source, lang FROM documents WHERE lang <> 'fr')""")
+_KEY = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
+
+
+@query(f"""SELECT 'author' AS kind, source AS code, 'Author ' || source AS name, {_KEY.format("'author' || chr(31) || source")} AS id, NULL AS author_id FROM (SELECT DISTINCT source FROM documents WHERE source NOT IN ('src1', 'src2'))
+UNION ALL SELECT 'text', source || '.' || lang, 'Work ' || lang, {_KEY.format("'text' || chr(31) || source || chr(31) || lang")}, CASE WHEN source = 'src1' THEN 1 WHEN source = 'src2' THEN 2 ELSE {_KEY.format("'author' || chr(31) || source")} END FROM (SELECT DISTINCT source, lang FROM documents WHERE lang <> 'fr')""")
 def get_or_create_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two authors and the French works are there already."""
+    """Two authors, with ids of their own, and the French works are there already."""
     seen = V.documents(spark, sf_dir).select(F.col("source").alias("author_code"), F.col("lang").alias("work_code"))
-    authors, texts = W.create_dims(seen, seen.filter("author_code in ('src1', 'src2')"), seen.filter("work_code = 'fr'"))
-    return authors.select(F.lit("author").alias("kind"), F.col("author_code").alias("code"), F.col("author_name").alias("name")).unionByName(texts.select(F.lit("text").alias("kind"), F.concat("author_code", F.lit("."), "work_code").alias("code"), F.col("title").alias("name")))
+    known = seen.select("author_code").distinct().filter("author_code in ('src1', 'src2')").withColumn("author_id", F.substring("author_code", 4, 1).cast("long"))
+    old = seen.filter("work_code = 'fr'").distinct().withColumn("text_id", F.lit(1).cast("long"))
+    authors, texts = W.create_dims(seen, known, old)
+    authors = authors.select(F.lit("author").alias("kind"), F.col("author_code").alias("code"), F.col("author_name").alias("name"), F.col("author_id").alias("id"), F.lit(None).cast("long").alias("author_id"))
+    return authors.unionByName(texts.select(F.lit("text").alias("kind"), F.concat("author_code", F.lit("."), "work_code").alias("code"), F.col("title").alias("name"), F.col("text_id").alias("id"), "author_id"))
 
 
 _NEW = "CASE WHEN source IN ('src1', 'src2') THEN 'Unknown Author' ELSE 'Author ' || source END"
@@ -412,22 +418,24 @@ def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LEMMAS = _CITED.rstrip() + """,
 ctx AS (SELECT sentence_id, citation, content, lag(content) OVER w AS p, lead(content) OVER w AS x, regexp_extract_all(content, '[\\p{L}]+') AS t FROM cited WINDOW w AS (PARTITION BY division_id ORDER BY first_line, sentence_id)),
-pairs AS (SELECT DISTINCT sentence_id, lower(w) AS lemma FROM (SELECT sentence_id, unnest(t) AS w FROM ctx))
+pairs AS (SELECT DISTINCT sentence_id, lower(w) AS lemma FROM (SELECT sentence_id, unnest(t) AS w FROM ctx)),
+slices AS (SELECT sentence_id, CAST(sum(strlen(content)) OVER (ORDER BY sentence_id) AS BIGINT) // 100000 AS part FROM ctx)
 """
 
 
-@query(_LEMMAS + "SELECT lemma, sentence_id // 1000000000000 AS part, count(*) AS n, md5(string_agg(citation || ': ' || content, chr(10) ORDER BY sentence_id)) AS prompt_md5 FROM pairs JOIN ctx USING (sentence_id) GROUP BY ALL")
+@query(_LEMMAS + "SELECT lemma, part, count(*) AS n, md5(string_agg(citation || ': ' || content, chr(10) ORDER BY sentence_id)) AS prompt_md5 FROM pairs JOIN ctx USING (sentence_id) JOIN slices USING (sentence_id) GROUP BY ALL")
 def lexical_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompt of every lemma, as a digest: its citations with their sentences, in parts."""
-    entries = lexicon.lemma_entries(_contexts(spark, sf_dir))
+    rows = _cited(spark, sf_dir).select("sentence_id", "citation", F.col("content").alias("text"), V.tokens_of(F.col("content")).alias("tokens"))
+    entries = lexicon.lemma_entries(rows, f"{context.scratch(spark)}/sentences", part_bytes=100_000, context=())
     return entries.select("lemma", "part", "n", F.md5(lexicon.prompt(F.col("citations")).cast("binary")).alias("prompt_md5"))
 
 
-@query(_LEMMAS + """SELECT lemma, sentence_id // 1000000000000 AS part, count(*) AS n, min(sentence_id) AS "primary", md5(string_agg(citation, chr(10) ORDER BY sentence_id)) AS citations_md5,
-  md5(string_agg(sentence_id || '|' || content || '|' || coalesce(p, '') || '|' || coalesce(x, '') || '|' || array_to_string(t, ' '), chr(10) ORDER BY sentence_id)) AS contexts_md5 FROM pairs JOIN ctx USING (sentence_id) GROUP BY ALL""")
+@query(_LEMMAS + """SELECT lemma, part, count(*) AS n, min(sentence_id) AS "primary", md5(string_agg(citation, chr(10) ORDER BY sentence_id)) AS citations_md5,
+  md5(string_agg(sentence_id || '|' || content || '|' || coalesce(p, '') || '|' || coalesce(x, '') || '|' || array_to_string(t, ' '), chr(10) ORDER BY sentence_id)) AS contexts_md5 FROM pairs JOIN ctx USING (sentence_id) JOIN slices USING (sentence_id) GROUP BY ALL""")
 def lexical_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All citations and contexts of every lemma, in parts: text, previous and next sentence and tokens, as digests."""
-    entries = lexicon.lemma_entries(_contexts(spark, sf_dir))
+    entries = lexicon.lemma_entries(_contexts(spark, sf_dir), f"{context.scratch(spark)}/sentences", part_bytes=100_000)
     value = lambda e: F.concat_ws("|", e["key"].cast("string"), e["value"]["text"], F.coalesce(e["value"]["prev"], F.lit("")), F.coalesce(e["value"]["next"], F.lit("")), F.array_join(F.transform(e["value"]["tokens"], lambda t: t["text"]), " "))
     shown = F.array_join(F.transform(F.array_sort(F.map_entries("contexts")), value), "\n")
     cited = F.array_join(F.transform("citations", lambda c: c["citation"]), "\n")

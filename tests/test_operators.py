@@ -57,9 +57,17 @@ def test_verify(spark):
 
 def test_lexicon(spark):
     contexts = spark.createDataFrame([(i, f"c{i}", f"s{i}", None, f"s{i + 1}", [("a",), ("a",)] + [("b",)] * (i == 3)) for i in range(25)], "sentence_id long, citation string, text string, prev string, next string, tokens array<struct<lemma:string>>")
-    parts = {(r.lemma, r.part): r for r in lexicon.lemma_entries(contexts, slice_size=10).collect()}
-    assert {k: (r.n, r.primary) for k, r in parts.items()} == {("a", 0): (10, 0), ("a", 1): (10, 10), ("a", 2): (5, 20), ("b", 0): (1, 3)}
+    at = lambda: f"{context.scratch(spark)}/s"
+    parts = {(r.lemma, r.part): r for r in lexicon.lemma_entries(contexts, at(), part_bytes=30).collect()}
+    sizes, want = 0, {}
+    for i in range(25):
+        sizes += len(f"s{i}")
+        want.setdefault(sizes // 30, []).append(i)
+    assert {k[1]: [r.n, r.primary] for k, r in parts.items() if k[0] == "a"} == {p: [len(v), v[0]] for p, v in want.items()} and len(want) == 3
+    assert [k for k in parts if k[0] == "b"] == [("b", 0)]
     assert parts["b", 0].contexts[3].next == "s4" and parts["b", 0].citations == [("c3", "s3")]
+    plain = lexicon.lemma_entries(contexts.drop("prev", "next"), at(), part_bytes=30, context=())
+    assert {(r.lemma, r.part): r.citations for r in plain.collect()} == {k: r.citations for k, r in parts.items()} and "contexts" not in plain.columns
     answer = spark.createDataFrame([('{"lemma": 1, "translation": true, "related_terms": "x", "citations_used": ["a", 2]}',)], "t string")
     got = answer.select(lexicon.coerced(lexicon.parse_response(F.col("t"))).alias("r")).first()["r"]
     assert (got.lemma, got.translation, got.related_terms, got.citations_used, got.long_description) == ("1", "true", ["x"], ["a", "2"], None)
@@ -239,3 +247,19 @@ def test_reference_tags(spark):
     works = spark.createDataFrame([("0057", "001", "De usu")], "author_id string, work_id string, work_name string")
     got = D.replace_refs(spark.createDataFrame([r[:2] for r in rows], "id int, t string"), "id", "t", authors, works)
     assert {r.id: r.t for r in got.collect()} == {i: want for i, _, want in rows}
+
+
+def test_dimensions_with_keys(spark):
+    import pytest
+
+    seen = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "a"), ("2", "a"), ("3", None), (None, "x")], "author_code string, work_code string")
+    authors = spark.createDataFrame([("1", 77)], "author_code string, author_id long")
+    texts = spark.createDataFrame([("1", "a", 5)], "author_code string, work_code string, text_id long")
+    made = [sorted(map(tuple, x.collect())) for x in W.create_dims(seen, authors, texts)]
+    assert made == [sorted(map(tuple, x.collect())) for x in W.create_dims(seen.repartition(3), authors, texts)]
+    ids = {code: i for i, code, _ in made[0]}
+    assert set(ids) == {"2", "3"} and [(a, c, w, t) for _, a, c, w, t in sorted(made[1], key=lambda r: r[2:])] == [(77, "1", "b", "Work b"), (ids["2"], "2", "a", "Work a")]
+    with pytest.raises(Exception, match="two rows have the author_id 9"):
+        W.create_dims(seen, authors, texts, make=lambda *x: F.lit(9).cast("long"))[0].collect()
+    with pytest.raises(Exception, match="two rows have the text_id 5"):
+        W.create_dims(seen.filter("work_code = 'b'"), authors, texts, make=lambda *x: F.lit(5).cast("long"))[1].collect()
