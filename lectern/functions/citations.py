@@ -12,17 +12,16 @@ LEVELS = ("epistle", "fragment", "volume", "book", "chapter", "section", "page",
 #: Parts of a level name and the column they mean, in this order.
 LEVEL_PARTS = (("vol", "volume"), ("pag", "page"), ("sec", "section"), ("cha", "chapter"), ("pla", "chapter"), ("lin", "line"), ("fra", "fragment"), ("boo", "book"))
 DEFAULT_LEVELS = ("Chapter", "Line")
-#: Dotted forms that texts have, pattern and the levels of its groups. The first that matches at the start wins, so longer ones come first.
+#: Dotted forms and the names of their groups, in this order.
 DOTTED = (
-    (r"^\[(\w+)\]\s*\[(\w+)\]\s*\[(\w*)\]\s*\[(\w*)\]", ("Author", "Work", "Division", "Subdivision")),
-    (r"^(\d+)\.(\d+)\.(\d+)\.(\d+)", ("Book", "Chapter", "Section", "Line")),
-    (r"^(\d+)\.(\d+)\.t(\d+)", ("Volume", "Page", "Title")),
-    (r"^(\d+)\.(\d+)\.(\d+)", ("Volume", "Chapter", "Line")),
-    (r"^\.?t\.?(\d+)", ("Title",)),
-    (r"^\.(\d+)\.t\.?(\d+)", ("Chapter", "Title")),
-    (r"^\.([a-z])\.(\d+)", ("Fragment", "Line")),
-    (r"^\.(\d+)\.(\d+)", ("Chapter", "Line")),
-    (r"^\.(\d+)", ("Line",)),
+    (r"\[(\w*)\]\s*\[(\w*)\]\s*\[(\w*)\]\s*\[(\w*)\]", ("author_id", "work_id", "division", "subdivision")),
+    (r"\.t\.(\d+)", ("title_number",)),
+    (r"\.(\d+)\.(\d+)", ("chapter", "line")),
+    (r"(\d+)\.(\d+)\.t(\d+)", ("volume", "chapter", "title_number")),
+    (r"(\d+)\.(\d+)\.(\d+)", ("volume", "chapter", "line")),
+    (r"([a-zA-Z\d]+)?\.([a-zA-Z\d]+)?\.([a-zA-Z\d]+)?", ("volume", "chapter", "line")),
+    (r"\.([a-zA-Z])\.([a-zA-Z\d]+)", ("volume", "line")),
+    (r"(\d+)\.(\d+)\.(\d+)\.(\d+)", ("volume", "chapter", "subdivision", "line")),
 )
 _HEAD = r"^-Z/*([^\t{]*)"
 
@@ -70,24 +69,39 @@ def title(line: Column) -> Column:
 
 
 def dotted(line: Column) -> Column:
-    """pattern number, label "Level value, …: " and remaining text of the first dotted form that matches."""
-    out = None
-    for i, (pattern, names) in reversed(list(enumerate(DOTTED))):
-        values = [F.nullif(F.regexp_extract(line, pattern, k + 1), F.lit("")) for k in range(len(names))]
-        label = F.concat(F.concat_ws(", ", *[F.concat(F.lit(f"{n} "), v) for n, v in zip(names, values, strict=True)]), F.lit(": "))
-        found = F.struct(F.lit(i).alias("form"), label.alias("label"), strip(F.regexp_replace(line, pattern, "")).alias("rest"))
-        out = F.when(line.rlike(pattern), found) if out is None else F.when(line.rlike(pattern), found).otherwise(out)
+    """form (number of the form), label "Name value, …: " of its groups that have a value, and rest of the line, of the first dotted form that stands at the start; null where none does."""
+    out = F.lit(None).cast("struct<form:int,label:string,rest:string>")
+    for i, (form, names) in reversed(list(enumerate(DOTTED))):
+        pattern = f"^(?U:{form})"
+        values = [F.concat(F.lit(f"{n.capitalize()} "), F.nullif(F.regexp_extract(line, pattern, k + 1), F.lit(""))) for k, n in enumerate(names)]
+        found = F.struct(F.lit(i).alias("form"), F.concat(F.concat_ws(", ", *values), F.lit(": ")).alias("label"), strip(F.regexp_replace(line, pattern, "")).alias("rest"))
+        out = F.when(line.rlike(pattern), found).otherwise(out)
     return out
 
 
-def level_column(name: Column, structure: Column) -> Column:
-    """The column for a level name: exact, by part, then by what the structure has, else chapter."""
-    low = F.lower(name)
-    out = F.when(low.isin(*LEVELS), low)
+def _by_part(low: Column) -> Column:
+    """The column of the first part that a name has; null where it has none."""
+    out = F.when(F.lit(False), F.lit(""))
     for part, column in LEVEL_PARTS:
         out = out.when(low.contains(part), F.lit(column))
-    has = lambda p: F.exists(structure, lambda x: F.lower(x).contains(p))
-    return out.when(has("play"), F.lit("chapter")).when(has("book"), F.lit("book")).otherwise(F.lit("chapter"))
+    return out
+
+
+def level_column(name: Column, structure: Column) -> Column:
+    """The column for a level name: the name itself, or by a part of it; else by the levels of the structure: chapter beside a play, book beside a book, the column of the
+    first level that has a part; else chapter."""
+    low = F.lower(strip(name))
+    levels = F.transform(structure, F.lower)
+    first = F.get(F.array_compact(F.transform(levels, _by_part)), F.lit(0))
+    beside = F.when(F.array_contains(levels, "play"), F.lit("chapter")).when(F.array_contains(levels, "book"), F.lit("book")).otherwise(first)
+    return F.coalesce(F.when(low.isin(*LEVELS), low), _by_part(low), beside, F.lit("chapter"))
+
+
+def cites(citations: Column, author_id: Column | str, work_id: Column | str) -> Column:
+    """Whether a JSON array of citations (or a single one) has a citation whose source has both ids. Text that is no JSON, and a null, cite nothing; an id that is a number is compared as text."""
+    read = F.from_json(citations, "array<struct<source:struct<author_id:string,work_id:string>>>")
+    own = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.coalesce(F.exists(read, lambda c: F.coalesce((c["source"]["author_id"] == own(author_id)) & (c["source"]["work_id"] == own(work_id)), F.lit(False))), F.lit(False))
 
 
 def format_raw(values: Column, size: int = 4) -> Column:

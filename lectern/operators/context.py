@@ -55,6 +55,12 @@ def paginate(rows: DataFrame, order: list[str], where: str, size: int = 10) -> D
     return out.withColumns({"page": F.floor((F.col("place") - 1) / size) + 1, "total_results": F.col("total"), "total_pages": F.ceil(F.col("total") / size)}).drop("total", "place")
 
 
+def natural_order(level: Column, missing: str = "1") -> list[Column]:
+    """Order by number where the level is one, then by text; a missing level counts as another."""
+    level = F.coalesce(level, F.lit(missing))
+    return [level.try_cast("int").asc_nulls_last(), level]
+
+
 def latest(versions: DataFrame, key: str, version: str) -> DataFrame:
     """The current row of each key; the whole row rides with the maximum, so a hot key is combined before the shuffle."""
     rest = [c for c in versions.columns if c not in (key, version)]

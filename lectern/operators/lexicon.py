@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.context import latest
 from lectern.operators.ranges import RANGE, in_ranges, scan
 
 #: What a response must have.
@@ -74,6 +75,19 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.select(key, *[F.coalesce(f"__{c}", c).alias(c) if f"__{c}" in n.columns else F.col(c) for c in old.columns if c != key])
 
 
+def storage_info(versions: DataFrame, backups: DataFrame, key: str, version: str) -> DataFrame:
+    """kind, n and size: the current versions, all versions, the backups, and versions and backups together. versions: key, version, size; backups: size."""
+    both = versions.select(F.lit("version").alias("kind"), "size").unionByName(backups.select(F.lit("backup").alias("kind"), "size"))
+    rows = both.unionByName(both.select(F.lit("total").alias("kind"), "size")).unionByName(latest(versions, key, version).select(F.lit("current").alias("kind"), "size"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+
+
+def of_category(entries: DataFrame, sentences: DataFrame, category: str) -> DataFrame:
+    """The entries whose primary sentence (column primary_sentence) has the category; sentences: sentence_id and categories."""
+    own = sentences.filter(F.array_contains("categories", category)).select(F.col("sentence_id").alias("primary_sentence")).distinct()
+    return entries.join(own, "primary_sentence", "left_semi")
+
+
 def create_missing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows whose key isn't there yet."""
     return new.join(old.select(key).distinct(), key, "left_anti")

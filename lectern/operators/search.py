@@ -69,9 +69,19 @@ def decomposed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFD", t).lower())
 
 
+def has_lemma_normalized(tokens: Column, lemma: str) -> Column:
+    """One token has the lemma, up to case and canonical composition."""
+    return F.exists(tokens, lambda t: equal_normalized(t["lemma"], lemma))
+
+
+def with_normal(rows: DataFrame, column: str, out: str = "normal") -> DataFrame:
+    """rows with the decomposed lower case of a text, to be stored with it, so that searches need no Python."""
+    return rows.withColumn(out, decomposed(F.col(column)))
+
+
 def search_normalized(rows: DataFrame, column: str, query: str) -> DataFrame:
-    """Rows whose text has the query after both are decomposed and lower-cased."""
-    return rows.filter(decomposed(F.col(column)).contains(unicodedata.normalize("NFD", query).lower()))
+    """Rows whose stored normal form (a column of :func:`with_normal`) has the query's."""
+    return rows.filter(F.col(column).contains(unicodedata.normalize("NFD", query).lower()))
 
 
 def equal_normalized(c: Column, value: str) -> Column:

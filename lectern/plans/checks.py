@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import citations as C
-from lectern.operators import context, verify
+from lectern.operators import context, lexicon, verify
 from lectern.operators import divisions as D
 from lectern.plans import views as V
 from lectern.plans.registry import query
@@ -58,14 +58,26 @@ def validate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.documents(spark, sf_dir).select("doc_id", F.explode(verify.content_warnings(F.col("text"))).alias("type"))
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id IS NULL OR user_id NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN user_id END AS user_id FROM events WHERE event_id % 5 = 0 OR user_id IS NULL OR user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 1)")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.orphans(table(spark, sf_dir, "events").select("event_id", "user_id"), table(spark, sf_dir, "customer"), "user_id", "c_custkey").select("event_id", "user_id")
+    """Events without a customer, and of customers of whom a third is missing."""
+    events = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("user_id"))
+    return verify.orphans(events, table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 1"), "user_id", "c_custkey").select("event_id", "user_id")
 
 
-@query("SELECT event_id, CASE WHEN event_type IN ('line', 'page', 'book') THEN event_type WHEN contains(event_type, 'vol') THEN 'volume' WHEN contains(event_type, 'pag') THEN 'page' WHEN contains(event_type, 'sec') THEN 'section' WHEN contains(event_type, 'cha') THEN 'chapter' WHEN contains(event_type, 'pla') THEN 'chapter' WHEN contains(event_type, 'lin') THEN 'line' WHEN contains(event_type, 'fra') THEN 'fragment' WHEN contains(event_type, 'boo') THEN 'book' ELSE 'book' END AS field FROM events")
+_NAMES = ("Book", "Volumen", "Bekker page", "sectio", "Chap", "Place", " LINE ", "Fragment", "Notebook", "Epistle", "Tome", "Verse")
+_STRUCTURES = (("Book", "Line"), ("Play", "Book", "Line"), ("Tome", "Bekker page", "Line"), ("Tome", "Playbook", "Line"), ("Tome", "Verse"))
+_PART_SQL = "CASE WHEN contains({0}, 'vol') THEN 'volume' WHEN contains({0}, 'pag') THEN 'page' WHEN contains({0}, 'sec') THEN 'section' WHEN contains({0}, 'cha') THEN 'chapter' WHEN contains({0}, 'pla') THEN 'chapter' WHEN contains({0}, 'lin') THEN 'line' WHEN contains({0}, 'fra') THEN 'fragment' WHEN contains({0}, 'boo') THEN 'book' END"
+
+
+@query(f"""WITH e AS (SELECT event_id, lower(trim({list(_NAMES)}[event_id % {len(_NAMES)} + 1])) AS name, list_transform({[list(x) for x in _STRUCTURES]}[event_id % {len(_STRUCTURES)} + 1], lambda x: lower(x)) AS levels FROM events)
+SELECT event_id, coalesce(CASE WHEN name IN ('epistle', 'fragment', 'volume', 'book', 'chapter', 'section', 'page', 'line') THEN name END, {_PART_SQL.format("name")}, CASE WHEN list_contains(levels, 'play') THEN 'chapter' WHEN list_contains(levels, 'book') THEN 'book' END,
+  list_filter(list_transform(levels, lambda x: {_PART_SQL.format("x")}), lambda x: x IS NOT NULL)[1], 'chapter') AS field FROM e""")
 def map_level_to_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", C.level_column(F.col("event_type"), F.array(F.lit("Book"), F.lit("Line"))).alias("field"))
+    """Names of all kinds in structures of all kinds, by the number of the event."""
+    pick = lambda values: F.element_at(F.array(*values), (F.col("event_id") % len(values) + 1).cast("int"))
+    levels = pick([F.array(*map(F.lit, x)) for x in _STRUCTURES])
+    return table(spark, sf_dir, "events").select("event_id", C.level_column(pick([F.lit(x) for x in _NAMES]), levels).alias("field"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -130,6 +142,17 @@ def sort_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.divisions(spark, sf_dir).select("division_id", F.row_number().over(w).alias("place"))
 
 
+_LEVEL = "CASE chapter % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(chapter AS VARCHAR) WHEN 2 THEN chapter || 'a' ELSE 'x' || chapter END"
+
+
+@query(with_tables("divisions") + f"SELECT division_id, row_number() OVER (PARTITION BY text_id ORDER BY TRY_CAST(coalesce({_LEVEL}, '1') AS INTEGER) NULLS LAST, coalesce({_LEVEL}, '1'), division_id) AS place FROM divisions")
+def sort_divisions_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By number where the level is one, then by text; a missing level counts as 1."""
+    level = F.expr(_LEVEL.replace("CAST(chapter AS VARCHAR)", "CAST(chapter AS STRING)"))
+    w = Window.partitionBy("text_id").orderBy(*context.natural_order(level), "division_id")
+    return V.divisions(spark, sf_dir).select("division_id", F.row_number().over(w).alias("place"))
+
+
 @query(with_tables("lines") + "SELECT line_id, row_number() OVER (PARTITION BY text_id ORDER BY chapter, line_number NULLS LAST) AS place FROM lines")
 def sort_division_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("text_id").orderBy("chapter", F.col("line_number").asc_nulls_last())
@@ -148,8 +171,9 @@ def nearby_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.nearby_lines(V.divisions(spark, sf_dir).filter("chapter % 4 = 0"), V.lines(spark, sf_dir), ("volume", "chapter")).select("empty_id", "line_id", "place")
 
 
-@query("SELECT 'current' AS kind, count(*) AS n, sum(length(text)) AS size FROM conversations c WHERE turn = (SELECT max(turn) FROM conversations x WHERE x.conv_id = c.conv_id) UNION ALL SELECT 'version', count(*), sum(length(text)) FROM conversations")
+@query("""SELECT kind, CAST(n AS BIGINT) AS n, CAST(size AS BIGINT) AS size FROM (SELECT 'current' AS kind, count(*) AS n, sum(length(text)) AS size FROM conversations c WHERE turn = (SELECT max(turn) FROM conversations x WHERE x.conv_id = c.conv_id) UNION ALL SELECT 'version', count(*), sum(length(text)) FROM conversations
+UNION ALL SELECT 'backup', count(*), sum(length(text)) FROM conversations WHERE role = 'system' UNION ALL SELECT 'total', count(*) + count_if(role = 'system'), sum(length(text)) + sum(CASE WHEN role = 'system' THEN length(text) ELSE 0 END) FROM conversations)""")
 def storage_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
-    both = rows.select(F.lit("version").alias("kind"), "size").unionByName(context.latest(rows, "conv_id", "turn").select(F.lit("current").alias("kind"), "size"))
-    return both.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    """Turns stand for versions, and those of the system for backups."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("size"))
+    return lexicon.storage_info(rows.select("conv_id", "turn", "size"), rows.filter("role = 'system'").select("size"), "conv_id", "turn")

@@ -83,14 +83,15 @@ def file_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Citations and works
 
 
-@query(with_tables("lines") + """SELECT line_id, CASE n % 5 WHEN 0 THEN 'Book 1, Chapter ' || volume || ', Section ' || chapter || ', Line ' || line_number || ': ' WHEN 1 THEN 'Volume ' || volume || ', Page ' || chapter || ', Title ' || line_number || ': '
-  WHEN 2 THEN 'Volume ' || volume || ', Chapter ' || chapter || ', Line ' || line_number || ': ' WHEN 3 THEN 'Chapter ' || chapter || ', Line ' || line_number || ': ' ELSE 'Title ' || line_number || ': ' END AS label, content AS rest FROM lines""")
+@query(with_tables("lines") + """SELECT line_id, CASE n % 8 WHEN 0 THEN 'Author_id ' || volume || ', Division ' || chapter || ': ' WHEN 1 THEN 'Title_number ' || line_number || ': ' WHEN 2 THEN 'Chapter ' || chapter || ', Line ' || line_number || ': '
+  WHEN 3 THEN 'Volume ' || volume || ', Chapter ' || chapter || ', Title_number ' || line_number || ': ' WHEN 4 THEN 'Volume ' || volume || ', Chapter ' || chapter || ', Line ' || line_number || ': '
+  WHEN 5 THEN 'Volume ' || volume || 'a, Line ' || line_number || 'b: ' WHEN 6 THEN 'Volume 1, Chapter ' || volume || ', Line ' || chapter || ': ' END AS label,
+  CASE n % 8 WHEN 6 THEN '.' || line_number || ' * ' || content WHEN 7 THEN NULL ELSE '* ' || content END AS rest FROM lines""")
 def match_citation_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five dotted forms in turn."""
-    form, dot = F.col("n") % 5, F.lit(".")
-    place = F.when(form == 0, F.concat(F.lit("1."), "volume", dot, "chapter", dot, "line_number")).when(form == 1, F.concat("volume", dot, "chapter", F.lit(".t"), "line_number"))
-    place = place.when(form == 2, F.concat("volume", dot, "chapter", dot, "line_number")).when(form == 3, F.concat(dot, "chapter", dot, "line_number")).otherwise(F.concat(F.lit(".t."), "line_number"))
-    return V.lines(spark, sf_dir).select("line_id", C.dotted(F.concat(place, F.lit(" "), "content")).alias("d")).select("line_id", "d.label", "d.rest")
+    """The dotted forms in turn, numbers of four levels, of which the form with three takes the first three, and a line without any."""
+    place = """CASE n % 8 WHEN 0 THEN concat('[', volume, '] [][', chapter, '] []') WHEN 1 THEN concat('.t.', line_number) WHEN 2 THEN concat('.', chapter, '.', line_number) WHEN 3 THEN concat(volume, '.', chapter, '.t', line_number)
+      WHEN 4 THEN concat(volume, '.', chapter, '.', line_number) WHEN 5 THEN concat(volume, 'a..', line_number, 'b') WHEN 6 THEN concat('1.', volume, '.', chapter, '.', line_number) ELSE 'none' END"""
+    return V.lines(spark, sf_dir).select("line_id", C.dotted(F.concat(F.expr(place), F.lit(" * "), "content")).alias("d")).select("line_id", "d.label", "d.rest")
 
 
 @query(with_tables("lines") + "SELECT line_id, CASE n % 3 WHEN 0 THEN content WHEN 1 THEN 'a ' || content ELSE content || ' b' END AS stripped FROM lines")

@@ -94,7 +94,16 @@ def search_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tables("sentences") + "SELECT sentence_id FROM sentences WHERE regexp_matches(lower(content), 'ér[eéèêë]')")
 def search_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_normalized(V.sentences(spark, sf_dir), "content", "Ére").select("sentence_id")
+    """The normal form is stored beside the sentences once; the search reads it alone."""
+    where = f"{context.scratch(spark)}/sentences"
+    search.with_normal(V.sentences(spark, sf_dir).select("sentence_id", "content"), "content").write.parquet(where)
+    return search.search_normalized(spark.read.parquet(where), "normal", "E\u0301re").select("sentence_id")
+
+
+@query(with_tables("tokens") + "SELECT DISTINCT sentence_id FROM tokens WHERE lemma = 'für'")
+def search_lemma_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lemma asked for in capitals and decomposed."""
+    return V.tokens(spark, sf_dir).filter(search.has_lemma_normalized(F.col("tokens"), "FU\u0308R")).select("sentence_id")
 
 
 @query(with_tables("tokens") + f"""SELECT 'line' AS kind, line_id AS id FROM lines WHERE contains(lower(content), '{WORD}') UNION ALL SELECT 'sentence', sentence_id FROM sentences WHERE contains(lower(content), '{WORD}') UNION ALL SELECT 'lemma', sentence_id FROM (SELECT DISTINCT sentence_id FROM tokens WHERE contains(lemma, '{WORD}'))""")

@@ -50,17 +50,34 @@ def test_rest_and_metadata(spark):
 
 @pytest.mark.parametrize(
     ("line", "label", "rest"),
-    [("128.32.5 text", "Volume 128, Chapter 32, Line 5: ", "text"), (".1.5 text", "Chapter 1, Line 5: ", "text"), ("t.1 x", "Title 1: ", "x"), (".a.123 text", "Fragment a, Line 123: ", "text"), (".2.t.1 x", "Chapter 2, Title 1: ", "x")],
+    [
+        ("128.32.5 text", "Volume 128, Chapter 32, Line 5: ", "text"), (".1.5 text", "Chapter 1, Line 5: ", "text"), (".t.1 x", "Title_number 1: ", "x"), (".a.123 text", "Chapter a, Line 123: ", "text"), ("1.2.t3 x", "Volume 1, Chapter 2, Title_number 3: ", "x"),
+        ("12a.b.7c x", "Volume 12a, Chapter b, Line 7c: ", "x"), ("1.2.3.4 x", "Volume 1, Chapter 2, Line 3: ", ".4 x"), ("[1] [2] [] [d] x", "Author_id 1, Work_id 2, Subdivision d: ", "x"), ("..7", "Line 7: ", ""),
+    ],
 )
 def test_dotted(spark, line, label, rest):
     d = one(spark, C.dotted(F.col("line")), line=line)
     assert (d["label"], d["rest"]) == (label, rest)
+    assert one(spark, C.dotted(F.col("line")), line="no number") is None
 
 
 def test_level_columns(spark):
-    structure = F.array(F.lit("Book"), F.lit("Line"))
-    got = [one(spark, C.level_column(F.col("n"), structure), n=n) for n in ("Volume", "Bekker page", "Play", "line", "Stanza")]
-    assert got == ["volume", "page", "chapter", "line", "book"]
+    for name, structure, column in (
+        ("Volume", ["Book"], "volume"), ("Bekker page", ["Book"], "page"), ("Play", ["Book"], "chapter"), (" line ", [], "line"), ("Stanza", ["Book", "Line"], "book"), ("Stanza", ["Play", "Book"], "chapter"),
+        ("Tome", ["Tome", "Page"], "page"), ("Tome", ["Tome", "Playbook", "Line"], "chapter"), ("Tome", ["Notebook"], "book"), ("Tome", ["Tome"], "chapter"), ("Tome", [], "chapter"), ("Epistle", [], "epistle"),
+    ):
+        levels = F.array(*map(F.lit, structure)).cast("array<string>")
+        assert one(spark, C.level_column(F.col("n"), levels), n=name) == column, (name, structure)
+
+
+def test_cites(spark):
+    one_source = '{"note": [1], "source": {"author_id": "0057", "work_id": "001", "x": {}}}'
+    for text, found in (
+        (f"[{one_source}]", True), (f'[{{"source": {{"author_id": "0057", "work_id": "002"}}}}, {{"source": {{"author_id": "1", "work_id": "001"}}}}]', False), (f'[{{"a": 1}}, {{"source": null}}, {one_source}]', True), (one_source, True),
+        ("[", False), ("", False), (None, False), ("[]", False), ('{"source": {"author_id": "0057"}}', False), ('[{"source": {"author_id": "0057", "work_id": "001"}}, "x', False),
+    ):
+        got = spark.createDataFrame([(text,)], "c string").select(C.cites(F.col("c"), "0057", "001").alias("x")).first()["x"]
+        assert got == found, text
 
 
 def test_formats(spark):

@@ -36,7 +36,9 @@ def test_search(spark):
     got = row.select(search.split_categories(F.col("tokens")).alias("a"), search.raw_categories(F.col("tokens")).alias("b"), search.pos_lemma_categories(F.col("tokens")).alias("c"), search.has_token(F.col("tokens"), category="topo", pos="NOUN").alias("d"), search.contains_text(F.col("content"), "0%").alias("e"), search.tokens_in_line(F.col("tokens"), F.col("content")).alias("f")).first()
     assert got.a == ["Body Part", "Topography"] and got.b == ["Body Part, Topography", "Body Part"] and got.c == ["noun:φλέψ"] and got.d and got.e
     assert [(h.i, h.start, h.end) for h in got.f] == [(0, 0, 4), (1, 5, 6)]
-    assert search.search_normalized(row, "content", "ΦΛΈ").count() == 1 and search.search_normalized(row, "content", "φλε").count() == 1
+    stored = search.with_normal(row, "content")
+    assert search.search_normalized(stored, "normal", "ΦΛΈ").count() == 1 and search.search_normalized(stored, "normal", "φλε").count() == 1 and search.search_normalized(stored, "normal", "φλα").count() == 0
+    assert row.filter(search.has_lemma_normalized(F.col("tokens"), "ΦΛΕ\u0301Ψ")).count() == 1 and row.filter(search.has_lemma_normalized(F.col("tokens"), "φλεψ")).count() == 0
     assert row.filter(search.categories_all(search.split_categories(F.col("tokens")), ["Topography", "Body Part"])).count() == 1
 
 
