@@ -38,14 +38,16 @@ _RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: The classifier: what each feature of a block adds to its gain (above 0: content). Integers, so that flows are exact.
 WEIGHTS = {
-    "block": -30, "word": 2, "sentence": 15, "comma": 3, "heading": 16, "paragraph": 4, "item": -10, "linked": -100, "rights": -60,
-    "article": 24, "outside": -40, "body_class": 20, "outside_body": -15, "furniture": -100, "furniture_class": -100, "header": -70,
+    "block": -30, "word": 2, "sentence": 15, "comma": 3, "heading": 16, "paragraph": 4, "item": -10, "item_of_text": 8, "linked": -100, "rights": -60,
+    "article": 24, "unmarked": 22, "outside": -40, "body_class": 20, "outside_body": -15, "furniture": -100, "furniture_class": -100, "header": -70,
 }
 MOST_WORDS, MOST_COMMAS = 30, 5
 #: Smoothness between neighbours that are siblings, less by the fourth power of their distance in the tree, so that neighbours
 #: of different containers hardly pull; and to the last block of the same parent and grandparent. Between a block in furniture
-#: and one outside it, an edge has a part of its capacity only.
+#: and one outside it, and between a block of links and one of text, an edge has a part of its capacity only.
 SMOOTH_NEXT, SMOOTH_PARENT, SMOOTH_GRANDPARENT, CONTRAST = 40, 16, 8, 8
+#: A block with a larger share of linked text is a block of links.
+MOST_LINKED = 0.5
 #: An element with so much of the page's (or the article's) text is layout, whatever its class says.
 MOST_TEXT = 0.6
 
@@ -203,18 +205,20 @@ def graph(page: str) -> tuple[list[Block], list[int], list[tuple[int, int, int]]
         elif b.tag in ("p", "blockquote", "pre"):
             g += WEIGHTS["paragraph"]
         elif b.tag in ("li", "dt", "dd", "td", "th", "label"):
-            g += WEIGHTS["item"]
+            g += WEIGHTS["item_of_text" if inside or (top is None and not good and not body) else "item"]
         if top is not None:
             g += WEIGHTS["article"] if inside else WEIGHTS["outside"]
         elif good:
             g += WEIGHTS["body_class"]
         elif body:
             g += WEIGHTS["outside_body"]
+        else:
+            g += WEIGHTS["unmarked"]
         if not inside and _RIGHTS.match(b.text):
             g += WEIGHTS["rights"]
         gain.append(g)
     edges, last = [], {}
-    marked = [told[b.path[-1]][0] < 0 for b in bs]
+    marked = [(told[b.path[-1]][0] < 0, b.linked > MOST_LINKED) for b in bs]
 
     def tie(j: int, i: int, weight: int) -> None:
         edges.append((j, i, weight if marked[i] == marked[j] else weight // CONTRAST))
@@ -241,38 +245,60 @@ def graph(page: str) -> tuple[list[Block], list[int], list[tuple[int, int, int]]
 
 
 def min_cut(gain: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
-    """Labels of the nodes on the source's side. gain: source less sink capacity of each node; edges: (a, b, capacity) both ways."""
+    """Labels of the nodes on the source's side. gain: source less sink capacity of each node; edges: (a, b, capacity) both ways.
+
+    Flow is sent in phases: all nodes are levelled by their distance from those that still have some, and it is then sent along levels until none gets through.
+    """
     n = len(gain)
-    near: list[dict[int, int]] = [{} for _ in range(n)]
+    to: list[int] = []
+    room: list[int] = []
+    out: list[list[int]] = [[] for _ in range(n)]
     for a, b, c in edges:
-        near[a][b] = near[a].get(b, 0) + c
-        near[b][a] = near[b].get(a, 0) + c
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to += (b, a)
+        room += (c, c)
     excess = list(gain)  # above 0: what the source can still send here; below 0: what the sink still takes
     while True:
-        came = {i: -1 for i in range(n) if excess[i] > 0}
-        queue, end = deque(came), -1
+        level = [0 if x > 0 else -1 for x in excess]
+        queue, met = deque(i for i, x in enumerate(excess) if x > 0), False
+        sources = list(queue)
         while queue:
             i = queue.popleft()
-            if excess[i] < 0:
-                end = i
-                break
-            for j, c in near[i].items():
-                if c > 0 and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if end < 0:
-            return [i in came for i in range(n)]
-        path, i, flow = [], end, -excess[end]
-        while came[i] >= 0:
-            path.append((came[i], i))
-            flow = min(flow, near[came[i]][i])
-            i = came[i]
-        flow = min(flow, excess[i])
-        excess[i] -= flow
-        excess[end] += flow
-        for a, b in path:
-            near[a][b] -= flow
-            near[b][a] += flow
+            met = met or excess[i] < 0
+            for e in out[i]:
+                if room[e] > 0 and level[to[e]] < 0:
+                    level[to[e]] = level[i] + 1
+                    queue.append(to[e])
+        if not met:
+            return [x >= 0 for x in level]
+        following = [0] * n
+        for s in sources:
+            path: list[int] = []
+            i = s
+            while excess[s] > 0:
+                if excess[i] < 0:
+                    flow = min(excess[s], -excess[i], *(room[e] for e in path))
+                    excess[s] -= flow
+                    excess[i] += flow
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    path, i = [], s
+                    continue
+                while following[i] < len(out[i]):
+                    e = out[i][following[i]]
+                    if room[e] > 0 and level[to[e]] == level[i] + 1:
+                        break
+                    following[i] += 1
+                if following[i] < len(out[i]):
+                    path.append(e)
+                    i = to[e]
+                elif path:
+                    i = to[path.pop() ^ 1]
+                    following[i] += 1
+                else:
+                    break
 
 
 def main_text(page: str) -> str:

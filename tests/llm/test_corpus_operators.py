@@ -715,6 +715,36 @@ def test_html_labels_are_the_cheapest():
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
+@pytest.mark.parametrize("box", ["article", "div"])
+def test_html_keeps_what_stands_between_links(box):
+    """Paragraphs between blocks of links, verse, lists and cells, in a marked article and in a page without marks."""
+    lines = [f"This is a paragraph of twenty words, which stands between two blocks of links, and all of it is wanted {i}." for i in range(4)]
+    body = "".join(f"<p>{x}</p><p><a href=x>Read also: another page of ours</a></p>" for x in lines)
+    assert html_text.main_text(f"<html><body><{box}>{body}</{box}></body></html>") == "\n".join(lines)
+    verse = ["A title", "roses are red", "violets are blue", "sugar is sweet"]
+    assert html_text.main_text(f"<html><body><{box}><h1>{verse[0]}</h1>{''.join(f'<p>{v}</p>' for v in verse[1:])}</{box}></body></html>") == "\n".join(verse)
+    nav, foot = "<nav><ul><li><a href=1>Home</a></li><li><a href=2>About us</a></li></ul></nav>", "<footer>© 2020 The owners</footer>"
+    page = f"<html><body>{nav}<{box}><h2>Things</h2><p>{lines[0]}</p><ul><li>one</li><li>two</li></ul><table><tr><td>1</td><td>2</td></tr></table></{box}>{foot}</body></html>"
+    assert html_text.main_text(page) == "\n".join(["Things", lines[0], "one", "two", "1", "2"])
+
+
+def test_html_cuts_of_many_blocks():
+    """Against all labellings of small graphs, and 100,000 alternating blocks in seconds."""
+    import itertools
+    import time
+
+    rng = random.Random(11)
+    for _ in range(150):
+        n = rng.randint(1, 8)
+        gain = [rng.randint(-9, 9) for _ in range(n)]
+        edges = [(*rng.sample(range(n), 2), rng.randint(0, 6)) for _ in range(rng.randint(0, 12))] if n > 1 else []
+        cost = lambda x: sum(-g if g < 0 and y else g if g > 0 and not y else 0 for g, y in zip(gain, x, strict=True)) + sum(c for a, b, c in edges if x[a] != x[b])  # noqa: B023, E731
+        assert cost(html_text.min_cut(gain, edges)) == min(map(cost, itertools.product([False, True], repeat=n)))
+    n, began = 100_000, time.time()
+    html_text.min_cut([30, -30] * (n // 2), [(i, i + 1, 20) for i in range(n - 1)])
+    assert time.time() - began < 30
+
+
 def test_html_of_the_given_pages(spark):
     """Whole pages against the paragraphs of their article, found by plain splitting; the cut matters on some."""
     differ = 0
