@@ -2,9 +2,10 @@
 
 Texts of up to ``chunk_chars`` code points are encoded whole. A huge text is encoded in overlapping
 chunks with offsets; two neighbours are spliced at a token boundary that both have and that is proven
-stable: a single space before a character that isn't white space always starts a new pre-token, so
+stable: a single space before a character that isn't white space always starts a new pre-token, and so does,
+under the usual pattern, a letter, digit, sign or line end after one of another class, so
 what follows it is encoded alike whatever stood before. Where an overlap holds no such place it is
-widened until there is one or the text ends.
+widened until there is one or the text ends. Files of ``sentencepiece`` aren't spliced, since nothing is proven of them.
 
 The same fact makes other texts cheap: between two such spaces a text is encoded independently, so the
 distinct units of some MB of text are encoded once each and their ids gathered.
@@ -35,6 +36,11 @@ _COMPARED = 1 << 16
 #: White space by any of the definitions in use; a space before one of these isn't a stable boundary.
 _BLANK = "\\s\u180e\u200b\ufeff"
 _STABLE = re.compile(f" (?=[^{_BLANK}])")
+#: Letters, digits, signs but for the apostrophe (which may begin a contraction) and white space but for the plain space (which belongs to what follows), all of classes that no Unicode version changed.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0233\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_DIGIT, _SIGN, _LINE = "0-9", r"!-&(-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f", r"\n\t\r"
+#: Under the usual pattern no pre-token goes on where one of these classes follows another, so what follows such a place is encoded alike too.
+_CHANGE = re.compile(f"(?<=[{_LETTER}])(?=[{_DIGIT}{_SIGN}'{_LINE}])|(?<=[{_DIGIT}])(?=[{_LETTER}{_SIGN}'{_LINE}])|(?<=[{_SIGN}])(?=[{_LETTER}{_DIGIT}{_LINE}])|(?<=[{_LINE}])(?=[{_LETTER}{_DIGIT}{_SIGN}'])")
 #: Characters from here on may be classed by another Unicode version in another library; only the file's own library sees them.
 _NEWER = "\u0590"
 #: Texts on which both libraries must agree before the faster one is used: digits, contractions, white space, signs, pairs of all these.
@@ -70,7 +76,7 @@ class Encoder:
             import sentencepiece
 
             self.piece = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.tok, self.by_unit = None, False
+            self.tok, self.by_unit, self.longest = None, False, 0
             return
         from tokenizers import Tokenizer
 
@@ -82,6 +88,7 @@ class Encoder:
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None
             and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
         )
+        self.longest = max((len(t["content"]) for t in spec.get("added_tokens", [])), default=0)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or "(?!)")
         self.fast = self._fast_units(spec) if self.by_unit and spec["model"].get("type", "BPE") == "BPE" else None
 
@@ -188,8 +195,8 @@ class Encoder:
                 # The next chunk is encoded from its own start; both must have a boundary at a stable place.
                 ids2, at2 = self.encode_offsets(text[end : end + wide])
                 common_at = np.intersect1d(at + start, at2 + end)
-                # The last token of either may be cut short by the end of what it was given.
-                stable = [p for p in common_at.tolist() if end < p < end + wide - 1 and (_STABLE.match(text, p) or not self.by_unit and _STABLE.match(text, p - 1))]
+                # The last token of either, and a special string, may be cut short by the end of what it was given.
+                stable = [p for p in common_at.tolist() if end < p < end + wide - 1 - self.longest and self._stable(text, p)]
                 if stable:
                     break
                 wide *= 2
@@ -200,6 +207,12 @@ class Encoder:
             done.append(ids[at + start < stable[0]])
             start = stable[0]
 
+    def _stable(self, text: str, p: int) -> bool:
+        """Whether what follows the place is encoded alike whatever stands before it."""
+        if _STABLE.match(text, p):
+            return True
+        return _CHANGE.match(text, p) is not None if self.by_unit else _STABLE.match(text, p - 1) is not None
+
     def ids(self, batch: list[str], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[np.ndarray]:
         """Ids of every text: huge ones spliced, others at once."""
         short = iter(self.encode_many([t for t in batch if len(t) <= chunk or self.piece]))
@@ -217,7 +230,7 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 1024, chunk: int =
 
     Null and empty texts have 0 bytes and 0 tokens; null ids are kept, repeated rows counted one by
     one; further columns are left aside; an empty table gives no rows. Rows aren't shuffled. A text of more than ``chunk`` code
-    points is encoded in overlapping chunks and never in one call, unless it has no stable place at all.
+    points is encoded in overlapping chunks and never in one call, unless it has no stable place at all or the file is of ``sentencepiece``.
     """
     common.small_batches(docs.sparkSession)
 

@@ -836,3 +836,23 @@ def test_secret_edges(spark):
     assert long.spans == "assign:2000000:2000016"
     rows = spark.createDataFrame([(1, "é password = abcdefgh1 and deadbeef" + "0a" * 16 + "!"), (2, None), (3, "clean")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.redact(rows).collect()} == {1: "é [SECRET] and [SECRET]!", 2: None, 3: "clean"}
+
+
+def test_huge_texts_without_spaces_are_spliced(monkeypatch):
+    """Lines only, scripts without spaces, contractions and special strings: the library's ids, and no call of more than a few chunks."""
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    special = [t for t in ("<|endoftext|>",) if enc.special.fullmatch(t)] or [""]
+    line = lambda abc, n: "".join(rng.choice(abc) for _ in range(n))
+    cjk = [chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(300)] + list("のはをがカタ")
+    cases = [
+        "\n".join(line("abcdefg", rng.randint(1, 90)) for _ in range(600)), "".join(line(cjk, rng.randint(1, 60)) + rng.choice("、。，\n") for _ in range(600)),
+        "".join(rng.choice(["don't", "'s", "12", "x", "--", "\t", "é", "…", "'", *special]) for _ in range(9000)), "".join(rng.choice(["a", "1", "<|endof", "text|>", *special]) for _ in range(9000)),
+    ]
+    for text in cases:
+        whole, sizes = enc.encode(text), []
+        plain = enc.encode_offsets
+        monkeypatch.setattr(enc, "encode_offsets", lambda t: (sizes.append(len(t)), plain(t))[1])
+        assert np.array_equal(enc.encode_spliced(text, 1000, 64), whole)
+        monkeypatch.setattr(enc, "encode_offsets", plain)
+        assert len(text) > 15_000 and max(sizes) <= 2500
