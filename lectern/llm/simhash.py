@@ -168,13 +168,36 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray, label: np.ndar
             label[:] = up
 
 
-def _pairs(forest: Forest, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links within the radius that join all that such links join, without a cycle, and how they part the places into components."""
+class _Hubs:
+    """Of each place the one among its neighbours that had most neighbours itself when the two met: the text that a group of versions was made from, as a rule."""
+
+    def __init__(self, n: int):
+        self.degree, self.hub = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+
+    def see(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.degree += np.bincount(a, minlength=len(self.degree)) + np.bincount(b, minlength=len(self.degree))
+        x, y = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.lexsort((-y, self.degree[y], x))
+        x, y = x[order], y[order]
+        last = np.append(x[1:] != x[:-1], True)[: len(x)]
+        x, y = x[last], y[last]
+        better = (self.hub[x] < 0) | (self.degree[y] > self.degree[self.hub[x]])
+        self.hub[x[better]] = y[better]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        a = np.flatnonzero(self.hub >= 0)
+        return a, self.hub[a]
+
+
+def _pairs(forest: Forest, queries: np.ndarray, radius: int, hubs: _Hubs | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links within the radius that join all that such links join, without a cycle, and how they part the places into components. hubs, where given, sees all links."""
     label, kept, held, size = np.arange(len(forest.fps)), [], [], 0
 
     def take() -> None:
         if held:
             a, b, d = (np.concatenate(x) for x in zip(*held, strict=True))
+            if hubs is not None:
+                hubs.see(a, b)
             one = spanning(len(label), a, b, d, label)
             kept.append((a[one], b[one]))
             held.clear()
@@ -191,10 +214,12 @@ def _pairs(forest: Forest, queries: np.ndarray, radius: int) -> tuple[np.ndarray
 
 
 def _links(fps: np.ndarray, shard: np.ndarray, queries: np.ndarray, radius: int, real: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places that join all that the links within the radius join: real links, or such that at most FAN of them share a place."""
-    a, b, label = _pairs(Forest(fps, shard), queries, radius)
-    if real:
-        return a, b
+    """Pairs of places that join all that the links within the radius join: such that at most FAN of them share a place, or real links, and then each place's link to its hub too."""
+    hubs = _Hubs(len(fps)) if real else None
+    a, b, label = _pairs(Forest(fps, shard), queries, radius, hubs)
+    if hubs is not None:
+        x, y = hubs.links()
+        return np.concatenate([a, x]), np.concatenate([b, y])
     # A component as a flat tree with few branches a node, so that no later join has a hot key.
     order = np.argsort(label, kind="stable")
     of = label[order]
@@ -357,7 +382,7 @@ def similar_texts(docs: DataFrame, *, words: int = SIMILAR_WORDS, similarity: fl
 
     Texts are compared where their wide fingerprints differ in at most radius bits and meet in a table of random bits; the number of
     tables follows from the number of fingerprints and the recall ``meeting``. Of these pairs, as many as join all others, the nearest
-    ones first, are checked by their shingles and linked if their similarity is enough. Null, empty and wordless texts are alike; texts of fewer words
+    ones first, and each text's with the one among its neighbours that has most neighbours, are checked by their shingles and linked if their similarity is enough. Null, empty and wordless texts are alike; texts of fewer words
     than a shingle are one; rows of equal ids or texts are kept one by one; a null id has its text's component, and no
     other row is named after it. Very long texts are hashed whole. Empty tables give no rows. A large group of near copies is compared pair by pair, in shares.
     """
@@ -390,7 +415,8 @@ def similar_texts(docs: DataFrame, *, words: int = SIMILAR_WORDS, similarity: fl
         found = _searched(dealt.join(hot, ["table", "part"], "left_anti"), columns, radius, bins, True).unionByName(_in_shares(dealt.join(hot, ["table", "part"]), columns, radius, True))
     else:
         found = _searched(dealt, columns, radius, bins, True)
-    links = common.saved(found.select(*[F.xxhash64(*[f"{x}_{c}" for c in columns]).alias(x) for x in "ab"]).distinct(), f"{where}/near")
+    ends = [F.xxhash64(*[f"{x}_{c}" for c in columns]) for x in "ab"]
+    links = common.saved(found.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct(), f"{where}/near")
     links = _verified(links, nodes, common.id_text(docs, id_col, text_col), words, similarity)
     named = _named(nodes.select("fp", "least", "n"), components(links, where), where)
     return common.join_split(rows.select("doc_id", "fp"), named, ["fp"]).select("doc_id", "component_id")
