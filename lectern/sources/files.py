@@ -56,12 +56,3 @@ def write_tagged_jsonl(rows: DataFrame, folder: str) -> None:
 def new_texts(incoming: DataFrame, corpus: DataFrame, key: str = "text_id") -> DataFrame:
     """Incoming rows of texts that the corpus doesn't have."""
     return incoming.join(corpus.select(key).distinct(), key, "left_anti")
-
-
-def upsert_texts(corpus: DataFrame, incoming: DataFrame, key: str = "text_id") -> DataFrame:
-    """The corpus with whole texts added or replaced."""
-    return new_texts(corpus, incoming, key).unionByName(incoming)
-
-
-def remove_texts(corpus: DataFrame, ids: DataFrame, key: str = "text_id") -> DataFrame:
-    return new_texts(corpus, ids, key)
