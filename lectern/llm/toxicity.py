@@ -28,17 +28,13 @@ from lectern.llm import common
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 TELLING, PLAIN = 64, 16
 GAP, SPAN = 0.6, 5
-#: Likenesses count by two powers: one that lets bent words come near, and one that knows a word from those around it.
-POWER, FINE = 3, 16
-#: Words below this likeness to every telling landmark can't change a score.
-LEAST = 0.55
 THRESHOLD = 0.7
+#: Share of clean texts that a setting may reject to be chosen.
+CLEAN_LOST = 0.01
 #: Code points of text that are scored at once.
 SCORED_CHARS = 1 << 21
 #: Longer runs of letters are no words; their parts of these lengths are.
 LONGEST, RUNS = 32, range(4, 10)
-#: What an insult with an inserted character counts for, beside a document, when scores are calibrated.
-BENT_SHARE = 0.2
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _SPELLED = re.compile(r"(?:(?<=\s)|^)((?:\w[\s._*-]){3,}\w)(?=\W|$)")
@@ -104,6 +100,22 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([*owner, np.zeros(0, np.int64)]), np.concatenate([*code, np.zeros(0, np.uint64)]), np.concatenate([*weight, np.zeros(0)])
 
 
+@dataclass(frozen=True)
+class Setting:
+    """What isn't learnt from examples but set; ``choose`` compares settings inside the sample.
+
+    Likenesses count by two powers: a coarse one that lets bent words come near, and a fine one that knows a word from those around it.
+    Words below ``least`` to every telling landmark can't change a score. ``bent_share`` is what an insult with an inserted character
+    counts for, beside a document, when scores are calibrated; ``cost`` is that of an example inside the margin.
+    """
+
+    coarse: int = 3
+    fine: int = 32
+    least: float = 0.55
+    bent_share: float = 0.2
+    cost: float = 4.0
+
+
 @dataclass
 class Kernel:
     """Likeness of words to landmarks, the first of which tell of toxicity."""
@@ -170,10 +182,11 @@ class Model:
     weights: np.ndarray
     bias: float
     scale: tuple[float, float]
+    setting: Setting = Setting()
 
     def decide(self, features: np.ndarray) -> np.ndarray:
         """Decision values of sentences described by their best likenesses."""
-        return _described(features, self.root) @ self.weights + self.bias
+        return _described(features, self.root, self.setting) @ self.weights + self.bias
 
     def probability(self, f: np.ndarray) -> np.ndarray:
         a, b = self.scale
@@ -195,7 +208,7 @@ class Model:
         stands = {p: variants(p) for p in set().union(*bags)}
         apart = [spelled(t) if _alone(p) else set() for t, p in zip(texts, parts, strict=True)]
         words = list(set().union(*stands.values(), *apart))
-        keep, like = self.kernel(words, LEAST) if words else (np.zeros(0, np.int64), np.zeros((0, len(self.kernel.landmarks)), np.float32))
+        keep, like = self.kernel(words, self.setting.least) if words else (np.zeros(0, np.int64), np.zeros((0, len(self.kernel.landmarks)), np.float32))
         row = {words[i]: k for k, i in enumerate(keep.tolist())}
         near = {p: rows for p, own in stands.items() if (rows := [row[w] for w in own if w in row])}
         nothing = float(self.decide(np.zeros((1, len(self.kernel.landmarks))))[0])
@@ -223,13 +236,13 @@ class Model:
         return self.probability(out)
 
 
-def _described(likeness: np.ndarray, root: np.ndarray) -> np.ndarray:
+def _described(likeness: np.ndarray, root: np.ndarray, setting: Setting) -> np.ndarray:
     """What the machine sees of sentences: Nyström features of the coarse power, and the fine one."""
     x = likeness.astype(np.float64)
-    return np.hstack([(x**POWER) @ root, x**FINE])
+    return np.hstack([(x**setting.coarse) @ root, x**setting.fine])
 
 
-def _svm(x: np.ndarray, y: np.ndarray, group: np.ndarray, rounds: int = 100, c: float = 4.0) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, group: np.ndarray, c: float, rounds: int = 100) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss and groups of equal weight, by Newton steps: least squares over the examples inside the margin."""
     s = np.where(y, 1.0, -1.0)
     weight = (np.asarray([0.5, 0.25, 0.25]) / np.maximum(1, np.bincount(group, minlength=3)))[group]
@@ -272,7 +285,7 @@ def _first_of_copies(bags: list[set[str]]) -> list[int]:
     return out
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
+def fit(texts: list[str], labels: list[int], setting: Setting = Setting()) -> Model:
     """Train on labelled texts; deterministic. Near copies of one text are one example. Of words that tell as much, the first by the alphabet is a landmark."""
     bags = [words_of(t) for t in texts]
     kept = _first_of_copies(bags)
@@ -305,11 +318,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if not chosen or not plain:
         chosen, plain = chosen or [""], plain or [""]
     kernel = Kernel([*chosen, *plain], len(chosen))
-    gram = kernel(kernel.landmarks)[1].astype(np.float64) ** POWER
+    gram = kernel(kernel.landmarks)[1].astype(np.float64) ** setting.coarse
     values, vectors = np.linalg.eigh(gram + 1e-3 * np.eye(len(gram)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
     words = list(set().union(*bags))
-    keep, like = kernel(words, LEAST) if words else (np.zeros(0, np.int64), np.zeros((0, len(kernel.landmarks))))
+    keep, like = kernel(words, setting.least) if words else (np.zeros(0, np.int64), np.zeros((0, len(kernel.landmarks))))
     near = {words[i]: k for k, i in enumerate(keep.tolist())}
     del words, bags
     # Clean sentences without a near word are all alike; one stands for many.
@@ -327,15 +340,15 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     bent = [*full, *(w[:k] + c + w[k:] for w in full for k in range(1, len(w)) for c in ("x", w[k - 1]))]
     rows += list(kernel(bent)[1]) if bent else []
     ys += [True] * len(bent)
-    x = _described(np.asarray(rows), root)
+    x = _described(np.asarray(rows), root, setting)
     group = np.asarray([int(t) for t in ys[: len(ys) - len(bent)]] + [2] * len(bent))
-    weights, bias = _svm(x, np.asarray(ys), group) if any(ys) else (np.zeros(x.shape[1]), -1.0)
-    model = Model(kernel, root, weights, bias, (1.0, 0.0))
+    weights, bias = _svm(x, np.asarray(ys), group, setting.cost) if any(ys) else (np.zeros(x.shape[1]), -1.0)
+    model = Model(kernel, root, weights, bias, (1.0, 0.0), setting)
     p = np.concatenate([model.score(texts[i : i + 1000]) for i in range(0, len(texts), 1000)] + [np.zeros(0)])
     f = np.concatenate([np.log(p / (1 - p)), model.decide(np.asarray(rows[len(rows) - len(bent) :])) if bent else np.zeros(0)])
     a, b = 1.0, 0.0
     target = np.where(np.concatenate([y, [True] * len(bent)]).astype(bool), (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    share = np.append(np.ones(len(y)), np.full(len(bent), BENT_SHARE))
+    share = np.append(np.ones(len(y)), np.full(len(bent), setting.bent_share))
     for _ in range(200):  # logistic scale of the decision values
         p = 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
         g, h = share * (p - target), share * (p * (1 - p) + 1e-6)
@@ -352,6 +365,49 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
+def _bent(text: str, words: set[str], sign: str = "") -> str:
+    """A text with a sign put into the middle of each of these words, or the letter there doubled."""
+
+    def bend(m: re.Match) -> str:
+        w, k = m[0], len(m[0]) // 2
+        return w[:k] + (sign or w[k - 1]) + w[k:] if w.lower() in words else w
+
+    return re.sub(r"\w{2,}", bend, text)
+
+
+def wrong_in_folds(texts: list[str], labels: list[int], setting: Setting, folds: int = 3, threshold: float = THRESHOLD) -> tuple[float, float, float]:
+    """Shares of clean texts rejected, of toxic ones missed, and of those missed with their landmarks bent, by models that have learnt from the other folds.
+
+    Near copies of an earlier text are left out, so that none is in two folds. A landmark is bent by doubling its middle letter, and by
+    putting one in there, each in a text of its own.
+    """
+    kept = _first_of_copies([words_of(t) for t in texts])
+    wrong = np.zeros(3, int)
+    for fold in range(folds):
+        known, asked = [i for n, i in enumerate(kept) if n % folds != fold], [i for n, i in enumerate(kept) if n % folds == fold]
+        model = fit([texts[i] for i in known], [labels[i] for i in known], setting)
+        insults = {w for w in model.kernel.landmarks[: model.kernel.telling] if len(w) >= 4}
+        toxic = np.asarray([labels[i] for i in asked], bool)
+        found = model.score([texts[i] for i in asked]) >= threshold
+        changed = model.score([_bent(texts[i], insults, sign) for i in asked if labels[i] for sign in ("", "x")]) >= threshold
+        wrong += [(found & ~toxic).sum(), (toxic & ~found).sum(), (~changed).sum()]
+    n1 = sum(bool(labels[i]) for i in kept)
+    return tuple((wrong / np.maximum(1, [len(kept) - n1, n1, 2 * n1])).tolist())
+
+
+def choose(texts: list[str], labels: list[int], settings: list[Setting], folds: int = 3, rejected: float = CLEAN_LOST) -> Setting:
+    """Of the settings that reject no more than this share of clean texts in the folds of the sample, the one that misses least, as it is and bent.
+
+    Where all reject more, that which rejects least; of equal ones the first.
+    """
+
+    def rank(setting: Setting) -> tuple[float, float]:
+        lost, missed, bent = wrong_in_folds(texts, labels, setting, folds)
+        return max(0.0, lost - rejected), missed + 2 * bent
+
+    return min(settings, key=rank)
+
+
 def held_out(doc_id):
     """Whether a row's label is never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

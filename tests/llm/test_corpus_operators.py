@@ -500,6 +500,50 @@ def test_toxicity(spark):
     assert toxicity.with_score(docs, model).columns == [*docs.columns, "toxicity"]
 
 
+def toxic_sample(rng, n):
+    plain = [f"{a}{b}{c}" for a in ("th", "on", "er", "in") for b in ("an", "ed", "es", "ou") for c in ("", "re", "st", "ly")]
+    rows = []
+    for i in range(n):
+        words = [rng.choice(plain) for _ in range(rng.randint(5, 40))]
+        for _ in range(2 if i % 4 == 0 else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(["idiot", "moron", "loser"]))
+        rows.append((i, " ".join(words) + rng.choice([".", "! ", "\n", ""]), int(i % 4 == 0)))
+    return rows
+
+
+def test_scores_against_a_plain_version(spark):
+    """Every text sentence by sentence and word by word, without batches, bags of runs and the prefilter."""
+    rows = toxic_sample(random.Random(41), 300)
+    model = toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    rng = random.Random(42)
+    texts = [t for _, t, _ in rows[:80]] + [". ".join(rng.choice(rows)[1] for _ in range(4)) for _ in range(40)]
+    texts += ["such idioots here", "a lozser. an i-d-i-o-t", "m0ron", "", " \n ", "夢" * 40]
+
+    def plainly(text):
+        best = float(model.decide(np.zeros((1, len(model.kernel.landmarks))))[0])
+        for sentence in toxicity._SENTENCE.split(text.lower()):
+            like = [model.kernel([w])[1][0] for w in sorted(toxicity.words_of(sentence))]
+            near = [x for x in like if x[: model.kernel.telling].max() >= model.setting.least]
+            if near:
+                best = max(best, float(model.decide(np.max(near, axis=0)[None])[0]))
+        return float(model.probability(np.asarray([best]))[0])
+
+    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), model).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([plainly(t) for t in texts], abs=1e-5)
+
+
+def test_settings_are_chosen_inside_the_sample():
+    rows = toxic_sample(random.Random(43), 240)
+    texts, labels = [t for _, t, _ in rows], [y for _, _, y in rows]
+    blind = toxicity.Setting(least=1.5)  # no word is near enough, so all toxic texts are missed
+    assert toxicity.wrong_in_folds(texts, labels, blind) == (0, 1, 1)
+    lost, missed, bent = toxicity.wrong_in_folds(texts, labels, toxicity.Setting())
+    assert lost == 0 and missed < 0.1 and bent < 1
+    assert toxicity.choose(texts, labels, [blind, toxicity.Setting()]) == toxicity.Setting()
+    assert toxicity.choose([], [], [blind]) == blind
+    assert toxicity._bent("An Idiot, idiots", {"idiot"}) == "An Iddiot, idiots" and toxicity._bent("a loser", {"loser"}, "x") == "a loxser"
+
+
 def test_toxicity_of_sentences():
     """Two words that neither alone makes a text toxic do so in one sentence, not in two; and a third takes it back."""
     model = toxicity.Model(toxicity.Kernel(["idiot", "moron", "friend"], 3), np.eye(3), np.asarray([1.0, 1.0, -1.0, 0, 0, 0]), -1.5, (4.0, 0.0))
