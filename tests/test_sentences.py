@@ -95,3 +95,15 @@ def test_random_divisions(spark):
 def test_hyphen_chains(spark):
     lines = spark.createDataFrame([(1, 1, 1, "a-", False), (1, 2, 2, "b-", False), (1, 3, 3, "c", False), (1, 4, 4, "d", False)], SCHEMA)
     assert [(r.line_number, r.content) for r in S.merge_hyphen_lines(lines).orderBy("line_number").collect()] == [(1, "abc"), (4, "d")]
+
+
+def test_places_are_worked_out_once_a_division(spark):
+    """Nothing but field access stands between the exploded sentences and their lines: what an array is made of beside or after the explode is made again for every sentence."""
+    lines = spark.createDataFrame([(1, 1, 11, "One a. Two", False), (1, 2, 12, "b. Three", False), (1, 3, 13, "c.", False)], "division_id long, line_number int, line_id long, content string, is_title boolean")
+    rows = S.cited_sentences(lines, with_lines=True)
+    got = [(r.k, r.content, r.line_ids, r.line_numbers, r.lines) for r in rows.orderBy("k").collect()]
+    assert got == [(1, "One a.", [11], [1], ["One a. Two"]), (2, "Two b.", [11, 12], [1, 2], ["One a. Two", "b. Three"]), (3, "Three c.", [12, 13], [2, 3], ["b. Three", "c."])]
+    links = rows.select("k", F.explode("line_ids").alias("line_id")).groupBy("k").agg(F.min("line_id"))
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2, plan
+    assert "line_ids" not in S.cited_sentences(lines, with_places=False).columns
