@@ -99,6 +99,29 @@ def part_edits(asked: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+#: Longs of a name's bag of letters.
+_WORDS = 4
+
+
+def bag(letters: Column) -> Column:
+    """Longs of bits for a name's letters with their counts: the k-th of a letter has a bit, so of an asked name no more bits may be missing in another than the asked name has edits."""
+
+    def bits(own: Column) -> Column:
+        return F.transform(own, lambda c, i: F.pmod(F.xxhash64(c, i - F.array_position(own, c)), F.lit(64 * _WORDS)).cast("int"))
+
+    def word(own: Column, w: int) -> Column:
+        one = lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int")))
+        return F.aggregate(F.filter(own, lambda x: F.floor(x / 64) == w), F.lit(0).cast("long"), one)
+
+    each = F.array_sort(F.filter(F.split(letters, ""), lambda c: c != ""))
+    return T.once(T.once(each, bits), lambda own: F.array(*[word(own, w) for w in range(_WORDS)]))
+
+
+def lacking(asked: Column, other: Column) -> Column:
+    """How many bits of the asked name's bag the other doesn't have."""
+    return sum((F.bit_count(F.get(asked, F.lit(w)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(w))))) for w in range(_WORDS)), F.lit(0))
+
+
 def match_names(asked: DataFrame, index: DataFrame, *, by: str, name: str, order: str | None = None, edits: int = EDITS, ratio: float = RATIO) -> DataFrame:
     """by, name, match: of each distinct asked name the equal one of the index; else, of those of which a part is the asked name but for so many edits and whose
     length is within the ratio of its, the one nearest in length, then the first in the index (column order; else by name).
@@ -107,28 +130,36 @@ def match_names(asked: DataFrame, index: DataFrame, *, by: str, name: str, order
 
     Cut into edits + 1 pieces, an asked name has one unchanged piece in a name that it is near to, so candidates meet by equal
     starts of pieces at possible places, of a length that is a power of two; names of fewer letters than pieces meet all of their author's of such a length.
+    Of the names that meet in a frequent piece those go on that lack no more of the asked letters than there are edits, which a few bits of both tell. Both
+    sides are dealt out by piece, so none passes through the driver.
     """
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = lambda rows, short, *more: rows.select(by, T.normalize_work_name(F.col(name)).alias(short), *more).filter(F.col(short) != "")
     a = own(asked, "q").distinct()
     i = own(index, "m", F.col(order or name).alias("at")).groupBy(by, "m").agg(F.min("at").alias("at"))
     exact = a.join(i.select(by, F.col("m").alias("q")), [by, "q"]).select(by, "q", F.col("q").alias("m"))
-    left = a.join(exact.select(by, "q"), [by, "q"], "left_anti").withColumn("f", folded("q")).select(by, "q", F.col("f.plain").alias("q_plain"), F.col("f.letters").alias("q_letters"))
-    i = i.withColumn("f", folded("m")).select(by, "m", "at", F.col("f.plain").alias("m_plain"), F.col("f.letters").alias("m_letters"))
+    left = a.join(exact.select(by, "q"), [by, "q"], "left_anti").withColumn("q_letters", folded("q")["letters"])
+    i = i.withColumn("m_letters", folded("m")["letters"])
     n = edits + 1
     piece = F.floor(F.length("q_letters") / n)
     gram = F.when(piece >= 1, F.pow(F.lit(2), F.floor(F.log2(piece))).cast("int")).otherwise(0)
     starts = F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda k: F.floor(F.length("q_letters") * k / n).cast("int"))
-    left = left.withColumn("gram", gram)
+    left = left.select(by, "q", "q_letters", F.length("q_letters").alias("q_size"), gram.alias("gram"), bag(F.col("q_letters")).alias("q_bag"))
+    lengths = left.select("gram").distinct()
     seeds = F.when(F.col("gram") > 0, F.transform(starts, lambda s: F.struct(s.alias("q_at"), F.substring(F.col("q_letters"), s + 1, F.col("gram")).alias("part")))).otherwise(F.array(F.struct(F.lit(0).alias("q_at"), F.lit("").alias("part"))))
-    left = left.select("*", F.explode(seeds).alias("x")).select(*left.columns, "x.q_at", "x.part")
-    sizes = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.length("m_letters"), F.lit(1)))).cast("int")), lambda e: F.pow(F.lit(2), e).cast("int"))
-    grams = F.flatten(F.transform(sizes, lambda g: F.transform(F.sequence(F.lit(0), F.greatest(F.length("m_letters") - g, F.lit(0))), lambda p: F.struct(g.alias("gram"), p.alias("m_at"), F.substring(F.col("m_letters"), p + 1, g).alias("part")))))
-    grams = F.concat(grams, F.array(F.struct(F.lit(0).alias("gram"), F.lit(0).alias("m_at"), F.lit("").alias("part"))))
-    i = i.select("*", F.explode(grams).alias("x")).select(*i.columns, "x.gram", "x.m_at", "x.part")
+    left = left.select("*", F.explode(seeds).alias("x")).select(*[c for c in left.columns if c != "q_letters"], "x.q_at", "x.part")
+    i = i.select(by, "m", "m_letters", "at", F.length("m_letters").alias("m_size"), bag(F.col("m_letters")).alias("m_bag"))
+    # Only pieces as long as some asked name has, which are a few powers of two.
+    places = F.transform(F.when(F.col("gram") > 0, F.sequence(F.lit(0), F.greatest(F.length("m_letters") - F.col("gram"), F.lit(0)))).otherwise(F.array(F.lit(0))), lambda p: F.struct(p.alias("m_at"), F.substring(F.col("m_letters"), p + 1, F.col("gram")).alias("part")))
+    i = i.crossJoin(F.broadcast(lengths)).select("*", F.explode(places).alias("x")).select(*[c for c in i.columns if c != "m_letters"], "gram", "x.m_at", "x.part")
     size = F.length("m") / F.length("q")
-    fits = (F.col("gram") == 0) | ((F.col("m_at") >= F.col("q_at") - edits) & (F.length("m_letters") - F.col("m_at") >= F.length("q_letters") - F.col("q_at") - edits))
-    pairs = left.join(i, [by, "gram", "part"]).filter(fits & size.between(1 - ratio, 1 + ratio)).select(by, "q", "m", "at", "q_plain", "m_plain").distinct()
-    near = pairs.filter(part_edits("q_plain", "m_plain") <= edits).groupBy(by, "q").agg(F.min(F.struct(F.abs(1 - size).alias("off"), "at", "m"))["m"].alias("m"))
+    fits = (F.col("gram") == 0) | ((F.col("m_at") >= F.col("q_at") - edits) & (F.col("m_size") - F.col("m_at") >= F.col("q_size") - F.col("q_at") - edits))
+    keys = [by, "gram", "part"]
+    pairs = left.repartition(parts, *keys).hint("merge").join(i.repartition(parts, *keys), keys).filter(fits & (lacking(F.col("q_bag"), F.col("m_bag")) <= edits) & size.between(1 - ratio, 1 + ratio)).select(by, "q", "m", "at")
+    pairs = pairs.distinct().repartition(parts, by, "q")
+    plain = lambda c: folded(c)["plain"]
+    # Not to be moved below the distinct, where a pair comes once for every piece and place that it meets in.
+    near = pairs.filter(part_edits.asNondeterministic()(plain("q"), plain("m")) <= edits).groupBy(by, "q").agg(F.min(F.struct(F.abs(1 - size).alias("off"), "at", "m"))["m"].alias("m"))
     return exact.unionByName(near).select(by, F.col("q").alias("name"), F.col("m").alias("match"))
 
 
