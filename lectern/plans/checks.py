@@ -121,10 +121,11 @@ def stream_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat(F.lit("first "), F.regexp_replace("t", "\n", "\nfirst "))
 
     def put(texts: DataFrame, name: str) -> None:
-        texts.repartition("text_id").write.partitionBy("text_id").text(f"{where}/{name}")
+        # Up to 500 texts a file; content has single spaces only, so no line of it is a header.
+        texts.select(F.concat(F.lit("["), "text_id", F.lit("]  [001]\n"), "value").alias("value")).write.option("maxRecordsPerFile", 500).text(f"{where}/{name}")
 
     def take() -> None:
-        query_ = imports.stream_new_texts(spark, f"{where}/files", f"{where}/store", f"{where}/checkpoint", f"{where}/aside", name=r"text_id=(\d+)/", parts=16)
+        query_ = imports.stream_new_texts(spark, f"{where}/files", f"{where}/store", f"{where}/checkpoint", f"{where}/aside", head=r"\[(\d+)\]  \[001\]", parts=16)
         query_.awaitTermination()
 
     put(rows.filter("text_id % 3 = 1").select("text_id", first.alias("value")).unionByName(rows.filter("text_id % 3 = 0").select("text_id", F.col("t").alias("value"))), "files/a")

@@ -97,3 +97,10 @@ def test_stream(spark, tmp_path, monkeypatch):
     before = files_of(path)
     run()
     assert rows() == want and files_of(path) == before
+
+
+def test_a_file_of_many_texts(spark):
+    content = "stray\n[1]  [001]\na\n\nb\n[2] [001]\n[22]  [001]\nc\n[3]  [001]".encode()
+    made = spark.createDataFrame([("/x/y.txt", bytearray(content))], "path string, content binary")
+    rows = imports.file_lines(made, head=r"\[(\d+)\]  \[001\]").collect()
+    assert sorted((r.text_id, r.n, r.line) for r in rows) == [("1", 1, "a"), ("1", 3, "b"), ("1", 4, "[2] [001]"), ("22", 1, "c")]
