@@ -291,3 +291,19 @@ def test_written_texts_share_files(spark, tmp_path):
     files.write_tagged_jsonl(tagged, str(tmp_path / "tagged"))
     assert len(glob.glob(f"{tmp_path}/tagged/**/*.json", recursive=True)) == 2
     assert files.read_tagged_jsonl(spark, str(tmp_path / "tagged")).select("text_id").distinct().count() == 300
+
+
+def test_sentences_are_not_repeated_before_their_entries(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "c2", "a b", ["b", "a"]), (1, "c1", "a", ["a", None]), (3, "c3", None, [])], "sentence_id long, citation string, text string, l array<string>")
+    rows = rows.withColumn("tokens", F.transform("l", lambda x: F.struct(x.alias("lemma")))).drop("l")
+    made = lexicon.lemma_entries(rows, str(tmp_path / "e"), context=("text",))
+    got = {r.lemma: (r.n, r.primary, [tuple(c) for c in r.citations], {k: v.text for k, v in r.contexts.items()}) for r in made.collect()}
+    assert got == {"a": (2, 1, [("c1", "a"), ("c2", "a b")], {1: "a", 2: "a b"}), "b": (1, 2, [("c2", "a b")], {2: "a b"})}
+    assert "explode" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_meet_counts_of_texts(spark):
+    from lectern.plans import corpus
+
+    plan = corpus.corpus_stats(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Join LeftOuter")[1].split("\n")[1].strip().startswith(":- Aggregate"), plan
