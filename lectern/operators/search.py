@@ -44,6 +44,11 @@ def split_categories(tokens: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(single, lambda x: x != "")))
 
 
+def has_category(tokens: Column, category: str) -> Column:
+    """One token has the category among its own; ends at the first."""
+    return F.exists(tokens, lambda t: F.array_contains(F.split(t["category"], ", "), category))
+
+
 def raw_categories(tokens: Column) -> Column:
     """The tokens' category strings as they are, without empty ones."""
     return F.filter(F.transform(tokens, lambda t: t["category"]), lambda x: x != "")

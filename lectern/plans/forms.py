@@ -132,8 +132,8 @@ def full_sentence_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tables("tokens") + "SELECT 'line' AS kind, CAST(line_id AS VARCHAR) AS id FROM lines WHERE regexp_matches(content, '[\\p{L}]{12,}') UNION ALL SELECT DISTINCT 'sentence', CAST(sentence_id AS VARCHAR) FROM tokens WHERE length(t) >= 12 UNION ALL SELECT DISTINCT 'lemma', lemma FROM tokens WHERE length(t) >= 12")
 def category_any_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rare = lambda c: F.array_contains(search.split_categories(c), "Rare")
-    lines = V.lines(spark, sf_dir).filter(rare(V.tokens_of(F.col("content")))).select(F.lit("line").alias("kind"), F.col("line_id").cast("string").alias("id"))
+    rare = lambda c: search.has_category(c, "Rare")
+    lines = V.lines(spark, sf_dir).filter(rare(V.tokens_of(F.col("content"), ("category",)))).select(F.lit("line").alias("kind"), F.col("line_id").cast("string").alias("id"))
     rows = V.tokens(spark, sf_dir).filter(rare(F.col("tokens")))
     found = rows.select(F.lit("sentence").alias("kind"), F.col("sentence_id").cast("string").alias("id"))
     lemmas = rows.select(F.explode("tokens").alias("t")).filter(F.array_contains(F.split("t.category", ", "), "Rare")).select(F.lit("lemma").alias("kind"), F.col("t.lemma").alias("id")).distinct()

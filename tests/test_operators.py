@@ -307,3 +307,13 @@ def test_names_meet_counts_of_texts(spark):
 
     plan = corpus.corpus_stats(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.split("Join LeftOuter")[1].split("\n")[1].strip().startswith(":- Aggregate"), plan
+
+
+def test_one_category_and_only_the_fields_asked_for(spark):
+    from lectern.operators import search
+    from lectern.plans import views
+
+    rows = spark.createDataFrame([("of extraordinary things",), ("Some things",), ("",)], "content string")
+    made = rows.select("content", search.has_category(views.tokens_of(F.col("content"), ("category",)), "Rare").alias("rare"))
+    assert {r.content: r.rare for r in made.collect()} == {"of extraordinary things": True, "Some things": False, "": False}
+    assert "lower(" not in made._jdf.queryExecution().optimizedPlan().toString()
