@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import citations as C
-from lectern.operators import context, lexicon, search, verify
+from lectern.operators import context, lexicon, verify
 from lectern.plans import views as V
 from lectern.plans.registry import query
 from lectern.plans.views import with_tables
@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query(with_tables("tokens") + "SELECT lemma, count(DISTINCT sentence_id) AS n_sentences, min(sentence_id) AS primary_sentence, count(DISTINCT division_id) AS n_divisions FROM tokens GROUP BY lemma")
 def lexical_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.lemma_totals(lexicon.lemma_sentences(V.tokens(spark, sf_dir)))
+    return lexicon.lemma_totals(V.division_lemmas(spark, sf_dir))
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
@@ -73,9 +73,7 @@ def analyses_citing_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_tables("tokens") + "SELECT lemma, p AS primary_sentence, n FROM (SELECT lemma, min(sentence_id) AS p, count(DISTINCT sentence_id) AS n FROM tokens GROUP BY lemma) WHERE p IN (SELECT sentence_id FROM tokens WHERE list_contains(string_split(category, ', '), 'Rare'))")
 def lexical_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries whose primary sentence has a rare word."""
-    tokens = V.tokens(spark, sf_dir)
-    entries = lexicon.lemma_totals(lexicon.lemma_sentences(tokens)).select("lemma", "primary_sentence", F.col("n_sentences").alias("n"))
-    return lexicon.of_category(entries, tokens.select("sentence_id", search.split_categories(F.col("tokens")).alias("categories")), "Rare").select("lemma", "primary_sentence", "n")
+    return lexicon.of_category(V.tokens(spark, sf_dir, ("lemma", "category")), "Rare")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 9 = 0 OR source NOT IN (SELECT source FROM documents WHERE lang = 'fr' AND doc_id % 4 = 0 AND source < 'src3')")
