@@ -1,8 +1,11 @@
 """Plans of queries that are to grow no faster than their tables: what is worked out once, and what isn't shuffled."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from lectern.operators import lexicon
+from lectern.operators import lexicon, verify
+from lectern.operators import sentences as S
 from lectern.plans import registry
 from lectern.plans import views as V
 
@@ -39,3 +42,11 @@ def test_lexical_totals_group_by_lemma_alone(spark, tmp_path):
     rows = registry.QUERIES["lexical_totals"](spark, made(spark, tmp_path, ["\n".join(["The end. The"] * 12)]))
     assert sorted((r.lemma, r.n_sentences, r.n_divisions) for r in rows.collect()) == [("end", 12, 2), ("the", 14, 2)]
     assert plan(rows).count("Aggregate [") == 1 and "distinct" not in plan(rows).replace("array_distinct", "")
+
+
+def test_category_of_the_primary_sentence_without_a_join(spark):
+    token = lambda *words: [(w, c) for w, c in words]
+    rows = [(1, token(("a", ""), ("b", "Long"))), (2, token(("c", "Long, Rare"), ("a", ""), ("c", ""))), (3, token(("c", ""), ("d", "Rare"))), (4, []), (5, None)]
+    entries = lexicon.of_category(spark.createDataFrame(rows, "sentence_id long, tokens array<struct<lemma:string,category:string>>"), "Rare")
+    assert sorted(map(tuple, entries.select("lemma", "primary_sentence", "n").collect())) == [("c", 2, 2), ("d", 3, 1)]
+    assert "Join" not in plan(entries) and plan(entries).count("Generate") == 1
