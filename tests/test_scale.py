@@ -50,3 +50,10 @@ def test_category_of_the_primary_sentence_without_a_join(spark):
     entries = lexicon.of_category(spark.createDataFrame(rows, "sentence_id long, tokens array<struct<lemma:string,category:string>>"), "Rare")
     assert sorted(map(tuple, entries.select("lemma", "primary_sentence", "n").collect())) == [("c", 2, 2), ("d", 3, 1)]
     assert "Join" not in plan(entries) and plan(entries).count("Generate") == 1
+
+
+def test_rare_words_are_read_once(spark, tmp_path):
+    """Lemmas, their analyses and their families come from one stored table, not from the documents again."""
+    rows = registry.QUERIES["lemma_with_analyses"](spark, made(spark, tmp_path, ["Extraordinary extraordinarily. Extraordinary", "none"]))
+    assert sorted((r.lemma, r.n_tokens, r.n_related) for r in rows.collect()) == [("extraordinarily", 1, 1), ("extraordinary", 2, 1)]
+    assert "regexp" not in plan(rows)
