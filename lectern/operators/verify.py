@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import once
+
 MOST_CHARS = 500_000
 #: Character ranges of the scripts that are told apart, and the names of scripts that may be asked for.
 SCRIPTS = {"greek": r"Ͱ-Ͽἀ-῿", "arabic": r"؀-ۿݐ-ݿ", "chinese": r"一-鿿", "latin": "\x00-\xff", "cyrillic": r"Ѐ-ӿ"}
@@ -21,13 +23,22 @@ def content_warnings(c: Column, most: int = MOST_CHARS) -> Column:
 def script_share(c: Column, script: str) -> Column:
     """Per cent of the characters that are of the script."""
     n = F.length(c)
-    return F.when(n > 0, 100.0 * (n - F.length(F.regexp_replace(c, f"[{SCRIPTS[script]}]", ""))) / n).otherwise(0.0)
+    return F.when(n > 0, 100.0 * (n - F.length(F.regexp_replace(c, f"[{SCRIPTS[script]}]+", ""))) / n).otherwise(0.0)
+
+
+def script_checks(c: Column, asked: Column) -> Column:
+    """shares, by script, and warnings of a content, for which each share is worked out once."""
+    shares = F.struct(*[script_share(c, s).alias(s) for s in SCRIPTS])
+    return once(shares, lambda x: F.struct(x.alias("shares"), _warnings(x, asked).alias("warnings")))
 
 
 def script_warnings(c: Column, asked: Column) -> Column:
     """Warnings of a content: a script's name that isn't known, and scripts that few characters are of, with their share."""
-    shares = [(s, script_share(c, s)) for s in SCRIPTS]
-    few = F.array_compact(F.array(*[F.when((x > 0) & (x < 10), F.concat(F.lit(f"{s}: "), F.format_string("%.2f%%", x))) for s, x in shares]))
+    return script_checks(c, asked)["warnings"]
+
+
+def _warnings(shares: Column, asked: Column) -> Column:
+    few = F.array_compact(F.array(*[F.when((shares[s] > 0) & (shares[s] < 10), F.concat(F.lit(f"{s}: "), F.format_string("%.2f%%", shares[s]))) for s in SCRIPTS]))
     mixed = F.when(F.size(few) > 0, F.concat(F.lit("mixed_script_distribution: "), F.array_join(few, ", ")))
     return F.array_compact(F.array(F.when(~asked.isin(*KNOWN_SCRIPTS), F.concat(F.lit("script_validation: "), asked)), mixed))
 

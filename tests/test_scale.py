@@ -57,3 +57,9 @@ def test_rare_words_are_read_once(spark, tmp_path):
     rows = registry.QUERIES["lemma_with_analyses"](spark, made(spark, tmp_path, ["Extraordinary extraordinarily. Extraordinary", "none"]))
     assert sorted((r.lemma, r.n_tokens, r.n_related) for r in rows.collect()) == [("extraordinarily", 1, 1), ("extraordinary", 2, 1)]
     assert "regexp" not in plan(rows)
+
+
+def test_shares_of_scripts_once_each(spark, tmp_path):
+    rows = registry.QUERIES["validate_script"](spark, made(spark, tmp_path, ["ab", "ab" * 40]))
+    assert sorted((r.doc_id, round(r.latin, 2), r.few, r.n_warnings) for r in rows.collect()) == [(0, 40.0, "", 1), (1, 97.56, "arabic,chinese", 1)]
+    assert plan(rows).count("regexp_replace(") == len(verify.SCRIPTS) + 1
