@@ -63,3 +63,18 @@ def test_shares_of_scripts_once_each(spark, tmp_path):
     rows = registry.QUERIES["validate_script"](spark, made(spark, tmp_path, ["ab", "ab" * 40]))
     assert sorted((r.doc_id, round(r.latin, 2), r.few, r.n_warnings) for r in rows.collect()) == [(0, 40.0, "", 1), (1, 97.56, "arabic,chinese", 1)]
     assert plan(rows).count("regexp_replace(") == len(verify.SCRIPTS) + 1
+
+
+def test_neighbours_share_a_line(spark):
+    """Against all pairs of the sentences of a division, in one shuffle."""
+    rng = random.Random(3)
+    words = ["ab", "c", "de.", "f.", "g,", "h"]
+    rows = [(d, d * 100 + n, n, " ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) + rng.choice(["", "-"]), False) for d in range(60) for n in range(1, rng.randint(2, 7))]
+    rows += [(60, 6001, 1, "a. b-", False), (60, 6002, 2, "-", False), (60, 6003, 3, "c. d", False)]
+    lines = spark.createDataFrame(rows, "division_id long, line_id long, line_number int, content string, is_title boolean")
+    cited = S.cited_sentences(lines).withColumn("sentence_id", F.col("division_id") * 1000 + F.col("k"))
+    have = {r.sentence_id: set(r.line_ids) for r in cited.collect() if r.line_ids}
+    near = lambda i, step: next((j for j in sorted(have, key=lambda j: step * j) if step * j > step * i and have[i] & have[j]), None)
+    got = S.overlapping_neighbours(cited)
+    assert {r.sentence_id: (r.prev_id, r.next_id) for r in got.collect()} == {i: (near(i, -1), near(i, 1)) for i in have}
+    assert plan(got).count("Window [") == 1
