@@ -52,11 +52,9 @@ def division_citation(levels: Column, values: dict[str, Column]) -> Column:
     return F.array_join(F.array_compact(pairs), ",")
 
 
-def sentence_citations(links: DataFrame, lines: DataFrame, citation: str) -> DataFrame:
-    """The first line's citation of each sentence, and the distinct further ones in order."""
-    rows = links.select("sentence_id", "line_id").join(lines.select("line_id", citation), "line_id")
-    first = rows.groupBy("sentence_id", citation).agg(F.min("line_id").alias("at"))
-    listed = first.groupBy("sentence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", citation))), lambda x: x[citation]).alias("c"))
+def sentence_citations(sentences: DataFrame, citations: str) -> DataFrame:
+    """The first line's citation of each sentence that has lines, and the distinct further ones in order; citations: a column with those of its lines, in order."""
+    listed = sentences.filter(F.size(citations) > 0).select("sentence_id", F.array_distinct(citations).alias("c"))
     return listed.select("sentence_id", F.get("c", F.lit(0)).alias("first_citation"), F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))).alias("further"))
 
 

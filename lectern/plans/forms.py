@@ -96,8 +96,8 @@ def division_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_tables("links") + """, c AS (SELECT sentence_id, chapter || '.' || (l.line_number + 1) // 2 AS c, min(l.line_id) AS place FROM links JOIN lines l USING (line_id) GROUP BY ALL),
 g AS (SELECT sentence_id, list(c ORDER BY place) AS c FROM c GROUP BY sentence_id) SELECT sentence_id, c[1] AS first_citation, array_to_string(c[2:], ' ') AS further FROM g""")
 def sentence_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = V.lines(spark, sf_dir).withColumn("c", F.concat("chapter", F.lit("."), F.floor((F.col("line_number") + 1) / 2)))
-    return D.sentence_citations(V.links(spark, sf_dir), lines, "c").withColumn("further", F.array_join("further", " "))
+    rows = V.cited_sentences(spark, sf_dir, c=lambda number: F.concat("chapter", F.lit("."), F.floor((number + 1) / 2)))
+    return D.sentence_citations(rows, "c").withColumn("further", F.array_join("further", " "))
 
 
 @query(with_tables("links") + "SELECT sentence_id, string_agg('Volume ' || l.volume || ', Chapter ' || l.chapter || ', Line ' || l.line_number || ': ', '' ORDER BY l.line_number) AS refs FROM links JOIN lines l USING (line_id) GROUP BY sentence_id")

@@ -65,6 +65,17 @@ def test_shares_of_scripts_once_each(spark, tmp_path):
     assert plan(rows).count("regexp_replace(") == len(verify.SCRIPTS) + 1
 
 
+def test_rows_of_sentences_are_not_shuffled(spark, tmp_path):
+    where = made(spark, tmp_path, ["One a. Two\nb. Three\nc d\ne f. Four.", ""])
+    got = {n: registry.QUERIES[n](spark, where) for n in ("first_row_per_sentence", "sentence_citations", "merge_cited_lines", "citation_rows")}
+    assert sorted(tuple(r)[1] for r in got["first_row_per_sentence"].collect()) == [1, 1, 2, 4]
+    assert [tuple(r)[1:] for r in got["sentence_citations"].orderBy("sentence_id").collect()] == [("1.1", ""), ("1.1", ""), ("1.1", "1.2"), ("1.2", "")]
+    assert [r.refs for r in got["merge_cited_lines"].orderBy("sentence_id").collect()][1] == "Volume 1, Chapter 1, Line 1: Volume 1, Chapter 1, Line 2: "
+    assert [r.line_text for r in got["citation_rows"].orderBy("sentence_id").collect()][2] == "b. Three c d e f. Four."
+    for name, df in got.items():
+        assert not any(x in plan(df) for x in ("Join", "Aggregate [", "Window")), name
+
+
 def test_neighbours_share_a_line(spark):
     """Against all pairs of the sentences of a division, in one shuffle."""
     rng = random.Random(3)
