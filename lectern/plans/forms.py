@@ -103,16 +103,14 @@ def sentence_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_tables("links") + "SELECT sentence_id, string_agg('Volume ' || l.volume || ', Chapter ' || l.chapter || ', Line ' || l.line_number || ': ', '' ORDER BY l.line_number) AS refs FROM links JOIN lines l USING (line_id) GROUP BY sentence_id")
 def merge_cited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sentence with the formatted references of its lines."""
-    ref = C.dotted(F.concat_ws(".", "volume", "chapter", "line_number"))["label"]
-    rows = V.links(spark, sf_dir).select("sentence_id", "line_id").join(V.lines(spark, sf_dir).select("line_id", "line_number", ref.alias("ref")), "line_id")
-    return rows.groupBy("sentence_id").agg(D.ordered_text("line_number", "ref", "").alias("refs"))
+    rows = V.cited_sentences(spark, sf_dir, refs=lambda number: C.dotted(F.concat_ws(".", "volume", "chapter", number))["label"])
+    return rows.filter(F.size("refs") > 0).select("sentence_id", F.array_join("refs", "").alias("refs"))
 
 
 @query(with_tables("links") + "SELECT sentence_id, l.division_id, array_to_string(list_sort(list(DISTINCT l.line_number)), ',') AS line_numbers, min(l.line_number) AS first_line, string_agg(l.content, ' ' ORDER BY l.line_number) AS line_text FROM links JOIN lines l USING (line_id) GROUP BY sentence_id, l.division_id")
 def citation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.links(spark, sf_dir).select("sentence_id", "line_id").join(V.lines(spark, sf_dir).select("line_id", "division_id", "line_number", "content"), "line_id")
-    numbers = F.array_join(F.array_sort(F.collect_set("line_number")).cast("array<string>"), ",")
-    return rows.groupBy("sentence_id", "division_id").agg(numbers.alias("line_numbers"), F.min("line_number").alias("first_line"), D.ordered_text("line_number", "content", " ").alias("line_text"))
+    rows = V.cited_sentences(spark, sf_dir, with_lines=True).filter(F.size("lines") > 0)
+    return rows.select("sentence_id", "division_id", F.array_join(F.col("line_numbers").cast("array<string>"), ",").alias("line_numbers"), "first_line", F.array_join("lines", " ").alias("line_text"))
 
 
 @query(_CITED + "SELECT sentence_id, coalesce(author_name, 'Unknown') AS author, title AS work, CASE WHEN len(line_numbers) > 1 THEN list_min(line_numbers) || '-' || list_max(line_numbers) ELSE CAST(list_min(line_numbers) AS VARCHAR) END AS line FROM cited")
