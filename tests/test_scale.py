@@ -89,3 +89,22 @@ def test_neighbours_share_a_line(spark):
     got = S.overlapping_neighbours(cited)
     assert {r.sentence_id: (r.prev_id, r.next_id) for r in got.collect()} == {i: (near(i, -1), near(i, 1)) for i in have}
     assert plan(got).count("Window [") == 1
+
+
+def test_postings_are_of_lemmas_alone(spark, tmp_path, monkeypatch):
+    """search_lemmas hands the index tokens with nothing but lemmas, whose lines are cleaned once."""
+    from lectern.operators import postings
+
+    class Seen(Exception):
+        pass
+
+    def write(tokens, *args, **options):
+        assert [f.name for f in tokens.schema["tokens"].dataType.elementType.fields] == ["lemma"] and plan(tokens).count("regexp_replace(") == 1
+        raise Seen
+
+    monkeypatch.setattr(postings, "write", write)
+    try:
+        registry.QUERIES["search_lemmas"](spark, made(spark, tmp_path, ["One a. Two"]))
+        raise AssertionError("nothing was written")
+    except Seen:
+        pass
