@@ -38,8 +38,8 @@ HASHES, BATCH, MISS = 256, 32, 1e-6
 UNIT, QUERIES, TARGETS = 8192, 1024, 4096
 #: Rows of units that a task holds, about, and pairs that it compares at once.
 BIN, PAIRS = 10_000, 1 << 17
-#: Texts of so many bytes are hashed side by side.
-HASHED_BYTES = 256 << 10
+#: Texts of so many bytes are hashed side by side, and so many short hashes compared at once.
+HASHED_BYTES, SHORTS = 256 << 10, 4 << 20
 
 
 def least_matches(percent: int = PERCENT, hashes: int = HASHES, batch: int = BATCH, miss: float = MISS) -> list[int]:
@@ -198,12 +198,13 @@ def _crossed(starts: np.ndarray, split: np.ndarray, ends: np.ndarray) -> Iterato
 
 
 def _alike(sets: list[np.ndarray], q: np.ndarray, t: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of short sets are similar enough. Short hashes may fall together, which adds to what sets share, so no pair is lost."""
+    """Which pairs of short sets are similar enough. Short hashes may fall together, which adds to what sets share, so no pair is lost. There may be no pairs, as where no signatures were alike."""
     keep = np.zeros(len(q), bool)
-    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(q)], strict=True):
-        own = sets[q[a]]
-        size = np.asarray([len(sets[i]) for i in t[a:b]])
+    sizes = np.asarray([len(sets[i]) for i in t], np.int64)
+    lot = np.cumsum(sizes) // SHORTS
+    edges = [0, *(np.flatnonzero((q[1:] != q[:-1]) | (lot[1:] != lot[:-1])) + 1).tolist(), len(q)] if len(q) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own, size = sets[q[a]], sizes[a:b]
         flat = np.concatenate([sets[i] for i in t[a:b]])
         shared = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, np.cumsum(size) - size)
         keep[a:b] = 100 * shared >= percent * (len(own) + size - shared)
@@ -232,7 +233,9 @@ def _in_blocks(members: DataFrame, buckets: DataFrame, known: DataFrame, where:
     asks = hot.filter("comp <> main").withColumns({"share": own(shares, 1), "told": F.lit(False)}).withColumn("block", count(blocks)).select(columns)
     told = hot.withColumns({"block": own(blocks, 2), "told": F.lit(True)}).withColumn("share", count(shares)).select(columns)
     sent = small.unionByName(asks).unionByName(told).join(known, "node")
-    bins = F.pmod(F.xxhash64("unit", "share", "block"), F.lit(1 + members.count() // BIN)).alias("bin")
+    # A row of a hot bucket is sent more than once, so bins are by what is sent.
+    times = F.when(F.col("large"), shares.cast("long") + F.when(F.col("comp") != F.col("main"), blocks).otherwise(0)).otherwise(1)
+    bins = F.pmod(F.xxhash64("unit", "share", "block"), F.lit(1 + (rows.agg(F.sum(times)).first()[0] or 0) // BIN)).alias("bin")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["unit", "share", "block", "node"], ignore_index=True)

@@ -120,3 +120,27 @@ def test_a_very_long_text(spark):
     base = words(rng, 200_000)
     rows = [(1, " ".join(base)), (2, " ".join(changed(rng, base, 500))), (3, " ".join(words(rng, 10)))]
     assert [c for _, _, c in result(spark, rows)] == [1, 1, 3]
+
+
+def test_a_bucket_without_a_link(spark):
+    """Two texts that share bands and have unlike signatures, so that nothing is left for the short sets of their only bin."""
+    rng = random.Random(1)
+    base, other = words(rng, 200), words(rng, 200)
+    texts = [" ".join(base), *(" ".join(base[:k] + other[k:]) for k in range(199, 100, -1))]
+    minima = M._minima([M._set(t, M.WORDS) for t in texts])
+    keys, x = M._band_keys(minima), np.roll(minima, -M.BANDS * M.ROWS, axis=1).astype("<u2")
+    met = (keys == keys[0]).any(1) & (M._pass(x, np.zeros(100, np.int64), np.arange(100), M.least_matches()) < 0)
+    rows = [(1, texts[0]), (2, texts[int(np.flatnonzero(met)[0])])]
+    assert result(spark, rows) == plain(rows)
+    none = np.zeros(0, np.int64)
+    assert M._alike([], none, none, 85).tolist() == []
+
+
+def test_short_sets_in_lots(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40, n).astype("<u4")) for n in rng.integers(1, 60, 30)]
+    q, t = np.repeat(np.arange(10), 20), np.tile(np.arange(10, 30), 10)
+    plainly = [100 * len(set(sets[a]) & set(sets[b])) >= 50 * len(set(sets[a]) | set(sets[b])) for a, b in zip(q, t, strict=True)]
+    for most in (1, 50, 1 << 20):
+        monkeypatch.setattr(M, "SHORTS", most)
+        assert M._alike(sets, q, t, 50).tolist() == plainly and any(plainly) and not all(plainly)
