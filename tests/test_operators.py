@@ -317,3 +317,25 @@ def test_one_category_and_only_the_fields_asked_for(spark):
     made = rows.select("content", search.has_category(views.tokens_of(F.col("content"), ("category",)), "Rare").alias("rare"))
     assert {r.content: r.rare for r in made.collect()} == {"of extraordinary things": True, "Some things": False, "": False}
     assert "lower(" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_divisions_are_dealt_out_once_and_plain(spark, tmp_path):
+    """The entries of sentences that stand by division are those of single sentences; what is shuffled by part has no tokens and no neighbours."""
+    import random
+
+    from lectern.plans import views as V
+
+    rng = random.Random(6)
+    texts = {d: [" ".join(rng.choice(["a", "Bé", "c", "dd"]) for _ in range(rng.randrange(1, 5))) for _ in range(rng.choice([1, 2, 3, 30]))] for d in range(1, 25)}
+    texts |= {30: [], 31: ["", "x", None, "y"]}
+    rows = [(d * 100 + i, f"c{d}.{i}", t, own[i - 1] if i else None, own[i + 1] if i + 1 < len(own) else None) for d, own in texts.items() for i, t in enumerate(own)]
+    sentences = spark.createDataFrame(rows, "sentence_id long, citation string, text string, prev string, next string").withColumn("tokens", V.tokens_of(F.col("text")))
+    listed = [(d, [(d * 100 + i, f"c{d}.{i}", t) for i, t in enumerate(own)]) for d, own in texts.items()]
+    divisions = spark.createDataFrame(listed, "division_id long, sentences array<struct<sentence_id:long,citation:string,text:string>>")
+    sizes = spark.createDataFrame([(d, sum(len((t or "").encode()) for t in own)) for d, own in texts.items()], "division_id long, bytes long")
+    for name in (("text", "prev", "next", "tokens"), ()):
+        plain = lexicon.lemma_entries(sentences, str(tmp_path / f"a{len(name)}"), part_bytes=40, context=name)
+        made = lexicon.division_entries(divisions, sizes, str(tmp_path / f"b{len(name)}"), tokens=V.tokens_of, part_bytes=40, context=name)
+        assert made._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(part") == 1
+        assert made.columns == plain.columns
+        assert sorted(map(str, made.collect())) == sorted(map(str, plain.collect())) and made.select("part").distinct().count() > 5
