@@ -339,3 +339,15 @@ def test_divisions_are_dealt_out_once_and_plain(spark, tmp_path):
         assert made._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(part") == 1
         assert made.columns == plain.columns
         assert sorted(map(str, made.collect())) == sorted(map(str, plain.collect())) and made.select("part").distinct().count() > 5
+
+
+def test_lexical_entries_move_texts_alone(spark, tmp_path):
+    from lectern.plans import registry
+
+    spark.createDataFrame([(1, "One a. Two\nb. Three", "en", "src1", 20)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("lexical_contexts", "lexical_prompts"):
+        made = registry.QUERIES[name](spark, str(tmp_path))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        above, below = plan.split("hashpartitioning(part")
+        assert r"[\p{L}]+" in above and r"[\p{L}]+" not in below, name
+        assert sorted(r.lemma for r in made.collect()) == ["a", "b", "one", "three", "two"]
