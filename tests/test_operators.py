@@ -351,3 +351,19 @@ def test_lexical_entries_move_texts_alone(spark, tmp_path):
         above, below = plan.split("hashpartitioning(part")
         assert r"[\p{L}]+" in above and r"[\p{L}]+" not in below, name
         assert sorted(r.lemma for r in made.collect()) == ["a", "b", "one", "three", "two"]
+
+
+def test_tagged_lines_of_queries_are_compressed(spark, tmp_path, monkeypatch):
+    import glob
+
+    from lectern.plans import corpus, registry
+
+    spark.createDataFrame([(i, "One a. Two\nb. Three. Four", "en", "src1", 20) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars int").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus.context, "scratch", lambda spark: f"{tmp_path}/{len(glob.glob(f'{tmp_path}/*'))}")
+    assert {tuple(r) for r in registry.QUERIES["write_tagged_jsonl"](spark, str(tmp_path)).collect()} == {(str(i), 4) for i in range(40)}
+    rows = registry.QUERIES["read_tagged_jsonl"](spark, str(tmp_path)).collect()
+    assert len(rows) == 160 and {(r.text, r.n_tokens, r.lemmas) for r in rows} == {("One a.", 2, "one a"), ("Two b.", 2, "two b"), ("Three.", 1, "three"), ("Four.", 1, "four")}
+    found = glob.glob(f"{tmp_path}/*/tagged/part-*")
+    assert len(found) == 2 and all(f.endswith(".json.gz") for f in found)
+    files.write_tagged_jsonl(spark.read.schema(files.TAGGED).json(f"{tmp_path}/*/tagged").coalesce(1), str(tmp_path / "few"), compression="gzip", most=100)
+    assert len(glob.glob(f"{tmp_path}/few/part-*")) == 4 and files.read_tagged_jsonl(spark, str(tmp_path / "few")).count() == 320
